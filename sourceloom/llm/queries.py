@@ -4,20 +4,42 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import simhash_dedup
+from . import curve_packing, simhash_dedup, token_store
 
 Query = Callable[[SparkSession, str], DataFrame]
+WORD_BPE = "word_bpe_49k.json"
+
+
+def tokenizer_path(name: str = WORD_BPE) -> str:
+    """Where the public tokenizer files are; the same on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = simhash_dedup.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    found = simhash_dedup.near_duplicates(documents(spark, sf_dir))
     return found.select("doc_id", simhash_dedup.hex_fingerprint("fp").alias("fingerprint"), "component_id")
 
 
+def op4_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = curve_packing.pack(documents(spark, sf_dir), tokenizer_path())
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op5_plane_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = token_store.round_trip(spark, documents(spark, sf_dir), tokenizer_path())
+    return read.select("doc_id", "start", F.expr("cast(octet_length(ids) / 4 as long)").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
 def queries() -> dict[str, Query]:
-    return {"op2_simhash_dedup": op2_simhash_dedup}
+    return {f.__name__: f for f in (op2_simhash_dedup, op4_curve_packing, op5_plane_files)}
 
 
 def oracle_sql() -> dict[str, str]:
