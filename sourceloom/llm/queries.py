@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import curve_packing, simhash_dedup, token_store
+from . import curve_packing, lm_scoring, simhash_dedup, token_store
 
 Query = Callable[[SparkSession, str], DataFrame]
 WORD_BPE = "word_bpe_49k.json"
@@ -38,8 +38,12 @@ def op5_plane_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "start", F.expr("cast(octet_length(ids) / 4 as long)").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+def op9_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_simhash_dedup, op4_curve_packing, op5_plane_files)}
+    return {f.__name__: f for f in (op2_simhash_dedup, op4_curve_packing, op5_plane_files, op9_suffix_tree)}
 
 
 def oracle_sql() -> dict[str, str]:
