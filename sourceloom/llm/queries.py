@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import curve_packing, lm_scoring, simhash_dedup, token_store
+from . import curve_packing, decontaminate, importance, lm_scoring, simhash_dedup, token_store
 
 Query = Callable[[SparkSession, str], DataFrame]
 WORD_BPE = "word_bpe_49k.json"
@@ -28,6 +28,11 @@ def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash_dedup.hex_fingerprint("fp").alias("fingerprint"), "component_id")
 
 
+def op3_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return importance.selected(importance.importance(documents(spark, sf_dir), labels))
+
+
 def op4_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = curve_packing.pack(documents(spark, sf_dir), tokenizer_path())
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -38,12 +43,16 @@ def op5_plane_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "start", F.expr("cast(octet_length(ids) / 4 as long)").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op9_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_simhash_dedup, op4_curve_packing, op5_plane_files, op9_suffix_tree)}
+    return {f.__name__: f for f in (op2_simhash_dedup, op3_importance_resampling, op4_curve_packing, op5_plane_files, op7_decontamination, op9_suffix_tree)}
 
 
 def oracle_sql() -> dict[str, str]:
