@@ -58,26 +58,30 @@ def projection(seed: int = 7) -> np.ndarray:
     return np.random.default_rng(seed).standard_normal((BUCKETS, DIMENSIONS)) / np.sqrt(BUCKETS)
 
 
-def curve_key(ids: np.ndarray, matrix: np.ndarray) -> int:
-    """A document's Hilbert key from its token ids."""
-    bucket = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(56)
-    count = np.bincount(bucket.astype(np.int64), minlength=BUCKETS).astype(np.float64)
-    unit = count / max(1.0, np.sqrt((count * count).sum()))
-    place = np.tanh(4 * (unit @ matrix))
-    return int(hilbert_key(np.clip(((place + 1) / 2 * (1 << BITS)).astype(np.int64), 0, (1 << BITS) - 1)[None, :])[0])
+def bucket_counts(ids: np.ndarray) -> np.ndarray:
+    """A document's token counts hashed to buckets, scaled to unit length."""
+    bucket = (ids.astype(np.uint32) * np.uint32(2654435761)) >> np.uint32(24)
+    count = np.bincount(bucket, minlength=BUCKETS).astype(np.float64)
+    return count / np.sqrt(count @ count)
+
+
+def curve_keys(vectors: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+    """The Hilbert keys of documents' vectors (rows)."""
+    place = np.tanh(4 * (vectors @ matrix))
+    return hilbert_key(np.clip(((place + 1) / 2 * (1 << BITS)).astype(np.int64), 0, (1 << BITS) - 1))
 
 
 def _tokenize(tokenizer: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, matrix, end = Encoder.of(tokenizer), projection(), np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
-            keys, sizes, ids = [], [], []
-            for text in batch.column("text"):
+            vectors, sizes, ids = np.empty((batch.num_rows, BUCKETS)), [], []
+            for i, text in enumerate(batch.column("text")):
                 raw = np.frombuffer(encoder.encode(text.as_py()) + end, dtype="<u4")
-                keys.append(curve_key(raw, matrix))
+                vectors[i] = bucket_counts(raw)
                 sizes.append(len(raw))
                 ids.append(raw.astype("<u2" if raw.max() < 1 << 16 else "<u4").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "key", "tokens", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(curve_keys(vectors, matrix), pa.int64()), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "key", "tokens", "ids"])
 
     return run
 
