@@ -129,4 +129,4 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
     before = docs.sparkSession.createDataFrame(bases, "part int, base long")
     placed, _ = keep(local.join(F.broadcast(before), "part").select("row", (F.col("base") + F.col("local")).alias("place")), "placed")
     remove(docs.sparkSession, local_path)
-    return coded.join(placed, "row").select("doc_id", "place", "tokens", "ids").mapInArrow(_cut(capacity), "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
+    return coded.join(placed.hint("merge"), "row").select("doc_id", "place", "tokens", "ids").mapInArrow(_cut(capacity), "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
