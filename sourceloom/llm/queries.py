@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import curve_packing, decontaminate, importance, lm_scoring, simhash_dedup, token_store
+from . import chat_format, curve_packing, decontaminate, importance, link_trust, lm_scoring, matroska, simhash_dedup, token_store, warc_archive
 
 Query = Callable[[SparkSession, str], DataFrame]
 WORD_BPE = "word_bpe_49k.json"
@@ -23,6 +23,17 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/pages.parquet")
+
+
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, "user", own), (-1, 1, "assistant", own)], "conv_id long, turn long, role string, text string")
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").unionByName(more)
+    return chat_format.digests(chat_format.format_chats(turns))
+
+
 def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_dedup.near_duplicates(documents(spark, sf_dir))
     return found.select("doc_id", simhash_dedup.hex_fingerprint("fp").alias("fingerprint"), "component_id")
@@ -43,17 +54,43 @@ def op5_plane_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "start", F.expr("cast(octet_length(ids) / 4 as long)").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+def op6_link_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_trust.judge(pages(spark, sf_dir))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op8_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_archive.round_trip(pages(spark, sf_dir)).drop("payload")
+
+
 def op9_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(documents(spark, sf_dir))
 
 
+def op10_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matroska.features(matroska.encode(documents(spark, sf_dir)))
+
+
+OPERATORS = (
+    op1_chat_format,
+    op2_simhash_dedup,
+    op3_importance_resampling,
+    op4_curve_packing,
+    op5_plane_files,
+    op6_link_trust,
+    op7_decontamination,
+    op8_warc_revisits,
+    op9_suffix_tree,
+    op10_matroska,
+)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_simhash_dedup, op3_importance_resampling, op4_curve_packing, op5_plane_files, op7_decontamination, op9_suffix_tree)}
+    return {f.__name__: f for f in OPERATORS}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_chat_format": chat_format.sql(), "op6_link_trust": link_trust.judge_sql(), "op8_warc_revisits": warc_archive.SQL}
