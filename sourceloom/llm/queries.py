@@ -89,7 +89,9 @@ OPERATORS = (
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in OPERATORS}
+    import corpus_pipeline  # it imports this module
+
+    return {f.__name__: f for f in OPERATORS} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
