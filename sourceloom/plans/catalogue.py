@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import retrieval
+from . import analytics, records, retrieval
 from .registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "retrieval"]
+__all__ = ["ORACLE_SQL", "QUERIES", "analytics", "records", "retrieval"]
