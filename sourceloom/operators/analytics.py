@@ -79,6 +79,7 @@ def allocated(items: DataFrame, weight: str, total: int, key: str, reserve: floa
 def sessions(events: DataFrame, gap_seconds: int, key: str = "user_id") -> DataFrame:
     """Sessions of events with gaps under the given seconds: key, session start, end and events."""
     w = W.partitionBy(key).orderBy("ts", "event_id")
-    rows = events.withColumn("fresh", (F.coalesce(F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(w)), F.lit(1 << 60)) >= gap_seconds * 1_000_000).cast("int"))
+    micros = lambda c: F.unix_micros(c.cast("timestamp"))
+    rows = events.withColumn("fresh", (F.coalesce(micros(F.col("ts")) - micros(F.lag("ts").over(w)), F.lit(1 << 60)) >= gap_seconds * 1_000_000).cast("int"))
     rows = rows.withColumn("session", F.sum("fresh").over(w.rowsBetween(W.unboundedPreceding, 0)))
     return rows.groupBy(key, "session").agg(F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"), F.count("*").alias("events"))

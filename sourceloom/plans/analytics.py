@@ -132,7 +132,7 @@ def votes(spark, sf):
 
 
 @query("vote_consensus", f"""WITH {VOTES}, p AS (SELECT task, sha256(array_to_string(list_transform(items, lambda x: x.id || ':' || printf('%.2f', x.score::DOUBLE)), '|')) AS strict, sha256(array_to_string(list_transform(items, lambda x: x.id), '|')) AS loose FROM vo),
-n AS (SELECT task, count(*) AS n FROM p GROUP BY 1), s AS (SELECT task, strict, count(*) AS k FROM p GROUP BY ALL QUALIFY row_number() OVER (PARTITION BY task ORDER BY k DESC, strict DESC) = 1), l AS (SELECT task, loose, count(*) AS k FROM p GROUP BY ALL QUALIFY row_number() OVER (PARTITION BY task ORDER BY k DESC, loose DESC) = 1)
+n AS (SELECT task, count(*) AS n FROM p GROUP BY 1), s AS (SELECT task, strict, count(*) AS k FROM p GROUP BY task, strict QUALIFY row_number() OVER (PARTITION BY task ORDER BY k DESC, strict DESC) = 1), l AS (SELECT task, loose, count(*) AS k FROM p GROUP BY task, loose QUALIFY row_number() OVER (PARTITION BY task ORDER BY k DESC, loose DESC) = 1)
 SELECT n.task AS task, CASE WHEN s.k >= 2 AND s.k / n >= 0.5 THEN 'strict' WHEN l.k >= 2 AND l.k / n >= 0.5 THEN 'loose' ELSE 'disagreement' END AS mode, CASE WHEN s.k >= 2 AND s.k / n >= 0.5 THEN strict WHEN l.k >= 2 AND l.k / n >= 0.5 THEN loose END AS print,
 CASE WHEN s.k >= 2 AND s.k / n >= 0.5 THEN s.k WHEN l.k >= 2 AND l.k / n >= 0.5 THEN l.k ELSE 0 END::BIGINT AS n_votes FROM n JOIN s USING (task) JOIN l USING (task)""")
 def vote_consensus(spark, sf):
