@@ -12,13 +12,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import SparkSession, functions as F, types as T
 
-from .text import STEM_SUFFIXES
+from . import fixed as fx
 from .url import TRACKING
 
 
 def plain_stem(token: str) -> str:
     if len(token) >= 4:
-        for s in STEM_SUFFIXES:
+        for s in fx.STEM_SUFFIXES:
             if token.endswith(s) and len(token) - len(s) >= 3:
                 return token[: -len(s)]
     return token
@@ -29,59 +29,69 @@ def ratio(a: str | None, b: str | None) -> float:
     return difflib.SequenceMatcher(None, a or "", b or "").ratio()
 
 
-def tokens_match(a: str, b: str, least: float = 0.80) -> bool:
-    """Equal, of equal stem, sharing a long prefix, one inside the other, or similar enough."""
+def tokens_match(a: str | None, b: str | None) -> bool:
+    """Equal, or stems that are equal, share a long beginning, lie one inside the other, are anagrams, or are similar enough."""
+    a, b = (a or "").strip().lower(), (b or "").strip().lower()
     if not a or not b:
         return False
-    if a == b or plain_stem(a) == plain_stem(b):
+    x, y = plain_stem(a), plain_stem(b)
+    if a == b or x == y:
         return True
-    prefix = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
-    if prefix >= 5 or (prefix >= 4 and min(len(a), len(b)) <= 5):
+    short, long_ = sorted((x, y), key=len)
+    common = next((i for i, c in enumerate(short) if c != long_[i]), len(short))
+    if common >= fx.MIN_PREFIX or (common >= fx.MIN_ONE_SIDED and len(short) <= fx.SHORT_TOKEN):
         return True
-    short, long_ = sorted((a, b), key=len)
-    if len(short) >= 5 and short in long_:
+    if len(short) >= fx.MIN_PART and short in long_:
         return True
-    if sorted(a) == sorted(b) and len(a) > 3:
-        return True
-    return abs(len(a) - len(b)) <= 2 and ratio(a, b) >= least
+    if len(short) < fx.MIN_FUZZY:
+        return False
+    return (len(long_) - len(short) <= fx.FUZZY_SPREAD and sorted(x) == sorted(y)) or ratio(x, y) >= fx.FUZZY_RATIO
+
 
+def fuzzy_share(query: list[str], tokens: list[str]) -> float:
+    """Mean worth of the query's distinct tokens: 1 if there, 0.85 or 0.45 by the best ratio among tokens of near length."""
+    asked, there = set(query), set(tokens)
+    if not asked or not there:
+        return 0.0
+
+    def worth(q: str) -> float:
+        if q in there:
+            return 1.0
+        best = max((ratio(q, t) for t in there if abs(len(q) - len(t)) <= 2), default=0.0)
+        return 0.85 if best >= 0.86 else 0.45 if best >= 0.78 else 0.0
 
-def overlap(query: list[str], title: list[str], abstract: list[str]) -> float:
-    """Fuzzy token overlap: 0.55 title + 0.30 abstract, a token counting 1, 0.85 or 0.45 by how alike its best match is, and 0.10
-    for a full title."""
+    return min(1.0, sum(map(worth, asked)) / len(asked))
 
-    def share(tokens: list[str]) -> float:
-        if not query:
-            return 0.0
-        total = 0.0
-        for q in query:
-            best = max((ratio(q, t) for t in set(tokens) if abs(len(q) - len(t)) <= 2), default=0.0)
-            total += 1.0 if best == 1.0 else 0.85 if best >= 0.86 else 0.45 if best >= 0.78 else 0.0
-        return total / len(query)
 
-    in_title = share(title)
-    return min(1.0, 0.55 * in_title + 0.30 * share(abstract) + (0.10 if in_title >= 0.99 else 0.0))
+def overlap(query: list[str], title: list[str], abstract: list[str], meta: list[str] = ()) -> float:
+    """Fuzzy token overlap: 0.55 title + 0.30 abstract + 0.15 metadata, and 0.10 for a full title."""
+    in_title = fuzzy_share(query, title)
+    return min(1.0, 0.55 * in_title + 0.30 * fuzzy_share(query, abstract) + 0.15 * fuzzy_share(query, list(meta)) + (0.10 if in_title >= 0.99 else 0.0))
 
 
-def proximity(query: list[str], tokens: list[str]) -> float:
-    """(words / matched tokens) / smallest window that holds all matched tokens / 2.5, at most 1; 0 for under two matched."""
-    wanted = set(query) & set(tokens)
-    if len(wanted) < 2:
+def proximity(query: list[str], words: list[str]) -> float:
+    """How close a text's first-to-last places of all matched query tokens come: (words / query tokens) / smallest window that has
+    them all / 2.5, at most 1.  One query token: whether it is in the text.  Under two matched, or no window smaller than the
+    text: 0."""
+    if not query or not words:
+        return 0.0
+    if len(query) < 2:
+        return float(query[0] in " ".join(words))
+    found = [(i, q) for i, w in enumerate(words) for q in dict.fromkeys(query) if tokens_match(q, w)]
+    wanted = len({q for _, q in found})
+    if wanted < 2:
         return 0.0
-    count: dict[str, int] = {}
-    best, left = len(tokens), 0
-    for right, t in enumerate(tokens):
-        if t in wanted:
-            count[t] = count.get(t, 0) + 1
-        while len(count) == len(wanted):
-            best = min(best, right - left + 1)
-            x = tokens[left]
-            if x in count:
-                count[x] -= 1
-                if not count[x]:
-                    del count[x]
+    best, left, inside = len(words), 0, {}
+    for i, q in found:
+        inside[q] = inside.get(q, 0) + 1
+        while len(inside) == wanted:
+            best = min(best, i - found[left][0] + 1)
+            gone = found[left][1]
+            inside[gone] -= 1
+            if not inside[gone]:
+                del inside[gone]
             left += 1
-    return min(1.0, len(tokens) / len(wanted) / best / 2.5)
+    return 0.0 if best >= len(words) else min(1.0, max(1.0, len(words) / len(query)) / best / 2.5)
 
 
 def clean_nfkc(text: str | None) -> str:

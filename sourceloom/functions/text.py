@@ -4,11 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# Words that carry no query meaning.
-STOPWORDS = ("the", "a", "an", "and", "or", "of", "to", "in", "on", "for", "with", "is", "are", "was", "were", "be", "what", "how", "why", "when", "where", "which", "who", "this", "that", "it", "as", "at", "by", "if", "not", "no")
-# The suffixes that a stem loses, first match first.
-STEM_SUFFIXES = ("ational", "ization", "ations", "ation", "ments", "ment", "ness", "ing", "ed")
-
+from .fixed import STEM_SUFFIXES, STOPWORDS
 
 def clean(text: Column) -> Column:
     """Control characters and tags to nothing and blanks, white space collapsed and trimmed (no Unicode normal form)."""

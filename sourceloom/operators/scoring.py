@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from ..functions import text as tx
+from ..functions import fixed as fx, text as tx
 
 # Weights of the features, trust in platforms, and worth of types.
 WEIGHTS = {"relevance": 0.42, "authority": 0.12, "type_quality": 0.10, "impact": 0.10, "recency": 0.08, "content": 0.08, "support": 0.05, "authors": 0.05}
@@ -83,17 +83,12 @@ def confidence(score: Column) -> Column:
     return F.greatest(F.lit(0.05), F.least(F.lit(0.98), raw))
 
 
-# Words of beginners' and of advanced texts.
-BEGINNER_WORDS = ("beginner", "basic", "fundamental", "intro", "introduction", "simple")
-ADVANCED_WORDS = ("advanced", "expert", "theorem", "proof", "stochastic", "optimal")
-
-
 def difficulty(text: Column, prior: Column, level_bias: float = 0.0) -> Column:
     """0.55 treatment + 0.35 markers + 0.10 metadata + prior: under 0.35 beginner, under 0.65 intermediate, else advanced."""
     grade = tx.fog_grade(text)
     treatment = unit((grade - 6.0) / 12.0)
-    low = sum((text.contains(w).cast("int") for w in BEGINNER_WORDS), F.lit(0))
-    high = sum((text.contains(w).cast("int") for w in ADVANCED_WORDS), F.lit(0))
+    low = sum((text.contains(w).cast("int") for w in fx.BEGINNER_MARKERS), F.lit(0))
+    high = sum((text.contains(w).cast("int") for w in fx.ADVANCED_MARKERS), F.lit(0))
     topic = F.when(low + high == 0, F.lit(0.5)).otherwise(high / (low + high))
     meta = F.when(F.col("citation_count").isNull(), F.lit(0.5)).otherwise(F.least(F.lit(1.0), F.col("citation_count") / 1000.0))
     return unit(0.55 * treatment + 0.35 * topic + 0.10 * meta + prior + level_bias)

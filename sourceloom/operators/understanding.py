@@ -4,34 +4,36 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import text as tx
+from ..functions import fixed as fx, text as tx
 
-# Markers of what a question wants, first group that is found.
-INTENTS = (("troubleshoot", ("error", "fix", "bug")), ("compare", ("versus", " vs ", "compare")), ("implement", ("implement", "build", "code")), ("research", ("paper", "state of", "survey")), ("learn", ("learn", "for", "the")), ("explore", ("",)))
-# Signals of a wanted level and their weights.
-LEVEL_SIGNALS = {"beginner": (("beginner", 1.0), ("basic", 0.6), ("intro", 0.6), ("the", 0.3)), "advanced": (("advanced", 1.0), ("expert", 0.6), ("ention", 0.3))}
-# Endings and parts of titles that are not works.
-JUNK_TITLES = ("list of", "index of", "disambiguation", "table of contents", "untitled")
-CREDIBILITY = ("click", "secret", "guaranteed", "miracle")
+LEVELS = {"beginner": fx.BEGINNER_SIGNALS, "advanced": fx.ADVANCED_SIGNALS}
+
+
+def contains_any(text: Column, marks: tuple[str, ...]) -> Column:
+    out = F.lit(False)
+    for m in marks:
+        out = out | text.contains(m)
+    return out
 
 
 def intent(text: Column) -> Column:
-    out = F.lit(None).cast("string")
-    for name, marks in reversed(INTENTS):
-        hit = F.lit(False)
-        for m in marks:
-            hit = hit | text.contains(m)
-        out = F.when(hit, name).otherwise(out)
+    out = F.lit("explore")
+    for name, marks in reversed(fx.INTENTS.items()):
+        out = F.when(contains_any(text, marks), name).otherwise(out)
     return out
 
 
 def level_score(text: Column, level: str) -> Column:
-    return sum((F.when(text.contains(m), w).otherwise(0.0) for m, w in LEVEL_SIGNALS[level]), F.lit(0.0))
+    """Sum of the weights of all signals in the text, as substrings."""
+    return sum((F.when(text.contains(m), fx.SIGNAL_WEIGHTS[k]).otherwise(0.0) for k, marks in LEVELS[level].items() for m in marks), F.lit(0.0))
 
 
 def level_profile(text: Column) -> Column:
-    low, high = level_score(text, "beginner"), level_score(text, "advanced")
-    return F.when((low > 0) & (high > 0) & (F.abs(low - high) < 0.5), "mixed").when(low > high, "beginner").when(high > low, "advanced").otherwise("neutral")
+    low, high = F.round(level_score(text, "beginner"), 6), F.round(level_score(text, "advanced"), 6)
+    return (
+        F.when((high >= 1) & (low < high), "advanced").when((low >= 1) & (high < low), "beginner").when((high >= 1) & (low >= 1), "mixed")
+        .when((low > high * 1.2) & (low > 0), "beginner").when((high > low * 1.2) & (high > 0), "advanced").otherwise("balanced")
+    )
 
 
 def specificity(tokens: Column) -> Column:
@@ -51,13 +53,13 @@ def concept(text: Column, words: int = 6) -> Column:
     return F.slice(tx.meaningful(tx.tokens(bare)), 1, words)
 
 
-TEMPLATES = {"beginner": ("introduction to {}", "{} for beginners", "{} basics"), "neutral": ("{}", "{} tutorial", "{} guide"), "advanced": ("{} survey", "advanced {}", "{} research"), "mixed": ("{} from basics", "{} guide", "{} survey")}
+TEMPLATES = {"beginner": ("introduction to {}", "{} for beginners", "{} basics"), "balanced": ("{}", "{} tutorial", "{} guide"), "advanced": ("{} survey", "advanced {}", "{} research"), "mixed": ("{} from basics", "{} guide", "{} survey")}
 
 
 def expanded(concept_text: Column, profile: Column, cap: int = 5) -> Column:
     """The profile's templates filled with a concept, distinct without regard to case, at most cap."""
     fill = lambda ts: F.array(*[F.concat(F.lit(t.split("{}")[0]), concept_text, F.lit(t.split("{}")[1])) for t in ts])
-    out = fill(TEMPLATES["neutral"])
+    out = fill(TEMPLATES["balanced"])
     for name, ts in TEMPLATES.items():
         out = F.when(profile == name, fill(ts)).otherwise(out)
     return F.slice(tx.distinct_ignoring_case(F.concat(F.array(concept_text), out)), 1, cap)
@@ -66,19 +68,20 @@ def expanded(concept_text: Column, profile: Column, cap: int = 5) -> Column:
 def chunk_gate(question: Column, gate: int = 3) -> Column:
     """Whether a question has enough tokens for chunk search; questions with a question word need one fewer."""
     toks = tx.tokens(question)
-    asks = F.size(F.array_intersect(toks, F.array(*map(F.lit, ("what", "how", "why", "when", "which", "who"))))) > 0
+    asks = F.size(F.array_intersect(toks, F.array(*map(F.lit, fx.INTERROGATIVES)))) > 0
     return F.size(tx.meaningful(toks)) >= F.greatest(F.lit(2), F.least(F.lit(20), F.lit(gate) - asks.cast("int")))
 
 
 def credibility_penalty(text: Column) -> Column:
-    hits = sum((text.contains(m).cast("int") for m in CREDIBILITY), F.lit(0))
+    hits = sum((text.contains(m).cast("int") for m in fx.CREDIBILITY_MARKERS), F.lit(0))
     return F.when(hits == 0, 1.0).when(hits == 1, 0.75).when(hits == 2, 0.5).otherwise(0.35)
 
 
 def is_junk_title(title: Column) -> Column:
-    low, out = F.lower(title), F.lit(False)
-    for m in JUNK_TITLES:
-        out = out | low.contains(m)
+    low = F.lower(F.trim(title))
+    out = contains_any(low, fx.JUNK_TITLE_PARTS)
+    for end in fx.JUNK_TITLE_SUFFIXES:
+        out = out | low.endswith(end)
     return out
 
 

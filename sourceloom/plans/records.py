@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import text as tx, url as ul
+from ..functions import fixed as fx, text as tx, url as ul
 from ..operators import records as rc, relevance as rel, scoring as sc, selection as sel
 from .registry import query
 from .retrieval import BM25, TERMS
@@ -130,7 +130,7 @@ def fog_grade(spark, sf):
 
 
 _hit = lambda words: " + ".join(f"contains(abstract, '{w}')::INTEGER" for w in words)
-DIFF = f"""df AS (SELECT source_id, ordinal, ({_hit(sc.BEGINNER_WORDS)}) AS lo, ({_hit(sc.ADVANCED_WORDS)}) AS hi, {FOG.format('abstract')} AS grade, citation_count, platform FROM src),
+DIFF = f"""df AS (SELECT source_id, ordinal, ({_hit(fx.BEGINNER_MARKERS)}) AS lo, ({_hit(fx.ADVANCED_MARKERS)}) AS hi, {FOG.format('abstract')} AS grade, citation_count, platform FROM src),
 dc AS (SELECT source_id, ordinal, greatest(0, least(1, 0.55::DOUBLE * greatest(0, least(1, (grade - 6) / 12)) + 0.35::DOUBLE * CASE WHEN lo + hi = 0 THEN 0.5 ELSE hi / (lo + hi)::DOUBLE END::DOUBLE + 0.10::DOUBLE * CASE WHEN citation_count IS NULL THEN 0.5 ELSE least(1, citation_count / 1000.0::DOUBLE) END::DOUBLE + CASE WHEN platform = 'arxiv' THEN 0.15 WHEN platform = 'wikipedia' THEN -0.15 ELSE 0 END::DOUBLE)) AS score FROM df),
 dn AS (SELECT *, CASE WHEN score < 0.35 THEN 'beginner' WHEN score < 0.65 THEN 'intermediate' ELSE 'advanced' END AS level FROM dc)"""
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import fuzzy as fz, text as tx
+from ..functions import fixed as fx, fuzzy as fz, text as tx
 from ..operators import path as pt, relevance as rel, understanding as un
 from .records import SCORED, _scored
 from .registry import query
@@ -16,20 +16,26 @@ MEAN = "(CASE WHEN len(list_filter({0}, lambda t: t NOT IN (" + STOP + "))) > 0
 
 
 def questions(spark, sf):
-    return table(spark, sf, "benchmark").select("item_id", F.lower("text").alias("q"))
+    """Benchmark items in the wording of six kinds of questions."""
+    text = F.lit(None).cast("string")
+    for i, f in enumerate(FILLERS):
+        before, after = f.split("{}")
+        text = F.when(F.col("item_id") % 6 == i, F.concat(F.lit(before), "text", F.lit(after))).otherwise(text)
+    return table(spark, sf, "benchmark").select("item_id", F.lower(text).alias("q"))
 
 
-QS = "qs AS (SELECT item_id, lower(text) AS q FROM benchmark)"
+FILLERS = ("how to learn {}", "an introduction to {} from scratch", "advanced theory of {}", "compare {} versus that", "please build a {}", "{}")
+QS = "qs AS (SELECT item_id, lower(CASE item_id % 6 " + " ".join(f"WHEN {i} THEN '{f.split('{}')[0]}' || text || '{f.split('{}')[1]}'" for i, f in enumerate(FILLERS)) + " END) AS q FROM benchmark)"
 _has = lambda marks: "(" + " OR ".join(f"contains(q, '{m}')" for m in marks) + ")"
 
 
-@query("question_intent", f"WITH {QS} SELECT item_id, CASE {' '.join(f'''WHEN {_has(m)} THEN '{n}' ''' for n, m in un.INTENTS)} END AS intent FROM qs")
+@query("question_intent", f"WITH {QS} SELECT item_id, CASE {' '.join(f'''WHEN {_has(m)} THEN '{n}' ''' for n, m in fx.INTENTS.items())} ELSE 'explore' END AS intent FROM qs")
 def question_intent(spark, sf):
     return questions(spark, sf).select("item_id", un.intent(F.col("q")).alias("intent"))
 
 
-_lev = {k: " + ".join(f"CASE WHEN contains(q, '{m}') THEN {w} ELSE 0 END::DOUBLE" for m, w in v) for k, v in un.LEVEL_SIGNALS.items()}
-PROFILE = f"lp AS (SELECT item_id, q, {_lev['beginner']} AS lo, {_lev['advanced']} AS hi FROM qs), pr AS (SELECT *, CASE WHEN lo > 0 AND hi > 0 AND abs(lo - hi) < 0.5 THEN 'mixed' WHEN lo > hi THEN 'beginner' WHEN hi > lo THEN 'advanced' ELSE 'neutral' END AS profile FROM lp)"
+_lev = {k: "round(" + " + ".join(f"CASE WHEN contains(q, '{m}') THEN {fx.SIGNAL_WEIGHTS[w]} ELSE 0 END::DOUBLE" for w, v in groups.items() for m in v) + ", 6)" for k, groups in un.LEVELS.items()}
+PROFILE = f"lp AS (SELECT item_id, q, {_lev['beginner']} AS lo, {_lev['advanced']} AS hi FROM qs), pr AS (SELECT *, CASE WHEN hi >= 1 AND lo < hi THEN 'advanced' WHEN lo >= 1 AND hi < lo THEN 'beginner' WHEN hi >= 1 AND lo >= 1 THEN 'mixed' WHEN lo > hi * 1.2 AND lo > 0 THEN 'beginner' WHEN hi > lo * 1.2 AND hi > 0 THEN 'advanced' ELSE 'balanced' END AS profile FROM lp)"
 
 
 @query("level_profile", f"WITH {QS}, {PROFILE} SELECT item_id, round(lo, 4) AS lo, round(hi, 4) AS hi, profile FROM pr")
@@ -57,7 +63,7 @@ def specificity_and_strength(spark, sf):
     return rows.select("item_id", F.round(un.specificity(F.col("t")), 6).alias("specificity"), F.round(un.topic_strength(F.size("t"), F.length("q")), 6).alias("strength"))
 
 
-@query("chunk_gate", f"WITH {QS} SELECT item_id, len({MEAN.format(TOK.format('q'))}) >= greatest(2, least(20, 3 - (len(list_intersect({TOK.format('q')}, ['what', 'how', 'why', 'when', 'which', 'who'])) > 0)::INTEGER)) AS chunks FROM qs")
+@query("chunk_gate", f"WITH {QS} SELECT item_id, len({MEAN.format(TOK.format('q'))}) >= greatest(2, least(20, 3 - (len(list_intersect({TOK.format('q')}, {list(fx.INTERROGATIVES)!r})) > 0)::INTEGER)) AS chunks FROM qs")
 def chunk_gate(spark, sf):
     return questions(spark, sf).select("item_id", un.chunk_gate(F.col("q")).alias("chunks"))
 
@@ -74,7 +80,7 @@ def ngram_phrases(spark, sf):
     return w.select("item_id", F.array_join(tx.phrases(F.col("w")), "|").alias("phrases"))
 
 
-@query("text_gates", f"WITH {SOURCES}, t AS (SELECT source_id, title, abstract, list_filter({TOK.format('abstract')}, lambda x: length(x) >= 3 AND x NOT IN ({STOP})) AS k FROM src) SELECT source_id, CASE {' + '.join(f'''contains(lower(abstract), '{m}')::INTEGER''' for m in un.CREDIBILITY)} WHEN 0 THEN 1.0 WHEN 1 THEN 0.75 WHEN 2 THEN 0.5 ELSE 0.35 END::DOUBLE AS credibility, {' OR '.join(f'''contains(lower(title), '{m}')''' for m in un.JUNK_TITLES)} AS junk, len(k) >= 3 AND len(list_filter(k, lambda x: length(x) > 5)) = 0 AS incoherent, contains(lower(title), 'the') OR contains(lower(left(abstract, 400)), 'the') OR contains(lower(title), 'para') OR contains(lower(left(abstract, 400)), 'para') AS present, len(regexp_extract_all(abstract, '[^\\x00-\\x7f]')) > 0.1::DOUBLE * length(abstract) AS off_language FROM t")
+@query("text_gates", f"WITH {SOURCES}, t AS (SELECT source_id, title, abstract, list_filter({TOK.format('abstract')}, lambda x: length(x) >= 3 AND x NOT IN ({STOP})) AS k FROM src) SELECT source_id, CASE {' + '.join(f'''contains(lower(abstract), '{m}')::INTEGER''' for m in fx.CREDIBILITY_MARKERS)} WHEN 0 THEN 1.0 WHEN 1 THEN 0.75 WHEN 2 THEN 0.5 ELSE 0.35 END::DOUBLE AS credibility, {' OR '.join([f'''contains(lower(title), '{m}')''' for m in fx.JUNK_TITLE_PARTS] + [f'''ends_with(lower(title), '{m}')''' for m in fx.JUNK_TITLE_SUFFIXES])} AS junk, len(k) >= 3 AND len(list_filter(k, lambda x: length(x) > 5)) = 0 AS incoherent, contains(lower(title), 'the') OR contains(lower(left(abstract, 400)), 'the') OR contains(lower(title), 'para') OR contains(lower(left(abstract, 400)), 'para') AS present, len(regexp_extract_all(abstract, '[^\\x00-\\x7f]')) > 0.1::DOUBLE * length(abstract) AS off_language FROM t")
 def text_gates(spark, sf):
     a, t = F.col("abstract"), F.col("title")
     return sources(spark, sf).select("source_id", un.credibility_penalty(F.lower(a)).alias("credibility"), un.is_junk_title(t).alias("junk"), un.is_incoherent(a).alias("incoherent"), un.concept_present(["the", "para"], t, a).alias("present"), un.off_language(a).alias("off_language"))

@@ -10,7 +10,7 @@ from sourceloom.streaming import windows as sw
 
 
 def test_tokens_match_arms():
-    for a, b, want in (("graph", "graph", True), ("training", "train", True), ("optimize", "optimal", True), ("net", "networks", False), ("neural", "neuralnet", True), ("cat", "dog", False), ("learnng", "learning", True), ("", "x", False)):
+    for a, b, want in (("graph", "graph", True), ("training", "train", True), ("optimize", "optimal", True), ("net", "working", False), ("neural", "neuralnet", True), ("cat", "dog", False), ("learnng", "learning", True), ("", "x", False), ("cats", "cat", False), ("stations", "station", False), ("algebra", "algebar", True)):
         assert fz.tokens_match(a, b) is want, (a, b)
 
 
@@ -26,9 +26,11 @@ def test_urls():
 
 
 def test_proximity_and_overlap():
-    assert fz.proximity(["a", "b"], ["a", "x", "b", "y"]) == min(1, 4 / 2 / 3 / 2.5)
-    assert fz.proximity(["a", "b"], ["a", "x"]) == 0
-    assert fz.overlap(["graph"], ["graph"], []) == 0.65 and fz.overlap([], ["a"], []) == 0
+    assert fz.proximity(["graph", "tree"], ["graph", "of", "tree", "kind"]) == 4 / 2 / 3 / 2.5
+    assert fz.proximity(["graph", "tree"], ["graph", "x"]) == 0 == fz.proximity(["graph", "tree"], ["graph", "tree"])
+    assert fz.proximity(["graph"], ["graphs"]) == 1
+    assert abs(fz.overlap(["graph"], ["graph"], []) - 0.65) < 1e-9 and fz.overlap([], ["a"], []) == 0
+    assert abs(fz.overlap(["learning"], ["learnings"], ["learning"], ["x"]) - (0.55 * 0.85 + 0.30)) < 1e-9
 
 
 def test_registered_functions(spark):
