@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import functools
 import json
 import re
 import unicodedata
@@ -48,6 +49,11 @@ def tokens_match(a: str | None, b: str | None) -> bool:
     return (len(long_) - len(short) <= fx.FUZZY_SPREAD and sorted(x) == sorted(y)) or ratio(x, y) >= fx.FUZZY_RATIO
 
 
+#: Pairs of tokens repeat from text to text, so each worker keeps what it has found.
+kept_ratio = functools.lru_cache(maxsize=1 << 18)(ratio)
+kept_match = functools.lru_cache(maxsize=1 << 18)(tokens_match)
+
+
 def fuzzy_share(query: list[str], tokens: list[str]) -> float:
     """Mean worth of the query's distinct tokens: 1 if there, 0.85 or 0.45 by the best ratio among tokens of near length."""
     asked, there = set(query), set(tokens)
@@ -57,7 +63,7 @@ def fuzzy_share(query: list[str], tokens: list[str]) -> float:
     def worth(q: str) -> float:
         if q in there:
             return 1.0
-        best = max((ratio(q, t) for t in there if abs(len(q) - len(t)) <= 2), default=0.0)
+        best = max((kept_ratio(q, t) for t in there if abs(len(q) - len(t)) <= 2), default=0.0)
         return 0.85 if best >= 0.86 else 0.45 if best >= 0.78 else 0.0
 
     return min(1.0, sum(map(worth, asked)) / len(asked))
@@ -77,7 +83,7 @@ def proximity(query: list[str], words: list[str]) -> float:
         return 0.0
     if len(query) < 2:
         return float(query[0] in " ".join(words))
-    found = [(i, q) for i, w in enumerate(words) for q in dict.fromkeys(query) if tokens_match(q, w)]
+    found = [(i, q) for i, w in enumerate(words) for q in dict.fromkeys(query) if kept_match(q, w)]
     wanted = len({q for _, q in found})
     if wanted < 2:
         return 0.0

@@ -145,10 +145,10 @@ def vote_fallback(spark, sf):
     return table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("task")).agg(F.max_by("o_orderkey", by).alias("voter"))
 
 
-@query("votes_then_heuristics", "WITH v AS (SELECT o_orderkey AS id, o_totalprice AS score FROM orders WHERE o_orderkey % 50 = 0), h AS (SELECT l_orderkey AS id, max(l_extendedprice) AS score FROM lineitem WHERE l_orderkey % 25 = 0 GROUP BY 1) SELECT id, round(score, 2) AS score, 'vote' AS origin FROM v UNION ALL SELECT id, round(score, 2), 'heuristic' FROM h WHERE id NOT IN (SELECT id FROM v)")
+@query("votes_then_heuristics", "WITH v AS (SELECT o_orderkey AS id, o_totalprice AS score FROM orders WHERE o_orderstatus = 'F'), h AS (SELECT l_orderkey AS id, max(l_extendedprice) AS score FROM lineitem GROUP BY 1) SELECT id, round(score, 2) AS score, 'vote' AS origin FROM v UNION ALL SELECT id, round(score, 2), 'heuristic' FROM h WHERE id NOT IN (SELECT id FROM v)")
 def votes_then_heuristics(spark, sf):
-    v = table(spark, sf, "orders").where("o_orderkey % 50 = 0").select(F.col("o_orderkey").alias("id"), F.round("o_totalprice", 2).alias("score"))
-    h = table(spark, sf, "lineitem").where("l_orderkey % 25 = 0").groupBy(F.col("l_orderkey").alias("id")).agg(F.round(F.max("l_extendedprice"), 2).alias("score"))
+    v = table(spark, sf, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("id"), F.round("o_totalprice", 2).alias("score"))
+    h = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.round(F.max("l_extendedprice"), 2).alias("score"))
     return v.withColumn("origin", F.lit("vote")).unionByName(h.join(v, "id", "left_anti").withColumn("origin", F.lit("heuristic")))
 
 
@@ -215,12 +215,12 @@ def latest_wins_upsert(spark, sf):
     return rc.latest(table(spark, sf, "events"), ["user_id"], F.desc("ts"), F.desc("event_id")).select("user_id", "event_id", "event_type")
 
 
-@query("replace_chunks", "SELECT doc_id, 'new' AS origin FROM documents WHERE doc_id % 10 = 3 UNION ALL SELECT doc_id, 'old' FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 10 = 3)")
+@query("replace_chunks", "SELECT doc_id, 'new' AS origin FROM documents WHERE lang = 'de' UNION ALL SELECT doc_id, 'old' FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'de')")
 def replace_chunks(spark, sf):
     """Rows of replaced parents go by an anti join, the new ones are added."""
-    docs = table(spark, sf, "documents").select("doc_id")
-    new = docs.where("doc_id % 10 = 3")
-    return docs.join(new, "doc_id", "left_anti").withColumn("origin", F.lit("old")).unionByName(new.withColumn("origin", F.lit("new")))
+    docs = table(spark, sf, "documents").select("doc_id", "lang")
+    new = docs.where("lang = 'de'").select("doc_id")
+    return docs.join(new, "doc_id", "left_anti").select("doc_id", F.lit("old").alias("origin")).unionByName(new.withColumn("origin", F.lit("new")))
 
 
 @query("runs_with_sources", "SELECT o.o_orderkey AS run, o_orderstatus AS status, count(l_orderkey) AS sources, coalesce(string_agg(l_partkey::VARCHAR, ',' ORDER BY l_linenumber, l_partkey), '') AS parts FROM orders o LEFT JOIN lineitem l ON l.l_orderkey = o.o_orderkey AND l_quantity > 45 GROUP BY ALL")
@@ -263,11 +263,11 @@ def event_sessions(spark, sf):
     return an.sessions(table(spark, sf, "events"), 1800)
 
 
-@query("ledger_distinct", f"WITH {ENTRIES}, twice AS (SELECT * FROM en UNION ALL SELECT * FROM en WHERE event_id % 3 = 0) SELECT category, count(DISTINCT event_id) AS entries, (SELECT sum(tokens) FROM en e2 WHERE e2.category = twice.category)::BIGINT AS tokens FROM twice GROUP BY category")
+@query("ledger_distinct", f"WITH {ENTRIES}, twice AS (SELECT * FROM en UNION ALL SELECT * FROM en) SELECT category, count(DISTINCT event_id) AS entries, (SELECT sum(tokens) FROM en e2 WHERE e2.category = twice.category)::BIGINT AS tokens FROM twice GROUP BY category")
 def ledger_distinct(spark, sf):
     """A ledger that was appended again and again, read without its repeats."""
     en = entries(spark, sf)
-    return en.unionByName(en.where("event_id % 3 = 0")).dropDuplicates(["event_id"]).groupBy("category").agg(F.count("*").alias("entries"), F.sum("tokens").alias("tokens"))
+    return en.unionByName(en).dropDuplicates(["event_id"]).groupBy("category").agg(F.count("*").alias("entries"), F.sum("tokens").alias("tokens"))
 
 
 @query("request_limit", "SELECT s_suppkey, greatest(3, least(10, ceil(s_suppkey * 1.0 / (s_suppkey % 9 + 1))))::BIGINT AS per_platform FROM supplier")
@@ -275,18 +275,18 @@ def request_limit(spark, sf):
     return table(spark, sf, "supplier").select("s_suppkey", F.greatest(F.lit(3), F.least(F.lit(10), F.ceil(F.col("s_suppkey") / (F.col("s_suppkey") % 9 + 1)))).cast("long").alias("per_platform"))
 
 
-@query("fallback_platforms", "WITH RECURSIVE hop AS (SELECT n_nationkey AS start, n_nationkey AS node, 0 AS depth FROM nation WHERE n_nationkey < 5 UNION ALL SELECT start, (node * 2 + 1) % 25, depth + 1 FROM hop WHERE depth < 4) SELECT start, node, min(depth) AS depth FROM hop GROUP BY ALL")
+@query("fallback_platforms", "WITH RECURSIVE hop AS (SELECT n_nationkey AS start, n_nationkey AS node, 0 AS depth FROM nation UNION ALL SELECT start, (node * 2 + 1) % 25, depth + 1 FROM hop WHERE depth < 4) SELECT start, node, min(depth) AS depth FROM hop GROUP BY ALL")
 def fallback_platforms(spark, sf):
     """Breadth-first expansion over fallback links of a small dimension, by a recursive common table expression."""
     table(spark, sf, "nation").createOrReplaceTempView("_nation")
-    return spark.sql("WITH RECURSIVE hop(start, node, depth) AS (SELECT n_nationkey, n_nationkey, 0 FROM _nation WHERE n_nationkey < 5 UNION ALL SELECT start, (node * 2 + 1) % 25, depth + 1 FROM hop WHERE depth < 4) SELECT start, node, min(depth) AS depth FROM hop GROUP BY start, node")
+    return spark.sql("WITH RECURSIVE hop(start, node, depth) AS (SELECT n_nationkey, n_nationkey, 0 FROM _nation UNION ALL SELECT start, (node * 2 + 1) % 25, depth + 1 FROM hop WHERE depth < 4) SELECT start, node, min(depth) AS depth FROM hop GROUP BY start, node")
 
 
-@query("query_routing", "WITH q AS (SELECT o_orderkey AS query_id, o_orderkey % 3 AS lvl FROM orders WHERE o_orderkey % 100 = 0), p AS (SELECT s_suppkey AS platform, s_suppkey % 3 AS lvl FROM supplier WHERE s_suppkey < 30), c AS (SELECT query_id, platform, CASE WHEN q.lvl = p.lvl THEN 0 WHEN p.lvl = 0 THEN 1 ELSE 2 END AS prio FROM q, p) SELECT query_id, platform, prio FROM c QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY prio, platform) <= 6")
+@query("query_routing", "WITH q AS (SELECT item_id AS query_id, item_id % 3 AS lvl FROM benchmark), p AS (SELECT n_nationkey AS platform, n_nationkey % 3 AS lvl FROM nation), c AS (SELECT query_id, platform, CASE WHEN q.lvl = p.lvl THEN 0 WHEN p.lvl = 0 THEN 1 ELSE 2 END AS prio FROM q, p) SELECT query_id, platform, prio FROM c QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY prio, platform) <= 6")
 def query_routing(spark, sf):
     """Queries meet the platform dimension (fixed size); matching level first, then neutral, then others, six a query."""
-    q = table(spark, sf, "orders").where("o_orderkey % 100 = 0").select(F.col("o_orderkey").alias("query_id"), (F.col("o_orderkey") % 3).alias("ql"))
-    p = table(spark, sf, "supplier").where("s_suppkey < 30").select(F.col("s_suppkey").alias("platform"), (F.col("s_suppkey") % 3).alias("pl"))
+    q = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), (F.col("item_id") % 3).alias("ql"))
+    p = table(spark, sf, "nation").select(F.col("n_nationkey").alias("platform"), (F.col("n_nationkey") % 3).alias("pl"))
     prio = F.when(F.col("ql") == F.col("pl"), 0).when(F.col("pl") == 0, 1).otherwise(2)
     return sel.per_group(q.crossJoin(F.broadcast(p)).withColumn("prio", prio), "query_id", [F.asc("prio"), F.asc("platform")], 6).select("query_id", "platform", "prio")
 

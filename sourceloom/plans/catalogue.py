@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import analytics, records, retrieval, understanding
+from . import analytics, details, records, retrieval, understanding
 from .registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "analytics", "records", "retrieval", "understanding"]
+__all__ = ["ORACLE_SQL", "QUERIES", "analytics", "details", "records", "retrieval", "understanding"]

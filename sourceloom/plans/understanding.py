@@ -74,9 +74,9 @@ def token_stems(spark, sf):
     return t.select("token", tx.reduced(F.col("token")).alias("reduced"), tx.stem(F.col("token")).alias("stem"))
 
 
-@query("ngram_phrases", f"WITH w AS (SELECT item_id, {MEAN.format(TOK.format('text'))}[1:8] AS w FROM benchmark) SELECT item_id, array_to_string(list_concat({', '.join(f'''CASE WHEN len(w) >= {n} THEN list_transform(range(1, len(w) - {n} + 2), lambda i: array_to_string(w[i : i + {n - 1}], ' ')) ELSE [] END''' for n in (4, 3, 2))})[1:12], '|') AS phrases FROM w")
+@query("ngram_phrases", f"WITH w AS (SELECT item_id, {MEAN.format(TOK.format('text'))} AS w FROM benchmark) SELECT item_id, array_to_string(list_concat({', '.join(f'''CASE WHEN len(w) >= {n} THEN list_transform(range(1, len(w) - {n} + 2), lambda i: array_to_string(w[i : i + {n - 1}], ' ')) ELSE [] END''' for n in (4, 3, 2))})[1:12], '|') AS phrases FROM w")
 def ngram_phrases(spark, sf):
-    w = table(spark, sf, "benchmark").select("item_id", F.slice(tx.meaningful(tx.tokens(F.col("text"))), 1, 8).alias("w"))
+    w = table(spark, sf, "benchmark").select("item_id", tx.meaningful(tx.tokens(F.col("text"))).alias("w"))
     return w.select("item_id", F.array_join(tx.phrases(F.col("w")), "|").alias("phrases"))
 
 
@@ -156,7 +156,7 @@ def cited_passages(spark, sf):
 def fuzzy_relevance(spark, sf):
     q = F.array(*map(F.lit, ["thing", "ention", "lichung"]))
     f = fz.udf_of("sl_overlap")
-    return sources(spark, sf).select("source_id", F.round(f(q, tx.tokens(F.col("title")), F.slice(tx.tokens(F.col("abstract")), 1, 400)), 6).alias("overlap"))
+    return sources(spark, sf).select("source_id", F.round(f(q, tx.tokens(F.col("title")), tx.tokens(F.col("abstract"))), 6).alias("overlap"))
 
 
 @query("fuzzy_titles_ratio")
