@@ -10,7 +10,7 @@ from sourceloom.streaming import windows as sw
 
 
 def test_tokens_match_arms():
-    for a, b, want in (("graph", "graph", True), ("training", "train", True), ("optimize", "optimal", True), ("net", "working", False), ("neural", "neuralnet", True), ("cat", "dog", False), ("learnng", "learning", True), ("", "x", False), ("cats", "cat", False), ("stations", "station", False), ("algebra", "algebar", True)):
+    for a, b, want in (("graph", "graph", True), ("training", "train", True), ("optimize", "optimal", True), ("net", "working", False), ("neural", "neuralnet", True), ("cat", "dog", False), ("learnng", "learning", True), ("", "x", False), ("cats", "cat", True), ("stations", "station", False), ("algebra", "algebar", True)):
         assert fz.tokens_match(a, b) is want, (a, b)
 
 
