@@ -18,25 +18,30 @@ def occurrences(tokens: Column, token: str) -> Column:
     return F.size(F.filter(tokens, lambda x: x == token))
 
 
+def asked(tokens: str, query: list[str]) -> Column:
+    """The tokens that the query has, found in one pass over the array."""
+    return F.filter(tokens, lambda x: x.isin(*query))
+
+
 def corpus_stats(docs: DataFrame, query: list[str], text: str = "text") -> DataFrame:
     """One row: documents, mean length in tokens, and each query token's document frequency."""
-    toks = docs.select(tx.tokens(F.col(text)).alias("t"))
-    return toks.agg(F.count("*").alias("n_docs"), F.avg(F.size("t")).alias("avg_len"), *[F.count_if(F.array_contains("t", q)).alias(f"df_{i}") for i, q in enumerate(query)])
+    toks = docs.select(tx.tokens(F.col(text)).alias("t")).select(F.size("t").alias("n"), asked("t", query).alias("t"))
+    return toks.agg(F.count("*").alias("n_docs"), F.avg("n").alias("avg_len"), *[F.count_if(F.array_contains("t", q)).alias(f"df_{i}") for i, q in enumerate(query)])
 
 
 def bm25(docs: DataFrame, query: list[str], text: str = "text") -> DataFrame:
     """docs with bm25 and relevance = s / (s + c), c by corpus size: 1.0 to 50, 2.5 to 500, 5.0 beyond."""
-    toks = docs.withColumn("_t", tx.tokens(F.col(text)))
+    toks = docs.withColumn("_t", tx.tokens(F.col(text))).withColumns({"_n": F.size("_t"), "_t": asked("_t", query)})
     both = toks.crossJoin(F.broadcast(corpus_stats(docs, query, text)))
     total = F.lit(0.0)
     for i, q in enumerate(query):
         tf = occurrences(F.col("_t"), q)
         idf = F.log((F.col("n_docs") - F.col(f"df_{i}") + 0.5) / (F.col(f"df_{i}") + 0.5) + 1)
-        norm = tf + K1 * (1 - B + B * F.size("_t") / F.greatest("avg_len", F.lit(1e-9)))
+        norm = tf + K1 * (1 - B + B * F.col("_n") / F.greatest("avg_len", F.lit(1e-9)))
         total = total + F.when(tf > 0, idf * tf * (K1 + 1) / norm).otherwise(0.0)
     squash = F.when(F.col("n_docs") <= 50, 1.0).when(F.col("n_docs") <= 500, 2.5).otherwise(5.0)
     scored = both.withColumn("bm25", total).withColumn("relevance", F.col("bm25") / (F.col("bm25") + squash))
-    return scored.drop("_t", "n_docs", "avg_len", *[f"df_{i}" for i in range(len(query))])
+    return scored.drop("_t", "_n", "n_docs", "avg_len", *[f"df_{i}" for i in range(len(query))])
 
 
 def chunked(docs: DataFrame, size: int, text: str = "text") -> DataFrame:
