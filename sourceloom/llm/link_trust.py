@@ -8,6 +8,8 @@ fixed number of steps; a host without edges keeps its seed, and what it would gi
 if its host's distrust is above ``ratio`` times its trust, and else allowed, also when it has no host.
 
 Only (host, host, number of links) is shuffled, summed before the shuffle, so a host with a third of all pages is a row a task.
+The hosts' scores are broadcast to the pages if they are few (a counted number), and else joined by merge, where adaptive
+execution splits a host with very many pages.
 
 Cases: a null url or one without "://" has empty host and path, which no rule fits; null html has no links; repeated rows count
 each; an empty table gives no rows; other columns are not read.
@@ -17,9 +19,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .scratch import keep, shared_dir
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 DAMPING, STEPS, RATIO = 0.85, 10, 1.0
+BROADCAST_HOSTS = 100_000
 LINK = r"(?i)<a\s[^>]*?href\s*=\s*[\"']?\s*(?:https?:)?//([^/?#\"'\s>]+)"
 
 
@@ -58,6 +63,7 @@ def spread(edges: DataFrame, seeds: DataFrame, steps: int = STEPS, damping: floa
     total = both.groupBy("kind", "giver").agg(F.sum("links").alias("all_links"))
     moves = both.join(total, ["kind", "giver"]).select("kind", "giver", "host", (F.col("links") / F.col("all_links")).alias("part"))
     if not moves.isEmpty():
+        shared_dir(edges.sparkSession)  # sets a checkpoint folder where there is none
         moves = moves.checkpoint()
         start = rank = seeds.checkpoint()
         for step in range(steps):
@@ -78,9 +84,10 @@ def judge(pages: DataFrame, rules=RULES, steps: int = STEPS, damping: float = DA
     mine = ruled.where("by_rule is not null").groupBy("host", "by_rule").agg(F.count("*").alias("n"))
     sums = mine.groupBy("by_rule").agg(F.sum("n").alias("total"))
     seeds = mine.join(sums, "by_rule").select(F.when(F.col("by_rule") == "allow", "trust").otherwise("distrust").alias("kind"), "host", (F.col("n") / F.col("total")).alias("seed"))
-    scores = spread(host_edges(pages), seeds, steps, damping)
+    scores, _ = keep(spread(host_edges(pages), seeds, steps, damping), "hosts")
+    few = scores.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
     doubted = F.coalesce("distrust", F.lit(0.0)) > ratio * F.coalesce("trust", F.lit(0.0))
-    return ruled.join(scores, "host", "left").select("page_id", "host", "path", "rule", F.coalesce("by_rule", F.when(doubted, "block").otherwise("allow")).alias("verdict"), F.round(F.coalesce("trust", F.lit(0.0)), 6).alias("host_trust"), F.round(F.coalesce("distrust", F.lit(0.0)), 6).alias("host_distrust"))
+    return ruled.join(F.broadcast(scores) if few else scores.hint("merge"), "host", "left").select("page_id", "host", "path", "rule", F.coalesce("by_rule", F.when(doubted, "block").otherwise("allow")).alias("verdict"), F.round(F.coalesce("trust", F.lit(0.0)), 6).alias("host_trust"), F.round(F.coalesce("distrust", F.lit(0.0)), 6).alias("host_distrust"))
 
 
 def judge_sql(rules=RULES, steps: int = STEPS, damping: float = DAMPING, ratio: float = RATIO) -> str:
