@@ -12,14 +12,12 @@ def best_of(df: DataFrame, score: str) -> DataFrame:
 def gated(df: DataFrame, score: str, floor: Column, at_least: int, ordinal: str = "ordinal") -> DataFrame:
     """Rows at or above the floor (an expression of the column best); if under at_least rows pass, the best of the others fill up.
 
-    The fill is a top-k, so no window runs over all rows.  Adds ``rescued``."""
-    rows = df.crossJoin(F.broadcast(best_of(df, score))).withColumn("_pass", F.col(score) >= floor).drop("best")
-    passed = rows.where("_pass").drop("_pass").withColumn("rescued", F.lit(False))
-    n = rows.agg(F.count_if("_pass").alias("n"))
-    spare = rows.where("not _pass").orderBy(F.desc(score), ordinal).limit(at_least).drop("_pass")
-    place = F.row_number().over(W.orderBy(F.desc(score), F.asc(ordinal)))  # over at_least rows
-    filled = spare.withColumn("_k", place).crossJoin(F.broadcast(n)).where(F.col("n") + F.col("_k") <= at_least).drop("_k", "n").withColumn("rescued", F.lit(True))
-    return passed.unionByName(filled)
+    What passes are the top rows, so the result is the rows above the floor or among the first at_least.  One top-k gives both the
+    best score and the last of those rows, and no window runs over all rows.  Adds ``rescued``."""
+    place = F.struct(F.col(score).alias("s"), (-F.col(ordinal)).alias("o"))
+    top = df.orderBy(F.desc(score), ordinal).limit(at_least).agg(F.max(score).alias("best"), F.min(place).alias("_last"))
+    rows = df.crossJoin(F.broadcast(top)).withColumn("rescued", F.col(score) < floor)
+    return rows.where(~F.col("rescued") | (place >= F.col("_last"))).drop("best", "_last")
 
 
 def per_group(df: DataFrame, group: str, order: list[Column], cap: int) -> DataFrame:
