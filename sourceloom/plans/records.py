@@ -83,7 +83,8 @@ def validate_ladder(spark, sf):
 
 
 def _scored(spark, sf):
-    return sources(spark, sf).join(rel.bm25(table(spark, sf, "documents"), TERMS).select(F.col("doc_id").alias("ordinal"), "relevance"), "ordinal")
+    """Sources with their relevance, in one pass over the texts after the one for the corpus statistics."""
+    return rel.bm25(sources(spark, sf), TERMS, "abstract").drop("bm25")
 
 
 RATIO = 0.2

@@ -141,10 +141,9 @@ SELECT source_id, platform, round(relevance, 6) AS relevance, row_number() OVER
 @query("flagship_ranked", FLAG)
 def flagship_ranked(spark, sf):
     """Exact-title dedupe, corpus BM25, proportional gate, per-platform quota with back-fill, ranked top 20."""
-    src = sources(spark, sf).withColumn("key", tx.normal_title(F.col("title")))
-    first = F.max_by("s", F.struct(F.coalesce("citation_count", F.lit(0)), -F.col("ordinal")))
-    kept = src.withColumn("s", F.struct("source_id", "platform", "ordinal")).groupBy("key").agg(first.alias("s")).select("s.*")
-    scored = kept.join(rel.bm25(table(spark, sf, "documents"), TERMS).select(F.col("doc_id").alias("ordinal"), "relevance"), "ordinal")
+    src = rel.bm25(sources(spark, sf), TERMS, "abstract").withColumn("key", tx.normal_title(F.col("title")))
+    first = F.max_by(F.struct("source_id", "platform", "ordinal", "relevance"), F.struct(F.coalesce("citation_count", F.lit(0)), -F.col("ordinal")))
+    scored = src.groupBy("key").agg(first.alias("s")).select("s.*")
     best = scored.agg(F.max("relevance").alias("b"))
     gated = scored.crossJoin(F.broadcast(best)).where(F.col("relevance") >= F.greatest(F.col("b") * 0.2, F.lit(0.05)))
     order = [F.desc("relevance"), F.asc("ordinal")]
