@@ -97,13 +97,19 @@ def distinct_ignoring_case(items: Column) -> Column:
     return F.filter(items, lambda x, i: F.array_position(lowered, F.lower(x)) == i + 1)
 
 
+#: A word of three or more vowel groups; it can't cross a word's end, so its matches are such words.
+HARD_WORD = "[b-df-hj-np-tv-xz0-9_]*[aeiouy]+[b-df-hj-np-tv-xz0-9_]+[aeiouy]+[b-df-hj-np-tv-xz0-9_]+[aeiouy][a-z0-9_]*"
+
+
 def fog_grade(text: Column) -> Column:
-    """Gunning fog: 0.4 * (words a sentence + percent of words of three or more vowel groups), 12 for no words, at most 20."""
-    words = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9_]+"), 0)
-    hard = F.size(F.filter(words, lambda w: F.regexp_count(w, F.lit("[aeiouy]+")) >= 3))
-    sentences = F.size(F.filter(F.split(text, "[.!?]+"), lambda s: F.length(F.trim(s)) > 0))
-    fog = 0.4 * (F.size(words) / sentences + 100.0 * hard / F.size(words))
-    return F.when((F.size(words) == 0) | (sentences == 0), F.lit(12.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(20.0), fog)))
+    """Gunning fog: 0.4 * (words a sentence + percent of words of three or more vowel groups), 12 for no words, at most 20.
+
+    Words, hard words and sentences are counted by patterns, without arrays."""
+    low = F.lower(text)
+    words, hard = F.regexp_count(low, F.lit("[a-z0-9_]+")), F.regexp_count(low, F.lit(HARD_WORD))
+    sentences = F.regexp_count(text, F.lit(r"[^.!?]*[^.!?\s][^.!?]*"))
+    fog = 0.4 * (words / sentences + 100.0 * hard / words)
+    return F.when((words == 0) | (sentences == 0), F.lit(12.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(20.0), fog)))
 
 
 # Forms of credentials and what replaces them.

@@ -122,7 +122,7 @@ def beginner_rescue(spark, sf):
 
 
 WORDS = "regexp_extract_all(lower({0}), '[a-z0-9_]+')"
-FOG = "CASE WHEN len(" + WORDS + ") = 0 OR len(list_filter(string_split_regex({0}, '[.!?]+'), lambda x: length(trim(x)) > 0)) = 0 THEN 12.0::DOUBLE ELSE greatest(0, least(20, 0.4::DOUBLE * (len(" + WORDS + ") / len(list_filter(string_split_regex({0}, '[.!?]+'), lambda x: length(trim(x)) > 0))::DOUBLE + 100.0::DOUBLE * len(list_filter(" + WORDS + ", lambda w: len(regexp_extract_all(w, '[aeiouy]+')) >= 3)) / len(" + WORDS + ")))) END::DOUBLE"
+FOG = "CASE WHEN len(" + WORDS + ") = 0 OR len(list_filter(string_split_regex({0}, '[.!?]+'), lambda x: regexp_matches(x, '[^\\s]'))) = 0 THEN 12.0::DOUBLE ELSE greatest(0, least(20, 0.4::DOUBLE * (len(" + WORDS + ") / len(list_filter(string_split_regex({0}, '[.!?]+'), lambda x: regexp_matches(x, '[^\\s]')))::DOUBLE + 100.0::DOUBLE * len(list_filter(" + WORDS + ", lambda w: len(regexp_extract_all(w, '[aeiouy]+')) >= 3)) / len(" + WORDS + ")))) END::DOUBLE"
 
 
 @query("fog_grade", f"SELECT doc_id, round({FOG.format('text')}, 4) AS grade FROM documents")
