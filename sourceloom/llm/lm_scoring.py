@@ -25,7 +25,7 @@ from . import suffix_tree as st
 from .scratch import keep, remove
 from .wordhash import Words, in_chunks
 
-BLOCK_BYTES, COUNT_BYTES = 1 << 24, 1 << 23
+BLOCK_BYTES, COUNT_BYTES = 3 << 21, 3 << 20
 END_HASH = -1
 HELD_OUT_OF, HELD_OUT = 7, 2
 ROW = "block long, doc_id long, held_out boolean, n_tokens long, score double, slots binary, reps binary, slot int, hash long, n_train long"
@@ -80,7 +80,7 @@ def _count(depth: int):
         train = (r for r in _rows(batches) if not held_out(r[0]))
         for chunk in in_chunks(train, lambda r: len(r[1])):
             tally.add(st.gram_codes(st.symbols(Words([t for _, t in chunk]))[0], depth))
-            if len(tally.held[0]) > 2 * COUNT_BYTES:  # sent on before it grows large
+            if len(tally.held[0]) > COUNT_BYTES:  # sent on before it grows large
                 yield from tally.sent()
         yield from tally.sent()
 
@@ -101,6 +101,8 @@ def learn(docs: DataFrame, depth: int = st.DEPTH, least_share: float = st.LEAST_
         common = mine.groupBy(F.shiftrightunsigned("code", 8).alias("context")).agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("context")
         rows = mine.join(common, F.shiftrightunsigned(mine["code"], 8) == common["context"], "left_semi").toArrow()
         levels.append(st.level_of(rows["code"].to_numpy().astype(np.uint64), rows["n"].to_numpy()))
+        del rows
+        pa.default_memory_pool().release_unused()
     remove(docs.sparkSession, path)
     return st.build(levels[::-1])
 
