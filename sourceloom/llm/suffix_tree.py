@@ -79,7 +79,7 @@ def level_of(code: np.ndarray, times: np.ndarray) -> Level:
     order = np.argsort(code)
     code, times = code[order], times[order].astype(np.float64)
     context, row = np.unique(code >> np.uint64(8), return_inverse=True)
-    return Level(context, np.bincount(row, times, len(context)), row, (code & np.uint64(255)).astype(np.int64), times)
+    return Level(context, np.bincount(row, times, len(context)), row.astype(np.int32), (code & np.uint64(255)).astype(np.uint8), times)
 
 
 @dataclass
@@ -163,7 +163,7 @@ def build(levels: list[Level], strength: float = STRENGTH, penalty: float = PENA
     for j in range(depth + 1):
         rows = slice(offset[j], offset[j + 1])
         step = names[j][:, None] << np.uint64(8) | seen.astype(np.uint64)[None, :]
-        found = np.zeros(step.shape, dtype=np.int64)
+        found = np.zeros(step.shape, dtype=np.int32)
         open_ = np.ones(step.shape, dtype=bool)
         best, free = np.zeros(len(names[j]), dtype=np.int64), np.ones(len(names[j]), dtype=bool)
         source = np.zeros(len(names[j]), dtype=np.int64)
