@@ -1,10 +1,10 @@
 """Scoring texts by a probabilistic suffix tree that is learnt from part of the corpus, beside a unigram score.
 
-Three passes over the corpus: byte contexts of the training texts are counted on the executors and summed by Spark, and
-only contexts above a least share (a bounded number) reach the driver, which builds the automaton; then every text
-is scored by it while its words are put in a dictionary of its block of texts; last, dictionary entries meet the corpus's word
-counts by a join on the word's 64-bit hash, and go back to their block for the unigram score.  So a word is sent once for each
-block that has it, not once for each document, and neither counts nor vocabulary reach the driver.
+Documents are taken in blocks of texts.  A block sends its distinct grams (a context of up to ``depth`` bytes and the symbol after
+it) with their counts in training texts to the parts of the tree that hold them, packed as one row a part; each part sums them,
+builds its piece of the tree, and answers each block with the grams' probabilities.  A block's words go to the corpus's word
+counts by a join on the word's 64-bit hash.  So a gram or a word is sent once for each block that has it, the tree is a table that
+grows with the corpus, and only counts of single bytes after single bytes reach the driver.
 
 Cases: null text is empty and has one token, its end; a null doc_id counts as the empty string for the split (training);
 repeated rows count as often as they occur; an empty table gives no rows; other columns are not read.  If no text is for
@@ -18,17 +18,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from . import suffix_tree as st
-from .scratch import keep, remove
+from .scratch import keep
 from .wordhash import Words, in_chunks
 
-BLOCK_BYTES, COUNT_BYTES = 3 << 21, 3 << 20
+BLOCK_BYTES, PART_CODES = 3 << 21, 1 << 20
 END_HASH = -1
 HELD_OUT_OF, HELD_OUT = 7, 2
-ROW = "block long, doc_id long, held_out boolean, n_tokens long, score double, slots binary, reps binary, slot int, hash long, n_train long"
+TYPES = {"block": pa.int64(), "doc_id": pa.int64(), "text": pa.binary(), "slot": pa.int32(), "hash": pa.int64(), "n_train": pa.int64(), "bucket": pa.int32(), "codes": pa.binary(), "times": pa.binary()}
+ROW = "block long, doc_id long, text binary, slot int, hash long, n_train long, bucket int, codes binary, times binary"
+TOP_BUCKET = -1  # counts of single bytes after single bytes
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -46,107 +49,69 @@ def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return code, np.bincount(back, np.concatenate([n for _, n in parts]), len(code)).astype(np.int64)
 
 
-class _Tally:
-    """Counts of 64-bit codes, merged as they come."""
+def pack(values: np.ndarray) -> bytes:
+    """An array's bytes by plane, compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(values.view(np.uint8).reshape(len(values), -1).T.tobytes())
 
-    def __init__(self) -> None:
-        self.codes: list[np.ndarray] = []
-        self.fresh, self.held = 0, (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64))
 
-    def add(self, codes: np.ndarray) -> None:
-        self.codes.append(codes)
-        self.fresh += len(codes)
-        if self.fresh > COUNT_BYTES:
-            self.settle()
+def unpack(data: bytes, kind: str) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
-    def settle(self) -> None:
-        if self.codes:
-            code, n = np.unique(np.concatenate(self.codes), return_counts=True)
-            self.held = _merge([self.held, (code, n.astype(np.int64))])
-            self.codes, self.fresh = [], 0
 
-    def sent(self) -> Iterator[pa.RecordBatch]:
-        self.settle()
-        code, n = self.held
-        self.held = (code[:0], n[:0])
-        for i in range(0, len(code), 100_000):
-            part = code[i : i + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part.view(np.int64)), pa.array(n[i : i + 100_000])], names=["code", "n"])
+def _row(n: int, **columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in TYPES.items()], names=list(TYPES))
 
 
-def _count(depth: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally = _Tally()
-        train = (r for r in _rows(batches) if not held_out(r[0]))
-        for chunk in in_chunks(train, lambda r: len(r[1])):
-            tally.add(st.gram_codes(st.symbols(Words([t for _, t in chunk]))[0], depth))
-            if len(tally.held[0]) > COUNT_BYTES:  # sent on before it grows large
-                yield from tally.sent()
-        yield from tally.sent()
-
-    return run
+def _by_bucket(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of sorted codes by part of the tree, then code; and the parts in that order."""
+    bucket = st.bucket_of(code)
+    order = np.argsort(bucket, kind="stable")
+    return order, bucket[order]
 
 
-def learn(docs: DataFrame, depth: int = st.DEPTH, least_share: float = st.LEAST_SHARE) -> st.Automaton:
-    """The automaton of the training texts' suffix tree; at most 1 / least_share contexts of each length reach the driver."""
-    counted = docs.select("doc_id", "text").mapInArrow(_count(depth), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-    counted, path = keep(counted, "contexts")
-    total = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    least = max(1, int(least_share * total))
-    levels: list[st.Level] = []
-    for j in range(depth, -1, -1):
-        # the last j bytes of longer contexts; a shorter context at a text's beginning has no such level
-        low = F.col("code").bitwiseAND(F.lit((1 << 8 * (j + 1)) - 1))
-        mine = counted.where(F.shiftrightunsigned("code", 8 * j) > 0).groupBy(low.alias("code")).agg(F.sum("n").alias("n"))
-        common = mine.groupBy(F.shiftrightunsigned("code", 8).alias("context")).agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("context")
-        rows = mine.join(common, F.shiftrightunsigned(mine["code"], 8) == common["context"], "left_semi").toArrow()
-        levels.append(st.level_of(rows["code"].to_numpy().astype(np.uint64), rows["n"].to_numpy()))
-        del rows
-        pa.default_memory_pool().release_unused()
-    remove(docs.sparkSession, path)
-    return st.build(levels[::-1])
-
-
-def _score(model) -> object:
+def _blocks(depth: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree: st.Automaton = model.value
-        part, number = TaskContext.get().partitionId(), 0
-        docs: list[int | None] = []
-        scores: list[np.ndarray] = []
-        hashes: list[np.ndarray] = []
-        sizes: list[np.ndarray] = []
+        part, number, held = TaskContext.get().partitionId(), 0, 0
+        docs: list[tuple[int | None, bytes]] = []
+        grams, words = [], []
 
         def block() -> Iterator[pa.RecordBatch]:
             nonlocal number
-            size = np.concatenate(sizes)
-            out = [held_out(d) for d in docs]
-            owner = np.repeat(np.arange(len(docs)), size)
-            word, slot = np.unique(np.concatenate([*hashes]), return_inverse=True)
-            n_train = np.bincount(slot[~np.array(out)[owner]], minlength=len(word))
-            # each document's distinct slots and how often it has them; slot 0 is the end
-            key, reps = np.unique(owner.astype(np.int64) << 32 | (slot + 1), return_counts=True)
-            cut = np.searchsorted(key >> 32, np.arange(len(docs) + 1))
-            slots, reps = (key & 0xFFFFFFFF).astype("<u4"), reps.astype("<u4")
             tag = part << 32 | number
             number += 1
-            n, m = len(docs), len(word) + 1
-            yield _row(n, block=np.full(n, tag), doc_id=pa.array(docs, pa.int64()), held_out=out, n_tokens=size + 1, score=np.concatenate(scores), slots=[slots[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], reps=[reps[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)])
-            word, n_train = np.concatenate(([END_HASH], word.view(np.int64))), np.concatenate(([n - sum(out)], n_train))
-            for i in range(0, m, 100_000):
-                k = min(100_000, m - i)
-                yield _row(k, block=np.full(k, tag), slot=np.arange(i, i + k, dtype=np.int32), hash=word[i : i + k], n_train=n_train[i : i + k])
-            for x in (docs, scores, hashes, sizes):
+            for i in range(0, len(docs), 500):
+                mine = docs[i : i + 500]
+                yield _row(len(mine), block=np.full(len(mine), tag), doc_id=[d for d, _ in mine], text=[t for _, t in mine])
+            word, n = _merge(words)
+            word, n = np.concatenate(([END_HASH], word.view(np.int64))), np.concatenate(([sum(not held_out(d) for d, _ in docs)], n))
+            for i in range(0, len(word), 100_000):
+                k = min(100_000, len(word) - i)
+                yield _row(k, block=np.full(k, tag), slot=np.arange(i, i + k, dtype=np.int32), hash=word[i : i + k], n_train=n[i : i + k])
+            code, n = _merge(grams)
+            pair, back = np.unique(st.low(code, 1), return_inverse=True)
+            yield _row(1, block=[tag], bucket=[TOP_BUCKET], codes=[pack(pair)], times=[pack(np.bincount(back, n, len(pair)).astype(np.int64))])
+            order, bucket = _by_bucket(code)
+            code, n = code[order], n[order].astype(np.uint32)
+            cut = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+            spans = list(zip(cut, [*cut[1:], len(code)], strict=True))
+            for i in range(0, len(spans), 256):
+                some = spans[i : i + 256]
+                yield _row(len(some), block=np.full(len(some), tag), bucket=bucket[[a for a, _ in some]].astype(np.int32), codes=[pack(code[a:b]) for a, b in some], times=[pack(n[a:b]) for a, b in some])
+            for x in (docs, grams, words):
                 x.clear()
 
-        held = 0
         for chunk in in_chunks(_rows(batches), lambda r: len(r[1])):
-            words = Words([t for _, t in chunk])
-            stream, ends = st.symbols(words)
-            docs += [d for d, _ in chunk]
-            scores.append(tree.score(stream, ends))
-            hashes.append(words.hashes())
-            sizes.append(np.diff(words.first))
-            held += len(words.buf)
+            for out in (False, True):  # held-out texts' grams and words count 0
+                mine = [t for d, t in chunk if held_out(d) == out]
+                if not mine:
+                    continue
+                text = Words(mine)
+                for into, found in ((grams, st.gram_codes(st.symbols(text)[0], depth)), (words, text.hashes())):
+                    code, n = np.unique(found, return_counts=True)
+                    into.append((code, np.zeros_like(n) if out else n))
+                held += len(text.buf)
+            docs += chunk
             if held > BLOCK_BYTES:
                 yield from block()
                 held = 0
@@ -156,56 +121,171 @@ def _score(model) -> object:
     return run
 
 
-TYPES = {"block": pa.int64(), "doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "score": pa.float64(), "slots": pa.binary(), "reps": pa.binary(), "slot": pa.int32(), "hash": pa.int64(), "n_train": pa.int64()}
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    n = np.zeros(1 << 16, dtype=np.int64)
+    for batch in batches:
+        for codes, times in zip(batch.column("codes"), batch.column("times"), strict=True):
+            n[unpack(codes.as_py(), "<u8").astype(np.int64)] += unpack(times.as_py(), "<i8")
+    code = np.flatnonzero(n)
+    yield pa.RecordBatch.from_arrays([pa.array(code, pa.int64()), pa.array(n[code])], names=["code", "n"])
 
 
-def _row(n: int, **columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in TYPES.items()], names=list(TYPES))
+def _grow(model, depth: int):
+    """Each part of the tree from all blocks' grams: packed rows of its codes and log10 P, and how many contexts it retains."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up, least = model.value
+        now, fresh = None, 0
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def tree() -> Iterator[pa.RecordBatch]:
+            code, n = _merge(parts)
+            parts.clear()
+            value, contexts = st.part(code, n, up, least, depth)
+            for i in range(0, len(code), PART_CODES):
+                mine = slice(i, i + PART_CODES)
+                ends = np.unique(code[mine][~np.isnan(value[mine])] >> np.uint64(8) & np.uint64(255)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([pack(code[mine])], pa.binary()), pa.array([pack(value[mine])], pa.binary()), pa.array([ends.tolist()], pa.list_(pa.int32())), pa.array([0 if i else contexts], pa.int64())], names=["bucket", "codes", "times", "ends", "contexts"])
+
+        for batch in batches:
+            for bucket, codes, times in zip(batch.column("bucket").to_pylist(), batch.column("codes"), batch.column("times"), strict=True):
+                if bucket != now:
+                    if parts:
+                        yield from tree()
+                    now, fresh = bucket, 0
+                parts.append((unpack(codes.as_py(), "<u8"), unpack(times.as_py(), "<u4").astype(np.int64)))
+                fresh += len(parts[-1][0])
+                if fresh > max(PART_CODES, len(parts[0][0])):  # merged as they come
+                    parts[:] = [_merge(parts)]
+                    fresh = 0
+        if parts:
+            yield from tree()
 
-def _base(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    tag, slot, count = None, [], []
-    table = None
-    for batch in batches:
-        col = {c: batch.column(c) for c in batch.schema.names}
-        block = col["block"].to_numpy()
-        isdoc = col["isdoc"].to_numpy(zero_copy_only=False)
-        cut = np.flatnonzero((block[1:] != block[:-1]) | (isdoc[1:] != isdoc[:-1])) + 1
-        for a, b in zip([0, *cut], [*cut, len(block)], strict=True):
-            if a == b:
-                continue
-            if block[a] != tag:
-                tag, slot, count, table = block[a], [], [], None
-            if not isdoc[a]:
-                slot.append(col["slot"][a:b].to_numpy())
-                count.append(col["c"][a:b].to_numpy())
-                continue
-            if table is None:
-                at = np.concatenate(slot)
-                table = np.zeros(int(at.max()) + 1, dtype=np.int64)
-                table[at] = np.concatenate(count)
-                slot, count = [], []
-            known, base = [], []
-            total, distinct = col["total"][a].as_py(), col["distinct"][a].as_py()
-            weight = np.log10((table + 1) / (total + distinct + 1))
-            for s, r in zip(col["slots"][a:b], col["reps"][a:b], strict=True):
-                s, r = np.frombuffer(s.as_py(), "<u4"), np.frombuffer(r.as_py(), "<u4").astype(np.int64)
-                s, r = np.append(s, 0), np.append(r, 1)
-                known.append(int(r[table[s] > 0].sum()))
-                base.append(float((r * weight[s]).sum()))
-            yield pa.RecordBatch.from_arrays([col["doc_id"][a:b], col["held_out"][a:b], col["n_tokens"][a:b], pa.array(known, pa.int64()), col["total"][a:b], pa.array(base, pa.float64()), col["score"][a:b]], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+    return run
+
+
+def grow(blocks: DataFrame, depth: int, least_share: float) -> tuple[DataFrame, np.ndarray]:
+    """The tree as a table of packed rows (bucket, codes, times with log10 P, ends, contexts), and the values of its top."""
+    spark = blocks.sparkSession
+    pairs = blocks.where(F.col("bucket") == TOP_BUCKET).select("codes", "times").mapInArrow(_pairs, "code long, n long")
+    rows = pairs.groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    up, least = st.top(rows["code"].to_numpy(), rows["n"].to_numpy(), least_share)
+    model = spark.sparkContext.broadcast((up, least))
+    sent = blocks.where("bucket >= 0").select("bucket", "codes", "times").repartition("bucket").sortWithinPartitions("bucket")
+    tree, _ = keep(sent.mapInArrow(_grow(model, depth), "bucket int, codes binary, times binary, ends array<int>, contexts long"), "tree")
+    longer = np.zeros(256, dtype=bool)
+    longer[[r.end for r in tree.select(F.explode("ends").alias("end")).distinct().collect()]] = True  # 256 at most
+    return tree, up.values(longer).astype(np.float32)
+
+
+def _answer(model):
+    """log10 P of the grams of each block's packed rows, in their order; a part's rows of the tree come first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, now = model.value, None
+        pieces: list[tuple[np.ndarray, np.ndarray]] = []
+        table = None
+        for batch in batches:
+            blocks, buckets, values = [], [], []
+            for bucket, block, codes, times in zip(batch.column("bucket").to_pylist(), batch.column("block").to_pylist(), batch.column("codes"), batch.column("times"), strict=True):
+                if bucket != now:
+                    now, table, pieces = bucket, None, []
+                code = unpack(codes.as_py(), "<u8")
+                if block is None:
+                    pieces.append((code, unpack(times.as_py(), "<f4")))
+                    continue
+                if table is None:
+                    pieces.sort(key=lambda p: p[0][0])
+                    table = np.concatenate([c for c, _ in pieces]), np.concatenate([v for _, v in pieces])
+                    pieces = []
+                value = table[1][np.searchsorted(table[0], code)]
+                blocks.append(block)
+                buckets.append(bucket)
+                values.append(pack(np.where(np.isnan(value), first[st.low(code, 1).astype(np.int64)], value)))
+            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(buckets, pa.int32()), pa.array(values, pa.binary())], names=["block", "bucket", "values"])
+
+    return run
+
+
+OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
+def _finish(depth: int):
+    """Scores of each block's texts, from its answers (in the order of its grams), its words' counts, and the texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, total, distinct = None, 0, 0
+        answers: list[np.ndarray] = []
+        slots: list[np.ndarray] = []
+        counts: list[np.ndarray] = []
+        docs: list[tuple[int | None, bytes]] = []
+
+        def block() -> Iterator[pa.RecordBatch]:
+            count = np.empty(sum(map(len, slots)), dtype=np.int64)
+            count[np.concatenate(slots)] = np.concatenate(counts)
+            chunks, code, word = [], [], []
+            for chunk in in_chunks(docs, lambda r: len(r[1])):
+                text = Words([t for _, t in chunk])
+                stream, ends = st.symbols(text)
+                grams, at = np.unique(st.gram_codes(stream, depth), return_inverse=True)
+                hashes, slot = np.unique(text.hashes(), return_inverse=True)
+                chunks.append(([d for d, _ in chunk], ends, grams, at.astype(np.int32), hashes, slot.astype(np.int32), np.diff(text.first)))
+                code, word = np.union1d(code, grams) if len(code) else grams, np.union1d(word, hashes) if len(word) else hashes
+            order, _ = _by_bucket(code)
+            value = np.empty(len(code), dtype=np.float32)
+            value[order] = np.concatenate(answers)
+            weight = np.log10((count + 1) / (total + distinct + 1))
+            for ids, ends, grams, at, hashes, slot, size in chunks:
+                logp = value[np.searchsorted(code, grams)].astype(np.float64)[at]
+                mine = np.searchsorted(word, hashes)[slot] + 1 if len(slot) else slot  # slot 0 is the end
+                owner = np.repeat(np.arange(len(ids)), size)
+                known = np.bincount(owner, count[mine] > 0, len(ids)).astype(np.int64) + int(count[0] > 0)
+                base = np.bincount(owner, weight[mine], len(ids)) + weight[0]
+                score = np.add.reduceat(logp, np.concatenate(([0], ends[:-1] - 1)))
+                cols = [pa.array(ids, pa.int64()), pa.array([held_out(d) for d in ids]), pa.array(size + 1, pa.int64()), pa.array(known), pa.array(np.full(len(ids), total, dtype=np.int64)), pa.array(base), pa.array(score)]
+                yield pa.RecordBatch.from_arrays(cols, names=[c.split()[0] for c in OUT.split(", ")])
+            for x in (answers, slots, counts, docs):
+                x.clear()
+
+        for batch in batches:
+            col = {c: batch.column(c) for c in batch.schema.names}
+            tag, kind = col["block"].to_numpy(), col["kind"].to_numpy()
+            cut = np.flatnonzero((tag[1:] != tag[:-1]) | (kind[1:] != kind[:-1])) + 1
+            for a, b in zip([0, *cut], [*cut, len(tag)], strict=True):
+                if a == b:
+                    continue
+                if tag[a] != now:
+                    if docs:
+                        yield from block()
+                    now = tag[a]
+                if kind[a] == 0:
+                    answers += [unpack(v.as_py(), "<f4") for v in col["values"][a:b]]
+                elif kind[a] == 1:
+                    slots.append(col["slot"][a:b].to_numpy())
+                    counts.append(col["c"][a:b].to_numpy())
+                else:
+                    total, distinct = col["total"][a].as_py(), col["distinct"][a].as_py()
+                    docs += zip(col["doc_id"][a:b].to_pylist(), col["text"][a:b].to_pylist(), strict=True)
+        if docs:
+            yield from block()
+
+    return run
 
 
 def score(docs: DataFrame, depth: int = st.DEPTH, least_share: float = st.LEAST_SHARE) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs."""
     spark = docs.sparkSession
-    model = spark.sparkContext.broadcast(learn(docs, depth, least_share))
-    rows, _ = keep(docs.select("doc_id", "text").mapInArrow(_score(model), ROW), "blocks")
+    rows, _ = keep(docs.select("doc_id", "text").mapInArrow(_blocks(depth), ROW), "blocks")
+    tree, first = grow(rows, depth, least_share)
+    model = spark.sparkContext.broadcast(first)
+    asked = rows.where("bucket >= 0").select("bucket", "block", "codes", F.lit(None).cast("binary").alias("times"))
+    both = tree.select("bucket", F.lit(None).cast("long").alias("block"), "codes", "times").unionByName(asked)
+    answers = both.repartition("bucket").sortWithinPartitions("bucket", F.col("block").asc_nulls_first()).mapInArrow(_answer(model), "block long, bucket int, values binary")
     entries = rows.where("hash is not null").select("block", "slot", "hash", "n_train")
     words = entries.groupBy("hash").agg(F.sum("n_train").alias("c"))
     words, _ = keep(words, "words")
     sums = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("total"), F.count_if(F.col("c") > 0).alias("distinct"))
-    back = entries.join(words, "hash").select("block", F.lit(False).alias("isdoc"), "slot", "c")
-    texts = rows.where("hash is null").select("block", F.lit(True).alias("isdoc"), "doc_id", "held_out", "n_tokens", "score", "slots", "reps").crossJoin(F.broadcast(sums))
-    both = back.unionByName(texts, allowMissingColumns=True).repartition("block").sortWithinPartitions("block", "isdoc")
-    return both.mapInArrow(_base, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    back = entries.join(words, "hash").select("block", F.lit(1).alias("kind"), "slot", "c")
+    texts = rows.where("text is not null").select("block", F.lit(2).alias("kind"), "doc_id", "text").crossJoin(F.broadcast(sums))
+    whole = answers.withColumn("kind", F.lit(0)).unionByName(back, allowMissingColumns=True).unionByName(texts, allowMissingColumns=True)
+    return whole.repartition("block").sortWithinPartitions("block", "kind", "bucket").mapInArrow(_finish(depth), OUT)

@@ -1,14 +1,14 @@
-"""A probabilistic suffix tree over the bytes of a text's words, and the automaton that scores with it.
+"""A probabilistic suffix tree over the bytes of a text's words, built and read in parts.
 
 A text is read as its words (A-Z lower-cased) with one space between them and a line feed as the end symbol; the end symbol
-before it is the context of its first byte; a NUL byte is read as 0x01.  A context of up to ``depth`` bytes is a candidate if at least ``least_share`` of all
-training symbols follow it, so a level has at most 1 / least_share candidates whatever the corpus's size.  A candidate is
-retained if the divergence of its next-symbol distribution from that of its suffix one byte shorter, times twice its count,
+before it is the context of its first byte; a NUL byte is read as 0x01.  A context of up to ``depth`` bytes is a candidate if at
+least ``least`` training symbols follow it (1 unless a caller asks for more, so each context seen is put to the test).  A candidate
+is retained if the divergence of its next-symbol distribution from that of its suffix one byte shorter, times twice its count,
 passes a BIC-like bound, or if a longer retained context ends in it.  Distributions are smoothed towards the suffix's:
 P(a|c) = (n(c,a) + s * P(a|suffix)) / (n(c) + s).  The state for a history is its longest retained suffix.
 
-All candidates' prefixes form an automaton of byte strings whose state after a symbol depends only on the last ``depth`` bytes,
-so a text can be cut in segments that overlap by ``depth`` and many segments advance together in numpy arrays.
+The tree is dealt into parts by a context's last two bytes: all longer contexts that end in them are in one part, and what a part
+needs from outside is the root and the contexts of one byte (Top), at most 65,536 counts whatever the corpus's size.
 """
 
 from __future__ import annotations
@@ -20,8 +20,8 @@ import numpy as np
 from .wordhash import Words
 
 END, BLANK = 10, 32
-DEPTH, LEAST_SHARE, STRENGTH, PENALTY = 6, 4e-6, 20.0, 0.3
-SEGMENT, STEP = 512, 4096
+DEPTH, LEAST_SHARE, STRENGTH, PENALTY = 6, 0.0, 20.0, 0.3
+BUCKETS = 1024
 
 
 def symbols(words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -55,7 +55,7 @@ def gram_codes(stream: np.ndarray, depth: int) -> np.ndarray:
     n = len(stream) - 1
     code = stream[1:].astype(np.uint64)
     alive = np.ones(n, dtype=bool)
-    for k in range(1, depth + 1):
+    for k in range(1, min(depth, n) + 1):
         alive[: k - 1] = False
         back = np.zeros(n, dtype=np.uint64)
         back[k - 1 :] = stream[: n - k + 1]
@@ -64,121 +64,79 @@ def gram_codes(stream: np.ndarray, depth: int) -> np.ndarray:
     return code
 
 
-@dataclass
-class Level:
-    """Counts of one context length: sorted context codes, their counts, and rows (context, symbol, count) sorted by context."""
-
-    context: np.ndarray
-    count: np.ndarray
-    row: np.ndarray
-    symbol: np.ndarray
-    times: np.ndarray
+def bucket_of(code: np.ndarray) -> np.ndarray:
+    """The part of the tree that a gram's context is in, by its last two bytes."""
+    return ((code >> np.uint64(8) & np.uint64(0xFFFF)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(54)).astype(np.int64)
 
 
-def level_of(code: np.ndarray, times: np.ndarray) -> Level:
-    order = np.argsort(code)
-    code, times = code[order], times[order].astype(np.float64)
-    context, row = np.unique(code >> np.uint64(8), return_inverse=True)
-    return Level(context, np.bincount(row, times, len(context)), row.astype(np.int32), (code & np.uint64(255)).astype(np.uint8), times)
+def low(code: np.ndarray, level: int) -> np.ndarray:
+    """Grams cut to contexts of ``level`` bytes."""
+    return code & np.uint64((1 << 8 * (level + 1)) - 1)
 
 
 @dataclass
-class Automaton:
-    """Next state and log10 probability by state * classes + class of byte."""
-
-    classes: np.ndarray
-    width: int
-    goto: np.ndarray
-    logp: np.ndarray
-    depth: int
-    retained: int
-
-    def score(self, stream: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """log10 probability of each text of a stream from symbols()."""
-        if len(ends) == 0:
-            return np.zeros(0)
-        x = self.classes[stream]
-        n = len(x) - 1
-        rows = -(-n // SEGMENT)
-        at = np.arange(rows) * SEGMENT + 1  # a segment's first symbol to score
-        state = np.zeros(rows, dtype=np.int64)
-        for back in range(self.depth, 0, -1):
-            i = at - back
-            state = np.where(i >= 0, self.goto[state + x[np.maximum(i, 0)]], 0)
-        padded = np.concatenate((x, np.zeros(rows * SEGMENT - n, dtype=x.dtype)))[1:].reshape(rows, SEGMENT).T.copy()
-        out = np.empty((SEGMENT, rows), dtype=np.float32)
-        for t in range(SEGMENT):
-            at_symbol = state + padded[t]
-            out[t] = self.logp[at_symbol]
-            state = self.goto[at_symbol]
-        flat = out.T.reshape(-1)[:n].astype(np.float64)
-        return np.add.reduceat(flat, np.concatenate(([0], ends[:-1] - 1)))
-
-
-def _find(table: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Places of values in a sorted table, -1 where absent."""
-    if len(table) == 0:
-        return np.full(len(wanted), -1)
-    at = np.minimum(np.searchsorted(table, wanted), len(table) - 1)
-    return np.where(table[at] == wanted, at, -1)
-
-
-def build(levels: list[Level], strength: float = STRENGTH, penalty: float = PENALTY) -> Automaton:
-    """The tree and its automaton from counts by level (level 0 has the empty context)."""
-    depth = len(levels) - 1
-    root = np.bincount(levels[0].symbol, levels[0].times, 256) if len(levels[0].times) else np.zeros(256)
-    seen = np.flatnonzero(root)
-    classes = np.full(256, len(seen), dtype=np.int64)
-    classes[seen] = np.arange(len(seen))
-    width = len(seen) + 1
-    flat = np.append(root[seen], 0.0)
-    base = (flat + 0.5) / (root.sum() + 128)
-    smooth, kept, parents = [base[None, :]], [np.ones(1, dtype=bool)], [np.zeros(1, dtype=np.int64)]
-    for j in range(1, depth + 1):
-        lv = levels[j]
-        parent = _find(levels[j - 1].context, lv.context & np.uint64((1 << 8 * (j - 1)) - 1)) if j > 1 else np.zeros(len(lv.context), dtype=np.int64)
-        rows = np.searchsorted(lv.row, np.arange(0, len(lv.context) + STEP, STEP))
-        keep, probs = np.zeros(len(lv.context), dtype=bool), np.empty((len(lv.context), width), dtype=np.float32)
-        for i in range(0, len(lv.context), STEP):
-            mine = slice(rows[i // STEP], rows[i // STEP + 1])
-            prior, count = smooth[j - 1][parent[i : i + STEP]], lv.count[i : i + STEP]
-            got = np.zeros(prior.shape)
-            got[lv.row[mine] - i, classes[lv.symbol[mine]]] = lv.times[mine]
-            with np.errstate(divide="ignore", invalid="ignore"):
-                gain = 2 * np.where(got > 0, got * np.log(got / count[:, None] / prior), 0.0).sum(1)
-            keep[i : i + STEP] = gain > penalty * (got > 0).sum(1) * np.log(np.maximum(count, 2))
-            probs[i : i + STEP] = (got + strength * prior) / (count + strength)[:, None]
-        kept.append(keep)
-        smooth.append(probs)
-        parents.append(parent)
-    for j in range(depth, 1, -1):  # suffixes of retained contexts are retained
-        kept[j - 1][parents[j][kept[j]]] = True
-    names = [np.zeros(1, dtype=np.uint64)]
-    for j in range(1, depth + 1):
-        longer = [levels[k].context[kept[k]] >> np.uint64(8 * (k - j)) for k in range(j, depth + 1)]
-        names.append(np.unique(np.concatenate(longer)) if longer else np.zeros(0, dtype=np.uint64))
-    offset = np.concatenate(([0], np.cumsum([len(x) for x in names])))
-    goto = np.zeros((offset[-1], width), dtype=np.int32)
-    logp = np.empty((offset[-1], width), dtype=np.float32)
-    for j in range(depth + 1):
-        rows = slice(offset[j], offset[j + 1])
-        step = names[j][:, None] << np.uint64(8) | seen.astype(np.uint64)[None, :]
-        found = np.zeros(step.shape, dtype=np.int32)
-        open_ = np.ones(step.shape, dtype=bool)
-        best, free = np.zeros(len(names[j]), dtype=np.int64), np.ones(len(names[j]), dtype=bool)
-        source = np.zeros(len(names[j]), dtype=np.int64)
-        for m in range(min(j + 1, depth), 0, -1):
-            at = _find(names[m], (step[open_] & np.uint64((1 << 8 * m) - 1)))
-            where = np.flatnonzero(open_.ravel())[at >= 0]
-            found.ravel()[where] = offset[m] + at[at >= 0]
-            open_.ravel()[where] = False
-        for m in range(j, 0, -1):
-            at = _find(levels[m].context[kept[m]], names[j] & np.uint64((1 << 8 * m) - 1))
-            hit = free & (at >= 0)
-            best[hit], source[hit] = np.flatnonzero(kept[m])[at[hit]], m
-            free &= ~hit
-        goto[rows, : len(seen)] = found
-        for m in range(depth + 1):
-            mine = np.flatnonzero(source == m)
-            logp[offset[j] + mine] = np.log10(smooth[m][best[mine]])
-    return Automaton(classes, width, (goto.ravel() * width).astype(np.int32), logp.ravel(), depth, int(sum(k.sum() for k in kept)))
+class Top:
+    """The root and the contexts of one byte: P by context byte << 8 | symbol, and log10 P in the root and in those contexts."""
+
+    first: np.ndarray
+    own: np.ndarray
+    total: int
+    base: np.ndarray
+
+    def values(self, longer: np.ndarray) -> np.ndarray:
+        """log10 P by context byte << 8 | symbol; ``longer`` marks bytes in which a retained longer context ends."""
+        kept = np.repeat(self.own | longer, 256)
+        return np.log10(np.where(kept, self.first, np.tile(self.base, 256)))
+
+
+def top(code: np.ndarray, times: np.ndarray, least_share: float = LEAST_SHARE, strength: float = STRENGTH, penalty: float = PENALTY) -> tuple[Top, int]:
+    """From counts by context byte << 8 | symbol; and the least count of a candidate."""
+    n = np.bincount(code, times, 1 << 16).reshape(256, 256)
+    total = int(n.sum())
+    least = max(1, int(least_share * total))
+    base = (n.sum(0) + 0.5) / (total + 128)
+    count = n.sum(1)
+    first = (n + strength * base) / (count + strength)[:, None]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gain = 2 * np.where(n > 0, n * np.log(n / count[:, None] / base), 0.0).sum(1)
+    own = (count >= least) & (gain > penalty * (n > 0).sum(1) * np.log(np.maximum(count, 2)))
+    first = np.where((count >= least)[:, None], first, base)
+    return Top(first.ravel(), own, total, base), least
+
+
+def part(code: np.ndarray, n: np.ndarray, up: Top, least: int, depth: int, strength: float = STRENGTH, penalty: float = PENALTY) -> tuple[np.ndarray, int]:
+    """log10 P of each gram of a part (sorted distinct grams and their counts in training texts, 0 for those only scored) in its
+    longest retained context of two bytes or more, NaN where none is; and the number of such contexts."""
+    grams, context, parent, prob, kept = [low(code, 1)], [None], [None], [up.first[low(code, 1).astype(np.int64)]], [None]
+    at, level_of = np.arange(len(code)), np.ones(len(code), dtype=np.int8)
+    alive = np.arange(len(code))
+    for j in range(2, depth + 1):
+        longer = code[alive] >> np.uint64(8 * j) > 0
+        alive, below = alive[longer], at[alive[longer]]
+        if not len(alive):
+            break
+        gram, one, back = np.unique(low(code[alive], j), return_index=True, return_inverse=True)
+        times = np.bincount(back, n[alive], len(gram))
+        at[alive], level_of[alive] = back, j
+        cut = np.concatenate(([True], gram[1:] >> np.uint64(8) != gram[:-1] >> np.uint64(8)))
+        row = np.cumsum(cut) - 1
+        count = np.bincount(row, times)
+        prior = prob[-1][below[one]]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            gain = 2 * np.bincount(row, np.where(times > 0, times * np.log(times / count[row] / prior), 0.0))
+        candidate = count >= least
+        kept.append(candidate & (gain > penalty * np.bincount(row, times > 0) * np.log(np.maximum(count, 2))))
+        prob.append(np.where(candidate[row], (times + strength * prior) / (count[row] + strength), prior))
+        grams.append(gram)
+        context.append(row)
+        parent.append(below[one])
+    for j in range(len(grams) - 1, 1, -1):  # suffixes of retained contexts are retained
+        kept[j - 1][context[j - 1][parent[j][kept[j][context[j]]]]] = True
+    value = [np.full(len(code), np.nan)]
+    for j in range(1, len(grams)):
+        value.append(np.where(kept[j][context[j]], np.log10(prob[j]), value[-1][parent[j]]))
+    out = np.empty(len(code), dtype=np.float32)
+    for j, v in enumerate(value, 1):
+        mine = level_of == j
+        out[mine] = v[at[mine]]
+    return out, int(sum(k.sum() for k in kept[1:]))

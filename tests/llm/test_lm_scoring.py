@@ -99,3 +99,26 @@ def test_held_out_texts_beat_unigrams(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     rows = [r for r in lm_scoring.score(docs).collect() if r.held_out]
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
+
+
+def test_rare_contexts_stay_in_a_larger_corpus(spark):
+    rng = random.Random(6)
+    vocabulary = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 5))) for _ in range(300)]
+    rows = [(d, " ".join(rng.choices(vocabulary, k=3000))) for d in range(60)] + [(1000, "xyzzy quux"), (1001, "quux xyzzy")]
+    train = [t for d, t in rows if not lm_scoring.held_out(d)]
+    assert int(4e-6 * sum(len(t) + 1 for t in train)) > 1  # a share of the corpus would pass over contexts seen once
+    got = {r.doc_id: r.score for r in lm_scoring.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    tree = plain_tree(train, st.DEPTH, 1)
+    for d, t in rows[-8:]:
+        assert got[d] == pytest.approx(plain_score(t, tree, st.DEPTH), rel=2e-5, abs=1e-4)
+
+
+def test_tree_grows_with_the_corpus(spark):
+    sizes = []
+    for sf in ("sf0.01", "sf0.1"):
+        docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+        blocks = docs.select("doc_id", "text").mapInArrow(lm_scoring._blocks(st.DEPTH), lm_scoring.ROW)
+        tree, _ = lm_scoring.grow(blocks, st.DEPTH, st.LEAST_SHARE)
+        sizes.append(tree.agg({"contexts": "sum"}).first()[0])
+    print("retained contexts of two bytes or more:", sizes)
+    assert sizes[1] > sizes[0]
