@@ -161,13 +161,16 @@ def fuzzy_relevance(spark, sf):
 
 @query("fuzzy_titles_ratio")
 def fuzzy_titles_ratio(spark, sf):
-    """Pairs of titles in a block by the matching-block ratio; the block join is on three letters and near length."""
+    """Pairs of titles by the matching-block ratio, in blocks of two equal first letters (blanks left out).  A ratio of r allows
+    lengths down to r / (2 - r) of the longer one, so each title meets all of those lengths."""
+    least = 0.85
     t = sources(spark, sf).groupBy(tx.normal_title(F.col("title")).alias("title")).agg(F.min("ordinal").alias("id")).where(F.length("title") >= 8)
-    rows = t.select("id", "title", F.substring("title", 1, 3).alias("block"), F.floor(F.length("title") / 8).alias("n"))
-    near = rows.withColumn("n", F.explode(F.array("n", F.col("n") + 1)))
-    pairs = near.toDF("id_a", "ta", "block", "n").join(rows.toDF("id_b", "tb", "block", "n"), ["block", "n"]).where("id_a <> id_b")
-    pairs = pairs.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"), F.least("ta", "tb").alias("ta"), F.greatest("ta", "tb").alias("tb")).distinct()
-    return pairs.withColumn("ratio", F.round(fz.udf_of("sl_ratio")("ta", "tb"), 6)).where("ratio >= 0.85").select("id_a", "id_b", "ratio")
+    rows = t.select("id", "title", F.substring(F.replace("title", F.lit(" ")), 1, 2).alias("block"), F.length("title").alias("n"))
+    shortest = F.ceil(F.col("n") * least / (2 - least) - 1e-3).cast("int")  # the ratio is rounded
+    near = rows.select("id", "title", "block", F.col("n").alias("na"), F.explode(F.sequence(shortest, F.col("n"))).alias("n"))
+    pairs = near.toDF("id_a", "ta", "block", "na", "n").join(rows.toDF("id_b", "tb", "block", "n"), ["block", "n"]).where("na > n or id_a < id_b").where("id_a <> id_b")
+    pairs = pairs.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"), F.least("ta", "tb").alias("ta"), F.greatest("ta", "tb").alias("tb"))
+    return pairs.withColumn("ratio", F.round(fz.udf_of("sl_ratio")("ta", "tb"), 6)).where(F.col("ratio") >= least).select("id_a", "id_b", "ratio")
 
 
 @query("normal_urls")

@@ -132,3 +132,34 @@ def test_text_columns(spark):
     ).first()
     assert row.c == "The Quick fox. Runs!" and row.n == "the quick fox runs" and row.s == "the-b-quick-b-fox-runs"
     assert row.d == ["Ab", "c"] and row.p == 2 and row.u == "abc..." and row.x
+
+
+def test_title_ratio_matches_brute_force(spark, tmp_path):
+    import difflib
+    import random
+
+    from sourceloom.plans import understanding as un
+
+    rng = random.Random(4)
+    titles = []
+    for start in ("the", "tha", "a b", "ab "):
+        for n in (9, 40, 60, 88):
+            base = start + "".join(rng.choices("abcdefgh ", k=n)).replace("  ", " x").strip()
+            titles += [base, base[:2] + "q" + base[3:], base + " " + "uvwxyz"[: max(1, n // 12)], base + " k" * (n // 6), base + " k" * (n // 3)]
+    rows = [(i, t, "s") for i, t in enumerate(titles)] + [(500, titles[0], "s"), (501, None, "s"), (502, "", "s")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    keys = {}
+    for r in un.sources(spark, str(tmp_path)).select("ordinal", un.tx.normal_title(un.F.col("title")).alias("t")).collect():
+        if len(r.t or "") >= 8:
+            keys[r.t] = min(r.ordinal, keys.get(r.t, r.ordinal))
+    want = set()
+    for a in keys:
+        for b in keys:
+            if a < b and a.replace(" ", "")[:2] == b.replace(" ", "")[:2]:
+                ratio = round(difflib.SequenceMatcher(None, a, b).ratio(), 6)
+                if ratio >= 0.85:
+                    want.add((*sorted((keys[a], keys[b])), ratio))
+    got = [tuple(r) for r in un.fuzzy_titles_ratio(spark, str(tmp_path)).select("id_a", "id_b", "ratio").collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    lengths = {i: len(t) for t, i in keys.items()}
+    assert any(abs(lengths[a] - lengths[b]) > 16 for a, b, _ in want)
