@@ -7,6 +7,9 @@ differ in at most ``radius`` bits, some block differs in at most radius // block
 item within the radius.  Those candidates are verified: the weighted Jaccard similarity of the two multisets of shingles, a
 shingle weighing as often as it occurs, must be at least ``threshold``.
 
+With ``short``, a document of fewer words than an item is its own one window, if its number of shingles can still reach the threshold.  It is
+looked up and verified like any other window.
+
 Only windows that hold a shingle of some item of their size are fingerprinted: any other window has similarity 0.  Items of
 fewer than five words have one shingle of all their words.  The benchmark is a query set: it is taken in blocks of at most
 ``block_words`` words, each of which passes over all documents.
@@ -104,9 +107,10 @@ class Benchmark:
     shingle_sets: dict[int, tuple[np.ndarray, np.ndarray]]
     radius: int
     threshold: float
+    short: bool
 
 
-def benchmark_index(items: list[tuple], radius: int = RADIUS, blocks: int = BLOCKS, threshold: float = THRESHOLD) -> Benchmark:
+def benchmark_index(items: list[tuple], radius: int = RADIUS, blocks: int = BLOCKS, threshold: float = THRESHOLD, short: bool = False) -> Benchmark:
     groups: dict[int, Items] = {}
     for item_id, text in items:
         h = Words([(text or "").encode("utf-8", "surrogatepass")]).hashes()
@@ -127,7 +131,7 @@ def benchmark_index(items: list[tuple], radius: int = RADIUS, blocks: int = BLOC
         mask = np.zeros(1 << FILTER_BITS, dtype=bool)
         mask[every >> np.uint64(64 - FILTER_BITS)] = True
         tables[k] = (mask, every)
-    return Benchmark(list(groups.values()), tables, radius, threshold)
+    return Benchmark(list(groups.values()), tables, radius, threshold, short)
 
 
 def _holds(sorted_set: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -142,25 +146,28 @@ def matches(hashes: np.ndarray, bench: Benchmark, hits: dict[int, np.ndarray], r
     out = []
     for g in bench.groups:
         at = hits.get(g.shingle)
-        if at is None or len(at) == 0 or len(hashes) < g.words:
+        if at is None or len(at) == 0:
             continue
         run = runs[g.shingle]
+        size = min(g.size, len(run))  # a shorter document is one window
+        if len(hashes) < g.words and (not bench.short or size + 1e-9 < bench.threshold * g.size):
+            continue
         at = at[_holds(g.every, run[at])]
         if len(at) == 0:
             continue
-        last = len(run) - g.size
-        low, high = np.maximum(at - g.size + 1, 0), np.minimum(at, last)
+        last = len(run) - size
+        low, high = np.maximum(at - size + 1, 0), np.minimum(at, last)
         cuts = np.flatnonzero(low[1:] > high[:-1] + 1) + 1  # window starts in runs without gaps
         for a, b in zip(low[np.concatenate(([0], cuts))], high[np.concatenate((cuts - 1, [len(at) - 1]))], strict=True):
             if a > b:
                 continue
-            window, item = g.candidates(window_prints(run[a : b + g.size], g.size), bench.radius)
+            window, item = g.candidates(window_prints(run[a : b + size], size), bench.radius)
             best: dict[int, tuple[float, int]] = {}
             for w, i in zip(window.tolist(), item.tolist(), strict=True):
-                s = similarity(run[a + w : a + w + g.size], g.counts[i])
+                s = similarity(run[a + w : a + w + size], g.counts[i])
                 if s >= bench.threshold and s > best.get(i, (0.0, 0))[0]:
                     best[i] = (s, int(a + w))
-            out += [(g.ids[i], s, w, g.words) for i, (s, w) in best.items()]
+            out += [(g.ids[i], s, w, min(g.words, len(hashes))) for i, (s, w) in best.items()]
     top: dict = {}
     for row in out:
         if row[0] not in top or (-row[1], row[2]) < (-top[row[0]][1], top[row[0]][2]):
@@ -202,11 +209,11 @@ def _blocks(items: DataFrame, block_words: int) -> Iterator[list[tuple]]:
         yield [(r.item_id, r.text) for r in part.select("item_id", "text").collect()]
 
 
-def find(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, radius: int = RADIUS, block_words: int = BLOCK_WORDS) -> DataFrame:
+def find(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, radius: int = RADIUS, block_words: int = BLOCK_WORDS, short: bool = False) -> DataFrame:
     """doc_id, item_id, similarity, start_word, words: for each document and item the best window that reaches the threshold."""
     spark, out = docs.sparkSession, None
     for part in _blocks(items, block_words):
-        held = spark.sparkContext.broadcast(benchmark_index(part, radius, BLOCKS, threshold))
+        held = spark.sparkContext.broadcast(benchmark_index(part, radius, BLOCKS, threshold, short))
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             rows = ((d.as_py(), (t.as_py() or "").encode("utf-8", "surrogatepass")) for b in batches for d, t in zip(b.column("doc_id"), b.column("text"), strict=True))
@@ -220,11 +227,11 @@ def find(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, radius
     return out
 
 
-def clean(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, radius: int = RADIUS, block_words: int = BLOCK_WORDS) -> DataFrame:
+def clean(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, radius: int = RADIUS, block_words: int = BLOCK_WORDS, short: bool = False) -> DataFrame:
     """The documents that hold no item, with all their columns and in one pass for each block of items."""
     spark, schema = docs.sparkSession, docs.schema
     for part in _blocks(items, block_words):
-        held = spark.sparkContext.broadcast(benchmark_index(part, radius, BLOCKS, threshold))
+        held = spark.sparkContext.broadcast(benchmark_index(part, radius, BLOCKS, threshold, short))
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             for batch in batches:

@@ -78,3 +78,28 @@ def test_index_finds_all_within_radius():
     near = np.bitwise_count(prints[:, None] ^ g.prints[None, :]) <= 20
     w, i = g.candidates(prints, 20)
     assert set(zip(w.tolist(), i.tolist(), strict=True)) == set(zip(*(x.tolist() for x in np.nonzero(near)), strict=True))
+
+
+def test_documents_shorter_than_the_item(spark, tmp_path):
+    import corpus_pipeline
+    from sourceloom.llm import queries
+
+    _, items = corpus()
+    items = items[4:9] + [(30, " ".join(f"q{i}" for i in range(50)))]
+    docs, want = [(999, "plain words")], []
+    for i, q in items:
+        for cut in (1, 2, 6, 12):
+            ws = q.split()[:-cut]
+            docs.append((len(docs), " ".join(ws)))
+            mine, whole = bag(ws, 5), bag(q.split(), 5)
+            sim = (mine & whole).total() / (mine | whole).total() if mine else 0
+            if sim >= 0.8:
+                want.append((len(docs) - 1, i, round(sim, 9), 0, len(ws)))
+    assert (22, 30, round(44 / 46, 9), 0, 48) in want
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    bench.write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = queries.op7_decontamination(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.item_id, round(r.similarity, 9), r.start_word, r.words) for r in got) == sorted(want)
+    left = corpus_pipeline.decontaminated(spark, df, str(tmp_path)).collect()
+    assert {r.doc_id for r in left} == {d for d, _ in docs} - {w[0] for w in want}
