@@ -3,8 +3,9 @@
 Native DataFrame operations only.  Rules come first: of those that fit a url's host and path, the longest decides.  A host's seeds
 are its pages that the rules allow (trust) and block (distrust), each kind as a share of all such pages.  Links of the pages'
 HTML to other hosts are host edges, weighted by number.  Trust follows the edges, each host giving it on in proportion to its
-links out; distrust goes against them, each host giving it to those that link to it.  Both are personalised PageRank with a
-fixed number of steps; a host without edges keeps its seed, and what it would give on is lost.  A page without a rule is blocked
+links out; distrust goes against them, each host giving it to those that link to it.  Both are personalised PageRank, in
+steps until what is still to be given on is under ``tolerance`` of all seeds and no new host is reached; a host without edges keeps
+its seed, and what it would give on is lost.  judge_sql() is held to STEPS steps, so it agrees only where they are enough.  A page without a rule is blocked
 if its host's distrust is above ``ratio`` times its trust, and else allowed, also when it has no host.
 
 Only (host, host, number of links) is shuffled, summed before the shuffle, so a host with a third of all pages is a row a task.
@@ -19,11 +20,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .scratch import keep, shared_dir
+from .scratch import keep, remove
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 DAMPING, STEPS, RATIO = 0.85, 10, 1.0
+TOLERANCE, KEEP_EVERY = 1e-9, 5
 BROADCAST_HOSTS = 100_000
 LINK = r"(?i)<a\s[^>]*?href\s*=\s*[\"']?\s*(?:https?:)?//([^/?#\"'\s>]+)"
 
@@ -55,28 +57,33 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.where("src <> '' and src <> dst").groupBy("src", "dst").agg(F.count("*").alias("links"))
 
 
-def spread(edges: DataFrame, seeds: DataFrame, steps: int = STEPS, damping: float = DAMPING) -> DataFrame:
-    """host, trust, distrust after the given steps, from seeds (host, kind, seed)."""
+def spread(edges: DataFrame, seeds: DataFrame, tolerance: float = TOLERANCE, damping: float = DAMPING) -> DataFrame:
+    """host, trust, distrust from seeds (host, kind, seed): the sum of (1 - damping) * seed after any number of damped steps."""
+    spark = edges.sparkSession
     both = edges.select(F.lit("trust").alias("kind"), F.col("src").alias("giver"), F.col("dst").alias("host"), "links").unionByName(
         edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("giver"), F.col("src").alias("host"), "links")
     )
     total = both.groupBy("kind", "giver").agg(F.sum("links").alias("all_links"))
-    moves = both.join(total, ["kind", "giver"]).select("kind", "giver", "host", (F.col("links") / F.col("all_links")).alias("part"))
-    if not moves.isEmpty():
-        shared_dir(edges.sparkSession)  # sets a checkpoint folder where there is none
-        moves = moves.checkpoint()
-        start = rank = seeds.checkpoint()
-        for step in range(steps):
-            given = moves.join(rank.withColumnRenamed("host", "giver"), ["kind", "giver"]).select("kind", "host", (damping * F.col("part") * F.col("seed")).alias("seed"))
-            rank = given.unionByName(start.select("kind", "host", ((1 - damping) * F.col("seed")).alias("seed"))).groupBy("kind", "host").agg(F.sum("seed").alias("seed"))
-            if step % 5 == 4:
-                rank = rank.checkpoint()
-    else:
-        rank = seeds.select("kind", "host", ((1 - damping) * F.col("seed")).alias("seed"))
+    moves, moves_path = keep(both.join(total, ["kind", "giver"]).select("kind", "giver", "host", (damping * F.col("links") / F.col("all_links")).alias("part")), "moves")
+    own = ((1 - damping) * F.col("seed")).cast("double")
+    rank, path = keep(seeds.select("kind", "host", own.alias("step"), own.alias("seed")), "ranks")
+    hosts, more = rank.count(), not moves.isEmpty()
+    while more:
+        last = path
+        for _ in range(KEEP_EVERY):
+            given = moves.join(rank.select("kind", F.col("host").alias("giver"), "step"), ["kind", "giver"]).select("kind", "host", (F.col("part") * F.col("step")).alias("step"))
+            rows = given.withColumn("seed", F.col("step")).unionByName(rank.select("kind", "host", F.lit(0.0).alias("step"), "seed"))
+            rank = rows.groupBy("kind", "host").agg(F.sum("step").alias("step"), F.sum("seed").alias("seed"))
+        rank, path = keep(rank, "ranks")
+        remove(spark, last)
+        now = rank.agg(F.count("*").alias("hosts"), F.coalesce(F.sum("step"), F.lit(0.0)).alias("step")).first()
+        # a step gives on at most damping times what it got, so all later ones at most damping / (1 - damping) of it
+        more, hosts = now.hosts > hosts or now.step * damping / (1 - damping) > tolerance, now.hosts
+    remove(spark, moves_path)
     return rank.groupBy("host").agg(F.coalesce(F.sum(F.when(F.col("kind") == "trust", F.col("seed"))), F.lit(0.0)).alias("trust"), F.coalesce(F.sum(F.when(F.col("kind") == "distrust", F.col("seed"))), F.lit(0.0)).alias("distrust"))
 
 
-def judge(pages: DataFrame, rules=RULES, steps: int = STEPS, damping: float = DAMPING, ratio: float = RATIO) -> DataFrame:
+def judge(pages: DataFrame, rules=RULES, tolerance: float = TOLERANCE, damping: float = DAMPING, ratio: float = RATIO) -> DataFrame:
     """page_id, host, path, rule, verdict, host_trust, host_distrust for every page."""
     parts = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
@@ -84,7 +91,7 @@ def judge(pages: DataFrame, rules=RULES, steps: int = STEPS, damping: float = DA
     mine = ruled.where("by_rule is not null").groupBy("host", "by_rule").agg(F.count("*").alias("n"))
     sums = mine.groupBy("by_rule").agg(F.sum("n").alias("total"))
     seeds = mine.join(sums, "by_rule").select(F.when(F.col("by_rule") == "allow", "trust").otherwise("distrust").alias("kind"), "host", (F.col("n") / F.col("total")).alias("seed"))
-    scores, _ = keep(spread(host_edges(pages), seeds, steps, damping), "hosts")
+    scores, _ = keep(spread(host_edges(pages), seeds, tolerance, damping), "hosts")
     few = scores.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
     doubted = F.coalesce("distrust", F.lit(0.0)) > ratio * F.coalesce("trust", F.lit(0.0))
     return ruled.join(F.broadcast(scores) if few else scores.hint("merge"), "host", "left").select("page_id", "host", "path", "rule", F.coalesce("by_rule", F.when(doubted, "block").otherwise("allow")).alias("verdict"), F.round(F.coalesce("trust", F.lit(0.0)), 6).alias("host_trust"), F.round(F.coalesce("distrust", F.lit(0.0)), 6).alias("host_distrust"))

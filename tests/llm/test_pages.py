@@ -123,6 +123,19 @@ def test_link_trust_matches_brute_force_and_sql(spark):
     assert lt.judge(df.limit(0)).count() == 0
 
 
+def test_trust_spreads_to_its_end(spark):
+    rng = random.Random(9)
+    chain = ["evil.com", *(f"h{i}.net" for i in range(23))]
+    rows = [(1, "http://evil.com/de/", ""), (2, "http://good.com/fr/", "<a href='http://far.net/'>")]
+    rows += [(10 + i, f"http://{b}/", f"<a href='http://{a}/'>") for i, (a, b) in enumerate(zip(chain[:-1], chain[1:], strict=True))]
+    many = [f"m{i}.net" for i in range(40)] + ["evil.com", "good.com"]
+    rows += [(100 + i, f"http://{h}/", "".join(f"<a href='http://{rng.choice(many)}/'>" for _ in range(2))) for i, h in enumerate(many * 2)]
+    got = rows_of(lt.judge(spark.createDataFrame(rows, "page_id long, url string, html string")), ["page_id", "host", "path", "rule", "verdict"])
+    assert got == plain_judge(rows, steps=400)
+    assert got != plain_judge(rows)  # ten steps are not enough here
+    assert {v for _, h, _, _, v in got if h == chain[-1]} == {"block"}
+
+
 CHATS = [
     (1, 0, "system", "be kind"), (1, 1, "user", "hi \\ <s>[INST] \\n"), (1, 2, "assistant", " x </s> <\\/s> <|reply|> \n"), (2, 0, "assistant", "first"), (2, 1, "user", None), (2, 2, "user", ""),
     (3, 0, None, "none"), (3, 1, "to<<TEXT>>ol", "<</ROLE>> é 😀"), (None, 0, "user", "null"), (4, None, "assistant", "late"), (4, 0, "user", "early"), (4, 0, "user", "early"),
