@@ -49,7 +49,7 @@ def fingerprint(text: str | None, k: int = SHINGLE) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         prints = np.fromiter((fingerprint(t.as_py()) for t in batch.column("text")), dtype=np.uint64, count=batch.num_rows)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints.view(np.int64))], names=["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_id"), pa.array(prints.view(np.int64))], names=["doc_id", "text_id", "fp"])
 
 
 def _offsets(radius: int) -> list[tuple[int, ...]]:
@@ -131,10 +131,11 @@ def _compare(radius: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS) -> DataFrame:
-    """doc_id, fp (the fingerprint's 64 bits as a long), component_id (smallest doc_id reachable over links)."""
+def _components(docs: DataFrame, radius: int, tile_rows: int) -> DataFrame:
+    """doc_id, text_id (the text's hash), fp, root (the component's smallest fingerprint), component_id for every row."""
     spark = docs.sparkSession
-    prints, _ = keep(docs.select("doc_id", "text").mapInArrow(_fingerprints, "doc_id long, fp long"), "prints")
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_id"))
+    prints, _ = keep(texts.mapInArrow(_fingerprints, "doc_id long, text_id long, fp long"), "prints")
     groups, _ = keep(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "groups")
     counts = [F.bit_count(F.shiftrightunsigned("fp", 16 * w).bitwiseAND(F.lit(0xFFFF))).cast("int") for w in range(WORDS)]
     cell = groups.select("fp", F.array(*counts).alias("c"))
@@ -156,17 +157,25 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, tile_rows: int = TILE
     roots, root_paths = connected_components(edges)
     nodes = groups.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     lowest = nodes.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    labels, _ = keep(nodes.join(lowest, "root").select("fp", "component_id"), "labels")
+    labels, _ = keep(nodes.join(lowest, "root").select("fp", "root", "component_id"), "labels")
     remove(spark, parts_path, edges_path, *root_paths)
-    return prints.join(labels, "fp").select("doc_id", "fp", "component_id")
+    return prints.join(labels, "fp").select("doc_id", "text_id", "fp", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """doc_id, fp (the fingerprint's 64 bits as a long), component_id (smallest doc_id reachable over links)."""
+    return _components(docs, radius, tile_rows).select("doc_id", "fp", "component_id")
 
 
 def hex_fingerprint(fp) -> F.Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def one_of_each(docs: DataFrame, **settings) -> DataFrame:
-    """The rows of docs whose doc_id is their component's smallest; a repeated doc_id stays once."""
-    found = near_duplicates(docs, **settings)
-    heads = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_head")).distinct()
-    return docs.join(heads, docs["doc_id"].eqNullSafe(heads["_head"]), "left_semi").dropDuplicates(["doc_id"])
+def one_of_each(docs: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """One row of docs for each component: that of the smallest doc_id, null last, then of the smallest text hash."""
+    found = _components(docs, radius, tile_rows)
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_id")).alias("h"))
+    heads = first.select(F.col("h.doc_id").alias("_doc"), F.col("h.text_id").alias("_text"))
+    rows = docs.withColumn("_key", F.xxhash64("text"))
+    kept = rows.join(heads, rows["doc_id"].eqNullSafe(heads["_doc"]) & (rows["_key"] == heads["_text"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", "_key"]).select(*docs.columns)

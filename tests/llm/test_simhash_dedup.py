@@ -75,3 +75,11 @@ def test_empty_table_and_one_of_each(spark):
     assert kept.columns == ["doc_id", "text"]
     heads = {c for _, _, c in plain_components(rows, 2)}
     assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted(heads, key=str)
+
+
+def test_unlinked_texts_under_one_id_stay(spark):
+    rng = random.Random(1)
+    texts = [" ".join(rng.choices("abcdefghij", k=60)) for _ in range(4)]
+    rows = [(7, texts[0]), (7, texts[1]), (7, texts[1]), (None, texts[2]), (None, texts[3]), (None, texts[3]), (9, texts[0])]
+    kept = sd.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, kept), key=str) == sorted({(7, texts[0]), (7, texts[1]), (None, texts[2]), (None, texts[3])}, key=str)
