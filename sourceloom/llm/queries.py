@@ -41,7 +41,7 @@ def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return importance.selected(importance.importance(documents(spark, sf_dir), labels))
+    return importance.resample(documents(spark, sf_dir), labels)
 
 
 def op4_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

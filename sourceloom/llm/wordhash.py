@@ -1,24 +1,31 @@
-"""Vectorised tokenising and hashing of whole texts with numpy.
+"""Words of whole texts and their hashes, with numpy.
 
-Words are runs of bytes other than 0x20 and 0x09-0x0D after A-Z are lower-cased, on the UTF-8 form.  A word's hash is a
-polynomial over its bytes modulo 2**64, finished by a bit mixer, so that all words of a batch are hashed by a few array
-operations: with prefix sums S[i] = sum(b[j] * P**j), a word's polynomial is (S[end] - S[start]) * P**-start.
+Words are runs of bytes other than 0x20 and 0x09-0x0D after A-Z are lower-cased, on the UTF-8 form.  A word's hash takes its
+bytes eight at a time, little-endian, each put through a bijective mixer together with the hash so far; the length comes first.
+So words of up to eight bytes of one length never share a hash, and longer ones do with the chance of a random 64-bit function.
+Words of more than ``LONG`` bytes are hashed by XXH3 one by one.
+
+Texts come in chunks of about a megabyte.  A longer text comes in pieces cut at blanks (``pieces``), so what a worker holds
+beside the text itself doesn't grow with it.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import xxhash
 
-P = np.uint64(0x9E3779B97F4A7C15 | 1)
-P_INV = np.uint64(pow(int(P), -1, 1 << 64))
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+SEED, ODD = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9E3779B97F4A7C15)
+LONG, CHUNK = 128, 1 << 20
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
-_powers = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
+KEEP = np.array([(1 << 8 * n) - 1 for n in range(8)] + [(1 << 64) - 1], dtype=np.uint64)
+BLANK = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -31,24 +38,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """P**i and P**-i for i < n; kept, and doubled when they are too short."""
-    if len(_powers[0]) < n:
-        size = max(1 << 16, 1 << (n - 1).bit_length())
-        for k, base in enumerate((P, P_INV)):
-            steps = np.full(size, base, dtype=np.uint64)
-            steps[0] = 1
-            _powers[k] = np.multiply.accumulate(steps)
-    return _powers[0][:n], _powers[1][:n]
-
-
 class Words:
     """The words of some texts: byte bounds in one buffer, hashes, and each text's first word (len(texts) + 1 bounds)."""
 
     def __init__(self, texts: list[bytes]):
         self.texts = len(texts)
-        buf = LOWER[np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8)]
-        self.buf = buf
+        padded = LOWER[np.frombuffer(b" ".join(texts) + b"         ", dtype=np.uint8)]
+        buf = self.buf = padded[:-8]
+        self.eight = np.ndarray((len(buf),), dtype="<u8", buffer=padded, strides=(1,))  # eight bytes from each place on
         blank = SPACE[buf]
         edge = np.flatnonzero(blank[1:] != blank[:-1]) + 1
         if len(buf) and not blank[0]:
@@ -58,16 +55,31 @@ class Words:
         self.offset = np.concatenate(([0], np.cumsum(sizes)))
         self.first = np.searchsorted(self.start, self.offset)
         self.first[-1] = len(self.start)
-        up, self.down = powers(len(buf) + 1)
-        self.sums = np.zeros(len(buf) + 1, dtype=np.uint64)
-        np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up[: len(buf)], out=self.sums[1:])
-
-    def span_hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Hashes of byte spans of the buffer."""
-        return mix((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64))
 
     def hashes(self) -> np.ndarray:
-        return self.span_hash(self.start, self.end)
+        """A hash for each word."""
+        size = self.end - self.start
+        out = mix(size.astype(np.uint64) * ODD + SEED)
+        live, at, left = np.arange(len(size)), self.start, size
+        while len(live):
+            out[live] = mix(out[live] ^ (self.eight[at] & KEEP[np.minimum(left, 8)])) * ODD
+            more = left > 8
+            if not more.all():
+                live, at, left = live[more], at[more], left[more]
+            if len(live) and size[live].max() > LONG:
+                for i in live[size[live] > LONG].tolist():
+                    out[i] = xxhash.xxh3_64_intdigest(self.buf[self.start[i] : self.end[i]].tobytes(), 1)
+                short = size[live] <= LONG
+                live, at, left = live[short], at[short], left[short]
+            at, left = at + 8, left - 8
+        return out
+
+    def runs(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all runs of n bytes (8 at most) inside words, and the word of each."""
+        count = np.maximum(self.end - self.start - n + 1, 0)
+        where = np.repeat(np.arange(len(count)), count)
+        at = self.start[where] + np.arange(len(where)) - np.repeat(np.cumsum(count) - count, count)
+        return mix((self.eight[at] & KEEP[n]) * ODD + np.uint64(n)), where
 
     def owner(self) -> np.ndarray:
         """Each word's text."""
@@ -81,11 +93,47 @@ def shingles(hashes: np.ndarray, k: int) -> np.ndarray:
         return np.zeros(0, dtype=np.uint64)
     out = np.zeros(n, dtype=np.uint64)
     for j in range(k):
-        out = out * MIX1 + hashes[j : j + n]
-    return mix(out)
-
-
-def in_chunks(rows: Iterable[tuple], size_of, limit: int = 1 << 20) -> Iterator[list[tuple]]:
+        out = mix((out ^ hashes[j : j + n]) * ODD)
+    return out
+
+
+def pieces(text: bytes | memoryview, size: int = CHUNK) -> Iterator[bytes]:
+    """A text in parts of about ``size`` bytes, each ending before a blank; a word is never cut, however long it is."""
+    at, n = 0, len(text)
+    while n - at > size:
+        cut = at + size
+        while cut < n and not (found := BLANK.search(text[cut : cut + size])):
+            cut += size
+        cut = n if cut >= n else cut + found.start()
+        yield bytes(text[at:cut])
+        at = cut
+    yield bytes(text[at:])
+
+
+def overlapping(text: bytes | memoryview, words: int, size: int = CHUNK) -> Iterator[tuple[bytes, bool]]:
+    """A text in parts of about ``size`` bytes, and whether a part is the last: each other one repeats its last ``words`` words at
+    the head of the next, so that every run of up to words + 1 words is whole in the part where its first word isn't repeated."""
+    if len(text) <= size:
+        yield bytes(text), True
+        return
+    rest: list[bytes] = []
+    for piece in pieces(text, size):
+        part = b" ".join((*rest, piece))
+        rest = part.rsplit(None, words) if words else [part]
+        if len(rest) > words:
+            yield part, False
+            del rest[0]
+        else:
+            rest = [part]
+    yield b" ".join(rest), True
+
+
+def utf8(text) -> memoryview | bytes:
+    """An Arrow string's bytes without a copy; null is empty."""
+    return memoryview(text.as_buffer()) if text.is_valid else b""
+
+
+def in_chunks(rows: Iterable[tuple], size_of, limit: int = CHUNK) -> Iterator[list[tuple]]:
     """Rows in lists whose texts together stay under the limit; a longer text comes alone, whole."""
     chunk: list[tuple] = []
     total = 0
