@@ -1,14 +1,16 @@
 """Scoring texts by a probabilistic suffix tree that is learnt from part of the corpus, beside a unigram score.
 
-Documents are taken in blocks of texts.  A block sends its distinct grams (a context of up to ``depth`` bytes and the symbol after
-it) with their counts in training texts to the parts of the tree that hold them, packed as one row a part; each part sums them,
-builds its piece of the tree, and answers each block with the grams' probabilities.  A block's words go to the corpus's word
-counts by a join on the word's 64-bit hash.  So a gram or a word is sent once for each block that has it, the tree is a table that
-grows with the corpus, and only counts of single bytes after single bytes reach the driver.
+Documents are taken in blocks of texts.  A block asks about its distinct grams (a context of up to ``depth`` bytes and the symbol after it)
+and its distinct words, with their counts in training texts, packed as one row for each part of the tree or of the
+dictionary.  A part sums the counts of all blocks, builds its piece of the tree, or of the dictionary with the words themselves as
+keys, and answers each block's row in its order: log10 P of each gram, or the corpus's count of each word.  A block's answers meet its
+texts again, which are then scored.  So a gram or a word is sent once for each block that has it, the tree and the dictionary are
+spread over the cluster and grow with the corpus, and only counts of single bytes after single bytes and two sums reach the driver.
 
 Cases: null text is empty and has one token, its end; a null doc_id counts as the empty string for the split (training);
-repeated rows count as often as they occur; an empty table gives no rows; other columns are not read.  If no text is for
-training, N and V are 0 and the tree has only its uniform root.
+repeated rows count as often as they occur; a very long text is read and sent in pieces of a megabyte that end with a word; an
+empty table gives no rows; other columns are not read.  If no text is for training, N and V are 0 and the tree has only its
+uniform root.
 """
 
 from __future__ import annotations
@@ -18,35 +20,36 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from . import suffix_tree as st
-from .scratch import keep
-from .wordhash import Words, in_chunks
+from .scratch import keep, remove
+from .wordhash import CHUNK, pieces, utf8
 
-BLOCK_BYTES, PART_CODES = 3 << 21, 1 << 20
-END_HASH = -1
+BLOCK_BYTES, MERGE_CODES, WORD_PARTS = 1 << 23, 1 << 20, 512
 HELD_OUT_OF, HELD_OUT = 7, 2
-TYPES = {"block": pa.int64(), "doc_id": pa.int64(), "text": pa.binary(), "slot": pa.int32(), "hash": pa.int64(), "n_train": pa.int64(), "bucket": pa.int32(), "codes": pa.binary(), "times": pa.binary()}
-ROW = "block long, doc_id long, text binary, slot int, hash long, n_train long, bucket int, codes binary, times binary"
-TOP_BUCKET = -1  # counts of single bytes after single bytes
+GRAMS, WORDS, TEXTS, TOP = range(4)
+ROW = {"block": pa.int64(), "kind": pa.int32(), "part": pa.int32(), "data": pa.binary(), "counts": pa.binary(), "docs": pa.list_(pa.int64()), "sizes": pa.list_(pa.int64()), "open": pa.bool_()}
+ROW_TYPE = "block long, kind int, part int, data binary, counts binary, docs array<long>, sizes array<long>, open boolean"
+ANSWER = {"block": pa.int64(), "kind": pa.int32(), "part": pa.int32(), "data": pa.binary(), "total": pa.int64(), "distinct": pa.int64(), "ends": pa.list_(pa.int32())}
+ANSWER_TYPE = "block long, kind int, part int, data binary, total long, distinct long, ends array<int>"
+OUT = {"doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "train_tokens": pa.int64(), "base_score": pa.float64(), "score": pa.float64()}
+OUT_TYPE = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+END_WORD = b""  # no word is empty
+Counts = tuple[np.ndarray, np.ndarray]
 
 
 def held_out(doc_id: int | None) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % HELD_OUT_OF == HELD_OUT
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, bytes]]:
-    for batch in batches:
-        for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-            yield doc, (text.as_py() or "").encode("utf-8", "surrogatepass")
-
-
-def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    code, back = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
-    return code, np.bincount(back, np.concatenate([n for _, n in parts]), len(code)).astype(np.int64)
+def _merge(some: list[Counts]) -> Counts:
+    """Sums of counts by code; codes ascending."""
+    code, back = np.unique(np.concatenate([c for c, _ in some]), return_inverse=True)
+    return code, np.bincount(back, np.concatenate([n for _, n in some]), len(code)).astype(np.int64)
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -59,63 +62,138 @@ def unpack(data: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
-def _row(n: int, **columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in TYPES.items()], names=list(TYPES))
+def _rows(types: dict[str, pa.DataType], rows: list[dict]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r.get(c) for r in rows], t) for c, t in types.items()], names=list(types))
+
+
+def _by_part(code: np.ndarray) -> Counts:
+    """The order of sorted grams by part of the tree, then gram; and the parts in that order."""
+    part = st.bucket_of(code)
+    order = np.argsort(part, kind="stable")
+    return order, part[order]
+
+
+def _words_by_part(words) -> list[tuple[int, list[bytes]]]:
+    """Words by part of the dictionary, ascending in both."""
+    parts: dict[int, list[bytes]] = {}
+    for w in words:
+        parts.setdefault(xxhash.xxh3_64_intdigest(w) % WORD_PARTS, []).append(w)
+    return [(p, sorted(parts[p])) for p in sorted(parts)]
+
 
+class Texts:
+    """Some texts, or a piece of one, in normal form: words with one blank between them, texts with END between them.
 
-def _by_bucket(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The order of sorted codes by part of the tree, then code; and the parts in that order."""
-    bucket = st.bucket_of(code)
-    order = np.argsort(bucket, kind="stable")
-    return order, bucket[order]
+    ``head``: for a piece that continues a text, the symbols before it; ``open``: the last text goes on in the next piece."""
+
+    def __init__(self, docs: list, texts: list[bytes], head: bytes = b"", is_open: bool = False):
+        self.docs, self.head, self.open = docs, head, is_open
+        self.sizes = [len(t) for t in texts]
+        self.data = b"\n".join(texts)
+
+    @classmethod
+    def of(cls, row: dict, head: bytes) -> Texts:
+        out = cls(row["docs"], [], head, row["open"])
+        out.sizes, out.data = row["sizes"], zstandard.ZstdDecompressor().decompress(row["data"])
+        return out
+
+    def codes(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """The grams of all symbols, and the text of each."""
+        stream = np.frombuffer((self.head or b"\n") + self.data + (b"" if self.open else b"\n"), dtype=np.uint8)
+        stream = np.where(stream == 0, np.uint8(1), stream)
+        size = np.array(self.sizes, dtype=np.int64) + 1
+        size[-1] -= self.open
+        return st.gram_codes(stream, depth)[max(len(self.head), 1) - 1 :], np.repeat(np.arange(len(size)), size)
+
+    def tail(self, depth: int) -> bytes:
+        """What the next piece has as its head."""
+        return ((self.head or b"\n") + self.data)[-depth:] if self.open else b""
+
+    def words(self) -> list[list[bytes]]:
+        """Each text's words, with its end."""
+        out = [t.split() for t in self.data.split(b"\n")]
+        for words in out[: len(out) - self.open]:
+            words.append(END_WORD)
+        return out
+
+
+def _normal(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[Texts]:
+    """The corpus in parts of about a megabyte, a long text's pieces each on their own."""
+    docs, texts, held = [], [], 0
+    for batch in batches:
+        for doc, scalar in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+            text = utf8(scalar)
+            if held and held + len(text) > CHUNK:
+                yield Texts(docs, texts)
+                docs, texts, held = [], [], 0
+            if len(text) <= CHUNK:
+                docs.append(doc)
+                texts.append(b" ".join(bytes(text).lower().split()))
+                held += len(text) + 1
+                continue
+            before, head = None, b""
+            for piece in pieces(text):
+                now = b" ".join(piece.lower().split())
+                if not now:
+                    continue
+                if before is not None:
+                    part = Texts([doc], [before], head, True)
+                    yield part
+                    head, now = part.tail(depth), b" " + now
+                before = now
+            yield Texts([doc], [before or b""], head)
+    if docs:
+        yield Texts(docs, texts)
 
 
 def _blocks(depth: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, number, held = TaskContext.get().partitionId(), 0, 0
-        docs: list[tuple[int | None, bytes]] = []
-        grams, words = [], []
+        task, number, held = TaskContext.get().partitionId(), 0, 0
+        rows: list[dict] = []
+        grams: list[Counts] = []
+        words: dict[bytes, int] = {}
 
         def block() -> Iterator[pa.RecordBatch]:
             nonlocal number
-            tag = part << 32 | number
+            tag = {"block": task << 32 | number}
             number += 1
-            for i in range(0, len(docs), 500):
-                mine = docs[i : i + 500]
-                yield _row(len(mine), block=np.full(len(mine), tag), doc_id=[d for d, _ in mine], text=[t for _, t in mine])
-            word, n = _merge(words)
-            word, n = np.concatenate(([END_HASH], word.view(np.int64))), np.concatenate(([sum(not held_out(d) for d, _ in docs)], n))
-            for i in range(0, len(word), 100_000):
-                k = min(100_000, len(word) - i)
-                yield _row(k, block=np.full(k, tag), slot=np.arange(i, i + k, dtype=np.int32), hash=word[i : i + k], n_train=n[i : i + k])
+            yield _rows(ROW, [{**r, **tag} for r in rows])
+            asked = [{**tag, "kind": WORDS, "part": p, "data": zstandard.ZstdCompressor(level=3).compress(b"\n".join(ws)), "counts": pack(np.array([words[w] for w in ws], dtype=np.uint32))} for p, ws in _words_by_part(words)]
+            yield _rows(ROW, asked)
             code, n = _merge(grams)
             pair, back = np.unique(st.low(code, 1), return_inverse=True)
-            yield _row(1, block=[tag], bucket=[TOP_BUCKET], codes=[pack(pair)], times=[pack(np.bincount(back, n, len(pair)).astype(np.int64))])
-            order, bucket = _by_bucket(code)
+            yield _rows(ROW, [{**tag, "kind": TOP, "data": pack(pair), "counts": pack(np.bincount(back, n, len(pair)).astype(np.int64))}])
+            order, part = _by_part(code)
             code, n = code[order], n[order].astype(np.uint32)
-            cut = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
-            spans = list(zip(cut, [*cut[1:], len(code)], strict=True))
-            for i in range(0, len(spans), 256):
-                some = spans[i : i + 256]
-                yield _row(len(some), block=np.full(len(some), tag), bucket=bucket[[a for a, _ in some]].astype(np.int32), codes=[pack(code[a:b]) for a, b in some], times=[pack(n[a:b]) for a, b in some])
-            for x in (docs, grams, words):
+            cut = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+            spans = list(zip(cut.tolist(), [*cut[1:].tolist(), len(code)], strict=True))
+            yield _rows(ROW, [{**tag, "kind": GRAMS, "part": int(part[a]), "data": pack(code[a:b]), "counts": pack(n[a:b])} for a, b in spans])
+            for x in (rows, grams, words):
                 x.clear()
 
-        for chunk in in_chunks(_rows(batches), lambda r: len(r[1])):
-            for out in (False, True):  # held-out texts' grams and words count 0
-                mine = [t for d, t in chunk if held_out(d) == out]
-                if not mine:
-                    continue
-                text = Words(mine)
-                for into, found in ((grams, st.gram_codes(st.symbols(text)[0], depth)), (words, text.hashes())):
-                    code, n = np.unique(found, return_counts=True)
-                    into.append((code, np.zeros_like(n) if out else n))
-                held += len(text.buf)
-            docs += chunk
-            if held > BLOCK_BYTES:
+        for texts in _normal(batches, depth):
+            rows.append({"kind": TEXTS, "part": len(rows), "data": zstandard.ZstdCompressor(level=3).compress(texts.data), "docs": texts.docs, "sizes": texts.sizes, "open": texts.open})
+            out = np.array([held_out(d) for d in texts.docs])
+            code, owner = texts.codes(depth)
+            for held_back in (False, True):  # held-out texts' grams and words count 0
+                mine = code[out[owner] == held_back]
+                if len(mine):
+                    some, n = np.unique(mine, return_counts=True)
+                    grams.append((some, np.zeros_like(n) if held_back else n))
+            for held_back, own in zip(out, texts.words(), strict=True):
+                if held_back:
+                    for w in own:
+                        words.setdefault(w, 0)
+                else:
+                    for w in own:
+                        words[w] = words.get(w, 0) + 1
+            if len(grams) > 8:
+                grams[:] = [_merge(grams)]
+            held += len(texts.data)
+            if held > BLOCK_BYTES and not texts.open:
                 yield from block()
                 held = 0
-        if docs:
+        if rows:
             yield from block()
 
     return run
@@ -124,149 +202,148 @@ def _blocks(depth: int):
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     n = np.zeros(1 << 16, dtype=np.int64)
     for batch in batches:
-        for codes, times in zip(batch.column("codes"), batch.column("times"), strict=True):
+        for codes, times in zip(batch.column("data"), batch.column("counts"), strict=True):
             n[unpack(codes.as_py(), "<u8").astype(np.int64)] += unpack(times.as_py(), "<i8")
     code = np.flatnonzero(n)
     yield pa.RecordBatch.from_arrays([pa.array(code, pa.int64()), pa.array(n[code])], names=["code", "n"])
 
 
-def _grow(model, depth: int):
-    """Each part of the tree from all blocks' grams: packed rows of its codes and log10 P, and how many contexts it retains."""
+def _gram_answers(part: int, asked: list[tuple], up: st.Top, least: int, depth: int) -> Iterator[dict]:
+    """log10 P of each block's grams (NaN where no context of two bytes or more is retained); then, without a block, the number of
+    retained contexts and the last bytes of them."""
+    some: list[Counts] = []
+    fresh = 0
+    for _, codes, times in asked:
+        some.append((unpack(codes, "<u8"), unpack(times, "<u4").astype(np.int64)))
+        fresh += len(some[-1][0])
+        if fresh > max(MERGE_CODES, len(some[0][0])):  # merged as they come
+            some, fresh = [_merge(some)], 0
+    code, n = _merge(some)
+    del some
+    value, contexts = st.part(code, n, up, least, depth)
+    ends = np.unique(code[~np.isnan(value)] >> np.uint64(8) & np.uint64(255)).tolist()
+    for block, codes, _ in asked:
+        yield {"block": block, "kind": GRAMS, "part": part, "data": pack(value[np.searchsorted(code, unpack(codes, "<u8"))])}
+    yield {"kind": GRAMS, "part": part, "total": contexts, "ends": ends}
+
+
+def _word_answers(part: int, asked: list[tuple]) -> Iterator[dict]:
+    """The corpus's count of each block's words; then, without a block, the sum of the counts and the number of those over 0."""
+    counts: dict[bytes, int] = {}
+    words_of = lambda data: zstandard.ZstdDecompressor().decompress(data).split(b"\n")
+    for _, data, times in asked:
+        for w, n in zip(words_of(data), unpack(times, "<u4").tolist(), strict=True):
+            counts[w] = counts.get(w, 0) + n
+    for block, data, _ in asked:
+        yield {"block": block, "kind": WORDS, "part": part, "data": pack(np.fromiter(map(counts.__getitem__, words_of(data)), dtype=np.int64))}
+    yield {"kind": WORDS, "part": part, "total": sum(counts.values()), "distinct": sum(n > 0 for n in counts.values())}
+
+
+def _answers(model, depth: int):
+    """Rows come by kind and part; what a part holds at a time is its blocks' packed rows and its own piece of the tree or dictionary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         up, least = model.value
-        now, fresh = None, 0
-        parts: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def tree() -> Iterator[pa.RecordBatch]:
-            code, n = _merge(parts)
-            parts.clear()
-            value, contexts = st.part(code, n, up, least, depth)
-            for i in range(0, len(code), PART_CODES):
-                mine = slice(i, i + PART_CODES)
-                ends = np.unique(code[mine][~np.isnan(value[mine])] >> np.uint64(8) & np.uint64(255)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([pack(code[mine])], pa.binary()), pa.array([pack(value[mine])], pa.binary()), pa.array([ends.tolist()], pa.list_(pa.int32())), pa.array([0 if i else contexts], pa.int64())], names=["bucket", "codes", "times", "ends", "contexts"])
+        now: tuple | None = None
+        asked: list[tuple] = []
+
+        def answer() -> Iterator[pa.RecordBatch]:
+            kind, part = now
+            rows, size = [], 0
+            for row in _gram_answers(part, asked, up, least, depth) if kind == GRAMS else _word_answers(part, asked):
+                rows.append(row)
+                size += len(row.get("data", b""))
+                if size > CHUNK:
+                    yield _rows(ANSWER, rows)
+                    rows, size = [], 0
+            yield _rows(ANSWER, rows)
+            asked.clear()
+            pa.default_memory_pool().release_unused()
 
         for batch in batches:
-            for bucket, codes, times in zip(batch.column("bucket").to_pylist(), batch.column("codes"), batch.column("times"), strict=True):
-                if bucket != now:
-                    if parts:
-                        yield from tree()
-                    now, fresh = bucket, 0
-                parts.append((unpack(codes.as_py(), "<u8"), unpack(times.as_py(), "<u4").astype(np.int64)))
-                fresh += len(parts[-1][0])
-                if fresh > max(PART_CODES, len(parts[0][0])):  # merged as they come
-                    parts[:] = [_merge(parts)]
-                    fresh = 0
-        if parts:
-            yield from tree()
+            for block, kind, part, data, times in zip(*(batch.column(c).to_pylist() for c in ("block", "kind", "part", "data", "counts")), strict=True):
+                if (kind, part) != now:
+                    if asked:
+                        yield from answer()
+                    now = (kind, part)
+                asked.append((block, data, times))
+        if asked:
+            yield from answer()
 
     return run
 
 
-def grow(blocks: DataFrame, depth: int, least_share: float) -> tuple[DataFrame, np.ndarray]:
-    """The tree as a table of packed rows (bucket, codes, times with log10 P, ends, contexts), and the values of its top."""
+def learn(blocks: DataFrame, depth: int, least_share: float) -> DataFrame:
+    """The answers to all blocks, as a written table, with a row without a block for each part's sums."""
     spark = blocks.sparkSession
-    pairs = blocks.where(F.col("bucket") == TOP_BUCKET).select("codes", "times").mapInArrow(_pairs, "code long, n long")
-    rows = pairs.groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    pairs = blocks.where(F.col("kind") == TOP).select("data", "counts").mapInArrow(_pairs, "code long, n long")
+    rows = pairs.groupBy("code").agg(F.sum("n").alias("n")).toArrow()  # 65,536 at most
     up, least = st.top(rows["code"].to_numpy(), rows["n"].to_numpy(), least_share)
     model = spark.sparkContext.broadcast((up, least))
-    sent = blocks.where("bucket >= 0").select("bucket", "codes", "times").repartition("bucket").sortWithinPartitions("bucket")
-    tree, _ = keep(sent.mapInArrow(_grow(model, depth), "bucket int, codes binary, times binary, ends array<int>, contexts long"), "tree")
-    longer = np.zeros(256, dtype=bool)
-    longer[[r.end for r in tree.select(F.explode("ends").alias("end")).distinct().collect()]] = True  # 256 at most
-    return tree, up.values(longer).astype(np.float32)
+    asked = blocks.where(F.col("kind").isin(GRAMS, WORDS)).select("block", "kind", "part", "data", "counts")
+    answers, _ = keep(asked.repartition("kind", "part").sortWithinPartitions("kind", "part").mapInArrow(_answers(model, depth), ANSWER_TYPE), "answers")
+    answers.top = up
+    return answers
 
 
-def _answer(model):
-    """log10 P of the grams of each block's packed rows, in their order; a part's rows of the tree come first."""
+def _finish(depth: int, model):
+    """Scores of each block's texts, from its answers (in the order of its grams and words) and the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, now = model.value, None
-        pieces: list[tuple[np.ndarray, np.ndarray]] = []
-        table = None
-        for batch in batches:
-            blocks, buckets, values = [], [], []
-            for bucket, block, codes, times in zip(batch.column("bucket").to_pylist(), batch.column("block").to_pylist(), batch.column("codes"), batch.column("times"), strict=True):
-                if bucket != now:
-                    now, table, pieces = bucket, None, []
-                code = unpack(codes.as_py(), "<u8")
-                if block is None:
-                    pieces.append((code, unpack(times.as_py(), "<f4")))
-                    continue
-                if table is None:
-                    pieces.sort(key=lambda p: p[0][0])
-                    table = np.concatenate([c for c, _ in pieces]), np.concatenate([v for _, v in pieces])
-                    pieces = []
-                value = table[1][np.searchsorted(table[0], code)]
-                blocks.append(block)
-                buckets.append(bucket)
-                values.append(pack(np.where(np.isnan(value), first[st.low(code, 1).astype(np.int64)], value)))
-            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(buckets, pa.int32()), pa.array(values, pa.binary())], names=["block", "bucket", "values"])
-
-    return run
+        total, distinct, first = model.value
+        now = None
+        held: dict[int, list] = {GRAMS: [], WORDS: [], TEXTS: []}
 
-
-OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-
-
-def _finish(depth: int):
-    """Scores of each block's texts, from its answers (in the order of its grams), its words' counts, and the texts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, total, distinct = None, 0, 0
-        answers: list[np.ndarray] = []
-        slots: list[np.ndarray] = []
-        counts: list[np.ndarray] = []
-        docs: list[tuple[int | None, bytes]] = []
+        def texts() -> Iterator[Texts]:
+            head = b""
+            for row in held[TEXTS]:
+                yield (some := Texts.of(row, head))
+                head = some.tail(depth)
 
         def block() -> Iterator[pa.RecordBatch]:
-            count = np.empty(sum(map(len, slots)), dtype=np.int64)
-            count[np.concatenate(slots)] = np.concatenate(counts)
-            chunks, code, word = [], [], []
-            for chunk in in_chunks(docs, lambda r: len(r[1])):
-                text = Words([t for _, t in chunk])
-                stream, ends = st.symbols(text)
-                grams, at = np.unique(st.gram_codes(stream, depth), return_inverse=True)
-                hashes, slot = np.unique(text.hashes(), return_inverse=True)
-                chunks.append(([d for d, _ in chunk], ends, grams, at.astype(np.int32), hashes, slot.astype(np.int32), np.diff(text.first)))
-                code, word = np.union1d(code, grams) if len(code) else grams, np.union1d(word, hashes) if len(word) else hashes
-            order, _ = _by_bucket(code)
+            code, seen = np.zeros(0, dtype=np.uint64), {}
+            fresh, size = [], 0
+            for some in texts():
+                fresh.append(np.unique(some.codes(depth)[0]))
+                size += len(fresh[-1])
+                if size > MERGE_CODES:
+                    code, fresh, size = np.unique(np.concatenate((code, *fresh))), [], 0
+                for own in some.words():
+                    seen.update(dict.fromkeys(own))
+            code = np.unique(np.concatenate((code, *fresh)))
+            order, _ = _by_part(code)
             value = np.empty(len(code), dtype=np.float32)
-            value[order] = np.concatenate(answers)
-            weight = np.log10((count + 1) / (total + distinct + 1))
-            for ids, ends, grams, at, hashes, slot, size in chunks:
-                logp = value[np.searchsorted(code, grams)].astype(np.float64)[at]
-                mine = np.searchsorted(word, hashes)[slot] + 1 if len(slot) else slot  # slot 0 is the end
-                owner = np.repeat(np.arange(len(ids)), size)
-                known = np.bincount(owner, count[mine] > 0, len(ids)).astype(np.int64) + int(count[0] > 0)
-                base = np.bincount(owner, weight[mine], len(ids)) + weight[0]
-                score = np.add.reduceat(logp, np.concatenate(([0], ends[:-1] - 1)))
-                cols = [pa.array(ids, pa.int64()), pa.array([held_out(d) for d in ids]), pa.array(size + 1, pa.int64()), pa.array(known), pa.array(np.full(len(ids), total, dtype=np.int64)), pa.array(base), pa.array(score)]
-                yield pa.RecordBatch.from_arrays(cols, names=[c.split()[0] for c in OUT.split(", ")])
-            for x in (answers, slots, counts, docs):
+            value[order] = np.concatenate([unpack(d, "<f4") for d in held[GRAMS]])
+            bare = np.isnan(value)
+            value[bare] = first[st.low(code[bare], 1).astype(np.int64)]
+            counts = np.concatenate([unpack(d, "<i8") for d in held[WORDS]])
+            slot = dict(zip((w for _, ws in _words_by_part(seen) for w in ws), range(len(counts)), strict=True))
+            weight = np.log10((counts + 1) / (total + distinct + 1))
+            known = counts > 0
+            open_sums = np.zeros(4)  # of a text that goes on: tokens, known ones, base score, score
+            for some in texts():
+                codes, owner = some.codes(depth)
+                n = len(some.docs)
+                tokens = [np.fromiter(map(slot.__getitem__, own), dtype=np.int64, count=len(own)) for own in some.words()]
+                score = np.bincount(owner, value[np.searchsorted(code, codes)], n)
+                sums = np.array([[len(t), known[t].sum(), weight[t].sum(), s] for t, s in zip(tokens, score, strict=True)])
+                sums[0] += open_sums
+                open_sums = sums[-1] if some.open else np.zeros(4)
+                done = n - some.open
+                if done:
+                    made = [some.docs[:done], [held_out(d) for d in some.docs[:done]], sums[:done, 0].astype(np.int64), sums[:done, 1].astype(np.int64), np.full(done, total), sums[:done, 2], sums[:done, 3]]
+                    yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(made, OUT.values(), strict=True)], names=list(OUT))
+            for x in held.values():
                 x.clear()
 
         for batch in batches:
-            col = {c: batch.column(c) for c in batch.schema.names}
-            tag, kind = col["block"].to_numpy(), col["kind"].to_numpy()
-            cut = np.flatnonzero((tag[1:] != tag[:-1]) | (kind[1:] != kind[:-1])) + 1
-            for a, b in zip([0, *cut], [*cut, len(tag)], strict=True):
-                if a == b:
-                    continue
-                if tag[a] != now:
-                    if docs:
+            for row in batch.to_pylist():
+                if row["block"] != now:
+                    if held[TEXTS]:
                         yield from block()
-                    now = tag[a]
-                if kind[a] == 0:
-                    answers += [unpack(v.as_py(), "<f4") for v in col["values"][a:b]]
-                elif kind[a] == 1:
-                    slots.append(col["slot"][a:b].to_numpy())
-                    counts.append(col["c"][a:b].to_numpy())
-                else:
-                    total, distinct = col["total"][a].as_py(), col["distinct"][a].as_py()
-                    docs += zip(col["doc_id"][a:b].to_pylist(), col["text"][a:b].to_pylist(), strict=True)
-        if docs:
+                    now = row["block"]
+                held[row["kind"]].append(row if row["kind"] == TEXTS else row["data"])
+        if held[TEXTS]:
             yield from block()
 
     return run
@@ -275,17 +352,15 @@ def _finish(depth: int):
 def score(docs: DataFrame, depth: int = st.DEPTH, least_share: float = st.LEAST_SHARE) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs."""
     spark = docs.sparkSession
-    rows, _ = keep(docs.select("doc_id", "text").mapInArrow(_blocks(depth), ROW), "blocks")
-    tree, first = grow(rows, depth, least_share)
-    model = spark.sparkContext.broadcast(first)
-    asked = rows.where("bucket >= 0").select("bucket", "block", "codes", F.lit(None).cast("binary").alias("times"))
-    both = tree.select("bucket", F.lit(None).cast("long").alias("block"), "codes", "times").unionByName(asked)
-    answers = both.repartition("bucket").sortWithinPartitions("bucket", F.col("block").asc_nulls_first()).mapInArrow(_answer(model), "block long, bucket int, values binary")
-    entries = rows.where("hash is not null").select("block", "slot", "hash", "n_train")
-    words = entries.groupBy("hash").agg(F.sum("n_train").alias("c"))
-    words, _ = keep(words, "words")
-    sums = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("total"), F.count_if(F.col("c") > 0).alias("distinct"))
-    back = entries.join(words, "hash").select("block", F.lit(1).alias("kind"), "slot", "c")
-    texts = rows.where("text is not null").select("block", F.lit(2).alias("kind"), "doc_id", "text").crossJoin(F.broadcast(sums))
-    whole = answers.withColumn("kind", F.lit(0)).unionByName(back, allowMissingColumns=True).unionByName(texts, allowMissingColumns=True)
-    return whole.repartition("block").sortWithinPartitions("block", "kind", "bucket").mapInArrow(_finish(depth), OUT)
+    blocks, blocks_path = keep(docs.select("doc_id", "text").mapInArrow(_blocks(depth), ROW_TYPE), "blocks")
+    answers = learn(blocks, depth, least_share)
+    sums = answers.where("block is null")
+    total, distinct = sums.where(F.col("kind") == WORDS).agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
+    longer = np.zeros(256, dtype=bool)
+    longer[[r.end for r in sums.select(F.explode("ends").alias("end")).distinct().collect()]] = True  # 256 at most
+    model = spark.sparkContext.broadcast((total, distinct, answers.top.values(longer).astype(np.float32)))
+    texts = blocks.where(F.col("kind") == TEXTS).select("block", "kind", "part", "data", "docs", "sizes", "open")
+    whole = answers.where("block is not null").select("block", "kind", "part", "data").unionByName(texts, allowMissingColumns=True)
+    scored, _ = keep(whole.repartition("block").sortWithinPartitions("block", "kind", "part").mapInArrow(_finish(depth, model), OUT_TYPE), "scores")
+    remove(spark, blocks_path)
+    return scored

@@ -17,38 +17,11 @@ from dataclasses import dataclass
 
 import numpy as np
 
-from .wordhash import Words
-
 END, BLANK = 10, 32
 DEPTH, LEAST_SHARE, STRENGTH, PENALTY = 6, 0.0, 20.0, 0.3
 BUCKETS = 1024
 
 
-def symbols(words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """The symbol stream of some texts, begun by an end symbol, and where each text's symbols end in it."""
-    size = words.end - words.start + 1
-    total = np.concatenate(([0], np.cumsum(size)))
-    per_text = total[words.first[1:]] - total[words.first[:-1]]
-    bare = per_text == 0
-    ends = 1 + np.cumsum(np.where(bare, 1, per_text))
-    out = np.full(int(ends[-1]) if len(ends) else 1, END, dtype=np.uint8)
-    fill = np.ones(len(out), dtype=bool)
-    fill[0] = False
-    fill[ends[bare] - 1] = False
-    blank = np.zeros(len(words.buf), dtype=bool)
-    blank[words.end] = True
-    inside = np.zeros(len(words.buf) + 1, dtype=np.int8)
-    np.add.at(inside, words.start, 1)
-    np.add.at(inside, words.end, -1)
-    take = (np.cumsum(inside[:-1]) > 0) | blank
-    stream = words.buf[take].copy()
-    stream[total[1:] - 1] = BLANK
-    out[fill] = stream
-    out[ends - 1] = END
-    out[out == 0] = 1
-    return out, ends
-
-
 def gram_codes(stream: np.ndarray, depth: int) -> np.ndarray:
     """For each symbol but the first: its context of up to ``depth`` bytes, not past an end symbol, and itself, as one integer
     of up to 8 bytes, the symbol lowest; bytes above a shorter context are 0, which no symbol is."""

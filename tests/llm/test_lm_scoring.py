@@ -6,7 +6,7 @@ from collections import Counter
 
 import pytest
 
-from sourceloom.llm import lm_scoring, suffix_tree as st
+from sourceloom.llm import lm_scoring, suffix_tree as st, wordhash
 
 
 def words(text):
@@ -117,8 +117,40 @@ def test_tree_grows_with_the_corpus(spark):
     sizes = []
     for sf in ("sf0.01", "sf0.1"):
         docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
-        blocks = docs.select("doc_id", "text").mapInArrow(lm_scoring._blocks(st.DEPTH), lm_scoring.ROW)
-        tree, _ = lm_scoring.grow(blocks, st.DEPTH, st.LEAST_SHARE)
-        sizes.append(tree.agg({"contexts": "sum"}).first()[0])
+        blocks = docs.select("doc_id", "text").mapInArrow(lm_scoring._blocks(st.DEPTH), lm_scoring.ROW_TYPE)
+        answers = lm_scoring.learn(blocks, st.DEPTH, st.LEAST_SHARE)
+        sizes.append(answers.where(f"block is null and kind = {lm_scoring.GRAMS}").agg({"total": "sum"}).first()[0])
     print("retained contexts of two bytes or more:", sizes)
     assert sizes[1] > sizes[0]
+
+
+def test_words_that_a_polynomial_hash_mixes_up(spark):
+    a, b = ("".join("ab"[(bin(i).count("1") + k) % 2] for i in range(1024)) for k in (0, 1))
+    train = [d for d in range(20) if not lm_scoring.held_out(d)]
+    rows = [(train[0], a), (train[1], a), (train[2], "other"), (train[3], b)]
+    got = {r.doc_id: r for r in lm_scoring.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    n, v = 8, 4  # four words and four ends; two like a, one b, other, the end
+    assert got[train[0]].base_score == pytest.approx(math.log10(3 / (n + v + 1)) + math.log10(5 / (n + v + 1)))
+    assert got[train[3]].base_score == pytest.approx(math.log10(2 / (n + v + 1)) + math.log10(5 / (n + v + 1)))
+    assert got[train[3]].train_tokens == n
+
+
+def test_long_texts_in_pieces(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(d, rng.choice(["", " "]) + rng.choice([" ", "\n"]).join("".join(rng.choices("abC\x00é", k=rng.randint(1, 9))) for _ in range(n)) + rng.choice(["", "  "])) for d, n in enumerate((1, 300, 0, 90, 2000, 7, 40))]
+    rows += [(50, "x" * 500 + " " + "y" * 300 + "  z"), (51, " " * 400), (52, "q" + " " * 300)]
+    batches = [lm_scoring.pa.RecordBatch.from_pydict({"doc_id": [d for d, _ in rows], "text": [t for _, t in rows]})]
+    whole = list(lm_scoring._normal(iter(batches), 6))
+    monkeypatch.setattr(lm_scoring, "CHUNK", 64)
+    monkeypatch.setattr(lm_scoring, "pieces", lambda t: wordhash.pieces(t, 64))
+    parts = list(lm_scoring._normal(iter(batches), 6))
+    assert len(whole) == 1 and len(parts) > 50 and any(p.open for p in parts)
+    codes, found = {}, {}
+    for p in parts:
+        code, owner = p.codes(6)
+        for k, d in enumerate(p.docs):
+            codes.setdefault(d, []).extend(code[owner == k].tolist())
+            found.setdefault(d, []).extend(p.words()[k])
+    code, owner = whole[0].codes(6)
+    for k, d in enumerate(whole[0].docs):
+        assert codes[d] == code[owner == k].tolist() and found[d] == whole[0].words()[k]
