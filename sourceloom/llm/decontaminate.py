@@ -5,7 +5,8 @@ set where over half of its 5-word shingles' hashes have it.  Items are held in a
 an item is listed under every value of a block that differs from its own in at most radius // blocks bits.  If two fingerprints
 differ in at most ``radius`` bits, some block differs in at most radius // blocks, so looking a window's blocks up finds every
 item within the radius.  Those candidates are verified: the weighted Jaccard similarity of the two multisets of shingles, a
-shingle weighing as often as it occurs, must be at least ``threshold``.
+shingle weighing as often as it occurs, must be at least ``threshold``.  It is taken of the shingles' hashes first, where it can't be
+less than of the shingles themselves, and then of the shingles, as words.
 
 With ``short``, a document of fewer words than an item is its own one window, if its number of shingles can still reach the threshold.  It is
 looked up and verified like any other window.
@@ -15,7 +16,8 @@ fewer than five words have one shingle of all their words.  The benchmark is a q
 ``block_words`` words, each of which passes over all documents.
 
 Cases: null and empty texts have no windows; items without words match nothing; repeated items and rows are each reported; null
-ids stay null; empty tables give no rows; columns other than the ids and texts are kept by ``clean`` and else not read.
+ids stay null; empty tables give no rows; a very long text is read in parts of about a megabyte that overlap by as many words as a
+window can have; columns other than the ids and texts are kept by ``clean`` and else not read.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .wordhash import Words, in_chunks, shingles
+from .wordhash import CHUNK, Words, in_chunks, overlapping, shingles, utf8
 
 SHINGLE, THRESHOLD, RADIUS, BLOCKS, BLOCK_WORDS = 5, 0.8, 20, 8, 1_000_000
 FILTER_BITS = 22
@@ -57,6 +59,7 @@ class Items:
     shingle: int
     ids: list = field(default_factory=list)
     bags: list = field(default_factory=list)
+    plain: list = field(default_factory=list)
     prints: np.ndarray | None = None
     tables: list = field(default_factory=list)
     counts: list = field(default_factory=list)
@@ -92,11 +95,15 @@ class Items:
         return pairs // len(self.ids), pairs % len(self.ids)
 
 
-def similarity(a: np.ndarray, b: Counter) -> float:
+def similarity(mine: Counter, other: Counter) -> float:
     """Weighted Jaccard similarity of two multisets of shingles."""
-    mine = Counter(a.tolist())
-    both = sum(min(n, b[s]) for s, n in mine.items() if s in b)
-    return both / (len(a) + b.total() - both)
+    both = sum(min(n, other[s]) for s, n in mine.items() if s in other)
+    return both / (mine.total() + other.total() - both)
+
+
+def bag(words: list[bytes], k: int) -> Counter:
+    """The multiset of the k-word shingles of some words, as words."""
+    return Counter(zip(*(words[i:] for i in range(k)), strict=False))
 
 
 @dataclass
@@ -109,16 +116,23 @@ class Benchmark:
     threshold: float
     short: bool
 
+    @property
+    def overlap(self) -> int:
+        """The words that parts of a text share: one less than the longest item has."""
+        return max((g.words for g in self.groups), default=1) - 1
+
 
 def benchmark_index(items: list[tuple], radius: int = RADIUS, blocks: int = BLOCKS, threshold: float = THRESHOLD, short: bool = False) -> Benchmark:
     groups: dict[int, Items] = {}
     for item_id, text in items:
-        h = Words([(text or "").encode("utf-8", "surrogatepass")]).hashes()
+        words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+        h = Words([b" ".join(words)]).hashes()
         if len(h):
             k = min(SHINGLE, len(h))
             group = groups.setdefault(len(h), Items(len(h), k))
             group.ids.append(item_id)
             group.bags.append(shingles(h, k))
+            group.plain.append(bag(words, k))
     sets = defaultdict(list)
     for g in groups.values():
         g.index(radius, blocks)
@@ -139,10 +153,11 @@ def _holds(sorted_set: np.ndarray, values: np.ndarray) -> np.ndarray:
     return sorted_set[at] == values
 
 
-def matches(hashes: np.ndarray, bench: Benchmark, hits: dict[int, np.ndarray], runs: dict[int, np.ndarray]) -> list[tuple]:
-    """(item_id, similarity, first word, words) of the best window for every item that a document holds.
+def matches(words_at, hashes: np.ndarray, bench: Benchmark, hits: dict[int, np.ndarray], runs: dict[int, np.ndarray], whole: bool) -> list[tuple]:
+    """(item_id, similarity, first word, words) of the best window for every item that a document, or part of one, holds.
 
-    ``runs`` has the document's shingle hashes by shingle length, ``hits`` the places of those that some item has."""
+    ``runs`` has its shingle hashes by shingle length, ``hits`` the places of those that some item has; ``words_at`` gives words from a
+    place on."""
     out = []
     for g in bench.groups:
         at = hits.get(g.shingle)
@@ -150,7 +165,7 @@ def matches(hashes: np.ndarray, bench: Benchmark, hits: dict[int, np.ndarray], r
             continue
         run = runs[g.shingle]
         size = min(g.size, len(run))  # a shorter document is one window
-        if len(hashes) < g.words and (not bench.short or size + 1e-9 < bench.threshold * g.size):
+        if len(hashes) < g.words and not (whole and bench.short and size + 1e-9 >= bench.threshold * g.size):
             continue
         at = at[_holds(g.every, run[at])]
         if len(at) == 0:
@@ -163,24 +178,23 @@ def matches(hashes: np.ndarray, bench: Benchmark, hits: dict[int, np.ndarray], r
                 continue
             window, item = g.candidates(window_prints(run[a : b + size], size), bench.radius)
             best: dict[int, tuple[float, int]] = {}
-            for w, i in zip(window.tolist(), item.tolist(), strict=True):
-                s = similarity(run[a + w : a + w + size], g.counts[i])
+            for w, i in zip((window + a).tolist(), item.tolist(), strict=True):
+                least = max(bench.threshold, best.get(i, (0.0, 0))[0])
+                if similarity(Counter(run[w : w + size].tolist()), g.counts[i]) < least:
+                    continue
+                s = similarity(bag(words_at(w, size + g.shingle - 1), g.shingle), g.plain[i])
                 if s >= bench.threshold and s > best.get(i, (0.0, 0))[0]:
-                    best[i] = (s, int(a + w))
+                    best[i] = (s, w)
             out += [(g.ids[i], s, w, min(g.words, len(hashes))) for i, (s, w) in best.items()]
-    top: dict = {}
-    for row in out:
-        if row[0] not in top or (-row[1], row[2]) < (-top[row[0]][1], top[row[0]][2]):
-            top[row[0]] = row
-    return list(top.values())
+    return out
 
 
-def scan(texts: list[bytes], bench: Benchmark) -> list[list[tuple]]:
-    """Each text's matches."""
+def _scan(texts: list[bytes], bench: Benchmark, whole: bool) -> tuple[list[list[tuple]], int]:
+    """Each text's matches, and the number of words of all."""
     words = Words(texts)
     hashes, out = words.hashes(), [[] for _ in texts]
     if not len(hashes):
-        return out
+        return out, 0
     places, all_runs = {}, {}
     owner = words.owner()
     for k, (mask, every) in bench.shingle_sets.items():
@@ -196,7 +210,28 @@ def scan(texts: list[bytes], bench: Benchmark) -> list[list[tuple]]:
         a, b = int(words.first[d]), int(words.first[d + 1])
         hits = {k: at[np.searchsorted(at, a) : np.searchsorted(at, b)] - a for k, at in places.items()}
         runs = {k: run[a : max(a, b - k + 1)] for k, run in all_runs.items()}
-        out[d] = matches(hashes[a:b], bench, hits, runs)
+        words_at = lambda w, n, a=a: words.buf[words.start[a + w] : words.end[a + w + n - 1]].tobytes().split()
+        out[d] = matches(words_at, hashes[a:b], bench, hits, runs, whole)
+    return out, len(hashes)
+
+
+def scan(texts: list[bytes | memoryview], bench: Benchmark, size: int = CHUNK) -> list[list[tuple]]:
+    """Each text's matches, for each item the best; a text longer than ``size`` is alone."""
+    if len(texts) > 1 or len(texts[0]) <= size:
+        found = _scan([bytes(t) for t in texts], bench, True)[0]
+    else:
+        found, base = [[]], 0
+        for k, (part, last) in enumerate(overlapping(texts[0], bench.overlap, size)):
+            rows, n = _scan([part], bench, last and not k)
+            found[0] += [(i, s, w + base, m) for i, s, w, m in rows[0]]
+            base += n - bench.overlap
+    out = []
+    for rows in found:
+        top: dict = {}
+        for row in rows:
+            if row[0] not in top or (-row[1], row[2]) < (-top[row[0]][1], top[row[0]][2]):
+                top[row[0]] = row
+        out.append(list(top.values()))
     return out
 
 
@@ -216,7 +251,7 @@ def find(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, radius
         held = spark.sparkContext.broadcast(benchmark_index(part, radius, BLOCKS, threshold, short))
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            rows = ((d.as_py(), (t.as_py() or "").encode("utf-8", "surrogatepass")) for b in batches for d, t in zip(b.column("doc_id"), b.column("text"), strict=True))
+            rows = ((d.as_py(), utf8(t)) for b in batches for d, t in zip(b.column("doc_id"), b.column("text"), strict=True))
             for chunk in in_chunks(rows, lambda r: len(r[1])):
                 found = [(d, *m) for (d, _), ms in zip(chunk, scan([t for _, t in chunk], held.value), strict=True) for m in ms]
                 cols = list(zip(*found, strict=True)) or [[]] * 5
@@ -235,9 +270,8 @@ def clean(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, radiu
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                texts = [(t.as_py() or "").encode("utf-8", "surrogatepass") for t in batch.column("text")]
                 free: list[bool] = []
-                for chunk in in_chunks(((t,) for t in texts), lambda r: len(r[0])):
+                for chunk in in_chunks(((utf8(t),) for t in batch.column("text")), lambda r: len(r[0])):
                     free += [not m for m in scan([t for (t,) in chunk], held.value)]
                 yield batch.filter(pa.array(free, pa.bool_()))
 

@@ -103,3 +103,39 @@ def test_documents_shorter_than_the_item(spark, tmp_path):
     assert sorted((r.doc_id, r.item_id, round(r.similarity, 9), r.start_word, r.words) for r in got) == sorted(want)
     left = corpus_pipeline.decontaminated(spark, df, str(tmp_path)).collect()
     assert {r.doc_id for r in left} == {d for d, _ in docs} - {w[0] for w in want}
+
+
+def test_shingles_that_a_polynomial_hash_mixes_up(spark):
+    a, b = ("".join("ab"[(bin(i).count("1") + k) % 2] for i in range(1024)) for k in (0, 1))
+    rest = " ".join(f"w{i}" for i in range(20))
+    docs = [(1, f"x {a} {rest}"), (2, f"x {b} {rest}")]
+    bench = spark.createDataFrame([(1, f"{a} {rest}"), (2, f"{a} {a} {a} {a} {a} {a}")], "item_id long, text string")
+    got = dc.find(spark.createDataFrame([*docs, (3, " ".join([b] * 6))], "doc_id long, text string"), bench, threshold=0.95).collect()
+    assert [(r.doc_id, r.item_id) for r in got] == [(1, 1)]
+
+
+def test_the_last_check_is_on_words(monkeypatch):
+    monkeypatch.setattr(dc.Words, "hashes", lambda self: (self.end - self.start).astype("u8"))  # all words of one length collide
+    bench = dc.benchmark_index([(1, " ".join(f"w{i:03d}" for i in range(30)))])
+    texts = [" ".join(f"{c}{i:03d}" for i in range(40)).encode() for c in "wx"]
+    assert [[m[:1] for m in ms] for ms in dc.scan(texts, bench)] == [[(1,)], []]
+
+
+def test_long_texts_in_parts():
+    docs, items = corpus()
+    bench = dc.benchmark_index(items)
+    text = " ".join(t for _, t in docs if t).encode()
+    want = dc.scan([text], bench)
+    assert len(want[0]) > 5
+    for size in (400, 3000):
+        assert [sorted(m) for m in dc.scan([text], bench, size)] == [sorted(m) for m in want]
+    assert dc.scan([b"a" * 5000], bench, 100) == [[]]
+
+
+def test_nothing_is_lost_beyond_the_radius_on_the_given_tables(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, items = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
+    rows = lambda radius: sorted(map(tuple, dc.find(docs, items, radius=radius, short=True).collect()))
+    some, every = rows(dc.RADIUS), rows(64)
+    print("found within the radius:", len(some), "of", len(every))
+    assert len(some) >= 0.99 * len(every) > 0
