@@ -5,6 +5,16 @@ Clusters and Cues, also those of unknown size, and gives every frame of SimpleBl
 timestamp, and the byte range of the frame in the file; the frames of a block are divided by its lacing (none, Xiph, fixed-size
 or EBML).  The writer makes one audio track of unsigned 8-bit PCM at 8,000 samples a second, frames of 192 samples, up to eight
 frames a block with a lacing that changes from cluster to cluster, 64 blocks a cluster, and cues for all clusters.
+
+Timestamps are in milliseconds.  The frames of a laced block follow each other by the track's default duration, or else by an equal part of
+their block group's duration, or else have the block's time.  A cluster of unknown size ends at the next element of its level, a
+segment of unknown size at the next file head.  Elements that the tables don't need are passed over.  A file that is cut off or has
+sizes that don't fit is an error (ValueError).
+
+Cases: null text is an empty one, whose payload is one frame of blanks; very long texts are one file, whole; rows that repeat, and
+rows with equal or null ids, each have a file; null media has no packets, and null numbers and feature; a file without tracks or
+packets has no codec and an empty payload; an empty table gives no rows; columns other than doc_id and text (doc_id, n_bytes and
+media when files are read) are not read.
 """
 
 from __future__ import annotations
@@ -25,6 +35,9 @@ TIMESTAMP_SCALE, DURATION, MUXER, WRITER = 0x2AD7B1, 0x4489, 0x4D80, 0x5741
 TRACK_ENTRY, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, FLAG_LACING, CODEC, AUDIO, RATE, CHANNELS, DEPTH = 0xAE, 0xD7, 0x73C5, 0x83, 0x9C, 0x86, 0xE1, 0xB5, 0x9F, 0x6264
 CLUSTER_TIME, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK = 0xE7, 0xA3, 0xA0, 0xA1
 CUE_POINT, CUE_TIME, CUE_PLACES, CUE_TRACK, CUE_CLUSTER = 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
+DEFAULT_DURATION, BLOCK_DURATION, REFERENCE = 0x23E383, 0x9B, 0xFB
+SEEK_HEAD, TAGS, CHAPTERS, ATTACHMENTS = 0x114D9B74, 0x1254C367, 0x1043A770, 0x1941A469
+AFTER_CLUSTER = frozenset((CLUSTER, CUES, TRACKS, INFO, SEEK_HEAD, TAGS, CHAPTERS, ATTACHMENTS, EBML, SEGMENT))
 NO_LACING, XIPH, FIXED, EBML_LACING = 0, 1, 2, 3
 
 FRAME, FRAMES, BLOCKS, RATE_HZ = 192, 8, 64, 8000
@@ -70,7 +83,7 @@ def write_samples(payload: bytes) -> bytes:
     frames = [payload[i : i + FRAME] for i in range(0, len(payload), FRAME)]
     head = element(EBML, whole(EBML_VERSION, 1) + whole(EBML_READ, 1) + whole(EBML_ID_LENGTH, 4) + whole(EBML_SIZE_LENGTH, 8) + element(DOC_TYPE, b"matroska") + whole(DOC_VERSION, 4) + whole(DOC_READ, 2))
     audio = element(AUDIO, element(RATE, struct.pack(">d", RATE_HZ)) + whole(CHANNELS, 1) + whole(DEPTH, 8))
-    track = element(TRACK_ENTRY, whole(TRACK_NUMBER, 1) + whole(TRACK_UID, 1) + whole(TRACK_TYPE, 2) + whole(FLAG_LACING, 1) + element(CODEC, b"A_PCM/INT/LIT") + audio)
+    track = element(TRACK_ENTRY, whole(TRACK_NUMBER, 1) + whole(TRACK_UID, 1) + whole(TRACK_TYPE, 2) + whole(FLAG_LACING, 1) + whole(DEFAULT_DURATION, MS_PER_FRAME * 1_000_000) + element(CODEC, b"A_PCM/INT/LIT") + audio)
     info = element(INFO, whole(TIMESTAMP_SCALE, 1_000_000) + element(MUXER, b"sourceloom") + element(WRITER, b"sourceloom") + element(DURATION, struct.pack(">d", len(frames) * MS_PER_FRAME)))
     body, cues = info + element(TRACKS, track), []
     parts, place = [body], len(body)
@@ -102,6 +115,8 @@ class Media:
 
 
 def read_id(data: bytes, at: int) -> tuple[int, int]:
+    if at >= len(data):
+        raise ValueError("the file is cut off")
     first = data[at]
     length = 9 - first.bit_length()
     if not 1 <= length <= 4 or at + length > len(data):
@@ -111,27 +126,27 @@ def read_id(data: bytes, at: int) -> tuple[int, int]:
 
 def read_size(data: bytes, at: int) -> tuple[int | None, int]:
     """A size, None if it is the unknown one, and the place after it."""
-    length = 9 - data[at].bit_length()
+    length = 9 - data[at].bit_length() if at < len(data) else 9
     if length > 8 or at + length > len(data):
         raise ValueError(f"no element size at byte {at}")
     n = int.from_bytes(data[at : at + length], "big") & (1 << 7 * length) - 1
     return (None if n == (1 << 7 * length) - 1 else n), at + length
 
 
-def elements(data: bytes, at: int, end: int, ends_at: frozenset = frozenset()) -> Iterator[tuple[int, int, int]]:
+def elements(data: bytes, at: int, end: int) -> Iterator[tuple[int, int, int]]:
     """(id, first byte, end) of the elements of a body; one of unknown size goes on to an element that can't be inside it."""
     while at < end:
         name, body = read_id(data, at)
         size, body = read_size(data, body)
         stop = end if size is None else body + size
-        if size is None and name == CLUSTER:
-            stop = body
+        if size is None and name in (CLUSTER, SEGMENT):
+            stop, others = body, AFTER_CLUSTER if name == CLUSTER else (EBML, SEGMENT)
             while stop < end:
                 inner, after = read_id(data, stop)
-                if inner in (CLUSTER, CUES, TRACKS, INFO):
+                if inner in others:
                     break
                 n, after = read_size(data, after)
-                stop = after + (n or 0)
+                stop = after + (n or 0)  # an inner one of unknown size: its own elements are passed over in turn
         if stop > end:
             raise ValueError(f"element {name:#x} at byte {at} is cut off")
         yield name, body, stop
@@ -142,6 +157,8 @@ def frame_sizes(data: bytes, at: int, end: int, kind: int) -> tuple[list[int], i
     """Sizes of a block's frames, and where they begin."""
     if kind == NO_LACING:
         return [end - at], at
+    if at >= end:
+        raise ValueError("a laced block is cut off")
     count, at = data[at] + 1, at + 1
     if kind == FIXED:
         if (end - at) % count:
@@ -151,27 +168,36 @@ def frame_sizes(data: bytes, at: int, end: int, kind: int) -> tuple[list[int], i
     for k in range(count - 1):
         if kind == XIPH:
             n = 0
-            while data[at] == 255:
+            while at < end and data[at] == 255:
                 n, at = n + 255, at + 1
+            if at >= end:
+                raise ValueError("a block's lacing is cut off")
             n, at = n + data[at], at + 1
         else:
-            length = 9 - data[at].bit_length()
-            n, at = read_size(data, at)
+            n, after = read_size(data, at)
+            length, at = after - at, after
+            if n is None:
+                raise ValueError("a frame of unknown size")
             if k:
                 n = sizes[-1] + n - ((1 << 7 * length - 1) - 1)
         sizes.append(n)
-    return [*sizes, end - at - sum(sizes)], at
+    sizes.append(end - at - sum(sizes))
+    if min(sizes) < 0:
+        raise ValueError("a block's lacing doesn't fit its size")
+    return sizes, at
 
 
-def _block(data: bytes, at: int, end: int, start: int, media: Media, key: bool | None) -> None:
+def _block(data: bytes, at: int, end: int, start: int, media: Media, key: bool | None, lasts: int | None = None) -> None:
     track, at = read_size(data, at)
+    if at + 3 > end:
+        raise ValueError("a block is cut off")
     shift, flags = struct.unpack_from(">hB", data, at)
     kind = flags >> 1 & 3
     sizes, place = frame_sizes(data, at + 3, end, kind)
-    step = next((t["frame_ms"] for t in media.tracks if t["number"] == track), 0)
+    step = next((t["frame_ns"] for t in media.tracks if t["number"] == track), 0) or (lasts * media.scale // len(sizes) if lasts else 0)
     number = media.packets[-1][5] + 1 if media.packets else 0
     for k, n in enumerate(sizes):
-        media.packets.append((track, (start + shift) * media.scale // 1_000_000 + k * step, place, n, bool(flags & 0x80) if key is None else key, number, kind))
+        media.packets.append((track, ((start + shift) * media.scale + k * step) // 1_000_000, place, n, bool(flags & 0x80) if key is None else key, number, kind))
         place += n
 
 
@@ -180,6 +206,8 @@ def _number(data: bytes, a: int, b: int) -> int:
 
 
 def _float(data: bytes, a: int, b: int) -> float:
+    if b - a not in (0, 4, 8):
+        raise ValueError(f"a number of {b - a} bytes at byte {a}")
     return struct.unpack(">d" if b - a == 8 else ">f", data[a:b])[0] if b > a else 0.0
 
 
@@ -216,7 +244,8 @@ def parse(data: bytes) -> Media:
                         inner = list(elements(data, i, j))
                         for m, k, z in inner:
                             if m == BLOCK:
-                                _block(data, k, z, start, media, not any(q[0] == 0xFB for q in inner))
+                                lasts = next((_number(data, q[1], q[2]) for q in inner if q[0] == BLOCK_DURATION), None)
+                                _block(data, k, z, start, media, not any(q[0] == REFERENCE for q in inner), lasts)
             elif part == CUES:
                 for n, i, j in elements(data, x, y):
                     if n == CUE_POINT:
@@ -225,12 +254,14 @@ def parse(data: bytes) -> Media:
 
 
 def _track(data: bytes, a: int, b: int) -> dict:
-    out = {"number": 0, "type": 0, "codec": "", "rate": 8000.0, "channels": 1, "depth": 0, "frame_ms": MS_PER_FRAME}
+    out = {"number": 0, "type": 0, "codec": "", "rate": 8000.0, "channels": 1, "depth": 0, "frame_ns": 0}
     for n, i, j in elements(data, a, b):
         if n == TRACK_NUMBER:
             out["number"] = _number(data, i, j)
         elif n == TRACK_TYPE:
             out["type"] = _number(data, i, j)
+        elif n == DEFAULT_DURATION:
+            out["frame_ns"] = _number(data, i, j)
         elif n == CODEC:
             out["codec"] = data[i:j].decode()
         elif n == AUDIO:
@@ -307,12 +338,17 @@ def features(media: DataFrame) -> DataFrame:
             rows = []
             for doc, n, data in zip(batch.column("doc_id").to_pylist(), batch.column("n_bytes").to_pylist(), batch.column("media"), strict=True):
                 data = data.as_py()
+                if data is None:
+                    rows.append((doc, n, *[None] * 6))
+                    continue
                 found = parse(data)
                 payload = b"".join([data[p[2] : p[2] + p[3]] for p in found.packets])
                 starts = dict(found.clusters)
                 led = all(c[0] in starts and read_size(data, found.segment + c[2] + 4)[1] == starts[c[0]] for c in found.cues) and len(found.cues) == len(found.clusters)
-                track = found.tracks[0]
-                feature = f"{track['codec']};{track['depth']};packets={len(found.packets)};blocks={found.packets[-1][5] + 1};clusters={len(found.clusters)};cues={int(led)};ms={found.duration:.0f};mean={sum(payload) / len(payload):.4f};min={min(payload)};max={max(payload)}"
+                track = found.tracks[0] if found.tracks else {"codec": "", "depth": 0}
+                blocks = found.packets[-1][5] + 1 if found.packets else 0
+                sound = f"mean={sum(payload) / len(payload):.4f};min={min(payload)};max={max(payload)}" if payload else "mean=;min=;max="
+                feature = f"{track['codec']};{track['depth']};packets={len(found.packets)};blocks={blocks};clusters={len(found.clusters)};cues={int(led)};ms={found.duration:.0f};{sound}"
                 rows.append((doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), feature))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
