@@ -6,8 +6,9 @@ machine one turn at a time, so a long conversation is never held at once.  Each
 mark; only the text segments of trained roles have the loss flag.  A turn out of order is formatted like any other, and its
 segments have ``valid`` false.
 
-Marks inside texts are broken by a backslash after their first character, and a backslash is doubled, so no text holds a mark,
-and dropping each backslash before any character, but not the second of two, gives the text back.
+Every control string inside a text, alone or as part of a mark, is broken by a backslash after its first character, and a backslash
+is doubled, so no text holds a control string, and dropping each backslash before any character, but not the second of two,
+gives the text back.
 
 Cases: null text is empty; a null role is the empty role; a role that the template does not name is written with its name in a
 mark of its own and is out of order; turns with equal numbers are ordered by role and text; null turns come first; rows with a
@@ -34,16 +35,23 @@ class Role:
 
 @dataclass(frozen=True)
 class Template:
-    """Roles, the other roles' marks (with the role's name between the first two), and the machine: role -> roles it may follow;
-    the empty string is a conversation's beginning."""
+    """Roles, the other roles' marks (with the role's name between the first two), the machine: role -> roles it may follow, the
+    empty string being a conversation's beginning; and the control strings that all marks consist of, blanks aside."""
 
     roles: dict[str, Role]
     other: tuple[str, str, str]
     follows: dict[str, tuple[str, ...]]
+    controls: tuple[str, ...]
+
+    def __post_init__(self) -> None:
+        whole = re.compile(f"(?:{'|'.join(map(re.escape, self.marks()))}|\\s)*")
+        for mark in (*self.other, *(m for r in self.roles.values() for m in (r.before, r.after))):
+            if not whole.fullmatch(mark):
+                raise ValueError(f"the mark {mark!r} has more than control strings")
 
     def marks(self) -> list[str]:
-        found = {m.strip() for r in self.roles.values() for m in (r.before, r.after)} | {m.strip() for m in self.other}
-        return sorted(found - {""}, key=lambda m: (-len(m), m))
+        """The control strings, the longest first."""
+        return sorted(set(self.controls), key=lambda m: (-len(m), m))
 
     def pattern(self) -> re.Pattern:
         return re.compile(r"\\|" + "|".join(map(re.escape, self.marks())))
@@ -53,6 +61,7 @@ TEMPLATE = Template(
     roles={"system": Role("<<SYS>>\n", "\n<</SYS>>\n"), "user": Role("<s>[INST] ", " [/INST]"), "assistant": Role("<|reply|> ", " </s>\n", True)},
     other=("<<ROLE ", "<<TEXT>>\n", "\n<</ROLE>>\n"),
     follows={"system": ("",), "user": ("", "system", "assistant"), "assistant": ("user",)},
+    controls=("<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|reply|>", "<<ROLE", "<<TEXT>>", "<</ROLE>>"),
 )
 SEGMENT = "conv_id long, turn_no long, part int, text string, loss boolean, valid boolean"
 
@@ -156,7 +165,7 @@ def sql(template: Template = TEMPLATE) -> str:
     """DuckDB SQL for the query, over the view conversations."""
     quote = lambda s: "'" + s.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
     marks = "|".join(re.sub(r"([\[\]|/])", r"\\\1", m) for m in template.marks())
-    # every mark inside a text costs one character, and so does every backslash
+    # every control string inside a text costs one character, and so does every backslash
     extra = f"len(regexp_extract_all(text, {quote(marks)})) + length(text) - length(replace(text, chr(92), ''))"
     known = " ".join(f"WHEN {quote(n)} THEN {len(r.before) + len(r.after)}" for n, r in template.roles.items())
     follows = " OR ".join(f"(role = {quote(n)} AND before IN ({', '.join(map(quote, f))}))" for n, f in template.follows.items())

@@ -5,8 +5,8 @@ are its pages that the rules allow (trust) and block (distrust), each kind as a
 HTML to other hosts are host edges, weighted by number.  Trust follows the edges, each host giving it on in proportion to its
 links out; distrust goes against them, each host giving it to those that link to it.  Both are personalised PageRank, in
 steps until what is still to be given on is under ``tolerance`` of all seeds and no new host is reached; a host without edges keeps
-its seed, and what it would give on is lost.  judge_sql() is held to STEPS steps, so it agrees only where they are enough.  A page without a rule is blocked
-if its host's distrust is above ``ratio`` times its trust, and else allowed, also when it has no host.
+its seed, and what it would give on is lost.  A page without a rule is blocked if its host's distrust is above ``ratio`` times its
+trust, and else allowed, also when it has no host.
 
 Only (host, host, number of links) is shuffled, summed before the shuffle, so a host with a third of all pages is a row a task.
 The hosts' scores are broadcast to the pages if they are few (a counted number), and else joined by merge, where adaptive
@@ -24,10 +24,10 @@ from .scratch import keep, remove
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
-DAMPING, STEPS, RATIO = 0.85, 10, 1.0
+DAMPING, RATIO = 0.85, 1.0
 TOLERANCE, KEEP_EVERY = 1e-9, 5
 BROADCAST_HOSTS = 100_000
-LINK = r"(?i)<a\s[^>]*?href\s*=\s*[\"']?\s*(?:https?:)?//([^/?#\"'\s>]+)"
+LINK = r"(?i)<a\s(?:[^>]*?\s)?href\s*=\s*[\"']?\s*(?:https?:)?//([^/?#\"'\s>]+)"
 
 
 def host_of(url: Column) -> Column:
@@ -97,34 +97,30 @@ def judge(pages: DataFrame, rules=RULES, tolerance: float = TOLERANCE, damping:
     return ruled.join(F.broadcast(scores) if few else scores.hint("merge"), "host", "left").select("page_id", "host", "path", "rule", F.coalesce("by_rule", F.when(doubted, "block").otherwise("allow")).alias("verdict"), F.round(F.coalesce("trust", F.lit(0.0)), 6).alias("host_trust"), F.round(F.coalesce("distrust", F.lit(0.0)), 6).alias("host_distrust"))
 
 
-def judge_sql(rules=RULES, steps: int = STEPS, damping: float = DAMPING, ratio: float = RATIO) -> str:
-    """DuckDB SQL for judge() over the view pages."""
+def judge_sql(rules=RULES, damping: float = DAMPING, ratio: float = RATIO) -> str:
+    """DuckDB SQL for judge() over the view pages; a host's share is given on until it is under 1e-30."""
     whens, verdicts = [], []
     for says, text in sorted(rules, key=lambda r: -len(r[1])):
         host, slash, path = text.partition("/")
         fits = f"(host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{slash + path}')"
         whens.append(f"WHEN {fits} THEN '{text}'")
         verdicts.append(f"WHEN {fits} THEN '{says}'")
-    chain = "\n".join(
-        f""", r{i + 1} AS MATERIALIZED (SELECT kind, host, sum(seed) AS seed FROM (
-  SELECT m.kind, m.host, CAST({damping} AS DOUBLE) * m.part * r.seed AS seed FROM moves m JOIN r{i} r ON r.kind = m.kind AND r.host = m.giver
-  UNION ALL SELECT kind, host, (1 - CAST({damping} AS DOUBLE)) * seed FROM seeds) GROUP BY kind, host)"""
-        for i in range(steps)
-    )
     return f"""
-WITH parts AS (
+WITH RECURSIVE parts AS (
   SELECT page_id, html, coalesce(translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), '{UPPER}', '{LOWER}'), '') AS host,
     coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path FROM pages),
 ruled AS (SELECT page_id, html, host, path, CASE {' '.join(whens)} END AS rule, CASE {' '.join(verdicts)} END AS by_rule FROM parts),
 mine AS (SELECT host, by_rule, count(*) AS n FROM ruled WHERE by_rule IS NOT NULL GROUP BY ALL),
 seeds AS MATERIALIZED (SELECT CASE WHEN by_rule = 'allow' THEN 'trust' ELSE 'distrust' END AS kind, host,
   n::DOUBLE / sum(n) OVER (PARTITION BY by_rule) AS seed FROM mine),
-links AS (SELECT host AS src, translate(unnest(regexp_extract_all(html, '<a\\s[^>]*?href\\s*=\\s*["'']?\\s*(?:https?:)?//([^/?#"''\\s>]+)', 1, 'i')), '{UPPER}', '{LOWER}') AS dst FROM ruled),
+links AS (SELECT host AS src, translate(unnest(regexp_extract_all(html, '<a\\s(?:[^>]*?\\s)?href\\s*=\\s*["'']?\\s*(?:https?:)?//([^/?#"''\\s>]+)', 1, 'i')), '{UPPER}', '{LOWER}') AS dst FROM ruled),
 edges AS (SELECT src, dst, count(*) AS links FROM links WHERE src <> '' AND src <> dst GROUP BY ALL),
 both_ways AS (SELECT 'trust' AS kind, src AS giver, dst AS host, links FROM edges UNION ALL SELECT 'distrust', dst, src, links FROM edges),
 moves AS MATERIALIZED (SELECT kind, giver, host, links::DOUBLE / sum(links) OVER (PARTITION BY kind, giver) AS part FROM both_ways),
-r0 AS (SELECT kind, host, seed FROM seeds) {chain},
-scores AS (SELECT host, coalesce(sum(seed) FILTER (kind = 'trust'), 0) AS trust, coalesce(sum(seed) FILTER (kind = 'distrust'), 0) AS distrust FROM r{steps} GROUP BY host)
+flow AS (SELECT kind, host, (1 - CAST({damping} AS DOUBLE)) * seed AS seed FROM seeds
+  UNION ALL SELECT kind, host, seed FROM (
+    SELECT m.kind, m.host, sum(CAST({damping} AS DOUBLE) * m.part * f.seed) AS seed FROM flow f JOIN moves m ON m.kind = f.kind AND m.giver = f.host GROUP BY m.kind, m.host) WHERE seed > 1e-30),
+scores AS (SELECT host, coalesce(sum(seed) FILTER (kind = 'trust'), 0) AS trust, coalesce(sum(seed) FILTER (kind = 'distrust'), 0) AS distrust FROM flow GROUP BY host)
 SELECT page_id, ruled.host AS host, path, rule,
   coalesce(by_rule, CASE WHEN coalesce(distrust, 0) > CAST({ratio} AS DOUBLE) * coalesce(trust, 0) THEN 'block' ELSE 'allow' END) AS verdict,
   round(coalesce(trust, 0.0::DOUBLE), 6) AS host_trust, round(coalesce(distrust, 0.0::DOUBLE), 6) AS host_distrust

@@ -1,53 +1,69 @@
-"""WARC archives without repeated payloads.
+"""WARC archives without repeated payloads, and the resolving of their revisit records.
 
-Payloads are never shuffled to find copies: rows of (digest, page) are, as headers.  Of the pages with one SHA-256 digest and at
-least ``least_bytes``, the one with the smallest page_id is written as a response and the others as revisit records, which have
-headers of their own, name the response they revisit, and have no payload.  Each partition of pages writes its own archive
-files, each record a gzip member, under draft names that are renamed when complete, so a task can run again.
+Payloads are never shuffled to find copies: headers (digest, page, place) are.  Of the pages with one SHA-256 digest and at least
+``least_bytes``, the one with the smallest page_id is written as a response and the others as revisit records, which have headers of
+their own, name the response they revisit by record id, target and date, and have no payload.  Each partition writes its own
+archive files, each record a gzip member, under draft names that are renamed when complete, so a task can run again.
+
+``resolve`` reads archives back, joins revisit records to the responses with their payload digest, wherever in the archives
+those are, and gives every record its payload.  ``merge`` reads archives that may repeat payloads among each other, and
+writes them as one without repeats, with new headers; a revisit whose response is in none of them stays one.
 
 Digests that occur more than once are joined to the pages; they are broadcast only if they are few (a counted number), and
 else joined by shuffle, where adaptive execution splits a digest with very many pages.
 
-Cases: null html is an empty payload; null urls have no target header; line breaks in urls are percent-encoded; pages with equal
-page_id and payload are each a response or revisit by their page_id, so rows that repeat the smallest page_id are all
-responses; a null page_id revisits the smallest known page_id, and is a response if there is none; an empty table gives no
-files and no rows; other columns are not read.
+Cases: null html is an empty payload; null urls have no target header; urls stay as they are but for line breaks, which are
+percent-encoded; a record's id follows from its page_id and digest, and for rows that repeat both also from its place in the
+input, so that no id is used twice; pages with equal page_id and payload are each a response or revisit by their page_id, so rows that repeat the
+smallest page_id are all responses; a null page_id revisits the smallest known page_id, and is a response if there is none; an empty table
+gives no files and no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from datetime import UTC, datetime
 
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .scratch import keep, new_path, open_fs
+from .scratch import keep, new_path, open_fs, remove
 
 LEAST_BYTES, FILE_BYTES, BROADCAST_ROWS = 100, 1 << 28, 100_000
-DATE = "2024-01-01T00:00:00Z"
 SPACE = uuid.UUID("6f4f2a3e-6c0d-5a39-9a64-0b6a4d2f3c11")
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
+
+
+def record_id(page_id: int | None, digest: str, place: int | None) -> str:
+    """``place`` is None unless other rows have the same page and payload."""
+    return f"<urn:uuid:{uuid.uuid5(SPACE, f'{page_id} {digest} {place}')}>"
 
 
-def record_id(page_id: int | None) -> str:
-    return f"<urn:uuid:{uuid.uuid5(SPACE, str(page_id))}>"
+def _target(url: str) -> str:
+    return url.replace("\r", "%0D").replace("\n", "%0A")
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, original: int | None, date: str = DATE) -> bytes:
-    """One record, a revisit if it has an original."""
-    revisit = original is not None
-    block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload) + (b"" if revisit else payload)
-    target = [] if url is None else ["WARC-Target-URI: " + url.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A")]
-    lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {record_id(page_id)}", f"WARC-Date: {date}", *target]
-    if page_id is not None:
-        lines.append(f"X-Page-Id: {page_id}")
-    lines += [f"WARC-Payload-Digest: sha256:{digest}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
-    if revisit:
-        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(original)}", f"X-Refers-To-Page: {original}"]
+def record(row: dict) -> bytes:
+    """One record from page_id, url, date, payload, n (its bytes), digest, place, revisit, and of the response that is revisited, if it
+    is known, first_page, first_place, first_url and first_date."""
+    block = HTTP % row["n"] + (b"" if row["revisit"] else row["payload"])
+    lines = ["WARC/1.1", f"WARC-Type: {'revisit' if row['revisit'] else 'response'}", f"WARC-Record-ID: {record_id(row['page_id'], row['digest'], row['place'])}", f"WARC-Date: {row['date']}"]
+    if row["url"] is not None:
+        lines.append("WARC-Target-URI: " + _target(row["url"]))
+    if row["page_id"] is not None:
+        lines.append(f"X-Page-Id: {row['page_id']}")
+    lines += [f"WARC-Payload-Digest: sha256:{row['digest']}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
+    if row["revisit"]:
+        lines.append(f"WARC-Profile: {PROFILE}")
+        if row["first_page"] is not None:
+            lines += [f"WARC-Refers-To: {record_id(row['first_page'], row['digest'], row['first_place'])}", f"WARC-Refers-To-Date: {row['first_date']}", f"X-Refers-To-Page: {row['first_page']}"]
+            lines += [] if row["first_url"] is None else ["WARC-Refers-To-Target-URI: " + _target(row["first_url"])]
     return "\r\n".join(lines).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
@@ -67,13 +83,14 @@ def members(source, size: int = 1 << 20) -> Iterator[bytes]:
 
 
 def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
-    """A record's headers and block."""
+    """A record's headers, their names in lower case, and its block."""
     head, _, rest = raw.partition(b"\r\n\r\n")
     lines = head.decode("utf-8", "surrogatepass").split("\r\n")
     if not lines[0].startswith("WARC/"):
         raise ValueError("not a WARC record")
-    headers = dict(line.split(": ", 1) for line in lines[1:])
-    size = int(headers["Content-Length"])
+    pairs = (line.partition(":") for line in lines[1:])
+    headers = {name.strip().lower(): value.strip(" \t") for name, _, value in pairs}
+    size = int(headers["content-length"])
     if rest[size:] != b"\r\n\r\n":
         raise ValueError("a record's length doesn't fit")
     return headers, rest[:size]
@@ -94,14 +111,17 @@ def _write(folder: str, file_bytes: int, level: int):
                 out, number = None, number + 1
 
         for batch in batches:
-            for page, url, html, digest, original in zip(*(batch.column(c) for c in ("page_id", "url", "payload", "digest", "original")), strict=True):
+            columns = [batch.column(c) if c == "payload" else batch.column(c).to_pylist() for c in batch.schema.names]
+            for values in zip(*columns, strict=True):
+                row = dict(zip(batch.schema.names, values, strict=True))
                 if out is None:
                     fs.create_dir(root, recursive=True)
                     name = f"part-{task.partitionId():08d}-{number:04d}.warc.gz"
                     draft, n = f"{root}/.{name}-{task.taskAttemptId()}", 0
                     out = fs.open_output_stream(draft)
                 press = zlib.compressobj(level, zlib.DEFLATED, 31)
-                out.write(press.compress(record(page.as_py(), url.as_py(), html.as_py(), digest.as_py(), original.as_py())) + press.flush())
+                row["payload"] = row["payload"].as_py()
+                out.write(press.compress(record(row)) + press.flush())
                 n += 1
                 if out.tell() >= file_bytes:
                     close()
@@ -111,56 +131,112 @@ def _write(folder: str, file_bytes: int, level: int):
     return run
 
 
-def write_archives(pages: DataFrame, folder: str, least_bytes: int = LEAST_BYTES, file_bytes: int = FILE_BYTES, level: int = 4) -> DataFrame:
-    """Archives in a shared folder; returns file and records, one row per file."""
-    payload = F.coalesce(F.encode("html", "UTF-8"), F.lit(b"").cast("binary"))
-    rows = pages.select("page_id", "url", payload.alias("payload"))
-    digest = F.sha2("payload", 256).alias("digest")
-    large = rows.where(F.octet_length("payload") >= least_bytes).select("page_id", digest)
-    copied, _ = keep(large.groupBy("digest").agg(F.min("page_id").alias("first_page"), F.count("*").alias("copies")).where("copies > 1").select("digest", "first_page"), "copied")
-    few = copied.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    joined = rows.withColumn("digest", digest).join(F.broadcast(copied) if few else copied.hint("merge"), "digest", "left")
-    revisits = (F.col("first_page").isNotNull()) & (F.octet_length("payload") >= least_bytes) & ~F.col("page_id").eqNullSafe(F.col("first_page"))
-    todo = joined.select("page_id", "url", "payload", "digest", F.when(revisits, F.col("first_page")).alias("original"))
+def _few(table: DataFrame) -> DataFrame:
+    """For a join: broadcast if it has at most BROADCAST_ROWS rows, else joined by merge."""
+    return F.broadcast(table) if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else table.hint("merge")
+
+
+def _write_records(rows: DataFrame, folder: str, least_bytes: int, file_bytes: int, level: int) -> DataFrame:
+    """From page_id, url, date, payload, n, digest and gone (a revisit without payload) to archives; file and records, one row per file."""
+    spark = rows.sparkSession
+    rows = rows.withColumn("place", F.monotonically_increasing_id())
+    headers = rows.select("page_id", "digest", "place", "url", "date", "n", "gone")
+    own = ["page_id", "digest"]
+    pairs = headers.groupBy(*own).agg(F.count("*").alias("times"), F.max("n").alias("n"), F.min(F.when(~F.col("gone"), F.struct("place", "url", "date"))).alias("head"))
+    pairs, pairs_path = keep(pairs, "pairs")
+    # with the place only where a pair of page and payload repeats
+    first = F.struct("page_id", F.when(F.col("times") > 1, F.col("head.place")).alias("place"), F.col("head.url").alias("url"), F.col("head.date").alias("date"), "n")
+    copied = pairs.groupBy("digest").agg(F.sum("times").alias("times"), F.min(F.when(F.col("page_id").isNotNull() & F.col("head").isNotNull(), first)).alias("first")).where("times > 1")
+    copied = copied.select("digest", F.col("first.page_id").alias("first_page"), F.col("first.place").alias("first_place"), F.col("first.url").alias("first_url"), F.col("first.date").alias("first_date"))
+    copied, copied_path = keep(copied, "copied")
+    repeated, repeated_path = keep(pairs.where("times > 1").select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest")), "repeated")
+    joined = rows.join(_few(copied), "digest", "left").join(_few(repeated), F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("digest") == F.col("_digest")), "left")
+    later = F.col("first_page").isNotNull() & (F.col("n") >= least_bytes) & ~F.col("page_id").eqNullSafe(F.col("first_page"))
+    todo = joined.select("page_id", "url", "date", "payload", "n", "digest", F.when(F.col("_digest").isNotNull(), F.col("place")).alias("place"), (F.col("gone") | later).alias("revisit"), "first_page", "first_place", "first_url", "first_date")
     files, _ = keep(todo.mapInArrow(_write(folder, file_bytes, level), "file string, records long"), "archives")
+    remove(spark, pairs_path, copied_path, repeated_path)
     return files
 
 
-def _read(folder: str):
-    names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
-    types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
+def write_archives(pages: DataFrame, folder: str, least_bytes: int = LEAST_BYTES, file_bytes: int = FILE_BYTES, level: int = 4, date: str | None = None) -> DataFrame:
+    """Archives of pages (page_id, url, html) in a shared folder; returns file and records, one row per file.  ``date`` is the time of
+    capture in the form 2024-01-31T00:00:00Z, now if it is not given."""
+    date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+    rows = pages.select("page_id", "url", F.lit(date).alias("date"), F.coalesce(F.encode("html", "UTF-8"), F.lit(b"").cast("binary")).alias("payload"))
+    rows = rows.select("*", F.octet_length("payload").cast("long").alias("n"), F.sha2("payload", 256).alias("digest"), F.lit(False).alias("gone"))
+    return _write_records(rows, folder, least_bytes, file_bytes, level)
+
 
+COLUMNS = {"page_id": pa.int64(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64(), "payload": pa.binary(), "url": pa.string(), "date": pa.string(), "record_id": pa.string()}
+
+
+def _fields(raw: bytes, file: str) -> tuple | None:
+    """A record's columns; None if it is no response or revisit."""
+    headers, block = parse(raw)
+    kind = headers.get("warc-type")
+    if kind not in ("response", "revisit"):
+        return None
+    http, _, payload = block.partition(b"\r\n\r\n")
+    told = re.search(rb"(?im)^content-length:[ \t]*(\d+)", http)
+    digest = headers.get("warc-payload-digest", "").removeprefix("sha256:")
+    n = int(told[1]) if told else None if kind == "revisit" else len(payload)
+    if kind == "response":
+        own = hashlib.sha256(payload).hexdigest()
+        if n != len(payload) or digest not in ("", own) and len(digest) == 64:
+            raise ValueError(f"a payload of {file} isn't what its header says")
+        digest = own
+    page, refers = headers.get("x-page-id"), headers.get("x-refers-to-page")
+    return None if page is None else int(page), n, digest, kind, None if refers is None else int(refers), None if kind == "revisit" else payload, headers.get("warc-target-uri"), headers.get("warc-date"), headers.get("warc-record-id")
+
+
+def _read(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = open_fs(folder)
+        out = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), COLUMNS.values(), strict=True)], names=list(COLUMNS))
         for batch in batches:
             for file in batch.column("file").to_pylist():
                 with fs.open_input_stream(f"{root}/{file}", compression=None) as source:
                     rows, size = [], 0
                     for raw in members(source):
-                        headers, block = parse(raw)
-                        http, _, payload = block.partition(b"\r\n\r\n")
-                        n = int(http.rpartition(b"Content-Length: ")[2])
-                        revisit = headers["WARC-Type"] == "revisit"
-                        digest = headers["WARC-Payload-Digest"].removeprefix("sha256:")
-                        if not revisit and (len(payload) != n or hashlib.sha256(payload).hexdigest() != digest):
-                            raise ValueError(f"a payload of {file} isn't what its header says")
-                        page, refers = headers.get("X-Page-Id"), headers.get("X-Refers-To-Page")
-                        rows.append((None if page is None else int(page), n, digest, headers["WARC-Type"], None if refers is None else int(refers), None if revisit else payload))
-                        size += len(payload)
-                        if size > 1 << 23 or len(rows) >= 10_000:
-                            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+                        row = _fields(raw, file)
+                        if row is None:
+                            continue
+                        rows.append(row)
+                        size += len(raw)
+                        if size > 1 << 22 or len(rows) >= 10_000:
+                            yield out(rows)
                             rows, size = [], 0
                     if rows:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+                        yield out(rows)
 
     return run
 
 
 def read_archives(files: DataFrame, folder: str) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to and payload (null for revisits) of all records; a response
-    whose payload does not fit its digest is an error."""
+    """page_id, payload_bytes, payload_digest, record_type, refers_to, payload (null for revisits), url, date and record_id of all
+    responses and revisits; a response whose payload does not fit its digest is an error."""
     spread = files.repartition(max(1, min(files.count(), 100_000)), "file")
-    return spread.mapInArrow(_read(folder), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+    return spread.mapInArrow(_read(folder), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary, url string, date string, record_id string")
+
+
+def resolve(files: DataFrame, folder: str) -> DataFrame:
+    """read_archives with the payload of every record: a revisit has that of a response with its digest, of those the one with the
+    smallest page_id, in whatever file it is; null if there is none."""
+    records = read_archives(files, folder)
+    wanted = records.where("record_type = 'revisit'").select("payload_digest").distinct()
+    given = records.where("record_type = 'response'").join(wanted, "payload_digest", "left_semi")
+    given = given.groupBy("payload_digest").agg(F.min_by("payload", F.struct("page_id", "record_id")).alias("given"))
+    joined = records.join(given.hint("merge"), "payload_digest", "left")
+    return joined.select(*[F.coalesce("payload", "given").alias("payload") if c == "payload" else c for c in COLUMNS])
+
+
+def merge(files: DataFrame, folder: str, out: str, least_bytes: int = LEAST_BYTES, file_bytes: int = FILE_BYTES, level: int = 4) -> DataFrame:
+    """Archives without repeats, with new headers, of archives that may repeat payloads and hold revisits; file and records, one row per file."""
+    records, path = keep(read_archives(files, folder), "records")
+    rows = records.select("page_id", "url", "date", "payload", F.coalesce("payload_bytes", F.lit(0)).alias("n"), F.col("payload_digest").alias("digest"), (F.col("record_type") == "revisit").alias("gone"))
+    done = _write_records(rows, out, least_bytes, file_bytes, level)
+    remove(records.sparkSession, path)
+    return done
 
 
 def round_trip(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:

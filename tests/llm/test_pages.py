@@ -43,22 +43,78 @@ def test_warc_round_trip(spark, tmp_path):
     assert files.count() > 4 and sum(r.records for r in files.collect()) == len(page_rows())
 
 
+def test_warc_headers_and_resolving(spark, tmp_path):
+    df = spark.createDataFrame([(p, u, h) for p, u, h in page_rows()] + [(20, "http://x/a%20b", "z" * 300), (21, "http://x/a%2520b", "z" * 300), (2, "http://q/", "q")], "page_id long, url string, html string")
+    folder = str(tmp_path / "a")
+    # revisits come before their responses, and in other files
+    files = wa.write_archives(df.repartition(5).sortWithinPartitions(df.page_id.desc()), folder, file_bytes=400, date="2024-01-31T00:00:00Z")
+    rows = wa.read_archives(files, folder).collect()
+    assert len({r.record_id for r in rows}) == len(rows) == df.count() and {r.date for r in rows} == {"2024-01-31T00:00:00Z"}
+    assert {r.page_id: r.url for r in rows if r.page_id in (4, 9, 20, 21)} == {4: None, 9: "weird%0D%0Aurl", 20: "http://x/a%20b", 21: "http://x/a%2520b"}
+    html = {p: (h or "").encode() for p, _, h in map(tuple, df.collect())}
+    full = wa.resolve(files, folder).collect()
+    assert len(full) == len(rows) and all(r.payload == html[r.page_id] for r in full)
+    heads = {}
+    for name in sorted(f.file for f in files.collect()):
+        with open(f"{folder}/{name}", "rb") as source:
+            for raw in wa.members(source):
+                h, _ = wa.parse(raw)
+                heads[h["warc-record-id"]] = h
+    revisits = [h for h in heads.values() if h["warc-type"] == "revisit"]
+    assert len(revisits) > 4
+    for h in revisits:
+        first = heads[h["warc-refers-to"]]
+        assert first["warc-type"] == "response" and first["warc-payload-digest"] == h["warc-payload-digest"] and first["warc-date"] == h["warc-refers-to-date"]
+        assert first.get("warc-target-uri") == h.get("warc-refers-to-target-uri")
+
+
+def test_warc_merge(spark, tmp_path):
+    schema, one, two, out = "page_id long, url string, html string", str(tmp_path / "one"), str(tmp_path / "two"), str(tmp_path / "out")
+    first = spark.createDataFrame([(5, "http://a/", "k" * 200), (6, "http://b/", "k" * 200), (7, "http://c/", "short")], schema)
+    more = spark.createDataFrame([(2, "http://d/", "k" * 200), (8, "http://e/", "m" * 150)], schema)
+    a = wa.write_archives(first, one, date="2023-01-01T00:00:00Z").collect()
+    b = wa.write_archives(more, two, date="2024-01-01T00:00:00Z").collect()
+    (tmp_path / "both").mkdir()
+    names = []
+    for k, (folder, rows) in enumerate(((one, a), (two, b))):
+        for r in rows:
+            names.append((f"{k}-{r.file}", r.records))
+            (tmp_path / "both" / names[-1][0]).write_bytes((tmp_path / folder / r.file).read_bytes())
+    files = wa.merge(spark.createDataFrame(names, "file string, records long"), str(tmp_path / "both"), out)
+    got = {r.page_id: r for r in wa.read_archives(files, out).collect()}
+    assert {p: (r.record_type, r.refers_to) for p, r in got.items()} == {2: ("response", None), 5: ("revisit", 2), 6: ("revisit", 2), 7: ("response", None), 8: ("response", None)}
+    # page 5 had the payload, 6 only named it: 6 alone keeps nothing, but its response is found in the merged archives
+    assert {r.page_id: r.payload for r in wa.resolve(files, out).collect()} == {2: b"k" * 200, 5: b"k" * 200, 6: b"k" * 200, 7: b"short", 8: b"m" * 150}
+    assert {p: r.date[:4] for p, r in got.items()} == {2: "2024", 5: "2023", 6: "2023", 7: "2023", 8: "2024"}
+
+
+def one_record(page, payload, **more):
+    row = dict(page_id=page, url="http://x/", date="2024-01-01T00:00:00Z", payload=payload, n=len(payload), digest="0" * 64, place=None, revisit=False)
+    return wa.record({**row, **more})
+
+
 def test_warc_members_and_faults():
     import gzip
 
-    raw = [wa.record(i, "http://x/", b"a" * n, "0" * 64, None) for i, n in enumerate((0, 5, 70_000))]
+    raw = [one_record(i, b"a" * n) for i, n in enumerate((0, 5, 70_000))]
     data = b"".join(gzip.compress(r) for r in raw)
     for size in (7, 1 << 20):
         assert list(wa.members(io.BytesIO(data), size)) == raw
     with pytest.raises(ValueError):
         list(wa.members(io.BytesIO(data[:-9])))
     headers, block = wa.parse(raw[1])
-    assert block.endswith(b"aaaaa") and headers["WARC-Type"] == "response"
+    assert block.endswith(b"aaaaa") and headers["warc-type"] == "response"
     with pytest.raises(ValueError):
         wa.parse(raw[1][:-1])
+    with pytest.raises(ValueError):
+        wa._fields(raw[1], "file")  # its digest isn't the payload's
+    other = b"WARC/1.0\r\nwarc-type:request\r\ncontent-length: 3\r\n\r\nGET\r\n\r\n"
+    assert wa._fields(other, "file") is None
+    bare = b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Payload-Digest: sha1:ABC\r\nContent-Length: 16\r\n\r\nHTTP/1.1 200\r\n\r\n\r\n\r\n"
+    assert wa._fields(bare, "file")[1:4] == (0, hashlib.sha256(b"").hexdigest(), "response")
 
 
-def plain_judge(rows, steps=lt.STEPS, d=lt.DAMPING):
+def plain_judge(rows, steps=400, d=lt.DAMPING):
     import re
 
     def parts(url):
@@ -77,7 +133,7 @@ def plain_judge(rows, steps=lt.STEPS, d=lt.DAMPING):
         if best[1]:
             k = "trust" if best[1] == "allow" else "distrust"
             seeds[k, host] = seeds.get((k, host), 0) + 1
-        for link in re.findall(r"(?i)<a\s[^>]*?href\s*=\s*[\"']?\s*(?:https?:)?//([^/?#\"'\s>]+)", h or ""):
+        for link in re.findall(r"(?i)<a\s(?:[^>]*?\s)?href\s*=\s*[\"']?\s*(?:https?:)?//([^/?#\"'\s>]+)", h or ""):
             if host and link.lower() != host:
                 edges[host, link.lower()] = edges.get((host, link.lower()), 0) + 1
     score = {}
@@ -104,7 +160,7 @@ def judged_rows():
     rows = [(1, None, None), (2, "no scheme", "<a href='//x.org/'>"), (3, "http://", ""), (4, "x://ORG/", None), (5, "http://news.com/de/1?x=/fr/", ""), (6, "http://news.com?de", ""), (7, "http://org", ""), (8, "a://b://c/d", "")]
     for i in range(120):
         h = rng.choice(hosts)
-        links = "".join(f'<a class=x href="http://{rng.choice(hosts)}/p">l</a>' for _ in range(rng.choice([0, 1, 3])))
+        links = "".join(f'<a data-href="http://{rng.choice(hosts)}/q" class=x href="http://{rng.choice(hosts)}/p">l</a>' for _ in range(rng.choice([0, 1, 3])))
         rows.append((10 + i, f"https://{h}{rng.choice(['/es/', '/en/1', '/en/2', '/fr/x', '/de/y#z', '', '/?q'])}", links))
     return rows
 
@@ -131,13 +187,17 @@ def test_trust_spreads_to_its_end(spark):
     many = [f"m{i}.net" for i in range(40)] + ["evil.com", "good.com"]
     rows += [(100 + i, f"http://{h}/", "".join(f"<a href='http://{rng.choice(many)}/'>" for _ in range(2))) for i, h in enumerate(many * 2)]
     got = rows_of(lt.judge(spark.createDataFrame(rows, "page_id long, url string, html string")), ["page_id", "host", "path", "rule", "verdict"])
-    assert got == plain_judge(rows, steps=400)
-    assert got != plain_judge(rows)  # ten steps are not enough here
+    assert got == plain_judge(rows)
+    assert got != plain_judge(rows, steps=10)  # ten steps are not enough here
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?, ?)", rows)
+    assert sorted(con.execute(f"SELECT page_id, host, path, rule, verdict FROM ({lt.judge_sql()})").fetchall(), key=str) == got
     assert {v for _, h, _, _, v in got if h == chain[-1]} == {"block"}
 
 
 CHATS = [
-    (1, 0, "system", "be kind"), (1, 1, "user", "hi \\ <s>[INST] \\n"), (1, 2, "assistant", " x </s> <\\/s> <|reply|> \n"), (2, 0, "assistant", "first"), (2, 1, "user", None), (2, 2, "user", ""),
+    (1, 0, "system", "be kind"), (1, 1, "user", "hi \\ <s>[INST] \\n"), (1, 2, "assistant", " x </s> <\\/s> <|reply|> \n"), (2, 0, "assistant", "first [INST] <s> [/INST] <<SYS>> <</SYS>> <<ROLE"), (2, 1, "user", None), (2, 2, "user", ""),
     (3, 0, None, "none"), (3, 1, "to<<TEXT>>ol", "<</ROLE>> é 😀"), (None, 0, "user", "null"), (4, None, "assistant", "late"), (4, 0, "user", "early"), (4, 0, "user", "early"),
 ]
 
