@@ -6,17 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat_format, curve_packing, decontaminate, importance, link_trust, lm_scoring, matroska, simhash_dedup, token_store, warc_archive
+from . import chat_format, curve_packing, decontaminate, importance, link_trust, lm_scoring, matroska, pipeline, simhash_dedup, token_store, warc_archive
+from .tokens import tokenizer_path
 
 Query = Callable[[SparkSession, str], DataFrame]
-WORD_BPE = "word_bpe_49k.json"
-
-
-def tokenizer_path(name: str = WORD_BPE) -> str:
-    """Where the public tokenizer files are; the same on every machine."""
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +56,8 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc_archive.round_trip(pages(spark, sf_dir)).drop("payload")
+    read = warc_archive.round_trip(pages(spark, sf_dir))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op9_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,9 +83,7 @@ OPERATORS = (
 
 
 def queries() -> dict[str, Query]:
-    import corpus_pipeline  # it imports this module
-
-    return {f.__name__: f for f in OPERATORS} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in OPERATORS} | {"pipeline": pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -39,7 +39,7 @@ from .wordhash import CHUNK, pieces, utf8
 
 SHINGLE, RADIUS, TILE_ROWS = 3, 2, 8192
 WORDS = 4
-NEAR_SHINGLE, THRESHOLD, LANES, SLACK, NEAR_TILE_ROWS = 5, 0.8, 16, 1.0, 32_768
+NEAR_SHINGLE, THRESHOLD, LANES, SLACK, NEAR_TILE_ROWS = 5, 0.8, 16, 1.0, 8192
 FIRST_LANE = 26  # pairs whose first lanes differ in more bits aren't looked at further
 PAIRS = 1 << 18  # compared at a time
 LANE_KEYS = np.random.default_rng(20).integers(1, 1 << 63, LANES, dtype=np.uint64) | np.uint64(1)

@@ -144,7 +144,7 @@ def test_one_of_each_matches_exact_similarity(spark):
     want, close = plain_heads(rows, 0.8)
     assert not close and 5 < len(want) < len(rows) - 10
     df = spark.createDataFrame([(d, t, "x", 1) for d, t in rows], "doc_id long, text string, words string, near_row int").repartition(3)
-    for tile in (32_768, 3):
+    for tile in (8192, 3):
         kept = sd.one_of_each(df, tile_rows=tile)
         assert kept.columns == df.columns
         assert sorted(r.doc_id for r in kept.collect()) == sorted(d for d, _ in want)
