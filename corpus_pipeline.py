@@ -1,48 +1,5 @@
-"""The corpus pipeline: quality classifier, SimHash near-dedup, benchmark decontamination, packing.
+"""The corpus pipeline: quality classifier, SimHash near-dedup, benchmark decontamination, packing (see sourceloom/llm/pipeline.py)."""
 
-Each stage takes what the one before kept, written as Parquet and read again.  All but the last return the columns of
-documents; the last returns the pieces of the packed sequences with their ids.
-"""
+from sourceloom.llm.pipeline import ORACLE_SQL, STAGES, decontaminated, near_dedup, packed, quality, run
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-
-from sourceloom.llm import curve_packing, decontaminate, importance, simhash_dedup
-from sourceloom.llm.queries import tokenizer_path
-from sourceloom.llm.scratch import keep
-
-
-def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that importance resampling draws."""
-    return importance.keep_selected(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-
-
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked SimHashes."""
-    return simhash_dedup.one_of_each(docs)
-
-
-def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that hold no benchmark item."""
-    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), short=True)
-
-
-def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 4096 ids along the Hilbert curve."""
-    return curve_packing.pack(docs, tokenizer_path())
-
-
-STAGES = [("quality", quality), ("near_dedup", near_dedup), ("decontaminate", decontaminated), ("pack", packed)]
-
-#: Hashes of hashed n-grams, XXH64 fingerprints and a tokenizer are beyond SQL; tests hold the stages against brute force.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs, _ = keep(docs, f"stage-{name}")
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "decontaminated", "near_dedup", "packed", "quality", "run"]
