@@ -39,6 +39,7 @@ ANSWER_TYPE = "block long, kind int, part int, data binary, total long, distinct
 OUT = {"doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "train_tokens": pa.int64(), "base_score": pa.float64(), "score": pa.float64()}
 OUT_TYPE = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 END_WORD = b""  # no word is empty
+NO_VALUE = (1 << 24) - 1
 Counts = tuple[np.ndarray, np.ndarray]
 
 
@@ -62,6 +63,24 @@ def unpack(data: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
+def pack_logs(values: np.ndarray) -> bytes:
+    """Values of log10 P, 0 down to -16 or NaN, in steps of 2**-20, three bytes each."""
+    steps = np.where(np.isnan(values), NO_VALUE, np.rint(np.minimum(np.nan_to_num(-values, nan=0.0) * (1 << 20), NO_VALUE - 1))).astype("<u4")
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 4)[:, :3].T).tobytes())
+
+
+def unpack_logs(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8).reshape(3, -1).astype(np.uint32)
+    steps = planes[0] | planes[1] << 8 | planes[2] << 16
+    return np.where(steps == NO_VALUE, np.float32(np.nan), (steps * np.float64(-(2.0**-20))).astype(np.float32))
+
+
+def ascending(codes: np.ndarray) -> np.ndarray:
+    """The distinct ones in order, by sorting, which is faster here than numpy's hashing."""
+    codes = np.sort(codes)
+    return codes[np.concatenate((np.ones(min(1, len(codes)), dtype=bool), codes[1:] != codes[:-1]))]
+
+
 def _rows(types: dict[str, pa.DataType], rows: list[dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r.get(c) for r in rows], t) for c, t in types.items()], names=list(types))
 
@@ -221,9 +240,9 @@ def _gram_answers(part: int, asked: list[tuple], up: st.Top, least: int, depth:
     code, n = _merge(some)
     del some
     value, contexts = st.part(code, n, up, least, depth)
-    ends = np.unique(code[~np.isnan(value)] >> np.uint64(8) & np.uint64(255)).tolist()
+    ends = np.flatnonzero(np.bincount((code[~np.isnan(value)] >> np.uint64(8) & np.uint64(255)).astype(np.int64))).tolist()
     for block, codes, _ in asked:
-        yield {"block": block, "kind": GRAMS, "part": part, "data": pack(value[np.searchsorted(code, unpack(codes, "<u8"))])}
+        yield {"block": block, "kind": GRAMS, "part": part, "data": pack_logs(value[np.searchsorted(code, unpack(codes, "<u8"))])}
     yield {"kind": GRAMS, "part": part, "total": contexts, "ends": ends}
 
 
@@ -304,16 +323,15 @@ def _finish(depth: int, model):
             code, seen = np.zeros(0, dtype=np.uint64), {}
             fresh, size = [], 0
             for some in texts():
-                fresh.append(np.unique(some.codes(depth)[0]))
+                fresh.append(ascending(some.codes(depth)[0]))
                 size += len(fresh[-1])
                 if size > MERGE_CODES:
-                    code, fresh, size = np.unique(np.concatenate((code, *fresh))), [], 0
+                    code, fresh, size = ascending(np.concatenate((code, *fresh))), [], 0
                 for own in some.words():
                     seen.update(dict.fromkeys(own))
-            code = np.unique(np.concatenate((code, *fresh)))
-            order, _ = _by_part(code)
+            code = ascending(np.concatenate((code, *fresh)))
             value = np.empty(len(code), dtype=np.float32)
-            value[order] = np.concatenate([unpack(d, "<f4") for d in held[GRAMS]])
+            value[_by_part(code)[0]] = np.concatenate([unpack_logs(d) for d in held[GRAMS]])
             bare = np.isnan(value)
             value[bare] = first[st.low(code[bare], 1).astype(np.int64)]
             counts = np.concatenate([unpack(d, "<i8") for d in held[WORDS]])
@@ -323,9 +341,12 @@ def _finish(depth: int, model):
             open_sums = np.zeros(4)  # of a text that goes on: tokens, known ones, base score, score
             for some in texts():
                 codes, owner = some.codes(depth)
-                n = len(some.docs)
+                order, n = np.argsort(codes), len(some.docs)
+                codes, owner = codes[order], owner[order]
+                new = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1])))
+                logs = np.repeat(value[np.searchsorted(code, codes[new])], np.diff(np.append(new, len(codes))))
                 tokens = [np.fromiter(map(slot.__getitem__, own), dtype=np.int64, count=len(own)) for own in some.words()]
-                score = np.bincount(owner, value[np.searchsorted(code, codes)], n)
+                score = np.bincount(owner, logs, n)
                 sums = np.array([[len(t), known[t].sum(), weight[t].sum(), s] for t, s in zip(tokens, score, strict=True)])
                 sums[0] += open_sums
                 open_sums = sums[-1] if some.open else np.zeros(4)
