@@ -20,14 +20,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from . import suffix_tree as st
 from .scratch import keep, remove
-from .wordhash import CHUNK, pieces, utf8
+from .wordhash import CHUNK, Words, pieces, utf8
 
 BLOCK_BYTES, MERGE_CODES, WORD_PARTS = 1 << 23, 1 << 20, 512
 HELD_OUT_OF, HELD_OUT = 7, 2
@@ -85,6 +84,16 @@ def _rows(types: dict[str, pa.DataType], rows: list[dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r.get(c) for r in rows], t) for c, t in types.items()], names=list(types))
 
 
+def press(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(data)
+
+
+def _spans(part: np.ndarray) -> list[tuple[int, int]]:
+    """Where runs of one value begin and end."""
+    cut = np.flatnonzero(np.concatenate((np.ones(min(1, len(part)), dtype=bool), part[1:] != part[:-1]))).tolist()
+    return list(zip(cut, [*cut[1:], len(part)], strict=False))
+
+
 def _by_part(code: np.ndarray) -> Counts:
     """The order of sorted grams by part of the tree, then gram; and the parts in that order."""
     part = st.bucket_of(code)
@@ -92,14 +101,6 @@ def _by_part(code: np.ndarray) -> Counts:
     return order, part[order]
 
 
-def _words_by_part(words) -> list[tuple[int, list[bytes]]]:
-    """Words by part of the dictionary, ascending in both."""
-    parts: dict[int, list[bytes]] = {}
-    for w in words:
-        parts.setdefault(xxhash.xxh3_64_intdigest(w) % WORD_PARTS, []).append(w)
-    return [(p, sorted(parts[p])) for p in sorted(parts)]
-
-
 class Texts:
     """Some texts, or a piece of one, in normal form: words with one blank between them, texts with END between them.
 
@@ -128,12 +129,29 @@ class Texts:
         """What the next piece has as its head."""
         return ((self.head or b"\n") + self.data)[-depth:] if self.open else b""
 
-    def words(self) -> list[list[bytes]]:
-        """Each text's words, with its end."""
-        out = [t.split() for t in self.data.split(b"\n")]
-        for words in out[: len(out) - self.open]:
-            words.append(END_WORD)
-        return out
+    def tokens(self) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
+        """The words without the ends: all of them, one of each kind, each one's kind, and its text."""
+        w = Words([self.data])
+        _, one, kind = w.kinds()
+        begin = np.cumsum([0, *(n + 1 for n in self.sizes[:-1])])
+        first = np.searchsorted(w.start, begin)
+        return w, one, kind, np.repeat(np.arange(len(first)), np.diff(np.append(first, len(w.start))))
+
+
+class Vocabulary:
+    """The distinct words of a block, from those of its parts, in an order that follows from the texts: by part of the dictionary and hash.
+
+    ``data`` and ``bounds`` give the words' bytes, ``part`` their parts, and ``place`` where each word that was added stands."""
+
+    def __init__(self, added: list[bytes]):
+        w = Words([b"".join(added)])
+        hashes, one, kind = w.kinds()
+        part = (hashes % np.uint64(WORD_PARTS)).astype(np.int64)
+        order = np.lexsort((hashes, part))
+        place = np.empty(len(order), dtype=np.int64)
+        place[order] = np.arange(len(order))
+        self.part, self.place = part[order], place[kind]
+        self.data, self.bounds = w.joined(one[order])
 
 
 def _normal(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[Texts]:
@@ -170,48 +188,47 @@ def _blocks(depth: int):
         task, number, held = TaskContext.get().partitionId(), 0, 0
         rows: list[dict] = []
         grams: list[Counts] = []
-        words: dict[bytes, int] = {}
+        words: list[bytes] = []
+        counts: list[np.ndarray] = []
+        training = 0
 
         def block() -> Iterator[pa.RecordBatch]:
             nonlocal number
             tag = {"block": task << 32 | number}
             number += 1
             yield _rows(ROW, [{**r, **tag} for r in rows])
-            asked = [{**tag, "kind": WORDS, "part": p, "data": zstandard.ZstdCompressor(level=3).compress(b"\n".join(ws)), "counts": pack(np.array([words[w] for w in ws], dtype=np.uint32))} for p, ws in _words_by_part(words)]
-            yield _rows(ROW, asked)
+            known = Vocabulary(words)
+            n = np.bincount(known.place, np.concatenate(counts), len(known.part)).astype(np.uint32)
+            asked = [{**tag, "kind": WORDS, "part": int(known.part[a]), "data": press(known.data[known.bounds[a] : known.bounds[b] - 1]), "counts": pack(n[a:b])} for a, b in _spans(known.part)]
+            yield _rows(ROW, [*asked, {**tag, "kind": WORDS, "part": WORD_PARTS, "data": press(END_WORD), "counts": pack(np.array([training], dtype=np.uint32))}])
             code, n = _merge(grams)
             pair, back = np.unique(st.low(code, 1), return_inverse=True)
             yield _rows(ROW, [{**tag, "kind": TOP, "data": pack(pair), "counts": pack(np.bincount(back, n, len(pair)).astype(np.int64))}])
             order, part = _by_part(code)
             code, n = code[order], n[order].astype(np.uint32)
-            cut = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
-            spans = list(zip(cut.tolist(), [*cut[1:].tolist(), len(code)], strict=True))
-            yield _rows(ROW, [{**tag, "kind": GRAMS, "part": int(part[a]), "data": pack(code[a:b]), "counts": pack(n[a:b])} for a, b in spans])
-            for x in (rows, grams, words):
+            yield _rows(ROW, [{**tag, "kind": GRAMS, "part": int(part[a]), "data": pack(code[a:b]), "counts": pack(n[a:b])} for a, b in _spans(part)])
+            for x in (rows, grams, words, counts):
                 x.clear()
 
         for texts in _normal(batches, depth):
-            rows.append({"kind": TEXTS, "part": len(rows), "data": zstandard.ZstdCompressor(level=3).compress(texts.data), "docs": texts.docs, "sizes": texts.sizes, "open": texts.open})
+            rows.append({"kind": TEXTS, "part": len(rows), "data": press(texts.data), "docs": texts.docs, "sizes": texts.sizes, "open": texts.open})
             out = np.array([held_out(d) for d in texts.docs])
+            training += int((~out[: len(out) - texts.open]).sum())
             code, owner = texts.codes(depth)
             for held_back in (False, True):  # held-out texts' grams and words count 0
-                mine = code[out[owner] == held_back]
+                mine = code[out[owner] == held_back] if out.any() else code if not held_back else code[:0]
                 if len(mine):
                     some, n = np.unique(mine, return_counts=True)
                     grams.append((some, np.zeros_like(n) if held_back else n))
-            for held_back, own in zip(out, texts.words(), strict=True):
-                if held_back:
-                    for w in own:
-                        words.setdefault(w, 0)
-                else:
-                    for w in own:
-                        words[w] = words.get(w, 0) + 1
+            w, one, kind, owner = texts.tokens()
+            words.append(w.joined(one)[0])
+            counts.append(np.bincount(kind, ~out[owner], len(one)).astype(np.int64))
             if len(grams) > 8:
                 grams[:] = [_merge(grams)]
             held += len(texts.data)
             if held > BLOCK_BYTES and not texts.open:
                 yield from block()
-                held = 0
+                held = training = 0
         if rows:
             yield from block()
 
@@ -320,24 +337,22 @@ def _finish(depth: int, model):
                 head = some.tail(depth)
 
         def block() -> Iterator[pa.RecordBatch]:
-            code, seen = np.zeros(0, dtype=np.uint64), {}
-            fresh, size = [], 0
+            code, fresh, size, added = np.zeros(0, dtype=np.uint64), [], 0, []
             for some in texts():
                 fresh.append(ascending(some.codes(depth)[0]))
                 size += len(fresh[-1])
                 if size > MERGE_CODES:
                     code, fresh, size = ascending(np.concatenate((code, *fresh))), [], 0
-                for own in some.words():
-                    seen.update(dict.fromkeys(own))
+                w, one, *_ = some.tokens()
+                added.append(w.joined(one)[0])
             code = ascending(np.concatenate((code, *fresh)))
             value = np.empty(len(code), dtype=np.float32)
             value[_by_part(code)[0]] = np.concatenate([unpack_logs(d) for d in held[GRAMS]])
             bare = np.isnan(value)
             value[bare] = first[st.low(code[bare], 1).astype(np.int64)]
-            counts = np.concatenate([unpack(d, "<i8") for d in held[WORDS]])
-            slot = dict(zip((w for _, ws in _words_by_part(seen) for w in ws), range(len(counts)), strict=True))
-            weight = np.log10((counts + 1) / (total + distinct + 1))
-            known = counts > 0
+            counts = np.concatenate([unpack(d, "<i8") for d in held[WORDS]])  # the end's is the last
+            place, at = Vocabulary(added).place, 0
+            weight, known = np.log10((counts + 1) / (total + distinct + 1)), counts > 0
             open_sums = np.zeros(4)  # of a text that goes on: tokens, known ones, base score, score
             for some in texts():
                 codes, owner = some.codes(depth)
@@ -345,9 +360,12 @@ def _finish(depth: int, model):
                 codes, owner = codes[order], owner[order]
                 new = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1])))
                 logs = np.repeat(value[np.searchsorted(code, codes[new])], np.diff(np.append(new, len(codes))))
-                tokens = [np.fromiter(map(slot.__getitem__, own), dtype=np.int64, count=len(own)) for own in some.words()]
-                score = np.bincount(owner, logs, n)
-                sums = np.array([[len(t), known[t].sum(), weight[t].sum(), s] for t, s in zip(tokens, score, strict=True)])
+                _, one, kind, whose = some.tokens()
+                slot = place[at : at + len(one)][kind]
+                at += len(one)
+                ends = np.ones(n)
+                ends[n - some.open :] = 0
+                sums = np.stack([np.bincount(whose, minlength=n) + ends, np.bincount(whose, known[slot], n) + ends * known[-1], np.bincount(whose, weight[slot], n) + ends * weight[-1], np.bincount(owner, logs, n)], 1)
                 sums[0] += open_sums
                 open_sums = sums[-1] if some.open else np.zeros(4)
                 done = n - some.open

@@ -74,6 +74,51 @@ class Words:
             at, left = at + 8, left - 8
         return out
 
+    def same(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether the words numbered a and b are equal, byte by byte."""
+        size = self.end - self.start
+        out = size[a] == size[b]
+        live, at, by, left = np.flatnonzero(out), self.start[a][out], self.start[b][out], size[a][out]
+        while len(live):
+            out[live] = (self.eight[at] ^ self.eight[by]) & KEEP[np.minimum(left, 8)] == 0
+            more = (left > 8) & out[live]
+            live, at, by, left = live[more], at[more], by[more], left[more]
+            if len(live) and left.max() > LONG:
+                for i, x, y, n in zip(*(c[left > LONG].tolist() for c in (live, at, by, left)), strict=True):
+                    out[i] = self.buf[x + 8 : x + n].tobytes() == self.buf[y + 8 : y + n].tobytes()
+                short = left <= LONG
+                live, at, by, left = live[short], at[short], by[short], left[short]
+            at, by, left = at + 8, by + 8, left - 8
+        return out
+
+    def kinds(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes of the distinct words, ascending, a word of each, and the number of each word's kind.
+
+        Words of one hash are compared; where they differ, they get further hashes, until no two kinds share one."""
+        hashes, seed = self.hashes(), 2
+        while True:
+            order = np.argsort(hashes)
+            new = np.concatenate((np.ones(min(1, len(order)), dtype=bool), hashes[order[1:]] != hashes[order[:-1]]))
+            kind = np.cumsum(new) - 1
+            one = order[new]
+            unlike = ~self.same(order, one[kind]) if len(order) else new
+            if not unlike.any():
+                number = np.empty(len(order), dtype=np.int64)
+                number[order] = kind
+                return hashes[one], one, number
+            for i in order[np.isin(kind, kind[unlike])].tolist():
+                hashes[i] = xxhash.xxh3_64_intdigest(self.buf[self.start[i] : self.end[i]].tobytes(), seed)
+            seed += 1
+
+    def joined(self, some: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """The words numbered ``some`` with a line feed after each, and where each begins in that (len(some) + 1 bounds)."""
+        size = self.end[some] - self.start[some] + 1
+        bounds = np.concatenate(([0], np.cumsum(size)))
+        at = np.arange(bounds[-1]) + np.repeat(self.start[some] - bounds[:-1], size)
+        out = self.buf[at]
+        out[bounds[1:] - 1] = 10
+        return out.tobytes(), bounds
+
     def runs(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all runs of n bytes (8 at most) inside words, and the word of each."""
         count = np.maximum(self.end - self.start - n + 1, 0)

@@ -150,7 +150,26 @@ def test_long_texts_in_pieces(spark, monkeypatch):
         code, owner = p.codes(6)
         for k, d in enumerate(p.docs):
             codes.setdefault(d, []).extend(code[owner == k].tolist())
-            found.setdefault(d, []).extend(p.words()[k])
+            found.setdefault(d, []).extend(tokens_of(p, k))
     code, owner = whole[0].codes(6)
     for k, d in enumerate(whole[0].docs):
-        assert codes[d] == code[owner == k].tolist() and found[d] == whole[0].words()[k]
+        assert codes[d] == code[owner == k].tolist() and found[d] == tokens_of(whole[0], k)
+
+
+def tokens_of(texts, k):
+    w, one, kind, owner = texts.tokens()
+    return [w.buf[w.start[i] : w.end[i]].tobytes() for i in one[kind][owner == k].tolist()]
+
+
+def test_words_of_one_hash_are_told_apart(monkeypatch):
+    monkeypatch.setattr(lm_scoring.TaskContext, "get", staticmethod(lambda: type("Task", (), {"partitionId": lambda self: 0})()))
+    rows = [(d, " ".join(random.Random(d).choices(["ab", "ba", "abcdefghijkl", "abcdefghijkm", "x" * 200 + "y", "x" * 200 + "z"], k=40))) for d in range(30)]
+    monkeypatch.setattr(wordhash.Words, "hashes", lambda self: (self.end - self.start).astype("u8"))  # all words of one length collide
+    w = wordhash.Words([t.encode() for _, t in rows])
+    hashes, one, kind = w.kinds()
+    assert len(one) == len(set(hashes.tolist())) == 6
+    assert [w.buf[w.start[i] : w.end[i]].tobytes().decode() for i in one[kind].tolist()] == " ".join(t for _, t in rows).split()
+    blocks = [r for b in lm_scoring._blocks(3)(iter([lm_scoring.pa.RecordBatch.from_pydict({"doc_id": [d for d, _ in rows], "text": [t for _, t in rows]})])) for r in b.to_pylist()]
+    asked = [(lm_scoring.zstandard.ZstdDecompressor().decompress(r["data"]), lm_scoring.unpack(r["counts"], "<u4").tolist()) for r in blocks if r["kind"] == lm_scoring.WORDS and r["part"] < lm_scoring.WORD_PARTS]
+    got = {w.decode(): n for data, ns in asked for w, n in zip(data.split(b"\n"), ns, strict=True)}
+    assert got == Counter(w for d, t in rows if not lm_scoring.held_out(d) for w in t.split())
