@@ -3,14 +3,25 @@
 from __future__ import annotations
 
 STOPWORDS = (
-    "the a an and or of to in on for with is are was were be been being what how why when where which who whom this that these those "
-    "i you he she it we they me him her us them my your his its our their do does did doing have has had having can could should would "
-    "may might must will shall not no yes about into over under between from as at by if then than too very just also "
-    "tell tells telling told show shows showing showed shown give gives giving gave given know knows knowing knew known "
-    "explain explains explaining explained describe describes describing described detail details detailed detailing please kindly "
-    "need needs needed needing want wants wanted wanting like likes liked liking get gets getting got gotten make makes making made "
-    "take takes taking took taken say says saying said let lets letting specifically particularly actually"
-).split()
+    "the", "a", "an", "and", "or", "of", "to", "in", "on", "for", "with", "is", "are", "was", "were", "be", "been", "being", "what", "how", "why", "when", "where", "which", "who", "whom", "this",
+    "that", "these", "those", "i", "you", "he", "she", "it", "we", "they", "me", "him", "her", "us", "them", "my", "your", "his", "its", "our", "their", "do", "does", "did", "doing", "have", "has",
+    "had", "having", "can", "could", "should", "would", "may", "might", "must", "will", "shall", "not", "no", "yes", "about", "into", "over", "under", "between", "from", "as", "at", "by", "if",
+    "then", "than", "too", "very", "just", "also", "tell", "tells", "telling", "told", "show", "shows", "showing", "showed", "shown", "give", "gives", "giving", "gave", "given", "know", "knows",
+    "knowing", "knew", "known", "explain", "explains", "explaining", "explained", "describe", "describes", "describing", "described", "detail", "details", "detailed", "detailing", "please", "kindly",
+    "need", "needs", "needed", "needing", "want", "wants", "wanted", "wanting", "like", "likes", "liked", "liking", "get", "gets", "getting", "got", "gotten", "make", "makes", "making", "made",
+    "take", "takes", "taking", "took", "taken", "say", "says", "saying", "said", "let", "lets", "letting", "specifically", "particularly", "actually",
+)
+
+# Words of teaching and searching that name no subject; a parameter wherever they are used.
+GENERIC = (
+    "about", "above", "after", "all", "also", "and", "any", "are", "around", "article", "articles", "basic", "basics", "because", "been", "before", "beginner", "beginners", "best", "better", "between", "book", "books", "but", "can",
+    "case", "cases", "complete", "comprehensive", "concept", "concepts", "could", "course", "courses", "deep", "detail", "detailed", "details", "different", "documentation", "each", "easy", "example", "examples", "explain",
+    "explained", "few", "find", "first", "free", "from", "full", "general", "get", "give", "good", "great", "guide", "guides", "has", "have", "help", "here", "high", "how", "idea", "ideas", "include", "info", "information",
+    "into", "intro", "introduction", "its", "just", "know", "knowledge", "latest", "learn", "learned", "learning", "level", "levels", "like", "list", "look", "main", "make", "many", "more", "most", "much", "must", "need", "new",
+    "next", "not", "one", "only", "other", "others", "overview", "part", "practical", "practice", "provide", "quick", "related", "same", "search", "see", "several", "should", "show", "simple", "some", "step", "steps", "study",
+    "such", "than", "that", "the", "their", "them", "then", "there", "these", "they", "this", "those", "through", "topic", "topics", "tutorial", "tutorials", "use", "used", "using", "very", "was", "way", "what", "when", "where",
+    "which", "while", "who", "why", "will", "with", "within", "without", "work", "would", "you", "your",
+)
 
 STEM_SUFFIXES = ("ness", "ment", "tion", "sion", "ing", "ity", "ies", "es", "s")
 
@@ -52,3 +63,45 @@ COOLDOWNS = (300, 600, 1200, 1800)
 # Token matching: least shared prefix, least one-sided prefix and the length of the shorter that allows it, least inner part,
 # least length for fuzzy comparison, its length difference for anagrams, and its ratio.
 MIN_PREFIX, MIN_ONE_SIDED, SHORT_TOKEN, MIN_PART, MIN_FUZZY, FUZZY_SPREAD, FUZZY_RATIO = 5, 4, 6, 5, 5, 2, 0.80
+
+# Words of level, and generic words that form compounds.
+LEVEL_WORDS = (
+    "beginner", "beginners", "basic", "basics", "fundamental", "fundamentals", "intro", "introduction", "introductory", "advanced", "advance", "advances", "advancement", "advancements", "expert",
+    "intermediate", "mixed", "easy", "simple", "complete", "comprehensive", "quick", "fast", "slow", "crash", "from", "scratch", "step", "steps", "starter", "starting", "start", "for", "no", "prior",
+    "to", "and", "beyond", "up",
+)
+COMPOUND_WORDS = (
+    "learning", "learnings", "network", "networks", "networking", "model", "models", "modeling", "modelling", "system", "systems", "theory", "theories", "method", "methods", "methodology",
+    "methodologies", "analysis", "analyses", "design", "designs", "designing", "engineering", "engineer", "engineers", "science", "sciences", "scientific", "study", "studies", "studying", "process",
+    "processes", "processing", "data", "structure", "structures", "structural", "control", "controls", "controlling", "mining", "vision", "language", "languages", "search", "searching", "retrieval",
+    "retrieving", "recommendation", "recommendations", "recommender", "recognition", "detection", "detecting", "prediction", "predictions", "predicting", "classification", "classifications",
+    "classifying", "regression", "clustering", "cluster", "clusters", "optimization", "optimisation", "training", "inference", "generation", "generating", "translation", "translating", "constitution",
+    "constitutional", "framework", "frameworks", "law", "laws", "legal", "policy", "policies", "governance", "government", "governments", "parliament", "parliaments", "court", "courts", "rights",
+    "right", "treaty", "treaties", "agreement", "agreements", "protocol", "protocols",
+)
+
+# Wording around a topic.
+FILLERS = (
+    r"\b(?:i|i'm|im|we|we're)\s+(?:need|want|would like|require|am looking for|am searching for)\b",
+    r"\b(?:please|kindly|can you|could you|would you|help|me|us)\b",
+    r"\b(?:need|needs|want|wants|require|requires|show|give|tell|explain|provide|find|search|search for|look for|looking for)\b",
+    r"\b(?:detailed|details|detail|comprehensive|complete|in[- ]depth|deep)\b",
+    r"\b(?:fully|completely|totally|best|top|latest|greatest|ultimate|perfect|ideal)\b",
+    r"\b(?:the\s+)?(?:life|world|story|tale|idea|notion|concept|essence)\s+of\b",
+    r"\b(?:about|on|of|for|regarding|related to|related)\b",
+    r"\b(?:what|which|who|whom|whose|when|where|why|how)\b",
+    r"\b(?:is|are|was|were|do|does|did|to|from|with|without|in|at|by|as|be|been|being)\b",
+    r"\b(?:and|or|but|nor|so|yet|also|than|not|into|onto|upon|per|via)\b",
+    r"\b(?:a|an|the)\b",
+)
+
+# Kinds of records by what a question wants and by its level.
+INTENT_TYPES = {
+    "learn": ("course", "book", "documentation", "video"), "research": ("research_paper", "dataset", "repository"), "implement": ("repository", "model", "documentation"),
+    "compare": ("research_paper", "documentation"), "troubleshoot": ("documentation", "repository"), "explore": ("documentation", "research_paper", "book"),
+}
+LEVEL_TYPES = {
+    "beginner": ("course", "book", "documentation", "video"), "intermediate": ("course", "book", "documentation", "repository"), "advanced": ("research_paper", "repository", "documentation"),
+    "mixed": ("documentation", "course", "research_paper"), "balanced": ("documentation", "course", "research_paper"),
+}
+DEFAULT_TYPES = ("documentation", "course", "research_paper")

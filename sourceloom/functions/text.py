@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 from .fixed import STEM_SUFFIXES, STOPWORDS
 
+
+MARK = "\u0001"
+
+
 def clean(text: Column) -> Column:
     """Control characters and tags to nothing and blanks, white space collapsed and trimmed (no Unicode normal form)."""
     out = F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", "")
@@ -42,10 +48,24 @@ def meaningful(tokens_: Column) -> Column:
 
 
 def reduced(token: Column) -> Column:
-    """Light reduction of tokens longer than six: -ing, then -ies to -y, -es or -s."""
-    t = F.when(token.endswith("ing"), F.substring(token, F.lit(1), F.length(token) - 3)).otherwise(token)
-    cut = F.when(t.endswith("ies"), F.concat(F.substring(t, F.lit(1), F.length(t) - 3), F.lit("y"))).when(t.endswith("es"), F.substring(t, F.lit(1), F.length(t) - 2)).when(t.endswith("s"), F.substring(t, F.lit(1), F.length(t) - 1)).otherwise(t)
-    return F.when(F.length(token) <= 6, token).otherwise(cut)
+    """Light reduction of tokens longer than six: -ing, then -ies to -y (of five letters or more), -es or -s."""
+    less = lambda t, n: F.left(t, F.length(t) - n)
+    cut = lambda t: F.when(t.endswith("ies") & (F.length(t) > 4), F.concat(less(t, 3), F.lit("y"))).when(t.endswith("es"), less(t, 2)).when(t.endswith("s"), less(t, 1)).otherwise(t)
+    return F.when(F.length(token) <= 6, token).otherwise(let(F.when(token.endswith("ing"), less(token, 3)).otherwise(token), cut))
+
+
+def light_tokens(text: Column) -> Column:
+    """Runs of a-z, 0-9, +, # and . after lower-casing, without dots at their ends, lightly reduced; none of them empty."""
+    raw = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9+#.]+"), 0)
+    return F.filter(F.transform(F.transform(raw, lambda t: F.trim(t, F.lit("."))), reduced), lambda t: t != "")
+
+
+def sentence_length(text: Column) -> Column:
+    """Mean words (runs without blanks) a sentence of a cleaned text; 0 if it has no sentence."""
+    inner = F.trim(F.regexp_replace(text, "[.!?][.!? ]*", MARK), F.lit(MARK))
+    sentences = let(F.trim(inner), lambda t: F.when(F.replace(t, F.lit(MARK), F.lit("")) == "", F.lit(0)).otherwise(F.octet_length(t) - F.octet_length(F.replace(t, F.lit(MARK), F.lit(""))) + 1))
+    words = blank_count(F.trim(F.regexp_replace(text, "[ .!?]+", " ")))
+    return let(sentences, lambda n: F.when(n == 0, F.lit(0.0)).otherwise(words / n))
 
 
 def stem(token: Column) -> Column:
@@ -97,17 +117,38 @@ def distinct_ignoring_case(items: Column) -> Column:
     return F.filter(items, lambda x, i: F.array_position(lowered, F.lower(x)) == i + 1)
 
 
-#: A word of three or more vowel groups; it can't cross a word's end, so its matches are such words.
-HARD_WORD = "[b-df-hj-np-tv-xz0-9_]*[aeiouy]+[b-df-hj-np-tv-xz0-9_]+[aeiouy]+[b-df-hj-np-tv-xz0-9_]+[aeiouy][a-z0-9_]*"
+def ascii_words(text: Column, letters: str = "a-z0-9") -> Column:
+    """The runs of some ASCII characters of a lower-cased text, with one blank between them: one pass of one pattern."""
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), f"[^{letters}]+", " "))
+
+
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f uses it."""
+    return F.transform(F.array(value), f)[0]
+
+
+def blank_count(words: Column) -> Column:
+    """How many words a text of words with one blank between them has."""
+    return let(words, lambda w: F.when(w == "", F.lit(0)).otherwise(F.octet_length(w) - F.octet_length(F.replace(w, F.lit(" "), F.lit(""))) + 1))
+
+
+#: A word of three or more vowel groups.  It begins where a word does and gives nothing back, so a text is read once.
+HARD_WORD = r"(?<![a-z0-9_])[b-df-hj-np-tv-xz0-9_]*+[aeiouy]++[b-df-hj-np-tv-xz0-9_]++[aeiouy]++[b-df-hj-np-tv-xz0-9_]++[aeiouy][a-z0-9_]*+"
 
 
 def fog_grade(text: Column) -> Column:
     """Gunning fog: 0.4 * (words a sentence + percent of words of three or more vowel groups), 12 for no words, at most 20.
 
-    Words, hard words and sentences are counted by patterns, without arrays."""
-    low = F.lower(text)
-    words, hard = F.regexp_count(low, F.lit("[a-z0-9_]+")), F.regexp_count(low, F.lit(HARD_WORD))
-    sentences = F.regexp_count(text, F.lit(r"[^.!?]*[^.!?\s][^.!?]*"))
+    Words, hard words and sentences are counted by what is left after one replacement each; no arrays are made.  The grade
+    is long as an expression: make it a column of its own before it is used more than once."""
+    marks = lambda t: F.octet_length(t) - F.octet_length(F.replace(t, F.lit(MARK), F.lit("")))
+    words = let(ascii_words(text, "a-z0-9_"), lambda w: F.struct(blank_count(w).alias("words"), let(F.regexp_replace(w, HARD_WORD, MARK), marks).alias("hard")))
+    ends = F.regexp_replace(F.coalesce(text, F.lit("")), r"[.!?][.!?\s]*|^\s+|\s+$", MARK)
+    sentences = let(F.trim(ends, F.lit(MARK)), lambda t: F.when(t == "", F.lit(0)).otherwise(marks(t) + 1))
+    return let(F.struct(words.alias("w"), sentences.alias("s")), lambda n: _fog(n["w"]["words"], n["w"]["hard"], n["s"]))
+
+
+def _fog(words: Column, hard: Column, sentences: Column) -> Column:
     fog = 0.4 * (words / sentences + 100.0 * hard / words)
     return F.when((words == 0) | (sentences == 0), F.lit(12.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(20.0), fog)))
 

@@ -5,68 +5,127 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import text as tx, url as ul
+from .selection import first_of_each
 
 # A platform's part of a record's quality.
 PLATFORM_QUALITY = {"semantic_scholar": 0.5, "arxiv": 0.45, "openalex": 0.4, "github": 0.35, "huggingface": 0.3, "wikipedia": 0.25, "web": 0.1}
 
 
-def arxiv_id(raw: Column) -> Column:
-    return F.nullif(F.regexp_extract(F.lower(F.coalesce(raw, F.lit(""))), "([0-9]{4}\\.[0-9]{4,5})", 1), F.lit(""))
+# Forms of arXiv ids, in the order in which they are tried, with the group that is the id.
+ARXIV_FORMS = ((r"arxiv\.org/(?:abs|pdf)/([0-9]{4}\.[0-9]{4,5})(?:v[0-9]+)?", 1), (r"arxiv[./:]([0-9]{4}\.[0-9]{4,5})(?:v[0-9]+)?", 1), (r"^([0-9]{4}\.[0-9]{4,5})(?:v[0-9]+)?$", 1), (r"^(?:[a-z\-]+(?:\.[a-z\-]+)?/[0-9]{7})(?:v[0-9]+)?$", 0))
+ARXIV_COLUMNS = ("arxiv_raw", "meta_id", "external_arxiv", "url")
+QUALITY_PARTS = (("citation_count", 100.0, 3.0), ("stars", 1000.0, 2.0), ("downloads", 10_000.0, 1.0))
 
 
-def doi(raw: Column) -> Column:
-    """Without its prefix, lower-cased; must begin with 10., and not be one that names an arXiv paper."""
-    bare = F.regexp_replace(F.lower(F.trim(F.coalesce(raw, F.lit("")))), "^(https?://(dx\\.)?doi\\.org/|doi:)", "")
-    return F.when(bare.startswith("10.") & ~bare.startswith("10.48550/arxiv"), bare)
+def arxiv_id(*raw: Column) -> Column:
+    """The first arXiv id of the candidates, each tried in all forms."""
+    found = lambda c, form, group: F.nullif(F.regexp_extract(F.lower(F.trim(F.coalesce(c, F.lit("")))), form, group), F.lit(""))
+    return F.coalesce(*[found(c, form, group) for c in raw for form, group in ARXIV_FORMS])
+
+
+def doi(raw: Column, external: Column | None = None, url: Column | None = None) -> Column:
+    """The record's DOI, else the external one, else the url's; without its prefix, lower-cased; must begin with 10., and not be one that
+    names an arXiv paper."""
+    given = F.nullif(F.trim(F.coalesce(raw, F.lit(""))), F.lit(""))
+    if external is not None:
+        given = F.coalesce(given, F.nullif(F.trim(external), F.lit("")))
+    if url is not None:
+        given = F.coalesce(given, F.nullif(F.regexp_extract(F.lower(url), r"doi\.org/(10\.[^ \t\r\n]+)", 1), F.lit("")))
+    bare = F.regexp_replace(F.lower(given), r"https?://doi\.org/|doi:|doi\.org/", "")
+    return F.when(bare.startswith("10.") & ~bare.contains("arxiv"), bare)
 
 
 def dedupe_key() -> Column:
+    """By arXiv id, else DOI, else kind and title, else url where there is no title."""
     title = tx.normal_title(F.col("title"))
-    return F.coalesce(F.concat(F.lit("arxiv:"), arxiv_id(F.col("arxiv_raw"))), F.concat(F.lit("doi:"), doi(F.col("doi"))), F.when(title == "", F.concat(F.lit("url:"), ul.without_tracking(F.col("url")))), F.concat(F.lit("title:"), "source_type", F.lit(":"), title))
+    kind = F.when(F.col("source_type") == "repository", "repo").otherwise(F.col("source_type"))
+    return F.coalesce(
+        F.concat(F.lit("arxiv:"), arxiv_id(*map(F.col, ARXIV_COLUMNS))), F.concat(F.lit("doi:"), doi(F.col("doi"), F.col("external_doi"), F.col("url"))),
+        F.when(title == "", F.concat(F.lit("url:"), ul.without_tracking(F.col("url")))), F.concat(kind, F.lit(":"), title),
+    )
 
 
 def quality() -> Column:
     bonus = F.lit(0.0)
     for name, value in PLATFORM_QUALITY.items():
         bonus = F.when(F.col("platform") == name, value).otherwise(bonus)
-    part = lambda c, unit, most: F.coalesce(F.least(F.col(c) / unit, F.lit(most)), F.lit(0.0))
-    return (
-        F.least(F.length(F.coalesce("abstract", F.lit(""))) / 1000, F.lit(2.0)) + part("citation_count", 100, 3.0) + F.least(F.col("n_authors"), F.lit(5)) * 0.1
-        + F.when(F.col("year").isNotNull(), 0.3).otherwise(0.0) + F.when(F.coalesce("has_code", F.lit(False)), 0.5).otherwise(0.0) + part("stars", 1000, 2.0) + bonus
-    )
+    total = F.least(F.length(F.coalesce("abstract", F.lit(""))) / 1000, F.lit(2.0))
+    for column, unit, most in QUALITY_PARTS:
+        total = total + F.coalesce(F.least(F.col(column) / unit, F.lit(most)), F.lit(0.0))
+    total = total + F.least(F.col("n_authors"), F.lit(5)) * 0.1 + F.when(F.col("year").isNotNull() | F.col("published").isNotNull(), 0.3).otherwise(0.0)
+    return total + F.when(F.coalesce("has_code", F.lit(False)), 0.5).otherwise(0.0) + F.when(F.coalesce("has_pdf", F.lit(False)), 0.3).otherwise(0.0) + bonus
+
 
+FILLED = ("year", "published", "doi", "publisher", "description", "summary", "stars", "downloads")
 
-def merged_by_key(sources: DataFrame) -> DataFrame:
-    """One record a key: the best one's id and platform, the longest abstract's length, most citations, any code, the first known
-    year in input order, all distinct urls' number, and how many records it stands for.  Only aggregates that combine before
-    the shuffle are used, so a key with very many records is no burden."""
+
+def merged_by_key(sources: DataFrame, alternates: int = 5) -> DataFrame:
+    """One record a key.  The best one (by quality, then input order) gives id, title, url, platform and kind; the abstract is the longest, the
+    citations the most, code is known if any knows it, other fields are the first that is not null or empty, in order of quality; authors are
+    all names, each in its first spelling, urls the first ``alternates`` different ones.
+
+    Fields are aggregates that combine before the shuffle.  Names are reduced to one row each before they meet, and urls to the first few of
+    each part of a key and then of the key, so a key with very many records is no task's burden but by its number of names."""
     rows = sources.withColumn("key", dedupe_key()).withColumn("q", quality())
-    best = F.struct("q", (-F.col("ordinal")).alias("o"))
-    early = F.min(F.when(F.col("year").isNotNull(), F.struct("ordinal", "year")))
-    return rows.groupBy("key").agg(
-        F.max_by("source_id", best).alias("source_id"), F.max_by("platform", best).alias("platform"), F.round(F.max("q"), 6).alias("quality"),
-        F.max(F.length("abstract")).cast("long").alias("abstract_chars"), F.max("citation_count").alias("citation_count"), F.bool_or(F.coalesce("has_code", F.lit(False))).alias("has_code"),
-        early["year"].alias("year"), F.max("n_authors").alias("n_authors"), F.count("*").alias("duplicates"),
-    )
+    place = F.struct((-F.col("q")).alias("a"), F.col("ordinal").alias("b"))
+    best = lambda c: F.min_by(c, place).alias(c)
+    first = lambda c: F.min(F.when(F.col(c).isNotNull() & (F.col(c).cast("string") != ""), F.struct(place.alias("p"), F.col(c).alias("v"))))["v"].alias(c)
+    longest = F.max(F.struct(F.length(F.coalesce("abstract", F.lit(""))).alias("n"), F.col("q"), (-F.col("ordinal")).alias("o"), "abstract"))["abstract"].alias("abstract")
+    code = F.when(F.bool_or(F.coalesce("has_code", F.lit(False))), True).otherwise(F.min_by("has_code", place)).alias("has_code")
+    main = rows.groupBy("key").agg(*map(best, ("source_id", "title", "url", "platform", "source_type", "ordinal")), longest, F.max("citation_count").alias("citation_count"), code, *map(first, FILLED), F.round(F.max("q"), 6).alias("quality"), F.count("*").alias("duplicate_count"))
+    names = rows.select("key", place.alias("p"), F.posexplode(F.split("authors_raw", ";")).alias("pos", "name")).where("name <> ''")
+    names = names.groupBy("key", F.lower("name").alias("low")).agg(F.min(F.struct("p", "pos", "name")).alias("x"))
+    names = names.groupBy("key").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["name"]).alias("authors"))
+    urls = rows.groupBy("key", "url").agg(F.min(place).alias("p"))
+    urls = first_of_each(urls, "key", [F.asc("p")], alternates).groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "url"))), lambda x: x["url"]).alias("alternate_urls"))
+    return main.join(names, "key", "left").join(urls, "key", "left").withColumn("authors", F.coalesce("authors", F.array().cast("array<string>")))
 
 
 def exact_titles(sources: DataFrame, shortest: int = 8) -> DataFrame:
-    """The best record of each normalized title of enough letters; short titles stay."""
+    """Papers: the best record of each normalized title of enough letters; of what is left, the first record of each id."""
     key = tx.normal_title(F.col("title"))
     rows = sources.withColumn("title_key", key).withColumn("q", quality())
-    long_ = rows.where(F.length("title_key") >= shortest).groupBy("title_key").agg(F.max_by("source_id", F.struct("q", (-F.col("ordinal")).alias("o"))).alias("source_id"))
-    return long_.select("source_id").unionByName(rows.where(F.length("title_key") < shortest).select("source_id"))
+    long_ = (F.col("source_type") == "research_paper") & (F.length("title_key") >= shortest)
+    best = rows.where(long_).groupBy("title_key").agg(F.max_by(F.struct("source_id", "ordinal"), F.struct("q", (-F.col("ordinal")).alias("o"))).alias("s")).select("s.*")
+    return best.unionByName(rows.where(~long_).select("source_id", "ordinal")).groupBy("source_id").agg(F.min("ordinal").alias("ordinal")).select("source_id")
+
+
+LONGEST_TITLE = 500  # longer ones are no valid titles
 
 
 def fuzzy_titles(titles: DataFrame, prefix: int = 2, least_ratio: float = 0.85, length_ratio: float = 0.55) -> DataFrame:
     """Pairs of distinct titles (id, title) in one block of equal first letters, with 1 - levenshtein / longer length at or above
     the least ratio.  Blocks are joined on prefix and length, so only titles of near length meet."""
-    rows = titles.groupBy("title").agg(F.min("id").alias("id")).where(F.length("title") > prefix).select("id", "title", F.substring("title", 1, prefix).alias("block"), F.length("title").alias("n"))
+    rows = titles.groupBy("title").agg(F.min("id").alias("id")).where((F.length("title") > prefix) & (F.length("title") <= LONGEST_TITLE)).select("id", "title", F.substring("title", 1, prefix).alias("block"), F.length("title").alias("n"))
     reach = rows.withColumn("n2", F.explode(F.sequence(F.ceil(F.col("n") * least_ratio).cast("int"), F.col("n"))))
     a, b = reach.select(F.col("id").alias("id_a"), F.col("title").alias("ta"), "block", F.col("n").alias("na"), F.col("n2").alias("n")), rows.select(F.col("id").alias("id_b"), F.col("title").alias("tb"), "block", "n")
     pairs = a.join(b, ["block", "n"]).where((F.col("na") > F.col("n")) | (F.col("id_a") < F.col("id_b"))).where("id_a <> id_b").where(F.col("n") / F.col("na") >= length_ratio)
     most = F.floor((1 - least_ratio) * F.col("na") + 1e-9).cast("int")
-    return pairs.withColumn("d", F.levenshtein("ta", "tb")).where(F.col("d") <= most).select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"), F.round(1 - F.col("d") / F.col("na"), 6).alias("ratio"))
+    # with its bound a distance is given up, as -1, as soon as it is over it
+    return pairs.withColumn("most", most).withColumn("d", F.expr("levenshtein(ta, tb, most)")).where(F.col("d") >= 0).select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"), F.round(1 - F.col("d") / F.col("na"), 6).alias("ratio"))
+
+
+def without_losers(records: DataFrame, pairs: DataFrame) -> DataFrame:
+    """records (id, q) but for those that some pair (id_a, id_b) shows to be a worse copy: of lower quality, or later where both have the
+    same.  A record that lost to one that lost itself goes too, as groups keep their best."""
+    both = pairs.select(F.col("id_a").alias("id"), F.col("id_b").alias("other")).unionByName(pairs.select(F.col("id_b").alias("id"), F.col("id_a").alias("other")))
+    rated = both.join(records.select("id", "q"), "id").join(records.select(F.col("id").alias("other"), F.col("q").alias("oq")), "other")
+    losers = rated.where((F.col("oq") > F.col("q")) | ((F.col("oq") == F.col("q")) & (F.col("other") < F.col("id")))).select("id").distinct()
+    return records.join(losers, "id", "left_anti")
+
+
+def normalized(sources: DataFrame, longest: int = 2000, most_authors: int = 50) -> DataFrame:
+    """Records in normal form: title of three letters or more, valid url without tracking, abstract cut at ``longest``, authors each once
+    whatever their case, years and citations within range, and an id that follows from platform, url and title."""
+    title, url = tx.clean(F.col("title")), ul.without_tracking(F.col("url"))
+    names = F.filter(F.transform(F.split("authors_raw", ";"), tx.clean), lambda n: n != "")
+    rows = sources.withColumns({"title": title, "link": url, "names": F.slice(tx.distinct_ignoring_case(names), 1, most_authors)})
+    rows = rows.where((F.length("title") >= 3) & ul.is_valid(F.col("url")))
+    canonical = F.to_json(F.struct("platform", F.regexp_replace(F.lower("title"), " +", " ").alias("title"), F.col("link").alias("url")))
+    return rows.select(
+        F.sha2(canonical, 256).alias("source_id"), "ordinal", "title", F.col("link").alias("url"), "platform", "source_type", F.nullif(F.left(tx.clean(F.col("abstract")), F.lit(longest)), F.lit("")).alias("abstract"), F.col("names").alias("authors"),
+        F.when(F.col("year").between(0, 2100), F.col("year")).alias("year"), F.when(F.col("citation_count") >= 0, F.col("citation_count")).alias("citation_count"), "has_code", "difficulty",
+    )
 
 
 def drop_reason(min_title: int = 3, longest_abstract: int = 5000) -> Column:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import text as tx
 
 K1, B = 1.5, 0.75
+BROADCAST_QUERIES = 50_000
 
 
 def top_ranked(df: DataFrame, order: list[Column], limit: int, name: str = "rank") -> DataFrame:
@@ -18,29 +21,47 @@ def occurrences(tokens: Column, token: str) -> Column:
     return F.size(F.filter(tokens, lambda x: x == token))
 
 
-def asked(tokens: str, query: list[str]) -> Column:
-    """The tokens that the query has, found in one pass over the array."""
-    return F.filter(tokens, lambda x: x.isin(*query))
+def asked(words: Column, query: list[str]) -> Column:
+    """The tokens of a text of blank-separated words (tx.ascii_words) that the query has, found in one pass of one pattern."""
+    if not query:
+        return F.array().cast("array<string>")
+    return F.regexp_extract_all(words, F.lit(f"(?<![^ ])(?:{'|'.join(map(re.escape, query))})(?![^ ])"), 0)
+
+
+def counted(docs: DataFrame, query: list[str], text: str) -> DataFrame:
+    """docs with _n, the text's number of tokens, and _t, those of its tokens that the query has."""
+    rows = docs.withColumn("_w", tx.ascii_words(F.col(text)))
+    return rows.withColumns({"_n": tx.blank_count(F.col("_w")), "_t": asked(F.col("_w"), query)}).drop("_w")
 
 
 def corpus_stats(docs: DataFrame, query: list[str], text: str = "text") -> DataFrame:
     """One row: documents, mean length in tokens, and each query token's document frequency."""
-    toks = docs.select(tx.tokens(F.col(text)).alias("t")).select(F.size("t").alias("n"), asked("t", query).alias("t"))
-    return toks.agg(F.count("*").alias("n_docs"), F.avg("n").alias("avg_len"), *[F.count_if(F.array_contains("t", q)).alias(f"df_{i}") for i, q in enumerate(query)])
+    toks = counted(docs.select(text), query, text)
+    return toks.agg(F.count("*").alias("n_docs"), F.avg("_n").alias("avg_len"), *[F.count_if(F.array_contains("_t", q)).alias(f"df_{i}") for i, q in enumerate(query)])
+
+
+def squash(n_docs: Column) -> Column:
+    """c of s / (s + c): 1.0 to 50 documents, 2.5 to 500, 5.0 beyond."""
+    return F.when(n_docs <= 50, 1.0).when(n_docs <= 500, 2.5).otherwise(5.0)
+
+
+def idf(n_docs: Column, df: Column) -> Column:
+    return F.log((n_docs - df + 0.5) / (df + 0.5) + 1)
+
+
+def saturated(tf: Column, length: Column, avg_len: Column) -> Column:
+    """A term's weight by how often it occurs and how long the text is."""
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / F.greatest(avg_len, F.lit(1e-9))))
 
 
 def bm25(docs: DataFrame, query: list[str], text: str = "text") -> DataFrame:
-    """docs with bm25 and relevance = s / (s + c), c by corpus size: 1.0 to 50, 2.5 to 500, 5.0 beyond."""
-    toks = docs.withColumn("_t", tx.tokens(F.col(text))).withColumns({"_n": F.size("_t"), "_t": asked("_t", query)})
-    both = toks.crossJoin(F.broadcast(corpus_stats(docs, query, text)))
+    """docs with bm25 and relevance = s / (s + c), c by corpus size.  Every text is read; see index.search for stored postings."""
+    both = counted(docs, query, text).crossJoin(F.broadcast(corpus_stats(docs, query, text)))
     total = F.lit(0.0)
     for i, q in enumerate(query):
         tf = occurrences(F.col("_t"), q)
-        idf = F.log((F.col("n_docs") - F.col(f"df_{i}") + 0.5) / (F.col(f"df_{i}") + 0.5) + 1)
-        norm = tf + K1 * (1 - B + B * F.col("_n") / F.greatest("avg_len", F.lit(1e-9)))
-        total = total + F.when(tf > 0, idf * tf * (K1 + 1) / norm).otherwise(0.0)
-    squash = F.when(F.col("n_docs") <= 50, 1.0).when(F.col("n_docs") <= 500, 2.5).otherwise(5.0)
-    scored = both.withColumn("bm25", total).withColumn("relevance", F.col("bm25") / (F.col("bm25") + squash))
+        total = total + F.when(tf > 0, idf(F.col("n_docs"), F.col(f"df_{i}")) * saturated(tf, F.col("_n"), F.col("avg_len"))).otherwise(0.0)
+    scored = both.withColumn("bm25", total).withColumn("relevance", F.col("bm25") / (F.col("bm25") + squash(F.col("n_docs"))))
     return scored.drop("_t", "_n", "n_docs", "avg_len", *[f"df_{i}" for i in range(len(query))])
 
 
@@ -72,7 +93,17 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def vector_search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """query_id, vec_id, score, rank: the k nearest by cosine for each row of a bounded query table (query_id, query)."""
+    """query_id, vec_id, score, rank: the k nearest by cosine for each row of a query table (query_id, query).
+
+    All vectors are compared with all queries, by the plan of a query set against a corpus: the queries are sent to every task
+    if they are few (a counted number), and else go in blocks of that many."""
+    n = queries.count()
+    if n > BROADCAST_QUERIES:
+        blocks, out = -(-n // BROADCAST_QUERIES), None
+        for i in range(blocks):
+            found = vector_search(vectors, queries.where(F.pmod(F.xxhash64("query_id"), F.lit(2 * blocks)).isin(2 * i, 2 * i + 1)), k)
+            out = found if out is None else out.unionByName(found)
+        return out
     scored = vectors.crossJoin(F.broadcast(queries)).select("query_id", "vec_id", cosine(F.col("embedding"), F.col("query")).alias("score"))
     w = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return scored.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
@@ -105,6 +136,14 @@ def lexical(query: list[str], title: Column, text: Column, meta: Column) -> Colu
 
 
 def postings(docs: DataFrame, text: str = "text") -> DataFrame:
-    """term, doc_id, tf, doc_len: an inverted index."""
-    rows = docs.select("doc_id", tx.tokens(F.col(text)).alias("t"))
-    return rows.select("doc_id", F.size("t").alias("doc_len"), F.explode("t").alias("term")).groupBy("term", "doc_id", "doc_len").agg(F.count("*").alias("tf"))
+    """term, doc_id, tf, doc_len: an inverted index.  A text's words are sorted and counted in their row, so nothing is shuffled; rows
+    that share an id are added up by the reader."""
+    def counted_runs(t: Column) -> Column:
+        """(term, tf) of a sorted list: where a word differs from the one before, and how far the next such place is."""
+        starts = F.filter(F.sequence(F.lit(1), F.size(t)), lambda i: (i == 1) | (F.element_at(t, i) != F.element_at(t, F.greatest(i - 1, F.lit(1)))))
+        pair = lambda a, b: F.struct(F.element_at(t, a).alias("term"), (b - a).cast("long").alias("tf"))
+        return tx.let(starts, lambda s: F.zip_with(s, F.concat(F.slice(s, 2, F.size(s)), F.array(F.size(t) + 1)), pair))
+
+    rows = docs.select("doc_id", tx.ascii_words(F.col(text)).alias("w")).where("w <> ''")
+    rows = rows.select("doc_id", tx.blank_count(F.col("w")).alias("doc_len"), F.inline(tx.let(F.array_sort(F.split("w", " ")), counted_runs)))
+    return rows.select("term", "doc_id", "doc_len", "tf")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from ..functions import fixed as fx, text as tx
+from ..functions import text as tx
 
 # Weights of the features, trust in platforms, and worth of types.
 WEIGHTS = {"relevance": 0.42, "authority": 0.12, "type_quality": 0.10, "impact": 0.10, "recency": 0.08, "content": 0.08, "support": 0.05, "authors": 0.05}
@@ -66,8 +66,12 @@ def authors() -> Column:
     return F.when(F.col("n_authors") > 0, unit(F.col("n_authors") / 4.0)).when(F.col("source_type").isin("repository", "model", "dataset"), 0.40).otherwise(0.20)
 
 
-def beginner_alignment() -> Column:
-    grade = tx.fog_grade(F.concat("title", F.lit(". "), "abstract"))
+def reading_grade() -> Column:
+    return tx.fog_grade(F.concat("title", F.lit(". "), "abstract"))
+
+
+def beginner_alignment(grade: Column) -> Column:
+    """``grade`` must be a column that is already computed (see tx.fog_grade)."""
     by_grade = F.when(grade.between(8.0, 11.0), 0.10).when(grade >= 14.0, -0.15).otherwise(0.0)
     at = F.when(F.col("platform").isin(*EDUCATION), 0.15).otherwise(0.0) + by_grade + looked_up(F.col("difficulty"), BEGINNER_LEVELS, 0.0) + looked_up(F.col("source_type"), BEGINNER_TYPES, 0.0)
     return F.greatest(F.lit(-ALIGN_CAP), F.least(F.lit(ALIGN_CAP), at))
@@ -81,18 +85,3 @@ def total(relevance: Column, alignment: Column) -> Column:
 def confidence(score: Column) -> Column:
     raw = 0.18 + 0.38 * score + 0.18 * authority() + 0.14 * content() + 0.10 * F.least(F.lit(1.0), F.col("meta_keys") / 6.0)
     return F.greatest(F.lit(0.05), F.least(F.lit(0.98), raw))
-
-
-def difficulty(text: Column, prior: Column, level_bias: float = 0.0) -> Column:
-    """0.55 treatment + 0.35 markers + 0.10 metadata + prior: under 0.35 beginner, under 0.65 intermediate, else advanced."""
-    grade = tx.fog_grade(text)
-    treatment = unit((grade - 6.0) / 12.0)
-    low = sum((text.contains(w).cast("int") for w in fx.BEGINNER_MARKERS), F.lit(0))
-    high = sum((text.contains(w).cast("int") for w in fx.ADVANCED_MARKERS), F.lit(0))
-    topic = F.when(low + high == 0, F.lit(0.5)).otherwise(high / (low + high))
-    meta = F.when(F.col("citation_count").isNull(), F.lit(0.5)).otherwise(F.least(F.lit(1.0), F.col("citation_count") / 1000.0))
-    return unit(0.55 * treatment + 0.35 * topic + 0.10 * meta + prior + level_bias)
-
-
-def difficulty_name(score: Column) -> Column:
-    return F.when(score < 0.35, "beginner").when(score < 0.65, "intermediate").otherwise("advanced")

@@ -20,6 +20,52 @@ def gated(df: DataFrame, score: str, floor: Column, at_least: int, ordinal: str
     return rows.where(~F.col("rescued") | (place >= F.col("_last"))).drop("best", "_last")
 
 
+def first_of_each(df: DataFrame, group: str, order: list[Column], n: int, parts: int = 64) -> DataFrame:
+    """The first n rows of each group, first of each of its parts and then of what those give, so that a group that holds most rows
+    is not one task's work."""
+    salted = df.withColumn("_part", F.pmod(F.xxhash64(*df.columns), F.lit(parts)))
+    few = salted.withColumn("_g", F.row_number().over(W.partitionBy(group, "_part").orderBy(*order))).where(F.col("_g") <= n)
+    return few.drop("_part").withColumn("_g", F.row_number().over(W.partitionBy(group).orderBy(*order))).where(F.col("_g") <= n).drop("_g")
+
+
+def retention_ratio(n_tokens: int, ratio: float = 0.65) -> float:
+    """The share of the best relevance that a record must reach: the more tokens a query has, the less."""
+    return min(ratio, 0.20 if n_tokens >= 5 else 0.25 if n_tokens == 4 else 0.30 if n_tokens == 3 else 0.35)
+
+
+def relevance_floor(n_tokens: int, least: float = 0.05) -> Column:
+    return F.greatest(F.col("best") * retention_ratio(n_tokens), F.lit(least))
+
+
+def head_share(title: Column, tokens: list[str], share: float = 0.7) -> Column:
+    """The share of the tokens that the first words of a title have: 70 % of them, two at least."""
+    words = F.filter(F.split(F.trim(F.lower(title)), " +"), lambda w: w != "")
+    head = F.array_join(F.slice(words, 1, F.greatest(F.lit(2), F.floor(F.size(words) * share).cast("int"))), " ")
+    return F.when(F.size(words) == 0, F.lit(0.0)).otherwise(sum((head.contains(t).cast("int") for t in tokens), F.lit(0)) / max(1, len(tokens)))
+
+
+def on_topic(matched: Column, title: Column, tokens: list[str], least: int = 1, coverage: float = 0.05, head: float = 0.25) -> Column:
+    """Whether a record has enough of the query's tokens, and its title's beginning a quarter of them."""
+    return ((matched >= least) | (matched / max(1, len(tokens)) >= coverage)) & (head_share(title, tokens) >= head)
+
+
+def passing(df: DataFrame, passes: Column, at_least: int, *order: Column) -> DataFrame:
+    """The rows that pass; if under at_least do, the first of the others in an order fill up.  Adds ``rescued``."""
+    rows = df.withColumn("rescued", ~F.coalesce(passes, F.lit(False)))
+    n = rows.agg(F.count_if(~F.col("rescued")).alias("_n"))
+    spare = rows.where("rescued").orderBy(*order).limit(at_least).withColumn("_k", F.row_number().over(W.orderBy(*order)))
+    return rows.where("not rescued").unionByName(spare.crossJoin(F.broadcast(n)).where(F.col("_n") + F.col("_k") <= at_least).drop("_n", "_k"))
+
+
+def beginner_rescue(kept: DataFrame, dropped: DataFrame, is_beginner: Column, ratio: float = 0.55, least: float = 0.15, most: int = 3) -> DataFrame:
+    """kept with up to ``most`` of the dropped beginners' records (score, confidence, relevance) if it has none: those of enough relevance,
+    their score raised to a share of the best."""
+    state = kept.agg(F.max("score").alias("_best"), F.coalesce(F.bool_or(is_beginner), F.lit(False)).alias("_has"))
+    wanted = dropped.where(is_beginner & (F.col("relevance") >= least)).crossJoin(F.broadcast(state)).where(~F.col("_has") & (F.col("_best") > 0))
+    raised = wanted.withColumn("score", F.greatest("score", F.col("_best") * ratio)).drop("_best", "_has")
+    return kept.unionByName(raised.orderBy(F.desc("score"), F.desc("confidence"), "ordinal").limit(most))
+
+
 def per_group(df: DataFrame, group: str, order: list[Column], cap: int) -> DataFrame:
     return df.withColumn("_g", F.row_number().over(W.partitionBy(group).orderBy(*order))).where(F.col("_g") <= cap).drop("_g")
 

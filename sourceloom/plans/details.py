@@ -69,19 +69,6 @@ def duplicate_report(spark, sf):
     return src.select("source_id", seen("url").alias("seen_url"), seen("t").alias("seen_title")).where("seen_url or seen_title")
 
 
-@query("gate_topic_presence", f"WITH {SCORED}, v AS (SELECT source_id, ordinal, relevance AS v, len(list_intersect(['the', 'der', 'les'], {TOK.format('title')})) >= 1 AS ok FROM s), n AS (SELECT count(*) FILTER (ok) AS n FROM v), k AS (SELECT *, row_number() OVER (PARTITION BY ok ORDER BY v DESC, ordinal) AS k FROM v) SELECT source_id, NOT ok AS rescued FROM k, n WHERE ok OR n + k <= 3")
-def gate_topic_presence(spark, sf):
-    """Titles with a query token pass; if fewer than three do, the most relevant others fill up."""
-    hit = F.size(F.array_intersect(F.array(*map(F.lit, ("the", "der", "les"))), tx.tokens(F.col("title")))) >= 1
-    rows = _scored(spark, sf).withColumn("v", F.when(hit, F.col("relevance") + 10).otherwise(F.col("relevance")))
-    return sel.gated(rows, "v", F.lit(10.0), 3).select("source_id", "rescued")
-
-
-@query("rescue_to_target", f"WITH {SCORED}, k AS (SELECT source_id, relevance, ordinal, relevance >= 0.97::DOUBLE AS ok FROM s), n AS (SELECT count(*) FILTER (ok) AS n FROM k), d AS (SELECT *, row_number() OVER (PARTITION BY ok ORDER BY relevance DESC, ordinal) AS p FROM k) SELECT source_id, NOT ok AS rescued FROM d, n WHERE ok OR n + p <= 8")
-def rescue_to_target(spark, sf):
-    return sel.gated(_scored(spark, sf), "relevance", F.lit(0.97), 8).select("source_id", "rescued")
-
-
 @query("relevant_records", f"WITH {SOURCES} SELECT source_id, contains(lower(title), 'of the') OR contains(lower(abstract), 'of the') OR len(list_intersect(['thing', 'lichung', 'ention', 'entre'], {TOK.format('abstract')})) * 3 >= 4 AS relevant FROM src")
 def relevant_records(spark, sf):
     toks = F.array(*map(F.lit, ("thing", "lichung", "ention", "entre")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import fixed as fx, text as tx, url as ul
-from ..operators import records as rc, relevance as rel, scoring as sc, selection as sel
+from ..operators import difficulty as df, records as rc, relevance as rel, scoring as sc, selection as sel
 from .registry import query
 from .retrieval import BM25, TERMS
 from .views import SOURCES, sources, table
@@ -43,32 +43,66 @@ def html_anchors_text(spark, sf):
     return html.select("page_id", "a.href", "a.label").where(F.length(F.trim("label")) >= 2).groupBy("page_id", "href", "label").agg(F.count("*").alias("n"))
 
 
-ARXIV = "nullif(regexp_extract(lower(coalesce(arxiv_raw, '')), '([0-9]{4}\\.[0-9]{4,5})', 1), '')"
-DOI = "CASE WHEN starts_with(regexp_replace(lower(trim(coalesce(doi, ''))), '^(https?://(dx\\.)?doi\\.org/|doi:)', ''), '10.') THEN regexp_replace(lower(trim(doi)), '^(https?://(dx\\.)?doi\\.org/|doi:)', '') END"
-KEY = f"coalesce('arxiv:' || {ARXIV}, 'doi:' || {DOI}, CASE WHEN {NORMAL.format('title')} = '' THEN 'url:' || url END, 'title:' || source_type || ':' || {NORMAL.format('title')})"
-QUALITY = "least(length(coalesce(abstract, '')) / 1000::DOUBLE, 2) + coalesce(least(citation_count / 100::DOUBLE, 3), 0) + least(n_authors, 5) * 0.1::DOUBLE + CASE WHEN year IS NOT NULL THEN 0.3 ELSE 0 END::DOUBLE + CASE WHEN coalesce(has_code, false) THEN 0.5 ELSE 0 END::DOUBLE + coalesce(least(stars / 1000::DOUBLE, 2), 0) + CASE platform " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in rc.PLATFORM_QUALITY.items()) + " ELSE 0 END::DOUBLE"
+ARXIV = "coalesce(" + ", ".join(f"nullif(regexp_extract(lower(trim(coalesce({c}, ''))), '{form}', {group}), '')" for c in rc.ARXIV_COLUMNS for form, group in rc.ARXIV_FORMS) + ")"
+GIVEN_DOI = "regexp_replace(lower(coalesce(nullif(trim(coalesce(doi, '')), ''), nullif(trim(external_doi), ''), nullif(regexp_extract(lower(url), 'doi\\.org/(10\\.[^ \\t\\r\\n]+)', 1), ''))), 'https?://doi\\.org/|doi:|doi\\.org/', '', 'g')"
+DOI = f"CASE WHEN starts_with({GIVEN_DOI}, '10.') AND NOT contains({GIVEN_DOI}, 'arxiv') THEN {GIVEN_DOI} END"
+KEY = f"coalesce('arxiv:' || {ARXIV}, 'doi:' || {DOI}, CASE WHEN {NORMAL.format('title')} = '' THEN 'url:' || url END, CASE WHEN source_type = 'repository' THEN 'repo' ELSE source_type END || ':' || {NORMAL.format('title')})"
+QUALITY = "least(length(coalesce(abstract, '')) / 1000::DOUBLE, 2) + " + " + ".join(f"coalesce(least({c} / {unit}::DOUBLE, {most}), 0)" for c, unit, most in rc.QUALITY_PARTS) + " + least(n_authors, 5) * 0.1::DOUBLE + CASE WHEN year IS NOT NULL OR published IS NOT NULL THEN 0.3 ELSE 0 END::DOUBLE + CASE WHEN coalesce(has_code, false) THEN 0.5 ELSE 0 END::DOUBLE + CASE WHEN coalesce(has_pdf, false) THEN 0.3 ELSE 0 END::DOUBLE + CASE platform " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in rc.PLATFORM_QUALITY.items()) + " ELSE 0 END::DOUBLE"
+_fill = lambda c: f"arg_min({c}, rk) FILTER ({c} IS NOT NULL AND {c}::VARCHAR <> '') AS {c}"
 
 
-@query("dedupe_key_merge", f"""WITH {SOURCES}, k AS (SELECT *, {KEY} AS key, {QUALITY} AS q FROM src)
-SELECT key, arg_max(source_id, {{'q': q, 'o': -ordinal}}) AS source_id, arg_max(platform, {{'q': q, 'o': -ordinal}}) AS platform, round(max(q), 6) AS quality, max(length(abstract))::BIGINT AS abstract_chars,
-max(citation_count)::BIGINT AS citation_count, bool_or(coalesce(has_code, false)) AS has_code, arg_min(year, ordinal) FILTER (year IS NOT NULL) AS year, max(n_authors) AS n_authors, count(*) AS duplicates FROM k GROUP BY key""")
+@query("dedupe_key_merge", f"""WITH {SOURCES}, k AS (SELECT *, {KEY} AS key, {QUALITY} AS q FROM src), r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY q DESC, ordinal) AS rk FROM k),
+nm AS (SELECT key, rk, unnest(range(1, len(l) + 1)) AS pos, unnest(l) AS name FROM (SELECT key, rk, string_split(authors_raw, ';') AS l FROM r)),
+n1 AS (SELECT key, lower(name) AS low, arg_min(name, rk * 100 + pos) AS name, min(rk * 100 + pos) AS o FROM nm WHERE name <> '' GROUP BY ALL), n2 AS (SELECT key, string_agg(name, ';' ORDER BY o) AS authors FROM n1 GROUP BY key),
+u1 AS (SELECT key, url, min(rk) AS o FROM r GROUP BY key, url QUALIFY row_number() OVER (PARTITION BY key ORDER BY min(rk)) <= 5), u2 AS (SELECT key, string_agg(url, ' ' ORDER BY o) AS urls FROM u1 GROUP BY key),
+m AS (SELECT key, arg_min(source_id, rk) AS source_id, md5(arg_min(title, rk)) AS title_md5, arg_min(url, rk) AS url, arg_min(platform, rk) AS platform, md5(arg_max(coalesce(abstract, ''), {{'n': length(coalesce(abstract, '')), 'r': -rk}})) AS abstract_md5, max(citation_count)::BIGINT AS citation_count,
+  CASE WHEN bool_or(coalesce(has_code, false)) THEN true ELSE max(has_code) FILTER (rk = 1) END AS has_code, {', '.join(map(_fill, rc.FILLED))}, round(max(q), 6) AS quality, count(*) AS duplicate_count FROM r GROUP BY key)
+SELECT m.*, coalesce(authors, '') AS authors, urls FROM m LEFT JOIN n2 USING (key) LEFT JOIN u2 USING (key)""")
 def dedupe_key_merge(spark, sf):
-    return rc.merged_by_key(sources(spark, sf))
+    out = rc.merged_by_key(sources(spark, sf))
+    plain = ["key", "source_id", "url", "platform", "citation_count", "has_code", *rc.FILLED, "quality", "duplicate_count"]
+    return out.select(*plain, F.md5("title").alias("title_md5"), F.md5(F.coalesce("abstract", F.lit(""))).alias("abstract_md5"), F.array_join("authors", ";").alias("authors"), F.array_join("alternate_urls", " ").alias("urls"))
 
 
-@query("dedupe_exact_title", f"WITH {SOURCES}, k AS (SELECT *, {NORMAL.format('title')} AS tk, {QUALITY} AS q FROM src) SELECT source_id FROM k WHERE length(tk) < 8 OR TRUE QUALIFY length(tk) < 8 OR row_number() OVER (PARTITION BY tk ORDER BY q DESC, ordinal) = 1")
+@query("record_ids", f"WITH {SOURCES} SELECT source_id, {ARXIV} AS arxiv, {DOI} AS doi FROM src")
+def record_ids(spark, sf):
+    return sources(spark, sf).select("source_id", rc.arxiv_id(*map(F.col, rc.ARXIV_COLUMNS)).alias("arxiv"), rc.doi(F.col("doi"), F.col("external_doi"), F.col("url")).alias("doi"))
+
+
+@query("dedupe_exact_title", f"WITH {SOURCES}, k AS (SELECT *, {NORMAL.format('title')} AS tk, {QUALITY} AS q FROM src) SELECT source_id FROM k QUALIFY NOT (source_type = 'research_paper' AND length(tk) >= 8) OR row_number() OVER (PARTITION BY source_type = 'research_paper' AND length(tk) >= 8, tk ORDER BY q DESC, ordinal) = 1")
 def dedupe_exact_title(spark, sf):
     return rc.exact_titles(sources(spark, sf))
 
 
-@query("dedupe_fuzzy_lev", f"""WITH {SOURCES}, t AS (SELECT {NORMAL.format('title')} AS title, min(ordinal) AS id FROM src GROUP BY 1 HAVING length({NORMAL.format('title')}) > 2)
-SELECT least(a.id, b.id) AS id_a, greatest(a.id, b.id) AS id_b, round(1 - levenshtein(a.title, b.title) / length(a.title)::DOUBLE, 6) AS ratio FROM t a JOIN t b ON left(a.title, 2) = left(b.title, 2) AND a.id <> b.id
-AND (length(a.title) > length(b.title) OR (length(a.title) = length(b.title) AND a.id < b.id)) AND length(b.title) >= ceil(length(a.title) * 0.85) WHERE levenshtein(a.title, b.title) <= floor(0.15 * length(a.title) + 1e-9)""")
+URL_KEY = "lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) || '://' || lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)) || regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
+
+
+@query("normalized_records", f"""WITH {SOURCES}, c AS (SELECT *, {CLEAN.format('title')} AS tc, {URL_KEY} AS link, list_filter(list_transform(string_split(authors_raw, ';'), lambda x: trim(x)), lambda x: x <> '') AS names FROM src)
+SELECT sha256('{{"platform":' || to_json(platform) || ',"title":' || to_json(regexp_replace(lower(tc), ' +', ' ', 'g')) || ',"url":' || to_json(link) || '}}') AS source_id, ordinal, md5(tc) AS title_md5, link AS url, md5(nullif(left({CLEAN.format('abstract')}, 2000), '')) AS abstract_md5,
+array_to_string(list_filter(names, lambda x, i: list_position(list_transform(names, lambda y: lower(y)), lower(x)) = i), ';') AS authors, CASE WHEN year BETWEEN 0 AND 2100 THEN year END AS year, CASE WHEN citation_count >= 0 THEN citation_count END AS citation_count FROM c WHERE length(tc) >= 3 AND regexp_matches(url, '^[Hh][Tt][Tt][Pp][Ss]?://[^/?#]')""")
+def normalized_records(spark, sf):
+    out = rc.normalized(sources(spark, sf))
+    return out.select("source_id", "ordinal", F.md5("title").alias("title_md5"), "url", F.md5("abstract").alias("abstract_md5"), F.array_join("authors", ";").alias("authors"), "year", "citation_count")
+
+
+LEV = f"""t AS (SELECT {NORMAL.format('title')} AS title, min(ordinal) AS id FROM src GROUP BY 1 HAVING length({NORMAL.format('title')}) BETWEEN 3 AND 500),
+lev AS (SELECT least(a.id, b.id) AS id_a, greatest(a.id, b.id) AS id_b, 1 - levenshtein(a.title, b.title) / length(a.title)::DOUBLE AS ratio FROM t a JOIN t b ON left(a.title, 2) = left(b.title, 2) AND a.id <> b.id
+AND (length(a.title) > length(b.title) OR (length(a.title) = length(b.title) AND a.id < b.id)) AND length(b.title) >= ceil(length(a.title) * 0.85) WHERE levenshtein(a.title, b.title) <= floor(0.15 * length(a.title) + 1e-9))"""
+
+
+@query("dedupe_fuzzy_lev", f"WITH {SOURCES}, {LEV} SELECT id_a, id_b, round(ratio, 6) AS ratio FROM lev")
 def dedupe_fuzzy_lev(spark, sf):
     return rc.fuzzy_titles(sources(spark, sf).select(F.col("ordinal").alias("id"), tx.normal_title(F.col("title")).alias("title")))
 
 
-REASON = "CASE WHEN length(title) < 3 THEN 'title_short' WHEN length(title) > 500 THEN 'title_long' WHEN regexp_matches(lower(title), 'withdrawn|retracted') THEN 'withdrawn' WHEN length(abstract) > 5000 THEN 'abstract_long' WHEN NOT coalesce(year BETWEEN 0 AND 2100, true) THEN 'year_range' END"
+@query("dedupe_fuzzy_kept", f"WITH {SOURCES}, {LEV}, k AS (SELECT ordinal AS id, {QUALITY} AS q FROM src), l AS (SELECT id_a AS id, id_b AS other FROM lev UNION ALL SELECT id_b, id_a FROM lev) SELECT id FROM k WHERE id NOT IN (SELECT l.id FROM l JOIN k a ON a.id = l.id JOIN k b ON b.id = l.other WHERE b.q > a.q OR (b.q = a.q AND b.id < a.id))")
+def dedupe_fuzzy_kept(spark, sf):
+    """The records that are left when each worse one of a pair of like titles is gone."""
+    rows = sources(spark, sf).select(F.col("ordinal").alias("id"), tx.normal_title(F.col("title")).alias("title"), rc.quality().alias("q"))
+    return rc.without_losers(rows.select("id", "q"), rc.fuzzy_titles(rows)).select("id")
+
+
+REASON = "CASE WHEN length(title) < 3 THEN 'title_short' WHEN length(title) > 500 THEN 'title_long' WHEN regexp_matches(lower(title), 'withdrawn|retracted') THEN 'withdrawn' WHEN NOT regexp_matches(url, '^[Hh][Tt][Tt][Pp][Ss]?://[^/?#]') THEN 'url_invalid' WHEN length(abstract) > 5000 THEN 'abstract_long' WHEN NOT coalesce(year BETWEEN 0 AND 2100, true) THEN 'year_range' END"
 
 
 @query("drop_reasons", f"WITH {SOURCES}, r AS (SELECT source_id, ordinal, {REASON} AS reason FROM src) SELECT coalesce(reason, 'kept') AS reason, count(*) AS n, min(ordinal) AS first_ordinal FROM r GROUP BY ALL")
@@ -96,31 +130,12 @@ def _gate_sql(score: str, floor: str, least: int) -> str:
 n AS (SELECT count(*) FILTER (ok) AS n FROM p), k AS (SELECT *, row_number() OVER (PARTITION BY ok ORDER BY v DESC, ordinal) AS k FROM p) SELECT source_id, round(v, 6) AS score, NOT ok AS rescued FROM k, n WHERE ok OR n + k <= {least}"""
 
 
-@query("gate_relevance", _gate_sql("relevance", "greatest(best * 0.35::DOUBLE, 0.05)", 3))
-def gate_relevance(spark, sf):
-    out = sel.gated(_scored(spark, sf), "relevance", F.greatest(F.col("best") * 0.35, F.lit(0.05)), 3)
-    return out.select("source_id", F.round("relevance", 6).alias("score"), "rescued")
-
-
 @query("gate_strict_rescue", _gate_sql("relevance", "best * 2", 3))
 def gate_strict_rescue(spark, sf):
     """A gate that nothing passes gives the three best."""
     return sel.gated(_scored(spark, sf), "relevance", F.col("best") * 2, 3).select("source_id", F.round("relevance", 6).alias("score"), "rescued")
 
 
-@query("gate_quality_floor", _gate_sql("relevance * relevance", "greatest(0.10, 0.35::DOUBLE * best)", 3))
-def gate_quality_floor(spark, sf):
-    rows = _scored(spark, sf).withColumn("v", F.col("relevance") * F.col("relevance"))
-    return sel.gated(rows, "v", F.greatest(F.lit(0.10), 0.35 * F.col("best")), 3).select("source_id", F.round("v", 6).alias("score"), "rescued")
-
-
-@query("beginner_rescue", f"WITH {SCORED}, b AS (SELECT max(relevance) AS best FROM s), d AS (SELECT s.*, best FROM s, b WHERE relevance < 0.7::DOUBLE * best AND difficulty = 'beginner' AND relevance >= 0.15) SELECT source_id, round(greatest(relevance, 0.55::DOUBLE * best), 6) AS score FROM d ORDER BY relevance DESC, ordinal LIMIT 3")
-def beginner_rescue(spark, sf):
-    rows = _scored(spark, sf)
-    dropped = rows.crossJoin(F.broadcast(sel.best_of(rows, "relevance"))).where((F.col("relevance") < 0.7 * F.col("best")) & (F.col("difficulty") == "beginner") & (F.col("relevance") >= 0.15))
-    return dropped.orderBy(F.desc("relevance"), "ordinal").limit(3).select("source_id", F.round(F.greatest("relevance", 0.55 * F.col("best")), 6).alias("score"))
-
-
 WORDS = "regexp_extract_all(lower({0}), '[a-z0-9_]+')"
 FOG = "CASE WHEN len(" + WORDS + ") = 0 OR len(list_filter(string_split_regex({0}, '[.!?]+'), lambda x: regexp_matches(x, '[^\\s]'))) = 0 THEN 12.0::DOUBLE ELSE greatest(0, least(20, 0.4::DOUBLE * (len(" + WORDS + ") / len(list_filter(string_split_regex({0}, '[.!?]+'), lambda x: regexp_matches(x, '[^\\s]')))::DOUBLE + 100.0::DOUBLE * len(list_filter(" + WORDS + ", lambda w: len(regexp_extract_all(w, '[aeiouy]+')) >= 3)) / len(" + WORDS + ")))) END::DOUBLE"
 
@@ -130,29 +145,84 @@ def fog_grade(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.round(tx.fog_grade(F.col("text")), 4).alias("grade"))
 
 
-_hit = lambda words: " + ".join(f"contains(abstract, '{w}')::INTEGER" for w in words)
-DIFF = f"""df AS (SELECT source_id, ordinal, ({_hit(fx.BEGINNER_MARKERS)}) AS lo, ({_hit(fx.ADVANCED_MARKERS)}) AS hi, {FOG.format('abstract')} AS grade, citation_count, platform FROM src),
-dc AS (SELECT source_id, ordinal, greatest(0, least(1, 0.55::DOUBLE * greatest(0, least(1, (grade - 6) / 12)) + 0.35::DOUBLE * CASE WHEN lo + hi = 0 THEN 0.5 ELSE hi / (lo + hi)::DOUBLE END::DOUBLE + 0.10::DOUBLE * CASE WHEN citation_count IS NULL THEN 0.5 ELSE least(1, citation_count / 1000.0::DOUBLE) END::DOUBLE + CASE WHEN platform = 'arxiv' THEN 0.15 WHEN platform = 'wikipedia' THEN -0.15 ELSE 0 END::DOUBLE)) AS score FROM df),
-dn AS (SELECT *, CASE WHEN score < 0.35 THEN 'beginner' WHEN score < 0.65 THEN 'intermediate' ELSE 'advanced' END AS level FROM dc)"""
+def _step(*steps: tuple[str, float]) -> str:
+    return "CASE " + " ".join(f"WHEN {c} THEN {v}::DOUBLE" for c, v in steps) + " ELSE 0 END"
+
+
+def _fired(*steps: tuple[str, float]) -> str:
+    return "CASE WHEN " + " OR ".join(c for c, _ in steps) + " THEN 1 ELSE 0 END"
+
+
+_q = lambda x: "'" + x.replace("'", "''") + "'"
+_hits = lambda marks, text: "(" + " + ".join(f"contains({text}, {_q(m)})::INTEGER" for m in marks) + ")"
+_forms = lambda patterns: "(" + " + ".join(f"regexp_matches(l, {_q(p)})::INTEGER" for p in patterns) + ")"
+_found = lambda patterns, text: "(" + " + ".join(f"len(regexp_extract_all({text}, {_q(p)}))" for p in patterns) + ")"
+_rate = lambda n, text: f"({n}) / (greatest(1, length({text})) / 1000.0::DOUBLE)"
+_first = lambda words, head: "CASE " + " ".join(f"WHEN regexp_matches(n, {_q(head + w + chr(92) + 'b')}) THEN {_q(w)}" for w in words) + " END"
+_times = lambda m: f"(length(l) - length(replace(l, {_q(m)}, ''))) // {len(m)}"
+GENERIC = ", ".join(f"'{w}'" for w in fx.GENERIC)
+LIGHT = "list_filter(list_transform(list_transform(list_transform(regexp_extract_all(lower({0}), '[a-z0-9+#.]+'), lambda x: trim(x, '.')), lambda x: {{'t': x, 'g': CASE WHEN length(x) > 6 AND ends_with(x, 'ing') THEN left(x, -3) ELSE x END}}), lambda x: CASE WHEN length(x.t) <= 6 THEN x.t WHEN ends_with(x.g, 'ies') AND length(x.g) > 4 THEN left(x.g, -3) || 'y' WHEN ends_with(x.g, 'es') THEN left(x.g, -2) WHEN ends_with(x.g, 's') THEN left(x.g, -1) ELSE x.g END), lambda x: x <> '')"
+_address = (("address > 0.15", -0.10), ("address > 0.05", -0.05), ("address < 0.03 AND length(t) > 200", 0.05))
+_notation = (("notation > 0.20", 0.20), ("notation > 0.05", 0.10))
+_refs = (("refs > 0.10", 0.10), ("refs > 0.03", 0.05))
+_length = (("sentence <= 0", 0.0), ("sentence >= 32", 0.15), ("sentence >= 24", 0.10), ("sentence <= 12", -0.08), ("sentence <= 16", -0.03))
+_terms = (("terms > 0.15", 0.25), ("terms > 0.08", 0.15), ("terms < 0.02", -0.05))
+_compound = (("compound > 5.0", 0.25), ("compound > 3.5", 0.15), ("compound > 0 AND compound < 2.0", -0.05))
+_names = (("names > 2", 0.10), ("names = 0 AND length(ti) > 20", -0.05))
+_tn = (("title_notation > 0.05", 0.10),)
+_cited = (("coalesce(citation_count, -1) >= 500", 0.20), ("coalesce(citation_count, -1) >= 100", 0.10), ("coalesce(citation_count, -1) >= 10", 0.05))
+_b = chr(92) + "b"
+DIFF = f"""d1 AS (SELECT *, concat_ws(' ', {', '.join(f"nullif({CLEAN.format(c)}, '')" for c in ('title', 'abstract', 'summary', 'description'))}) AS t, {CLEAN.format('title')} AS ti FROM src),
+d2 AS (SELECT *, lower(t) AS l, lower(ti) AS n, lower(trim(coalesce(publisher, ''))) AS pub, {LIGHT.format('t')} AS lt,
+  'x' || array_to_string(list_transform(regexp_extract_all(t, '[A-Za-z]+|[.!?]+'), lambda x: CASE WHEN length(x) >= 3 AND regexp_matches(x, '^[A-Za-z]') AND lower(x) NOT IN ({GENERIC}) THEN 'c' ELSE 'x' END), '') AS runs,
+  len(list_filter(string_split_regex(t, '[.!?]+'), lambda x: trim(x) <> '')) AS ns FROM d1),
+d3 AS (SELECT *, {_hits(fx.BEGINNER_MARKERS, 'l')} AS begins, {_hits(fx.ADVANCED_MARKERS, 'l')} AS advances, {_forms(df.ACADEMIC_PROSE)} AS academic, {_forms(df.BEGINNER_PROSE)} AS friendly,
+  {_rate(' + '.join(_times(m) for m in df.ADDRESS) + " + starts_with(l, 'you ')::INTEGER", 'l')} AS address, {_rate(_found(df.NOTATION, 't'), 't')} AS notation, {_rate(_found(df.REFERENCES, 't'), 't')} AS refs,
+  CASE WHEN ns = 0 THEN 0 ELSE len(regexp_extract_all(t, '[^ .!?]+')) / ns::DOUBLE END AS sentence,
+  CASE WHEN len(lt) = 0 THEN 0 ELSE len(list_filter(lt, lambda x: regexp_matches(x, '^[a-z]{{8,}}$') AND x NOT IN ({GENERIC}) AND (regexp_matches(x, '^(?:{'|'.join(df.TECHNICAL_HEADS)})') OR regexp_matches(x, '(?:{'|'.join(df.TECHNICAL_ENDS)})$')))) / len(lt)::DOUBLE END AS terms,
+  CASE WHEN contains(runs, 'c') THEN length(replace(runs, 'x', '')) / ((length(runs) - length(replace(runs, 'xc', ''))) / 2)::DOUBLE ELSE 0 END AS compound,
+  CASE WHEN len(regexp_extract_all(ti, '{df.NAMES}')) > 0 THEN len(regexp_extract_all(ti, '{df.NAMES}')) ELSE len(list_filter(string_split(ti, ' ')[2:], lambda w: regexp_matches(w, '{df.PROPER}'))) END AS names,
+  {_rate(_found(df.NOTATION, 'ti'), 'ti')} AS title_notation, {_hits(df.ACADEMIC_PUBLISHERS, 'pub')} > 0 AS university, {_hits(df.SELF_PUBLISHED, 'pub')} > 0 AS selfmade, trim(coalesce(doi, '')) <> '' AS has_doi FROM d2),
+d4 AS (SELECT *, CASE WHEN l = '' THEN 0.5 ELSE greatest(0, least(1, 0.5::DOUBLE + greatest(-0.35, -0.05::DOUBLE * begins) + least(0.35, 0.05::DOUBLE * advances) + least(0.20, 0.04::DOUBLE * academic) - least(0.15, 0.03::DOUBLE * friendly) + {_step(*_address)} + {_step(*_notation)} + {_step(*_refs)} + {_step(*_length)})) END::DOUBLE AS treatment,
+  CASE WHEN l = '' THEN 0 ELSE (begins > 0)::INTEGER + (advances > 0)::INTEGER + (academic > 0)::INTEGER + (friendly > 0)::INTEGER + {_fired(*_address)} + {_fired(*_notation)} + {_fired(*_refs)} + CASE WHEN sentence > 0 THEN {_fired(*_length[1:])} ELSE 0 END END AS ts,
+  CASE WHEN t = '' AND ti = '' THEN 0.4 ELSE greatest(0, least(1, 0.4::DOUBLE + {_step(*_terms)} + {_step(*_compound)} + {_step(*_names)} + {_step(*_tn)})) END::DOUBLE AS topic,
+  CASE WHEN t = '' AND ti = '' THEN 0 ELSE {_fired(*_terms)} + {_fired(*_compound)} + {_fired(*_names)} + {_fired(*_tn)} END AS ps,
+  greatest(0, least(1, 0.5::DOUBLE + CASE WHEN university THEN 0.2 ELSE 0 END - CASE WHEN selfmade THEN 0.2 ELSE 0 END + {_step(*_cited)} + CASE WHEN has_doi THEN 0.05 ELSE 0 END))::DOUBLE AS meta,
+  university::INTEGER + selfmade::INTEGER + {_fired(*_cited)} + has_doi::INTEGER AS ms,
+  greatest(-0.15, least(0.15, CASE platform {' '.join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in df.PLATFORM_PRIOR.items())} ELSE 0 END + CASE source_type {' '.join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in df.TYPE_PRIOR.items())} ELSE 0 END))::DOUBLE AS prior,
+  {_first(df.STARTS_ADVANCED, '^')} AS starts, {_first(df.ADVANCED_WORDS, _b)} AS word, {_first(df.ADVANCED_QUALIFIERS, _b)} AS qualifier, {_first(df.BEGINNER_TITLES, _b)} AS easy FROM d3),
+d5 AS (SELECT *, ts + ps + ms AS signals, greatest(0, least(1, greatest(0, least(1, 0.55::DOUBLE * treatment + 0.35::DOUBLE * topic + 0.10::DOUBLE * meta + prior)) - 0.05::DOUBLE)) AS score FROM d4),
+d6 AS (SELECT *, CASE WHEN score < 0.35 THEN CASE WHEN treatment >= 0.55 OR topic >= 0.60 OR academic >= 2 THEN 1 ELSE 0 END WHEN score < 0.65 THEN 1 ELSE 2 END AS rank0 FROM d5),
+d7 AS (SELECT *, CASE WHEN starts IS NOT NULL THEN CASE WHEN rank0 < 2 THEN 'starts_advanced' END WHEN word IS NOT NULL AND qualifier IS NOT NULL THEN CASE WHEN rank0 < 2 THEN 'advanced_marker_with_qualifier' END
+  WHEN easy IS NOT NULL AND word IS NULL THEN CASE WHEN rank0 > 0 THEN 'beginner_phrase' END WHEN word IS NOT NULL THEN CASE WHEN rank0 < 1 THEN 'advanced_marker' END END AS promotion,
+  greatest(0.10, least(0.95, 0.30::DOUBLE + 0.05::DOUBLE * least(signals, 6) + 0.10::DOUBLE * least(1, length(t) / 500.0::DOUBLE) + 0.20::DOUBLE * (1 - abs(treatment - topic)) + CASE WHEN begins + advances > 0 THEN 0.15 ELSE 0 END - CASE WHEN length(t) < 80 THEN 0.15 ELSE 0 END)) AS sure FROM d6),
+dn AS (SELECT *, CASE WHEN promotion IS NULL THEN sure ELSE greatest(sure, 0.75) END AS confidence,
+  ['beginner', 'intermediate', 'advanced'][1 + CASE promotion WHEN 'starts_advanced' THEN 2 WHEN 'advanced_marker_with_qualifier' THEN 2 WHEN 'beginner_phrase' THEN 0 WHEN 'advanced_marker' THEN 1 ELSE rank0 END] AS level FROM d7)"""
+
+
+@query("difficulty_class", f"WITH {SOURCES}, {DIFF} SELECT source_id, round(score, 6) AS score, level, promotion, round(confidence, 6) AS confidence FROM dn")
+def difficulty_class(spark, sf):
+    out = df.classify(sources(spark, sf), "beginner")
+    return out.select("source_id", F.round("level_score", 6).alias("score"), "level", "promotion", F.round("level_confidence", 6).alias("confidence"))
 
 
-def _difficulty(spark, sf):
-    prior = F.when(F.col("platform") == "arxiv", 0.15).when(F.col("platform") == "wikipedia", -0.15).otherwise(0.0)
-    rows = sources(spark, sf).withColumn("score", sc.difficulty(F.col("abstract"), prior))
-    return rows.select("source_id", "ordinal", "score", sc.difficulty_name(F.col("score")).alias("level"))
+@query("difficulty_parts", f"WITH {SOURCES}, {DIFF} SELECT source_id, round(treatment, 6) AS treatment, round(topic, 6) AS topic, round(meta, 6) AS metadata_score, round(prior, 6) AS prior, signals::INTEGER AS signals FROM dn")
+def difficulty_parts(spark, sf):
+    return df.classify(sources(spark, sf), "beginner").select("source_id", *[F.round(c, 6).alias(c) for c in ("treatment", "topic", "metadata_score", "prior")], "signals")
 
 
-@query("difficulty_class", f"WITH {SOURCES}, {DIFF} SELECT source_id, round(score, 6) AS score, level FROM dn")
-def difficulty_class(spark, sf):
-    return _difficulty(spark, sf).select("source_id", F.round("score", 6).alias("score"), "level")
+_guard = lambda trigger: f"WITH {SOURCES}, {DIFF}, a AS (SELECT avg((level = 'advanced')::INTEGER) AS share FROM dn) SELECT source_id, CASE WHEN share > {trigger} AND level = 'advanced' AND round(treatment, 4) < 0.45 THEN 'intermediate' WHEN share > {trigger} AND level = 'intermediate' AND round(treatment, 4) < 0.30 AND round(topic, 4) < 0.50 THEN 'beginner' ELSE level END AS level FROM dn, a"
 
 
-@query("distribution_guard", f"WITH {SOURCES}, {DIFF}, a AS (SELECT avg((level = 'advanced')::INTEGER) AS share FROM dn) SELECT source_id, CASE WHEN share > 0.1 AND level = 'advanced' AND score < 0.75 THEN 'intermediate' ELSE level END AS level FROM dn, a")
+@query("distribution_guard", _guard(0.5))
 def distribution_guard(spark, sf):
-    rows = _difficulty(spark, sf)
-    share = rows.agg(F.avg((F.col("level") == "advanced").cast("int")).alias("share"))
-    demoted = (F.col("share") > 0.1) & (F.col("level") == "advanced") & (F.col("score") < 0.75)
-    return rows.crossJoin(F.broadcast(share)).select("source_id", F.when(demoted, "intermediate").otherwise(F.col("level")).alias("level"))
+    return df.guarded(df.classify(sources(spark, sf), "beginner")).select("source_id", "level")
+
+
+@query("distribution_guard_strict", _guard(0.02))
+def distribution_guard_strict(spark, sf):
+    """With a trigger so low that it acts on these records."""
+    return df.guarded(df.classify(sources(spark, sf), "beginner"), trigger=0.02).select("source_id", "level")
 
 
 _map = lambda c, d, e: f"CASE {c} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in d.items()) + f" ELSE {e} END::DOUBLE"
@@ -173,7 +243,7 @@ SCORE_CTE = f"{SCORED}, {FEAT}, sco AS (SELECT *, {ALIGN} AS alignment, {TOTAL}
 
 
 def _full_score(spark, sf):
-    rows = _scored(spark, sf).withColumn("alignment", sc.beginner_alignment())
+    rows = _scored(spark, sf).withColumn("grade", sc.reading_grade()).withColumn("alignment", sc.beginner_alignment(F.col("grade")))
     rows = rows.withColumn("score", sc.total(F.col("relevance"), F.col("alignment")))
     return rows.withColumn("confidence", sc.confidence(F.col("score")))
 

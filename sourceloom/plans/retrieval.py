@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window as W, functions as F
 
 from ..functions import text as tx
-from ..operators import relevance as rel
+from ..operators import index as ix, relevance as rel
+from ..sources import store
 from .registry import query
 from .views import SOURCES, sources, table
 
@@ -27,7 +28,8 @@ def corpus_stats(spark, sf):
 
 @query("bm25_topk", f"WITH {BM25} SELECT doc_id, round(bm25, 6) AS bm25, round(relevance, 6) AS relevance, row_number() OVER (ORDER BY bm25 DESC, doc_id) AS rank FROM rel QUALIFY rank <= 50")
 def bm25_topk(spark, sf):
-    scored = rel.bm25(table(spark, sf, "documents"), TERMS).select("doc_id", "bm25", "relevance")
+    """From stored postings: of the texts, only the parts of the index that the terms are in are read."""
+    scored = ix.search(spark, ix.held(spark, f"{sf}/documents.parquet"), TERMS)
     return rel.top_ranked(scored, [F.desc("bm25"), F.asc("doc_id")], 50).select("doc_id", F.round("bm25", 6).alias("bm25"), F.round("relevance", 6).alias("relevance"), "rank")
 
 
@@ -52,10 +54,12 @@ def chunk_size(spark, sf):
     return rel.chunk_size(table(spark, sf, "documents"))
 
 
-@query("chunk_stats", f"WITH {CHUNK_SQL} SELECT count(*) AS chunks, count(DISTINCT ch.doc_id) AS parents, count(e.vec_id) AS with_embedding, round(count(*) / count(DISTINCT ch.doc_id), 4) AS per_parent, round(avg(length(chunk_text)), 4) AS mean_chars FROM ch LEFT JOIN embeddings e ON e.vec_id = ch.doc_id")
+@query("chunk_stats", f"WITH {CHUNK_SQL} SELECT count(*) AS chunks, count(DISTINCT ch.doc_id) AS parents, (SELECT count(*) FROM documents) - count(DISTINCT ch.doc_id) AS without_chunks, count(e.vec_id) AS with_embedding, round(count(e.vec_id) / count(*), 4) AS embedding_coverage, round(count(*) / count(DISTINCT ch.doc_id), 4) AS per_parent, round(avg(length(chunk_text)), 4) AS mean_chars FROM ch LEFT JOIN embeddings e ON e.vec_id = ch.doc_id")
 def chunk_stats(spark, sf):
-    ch = rel.chunked(table(spark, sf, "documents"), 160).join(table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "vec_id"), "doc_id", "left")
-    return ch.agg(F.count("*").alias("chunks"), F.countDistinct("doc_id").alias("parents"), F.count("vec_id").alias("with_embedding"), F.round(F.count("*") / F.countDistinct("doc_id"), 4).alias("per_parent"), F.round(F.avg(F.length("chunk_text")), 4).alias("mean_chars"))
+    docs = table(spark, sf, "documents")
+    ch = rel.chunked(docs, 160).join(table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "vec_id"), "doc_id", "left")
+    out = ch.agg(F.count("*").alias("chunks"), F.countDistinct("doc_id").alias("parents"), F.count("vec_id").alias("with_embedding"), F.round(F.count("vec_id") / F.count("*"), 4).alias("embedding_coverage"), F.round(F.count("*") / F.countDistinct("doc_id"), 4).alias("per_parent"), F.round(F.avg(F.length("chunk_text")), 4).alias("mean_chars"))
+    return out.crossJoin(docs.agg(F.count("*").alias("n"))).withColumn("without_chunks", F.col("n") - F.col("parents")).drop("n")
 
 
 _ch_score = " + ".join(f"len(list_filter(t, lambda x: x = '{q}'))" for q in TERMS)
@@ -88,7 +92,7 @@ ok AS (SELECT hy.* FROM hy, (SELECT count(*) AS n FROM documents) WHERE score >=
 
 def _hybrid(spark, sf):
     docs, emb = table(spark, sf, "documents"), table(spark, sf, "embeddings")
-    kw = rel.bm25(docs, TERMS).where("bm25 > 0").select(F.col("doc_id").alias("id"), F.col("relevance").alias("kw")).orderBy(F.desc("kw"), "id").limit(60)
+    kw = ix.search(spark, ix.held(spark, f"{sf}/documents.parquet"), TERMS).select(F.col("doc_id").alias("id"), F.col("relevance").alias("kw")).orderBy(F.desc("kw"), "id").limit(60)
     q = emb.where("vec_id = 0").select(F.lit(0).alias("query_id"), F.col("embedding").alias("query"))
     em = emb.crossJoin(F.broadcast(q)).select(F.col("vec_id").alias("id"), rel.cosine(F.col("embedding"), F.col("query")).alias("emb")).orderBy(F.desc("emb"), "id").limit(60)
     return rel.hybrid(kw, em, docs.agg(F.count("*").alias("n")))
@@ -151,3 +155,46 @@ def flagship_ranked(spark, sf):
     quota = gated.agg(F.greatest(F.lit(1), F.floor(20 / F.count_distinct("platform"))).alias("quota"))
     out = placed.crossJoin(F.broadcast(quota)).withColumn("over", F.col("rp") > F.col("quota"))
     return rel.top_ranked(out, [F.asc("over"), *order], 20).select("source_id", "platform", F.round("relevance", 6).alias("relevance"), "rank")
+
+
+MOVED = "d AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN text || ' the der the para' ELSE text END AS text FROM documents WHERE doc_id % 11 <> 5 AND (doc_id % 10 <> 0 OR doc_id % 7 = 0))"
+
+
+@query("index_upsert", f"WITH {MOVED}, {BM25.replace('FROM documents', 'FROM d')} SELECT doc_id, round(bm25, 6) AS bm25, round(relevance, 6) AS relevance FROM rel WHERE bm25 > 0")
+def index_upsert(spark, sf):
+    """An index of part of the documents; then some come, some are replaced and some go, in a segment of their own."""
+    docs, folder = table(spark, sf, "documents").select("doc_id", "text"), store.new_folder(spark, "index")
+    ix.build(docs.where("doc_id % 10 <> 0"), folder)
+    more = docs.where("doc_id % 7 = 0 and doc_id % 11 <> 5").withColumn("text", F.concat("text", F.lit(" the der the para")))
+    ix.upsert(spark, folder, more, docs.where("doc_id % 11 = 5"))
+    return ix.search(spark, folder, TERMS).select("doc_id", F.round("bm25", 6).alias("bm25"), F.round("relevance", 6).alias("relevance"))
+
+
+@query("rank_squash", "SELECT event_id, round(abs(value - 50) / (abs(value - 50) + 5), 6) AS score FROM events")
+def rank_squash(spark, sf):
+    return table(spark, sf, "events").select("event_id", F.round(ix.rank_squash(F.col("value") - 50), 6).alias("score"))
+
+
+ASKED_TEXT = "the thing and the others of them"
+_letters = lambda t: "[" + ", ".join(f"(length({t}) - length(replace({t}, '{c}', '')))::DOUBLE" for c in "abcdefghijklmnopqrstuvwxyz") + "]"
+CHUNK_HITS = " + ".join(f"(list_contains(t, '{q}'))::INTEGER" for q in TERMS)
+
+
+@query("chunk_search", f"""WITH {CHUNK_SQL}, v AS (SELECT doc_id, chunk_index, {_letters('lower(chunk_text)')} AS v, {_letters(f"'{ASKED_TEXT}'")} AS q, {TOKENS.format('chunk_text')} AS t FROM ch),
+s AS (SELECT doc_id, chunk_index, CASE WHEN list_sum(v) = 0 THEN 0 ELSE list_dot_product(v, q) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(q, q))) END AS emb, ({CHUNK_HITS}) / {len(TERMS)}::DOUBLE AS kw FROM v),
+b AS (SELECT doc_id, chunk_index, 0.55::DOUBLE * emb + 0.45::DOUBLE * kw AS s FROM s) SELECT doc_id, chunk_index::INTEGER AS chunk_index, round(s, 6) AS score FROM b QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, chunk_index) = 1""")
+def chunk_search(spark, sf):
+    """Chunks with vectors of their own, scored by vector and words, and each parent's best."""
+    q = ix.letters(F.lit(ASKED_TEXT))
+    ch = rel.chunked(table(spark, sf, "documents"), 160).withColumns({"v": ix.letters(F.col("chunk_text")), "t": tx.tokens(F.col("chunk_text"))})
+    kw = sum((F.array_contains("t", t).cast("int") for t in TERMS), F.lit(0)) / len(TERMS)
+    best = ix.best_per_parent(ch, 0.55 * rel.cosine(F.col("v"), q) + 0.45 * kw)
+    return best.select("doc_id", "chunk_index", F.round("score", 6).alias("score"))
+
+
+@query("chunk_coverage", f"WITH {CHUNK_SQL}, c AS (SELECT doc_id, chunk_index % 3 <> 1 AS has FROM ch) SELECT d.doc_id AS doc_id, coalesce(round(avg(has::INTEGER), 6), 0) AS coverage FROM documents d LEFT JOIN c USING (doc_id) GROUP BY 1")
+def chunk_coverage(spark, sf):
+    """The share of a document's chunks that have a vector; 0 for a document without chunks."""
+    docs = table(spark, sf, "documents")
+    ch = rel.chunked(docs, 160).select("doc_id", (F.col("chunk_index") % 3 != 1).cast("int").alias("has"))
+    return docs.select("doc_id").join(ch.groupBy("doc_id").agg(F.avg("has").alias("c")), "doc_id", "left").select("doc_id", F.round(F.coalesce("c", F.lit(0.0)), 6).alias("coverage"))
