@@ -105,3 +105,54 @@ LEVEL_TYPES = {
     "mixed": ("documentation", "course", "research_paper"), "balanced": ("documentation", "course", "research_paper"),
 }
 DEFAULT_TYPES = ("documentation", "course", "research_paper")
+
+# Signs of a question about the talk itself, and of an answer that refuses.
+STRONG_MARKERS = ("what have i", "what did i", "what was i", "what were we", "what have we", "what did we", "remind me what", "recap what", "summarize what i", "history of this", "history of our", "this conversation", "our conversation")
+SELF_REFERENCES = ("i have", "i've", "i did", "i asked", "we discussed", "we talked", "so far", "recently", "previously", "earlier", "before this", "my studies", "my study", "this session", "this chat", "our chat", "our session", "up to now", "until now")
+SESSION_VERBS = ("studying", "asked", "mentioned", "told you", "discussed", "talked about", "covered", "explored", "learned", "reviewed")
+PRONOUNS = (" i ", " i've ", " my ", " we ", " our ", " me ", " i,", " i.", " i?", " me,", " me.", " me?")
+REFUSALS = (
+    "provided passages do not contain", "passages do not contain information", "passages do not contain enough", "provided context does not contain", "provided documents do not contain", "provided sources do not contain",
+    "retrieved passages do not contain", "retrieved documents do not contain", "indexed sources do not contain", "does not contain information explaining", "do not contain information explaining", "does not contain enough information",
+    "do not contain enough information", "not enough information in the provided", "not enough information in the retrieved", "insufficient information in the provided", "insufficient information in the retrieved",
+    "cannot be answered from the provided", "cannot answer based on the provided", "unable to answer based on the provided", "unable to answer from the provided", "i do not have enough information", "i don't have enough information",
+    "there is not enough information", "the sources do not provide", "no relevant information was found",
+)
+
+# What a question's words ask of a tool, and the tool for it.
+TOOL_WORDS = {
+    "search_academic": ("paper", "research", "study", "journal", "publication", "peer-reviewed", "academic"), "search_books": ("book", "textbook", "textbooks", "reading", "chapters"),
+    "search_courses": ("course", "courses", "tutorial", "tutorials", "lecture", "video", "class", "lesson"), "search_code_models": ("code", "implementation", "repository", "github", "model", "dataset", "library", "package"),
+    "search_explanation": ("basic", "basics", "beginner", "introduction", "what is", "definition", "overview", "explained", "explain"),
+}
+
+# Kinds of material: by level, and by words of the question, in order.
+LEVEL_FORMATS = {"beginner": ("course", "book", "documentation", "video", "research_paper"), "intermediate": ("documentation", "course", "book", "research_paper", "repository"), "advanced": ("research_paper", "repository", "model", "dataset", "documentation")}
+FORMAT_SIGNALS = (
+    ("course", "course"), ("courses", "course"), ("tutorial", "course"), ("tutorials", "course"), ("lecture", "video"), ("lectures", "video"), ("video", "video"), ("videos", "video"), ("youtube", "video"), ("textbook", "book"),
+    ("textbooks", "book"), ("book", "book"), ("books", "book"), ("documentation", "documentation"), ("docs", "documentation"), ("guide", "documentation"), ("guides", "documentation"), ("wiki", "documentation"), ("wikipedia", "documentation"),
+    ("paper", "research_paper"), ("papers", "research_paper"), ("research", "research_paper"), ("study", "research_paper"), ("studies", "research_paper"), ("journal", "research_paper"), ("article", "research_paper"), ("articles", "research_paper"),
+    ("code", "repository"), ("implementation", "repository"), ("github", "repository"), ("repository", "repository"), ("model", "model"), ("models", "model"), ("dataset", "dataset"), ("datasets", "dataset"),
+)
+MAX_FORMATS = 6
+
+# How long an answer should be, what leads and trails a question, and what is searched for beside it.
+ANSWER_STYLES = {
+    "short": ("briefly", "in one line", "in one sentence", "one line answer", "one sentence answer", "short answer", "short explanation", "quick answer", "quick summary", "tldr", "tl;dr", "in a nutshell", "just the gist", "keep it short", "keep it brief", "concise answer", "summarize quickly"),
+    "detailed": ("very detailed", "in detail", "in depth", "in-depth", "explain fully", "explain in detail", "explain thoroughly", "step by step", "walk me through", "walk through", "walk-through", "comprehensive explanation", "comprehensive answer", "detailed explanation", "detailed answer", "thorough explanation", "thorough answer", "thoroughly explain", "full explanation", "full answer", "deep dive", "deep-dive", "elaborate on"),
+    "exhaustive": ("exhaustive", "exhaustively", "everything about", "everything on", "complete guide", "complete explanation", "in every detail", "nothing left out", "all aspects", "cover everything", "as much detail as possible", "maximum detail", "most detailed", "the most detail"),
+}
+QUESTION_LEADERS = ("what is", "what are", "who is", "who are", "how does", "how do", "how can", "how is", "how are", "how to", "why does", "why do", "why is", "why are", "when did", "when was", "when is", "where is", "where are", "explain", "describe", "define", "definition of", "meaning of", "tell me about", "tell me", "talk about", "give me", "list", "examples of", "example of", "should i", "can you", "could you", "please")
+TRAILING_NOISE = ("?", "!", ".", ",", ":", ";", " please", " thanks", " thank you")
+SEARCH_TEMPLATES = {
+    "definition": ("{} definition", "what is {}", "{} overview"), "comparison": ("{} vs", "{} comparison", "difference between {}"), "mechanism": ("how does {} work", "{} mechanism", "{} architecture"), "causation": ("why {}", "causes of {}", "{} reasons"),
+    "enumeration": ("{} examples", "types of {}", "{} list"), "timeline": ("{} history", "{} origins", "history of {}"), "decision": ("{} pros and cons", "{} trade-offs", "should i use {}"), "explanation": ("{} explained", "{} overview", "introduction to {}"),
+    "overview": ("{} overview", "{} introduction", "{} explained"),
+}
+
+# A catalog's dimensions, the words that name them, and what an answer's confidence is made of.
+CATALOG_WORDS = {
+    "platform": ("platform", "platforms", "site", "sites"), "source_type": ("source type", "source types", "type of source", "types of sources", "format", "formats"), "domain": ("domain", "domains", "field", "fields", "subject area", "subject areas"),
+    "topic": ("topic", "topics", "subject", "subjects"), "year": ("year", "years", "date", "dates", "publication"), "run": ("run", "runs", "session", "sessions", "indexing run"), "title": ("title", "titles"),
+}
+CATALOG_WEIGHTS = {"llm_used": 0.3, "classifier_confidence": 0.25, "snapshot_richness": 0.15, "answer_substance": 0.2, "dimension_coverage": 0.1}

@@ -8,10 +8,16 @@ from ..functions import text as tx
 
 
 def catalog(sources: DataFrame, dimensions: list[str]) -> DataFrame:
-    """dimension, value, n: all group-bys and the total in one pass, unknown values named before they are grouped."""
+    """dimension, value, n: all group-bys and the total as grouping sets, unknown values named before they are grouped."""
     rows = sources.select(*[F.coalesce(F.nullif(F.trim(F.col(d).cast("string")), F.lit("")), F.lit("unknown")).alias(d) for d in dimensions])
-    pairs = rows.select(F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).alias("value")) for d in dimensions], F.struct(F.lit("all").alias("dimension"), F.lit("all").alias("value")))).alias("p"))
-    return pairs.groupBy("p.dimension", "p.value").agg(F.count("*").alias("n"))
+    sets = rows.groupingSets([[d] for d in dimensions] + [[]], *dimensions).agg(F.count("*").alias("n"), F.grouping_id(*dimensions).alias("which"))
+    # a set's number has a bit for each column that it leaves out
+    full = (1 << len(dimensions)) - 1
+    of = lambda i: full - (1 << (len(dimensions) - 1 - i))
+    name, value = F.lit("all"), F.lit("all")
+    for i, d in enumerate(dimensions):
+        name, value = F.when(F.col("which") == of(i), F.lit(d)).otherwise(name), F.when(F.col("which") == of(i), F.col(d)).otherwise(value)
+    return sets.select(name.alias("dimension"), value.alias("value"), "n")
 
 
 def top_of_each(df: DataFrame, group: str, n: int, *order: Column) -> DataFrame:
@@ -70,10 +76,21 @@ def related_terms(docs: DataFrame, topic: str, title: str = "title") -> DataFram
 
 
 def allocated(items: DataFrame, weight: str, total: int, key: str, reserve: float = 0.15, least: int = 500) -> DataFrame:
-    """Whole-number shares of a total after a reserve, by weight, none under the least."""
+    """Whole-number shares of a total after a reserve, by weight, none under the least; where that is more than there is, all give up an
+    equal part of what is too much, but not below the least."""
+    share = total - int(total * reserve)
     s = items.agg(F.sum(weight).alias("_s"))
-    share = F.floor(F.lit(int(total * (1 - reserve))) * F.col(weight) / F.col("_s")).cast("long")
-    return items.crossJoin(F.broadcast(s)).select(key, weight, F.greatest(F.lit(least).cast("long"), share).alias("budget"))
+    rows = items.crossJoin(F.broadcast(s)).select(key, weight, F.greatest(F.lit(least).cast("long"), F.floor(F.col(weight) / F.col("_s") * share).cast("long")).alias("budget"))
+    over = rows.agg((F.sum("budget") - share).alias("_over"), F.count("*").alias("_n"))
+    cut = F.greatest(F.lit(least).cast("long"), F.col("budget") - F.floor(F.col("_over") / F.col("_n")))
+    return rows.crossJoin(F.broadcast(over)).withColumn("budget", F.when(F.col("_over") > 0, cut).otherwise(F.col("budget")).cast("long")).drop("_over", "_n")
+
+
+def rebalanced(budgets: DataFrame) -> DataFrame:
+    """budgets (budget, done, unused): what finished tasks left over goes to the others in equal parts."""
+    free = budgets.agg(F.sum(F.when(F.col("done"), F.col("unused")).otherwise(0)).alias("_free"), F.count_if(~F.col("done")).alias("_left"))
+    more = F.when(~F.col("done") & (F.col("_left") > 0), F.floor(F.col("_free") / F.col("_left"))).otherwise(0)
+    return budgets.crossJoin(F.broadcast(free)).withColumn("budget", (F.col("budget") + more).cast("long")).drop("_free", "_left")
 
 
 def sessions(events: DataFrame, gap_seconds: int, key: str = "user_id") -> DataFrame:

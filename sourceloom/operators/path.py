@@ -1,21 +1,109 @@
-"""Study paths: steps of ordered resources."""
+"""Study paths: steps of ordered resources, filled category by category, put in order, and checked."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-CATEGORIES = ("beginner", "intermediate", "advanced", "unknown")
+from ..sources import store
 
+# The steps of a path with what they are for, and signs of a step's band in its title.
+STEPS = (
+    ("Foundations and Basics", "Start with beginner-friendly sources that explain the fundamentals clearly."),
+    ("Core Concepts", "Build the main concepts after the fundamentals."),
+    ("Applied Practice", "Apply the concepts through code, models, datasets, or practical examples."),
+    ("Advanced Research", "Move to advanced papers and deeper technical material."),
+    ("Deepen Understanding", "Continue studying additional relevant sources."),
+)
+EASY_TITLES = ("introduction", "intro ", "intro:", "intro to", "foundation", "foundations", " basics", "basic ", "basic:", "fundamental", "getting started", "overview", "primer", "first steps")
+HARD_TITLES = ("advanced", "expert", "deep dive", "deep-dive", "in depth", "in-depth", "frontier", "state of the art", "state-of-the-art")
+MIN_STEPS, MAX_STEPS, EACH = 3, 6, 4
 
-def steps(ranked: DataFrame, run: str = "run_id", each: int = 4, ordinal: str = "ordinal") -> DataFrame:
-    """Up to ``each`` records of each difficulty a run, in the order of difficulties: run, step, place, source_id.
 
-    Each record has one category, so the categories' picks are disjoint and one window does what a greedy scan would."""
-    order = F.coalesce(*[F.when(F.col("difficulty") == c, F.lit(i + 1)) for i, c in enumerate(CATEGORIES)])
-    w = W.partitionBy(run, "difficulty").orderBy(F.desc("score"), F.asc(ordinal))
-    rows = ranked.withColumn("place", F.row_number().over(w).cast("long")).where(F.col("place") <= each)
-    dense = W.partitionBy(run).orderBy("band")
-    return rows.withColumn("band", order).withColumn("step", F.dense_rank().over(dense).cast("long")).select(run, "step", "place", "source_id")
+def hardness() -> Column:
+    """0, 1 or 2 by difficulty; where it is unknown, papers are 2 and all else 1."""
+    known = F.when(F.col("difficulty") == "beginner", 0).when(F.col("difficulty") == "intermediate", 1).when(F.col("difficulty") == "advanced", 2)
+    return known.when(F.col("source_type") == "research_paper", 2).otherwise(1)
+
+
+def _has(title: Column, marks: tuple[str, ...]) -> Column:
+    low = F.lower(title)
+    return F.coalesce(*[F.when(low.contains(m), F.lit(True)) for m in marks], F.lit(False))
+
+
+def title_band(title: Column) -> Column:
+    return F.when(_has(title, EASY_TITLES), 0).when(_has(title, HARD_TITLES), 2).otherwise(1)
+
+
+def _first(rows: DataFrame, run: str, n: int | Column, *order: Column) -> DataFrame:
+    return rows.withColumn("place", F.row_number().over(W.partitionBy(run).orderBy(*order)).cast("long")).where(F.col("place") <= n)
+
+
+def greedy(ranked: DataFrame, run: str = "run_id", each: int = EACH, ordinal: str = "ordinal") -> DataFrame:
+    """run, step, title, place, source_id, hardness: beginners' records, intermediate ones, practice and advanced ones, up to ``each`` that no
+    step before has taken, and where a run has none of a kind the nearest others; then others until there are MIN_STEPS steps.
+
+    A category's candidates are the first few of a run by score, since each step before takes ``each`` at most.  They are written once, so the
+    scores aren't computed for every step, and what the steps join is bounded by the number of runs."""
+    rows = ranked.withColumn("hardness", hardness()).withColumn("k", F.row_number().over(W.partitionBy(run).orderBy(F.desc("score"), F.asc(ordinal))))
+    practice = F.col("source_type").isin("repository", "model", "dataset") | F.coalesce("has_code", F.lit(False))
+    kinds = {"e": F.col("difficulty") == "beginner", "m": F.col("difficulty") == "intermediate", "p": practice, "a": F.col("difficulty") == "advanced"}
+    rows = rows.withColumns({f"_{n}": F.coalesce(c, F.lit(False)) for n, c in kinds.items()})
+    have = rows.groupBy(run).agg(*[F.bool_or(f"_{n}").alias(f"_has_{n}") for n in kinds])
+    rows = rows.join(F.broadcast(have), run)
+    easy = F.when(F.col("_has_e"), F.lit(0)).otherwise(F.col("hardness"))
+    wanted = (
+        (F.col("_e") | ~F.col("_has_e"), [easy, F.col("k")]), (F.col("_m") | (~F.col("_has_m") & (F.col("hardness") <= 1)), [F.col("k")]),
+        (F.col("_p") | (~F.col("_has_p") & (F.col("source_type") == "documentation")), [F.col("k")]), (F.col("_a") | (~F.col("_has_a") & (F.col("hardness") >= 1)), [F.col("k")]),
+    )
+    ranks = {f"_at{i}": F.when(holds, F.row_number().over(W.partitionBy(run, holds).orderBy(*order))) for i, (holds, order) in enumerate(wanted)}
+    near_any = rows.withColumns(ranks)
+    some = F.col("k") <= each * (len(wanted) + MIN_STEPS)
+    for i in range(len(wanted)):
+        some = some | (F.col(f"_at{i}") <= each * (i + 1))
+    folder = store.new_folder(ranked.sparkSession, "path")
+    near_any.where(some).select(run, "source_id", "source_type", "hardness", "k", *[c for c in near_any.columns if c.startswith("_")]).write.parquet(folder)
+    rows = ranked.sparkSession.read.parquet(folder)
+    taken, columns = None, [run, "category", "place", "source_id", "hardness"]
+    for number, (holds, order) in enumerate(wanted, 1):
+        near = _first(rows.where(holds), run, each * number, *order).drop("place")
+        if taken is not None:
+            near = near.join(taken.select("source_id"), "source_id", "left_anti")
+        got = _first(near, run, each, *order).withColumn("category", F.lit(number)).select(*columns)
+        taken = got if taken is None else taken.unionByName(got)
+    so_far = taken.groupBy(run).agg(F.count_distinct("category").alias("_n"))
+    left = rows.where(F.col("k") <= each * (len(wanted) + MIN_STEPS)).join(taken.select("source_id"), "source_id", "left_anti").join(so_far, run, "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
+    more = _first(left, run, each * F.greatest(F.lit(0), MIN_STEPS - F.col("_n")), F.col("k"))
+    more = more.withColumn("category", (4 + F.ceil(F.col("place") / each)).cast("int")).withColumn("place", (F.pmod(F.col("place") - 1, F.lit(each)) + 1).cast("long")).select(*columns)
+    step = F.dense_rank().over(W.partitionBy(run).orderBy("category")).cast("long")
+    title = F.element_at(F.array(*[F.lit(t) for t, _ in STEPS]), F.least(F.col("category"), F.lit(len(STEPS))))
+    return taken.unionByName(more).withColumns({"step": step, "title": title}).where(F.col("step") <= MAX_STEPS).select(run, "step", "title", "place", "source_id", "hardness")
+
+
+def aligned(path: DataFrame, run: str = "run_id") -> DataFrame:
+    """A path's steps in the order of their titles' bands, then of their mean hardness, and each step's resources from easy to hard."""
+    means = path.groupBy(run, "step").agg(F.avg("hardness").alias("mean"), F.first("title").alias("title"))
+    order = W.partitionBy(run).orderBy(title_band(F.col("title")), "mean", "step")
+    numbers = means.withColumn("new", F.row_number().over(order).cast("long")).select(run, "step", "new")
+    placed = path.join(numbers, [run, "step"]).withColumn("place", F.row_number().over(W.partitionBy(run, "step").orderBy("hardness", "place")).cast("long"))
+    return placed.drop("step").withColumnRenamed("new", "step").select(run, "step", "title", "place", "source_id", "hardness")
+
+
+def with_sources(path: DataFrame, sources: DataFrame) -> DataFrame:
+    """A path's resource ids joined to their records; ids that no record has go."""
+    return path.join(sources, "source_id")
+
+
+def out_of_band(path: DataFrame) -> DataFrame:
+    """path with ``fits``: whether a resource's hardness is within one of its step's band."""
+    return path.withColumn("fits", F.abs(F.col("hardness") - title_band(F.col("title"))) <= 1)
+
+
+def annotated(title: Column, step: Column, level: str) -> Column:
+    """A step's objective, with the level asked for in the first step."""
+    objective = F.lit("")
+    for name, text in STEPS:
+        objective = F.when(title == name, F.lit(text)).otherwise(objective)
+    return F.when(step == 1, F.concat(objective, F.lit(f" Level: {level}."))).otherwise(objective)
 
 
 def misordered(steps_: DataFrame, run: str = "run_id") -> DataFrame:
@@ -23,3 +111,19 @@ def misordered(steps_: DataFrame, run: str = "run_id") -> DataFrame:
     mean = steps_.groupBy(run, "step").agg(F.avg("hardness").alias("mean"))
     back = F.lag("mean").over(W.partitionBy(run).orderBy("step"))
     return mean.withColumn("drop", F.coalesce(back > F.col("mean") + 0.25, F.lit(False))).groupBy(run).agg(F.bool_or("drop").alias("misordered"), F.count("*").alias("steps"))
+
+
+def reordered(steps_: DataFrame, run: str = "run_id") -> DataFrame:
+    """Steps (run, step, title) by the bands of their titles where every title has one and they are out of order; else as they are."""
+    one = steps_.withColumns({"band": title_band(F.col("title")), "_sign": _has(F.col("title"), (*EASY_TITLES, *HARD_TITLES))})
+    one = one.withColumn("_fell", F.coalesce(F.lag("band").over(W.partitionBy(run).orderBy("step")) > F.col("band"), F.lit(False)))
+    state = one.groupBy(run).agg((F.bool_and("_sign") & F.bool_or("_fell")).alias("_move"))
+    order = W.partitionBy(run).orderBy(F.when(F.col("_move"), F.col("band")).otherwise(0), "step")
+    return one.join(state, run).withColumn("place", F.row_number().over(order).cast("long")).select(run, "step", "place")
+
+
+def padded_or_cut(reason: Column, text: Column) -> Column:
+    """Whether a path is cut off (its JSON has more opened than closed) or was padded (a reason says so)."""
+    opened = lambda c: F.length(text) - F.length(F.replace(text, F.lit(c), F.lit("")))
+    cut = (opened("{") != opened("}")) | (opened("[") != opened("]"))
+    return F.when(cut, "cut").when(F.lower(reason).contains("selected to ensure"), "padded").otherwise("whole")

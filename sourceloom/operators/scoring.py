@@ -15,6 +15,7 @@ AUTHORITY = {
     "serper": 0.60, "serpapi": 0.60, "jina": 0.58,
 }
 TYPE_QUALITY = {"research_paper": 0.92, "course": 0.90, "book": 0.88, "documentation": 0.84, "repository": 0.82, "model": 0.80, "dataset": 0.72, "video": 0.68, "blog": 0.55, "other": 0.45}
+TYPE_AUTHORITY = {"research_paper": 0.75, "course": 0.70, "book": 0.70, "documentation": 0.65, "repository": 0.70, "model": 0.65, "dataset": 0.60, "video": 0.55, "blog": 0.45, "other": 0.45}
 EDUCATION = ("openstax", "libretexts", "mit_ocw", "wikibooks", "wikipedia", "open_library", "wikiversity", "khan_academy")
 BEGINNER_LEVELS = {"beginner": 0.20, "intermediate": 0.06, "advanced": -0.24}
 BEGINNER_TYPES = {"documentation": 0.10, "course": 0.10, "video": 0.10, "blog": 0.05, "research_paper": -0.06, "book": 0.15, "repository": 0.03, "model": 0.02}
@@ -34,7 +35,8 @@ def unit(x: Column) -> Column:
 
 
 def authority() -> Column:
-    return looked_up(F.col("platform"), AUTHORITY, 0.5)
+    """By platform, or by kind where the platform is not known."""
+    return looked_up(F.col("platform"), AUTHORITY, looked_up(F.col("source_type"), TYPE_AUTHORITY, 0.45))
 
 
 def type_quality() -> Column:
@@ -42,10 +44,10 @@ def type_quality() -> Column:
 
 
 def impact() -> Column:
-    """By citations if they are known, 0 included; else by stars; else 0.35."""
+    """By citations if they are known, 0 included; else by stars, else by downloads; else 0.35."""
     log_share = lambda c, top: unit(F.log1p(c) / F.log1p(F.lit(float(top))))
     cited = F.when(F.col("citation_count") <= 0, F.lit(0.20)).otherwise(log_share(F.col("citation_count"), 1000))
-    return F.when(F.col("citation_count").isNotNull(), cited).when(F.coalesce("stars", F.lit(0)) > 0, log_share(F.col("stars"), 5000)).otherwise(F.lit(0.35))
+    return F.when(F.col("citation_count").isNotNull(), cited).when(F.col("stars").isNotNull(), log_share(F.col("stars"), 5000)).when(F.col("downloads").isNotNull(), log_share(F.col("downloads"), 100_000)).otherwise(F.lit(0.35))
 
 
 def recency(as_of_year: int = AS_OF_YEAR) -> Column:
@@ -55,11 +57,11 @@ def recency(as_of_year: int = AS_OF_YEAR) -> Column:
 
 def content() -> Column:
     text = F.least(F.lit(1.0), F.length(tx.clean(F.col("abstract"))) / 600.0)
-    return unit(text + F.least(F.lit(0.20), F.col("meta_keys") / 8.0) + F.when(F.coalesce("has_code", F.lit(False)), 0.05).otherwise(0.0))
+    return unit(text + F.when(tx.clean(F.col("summary")) != "", 0.25).otherwise(0.0) + F.least(F.lit(0.20), F.col("meta_keys") / 8.0) + F.when(F.coalesce("has_code", F.lit(False)), 0.05).otherwise(0.0))
 
 
 def support() -> Column:
-    return unit(F.when(F.coalesce("has_code", F.lit(False)), 0.45).otherwise(0.0) + F.when(F.col("url") != "", 0.15).otherwise(0.0) + F.when(F.col("doi").isNotNull(), 0.25).otherwise(0.0))
+    return unit(F.when(F.coalesce("has_code", F.lit(False)), 0.45).otherwise(0.0) + F.when(F.col("url") != "", 0.15).otherwise(0.0) + F.when(F.col("doi").isNotNull() | F.coalesce("has_pdf", F.lit(False)), 0.25).otherwise(0.0) + F.when(F.coalesce("open_access", F.lit(False)), 0.15).otherwise(0.0) + F.when(F.col("code_url").isNotNull(), 0.15).otherwise(0.0))
 
 
 def authors() -> Column:

@@ -98,3 +98,10 @@ def majority(votes: DataFrame, least: int = 2, share: float = 0.5) -> DataFrame:
     rows = n.join(best("strict"), "task").join(best("loose"), "task")
     enough = lambda c: (F.col(f"best_{c}.k") >= least) & (F.col(f"best_{c}.k") / F.col("n") >= share)
     return rows.select("task", F.when(enough("strict"), "strict").when(enough("loose"), "loose").otherwise("disagreement").alias("mode"), F.when(enough("strict"), F.col("best_strict.print")).when(enough("loose"), F.col("best_loose.print")).alias("print"), F.when(enough("strict"), F.col("best_strict.k")).when(enough("loose"), F.col("best_loose.k")).otherwise(F.lit(0)).alias("n_votes"))
+
+
+def better_vote(votes: DataFrame, by: float = 0.10) -> DataFrame:
+    """votes (task, voter, fit, final) -> task, voter: the vote of the best fit, the first voter's of equal ones, if it is over the final
+    one's by more than ``by``; else null."""
+    best = votes.groupBy("task").agg(F.max(F.struct("fit", (-F.col("voter")).alias("v"))).alias("b"), F.max("final").alias("final"))
+    return best.select("task", F.when(F.col("b.fit") > F.col("final") + by, -F.col("b.v")).alias("voter"))

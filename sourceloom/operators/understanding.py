@@ -152,3 +152,145 @@ def guards(sources: DataFrame) -> DataFrame:
     """One row of run-level warnings."""
     low = F.col("difficulty") == "beginner"
     return sources.agg(F.count("*").alias("n"), (F.count("*") == 0).alias("no_sources"), (F.count_if(low) == 0).alias("no_beginner"), (F.count_if(F.col("relevance") >= 0.5) / F.greatest(F.count("*"), F.lit(1)) < 0.25).alias("few_relevant"))
+
+
+def marks_in(text: Column, marks: tuple[str, ...]) -> Column:
+    """How many of some marks a text has."""
+    return sum((text.contains(m).cast("int") for m in marks), F.lit(0))
+
+
+def route(text: Column, has_topic: Column, turns_before: Column) -> Column:
+    """conversation or corpus, for a lower-cased question."""
+    own, verbs, people = marks_in(text, fx.SELF_REFERENCES), marks_in(text, fx.SESSION_VERBS), marks_in(F.concat(F.lit(" "), text, F.lit(" ")), fx.PRONOUNS)
+    signals = own + verbs + people
+    talk = (marks_in(text, fx.STRONG_MARKERS) > 0) | (~has_topic & (signals >= 2)) | (~has_topic & (verbs >= 1) & (people >= 1)) | ((own >= 2) & (verbs >= 1)) | ((turns_before > 0) & ~has_topic & (signals >= 3))
+    return F.when(talk, "conversation").otherwise("corpus")
+
+
+def refuses(text: Column) -> Column:
+    low = F.lower(tx.clean(text))
+    out = F.lit(False)
+    for phrase in fx.REFUSALS:
+        out = out | low.contains(phrase)
+    return out
+
+
+def search_tool(text: Column, level: Column) -> Column:
+    """The tool that most words of a question ask for, the first of equal ones; beginners get explanations, and no words the academic one."""
+    low = F.lower(text)
+    counts = {tool: marks_in(low, words) for tool, words in fx.TOOL_WORDS.items()}
+    most = F.greatest(*counts.values())
+    best = F.lit("search_academic")
+    for tool in reversed(counts):
+        best = F.when(counts[tool] == most, F.lit(tool)).otherwise(best)
+    return F.when(F.lower(level).contains("beginner"), "search_explanation").when(most == 0, "search_academic").otherwise(best)
+
+
+def formats(text: Column, levels: Column, domain_formats: Column) -> Column:
+    """Kinds of material for a question: by its level (all levels' where there is not just one), by its first domains, and, put before them one
+    by one, by its words; the first six."""
+    low = F.lower(text)
+    of = {k: F.array(*map(F.lit, v)) for k, v in fx.LEVEL_FORMATS.items()}
+    one = F.when(F.size(levels) == 1, levels[0])
+    base = F.when(one == "beginner", of["beginner"]).when(one == "advanced", of["advanced"]).when(one == "intermediate", of["intermediate"]).otherwise(F.concat(of["beginner"], of["intermediate"], of["advanced"]))
+    listed = F.array_distinct(F.concat(base, domain_formats))
+    named = F.array_compact(F.array(*[F.when(low.contains(s), F.lit(f)) for s, f in fx.FORMAT_SIGNALS]))
+    new = F.reverse(F.array_except(F.array_distinct(named), listed))
+    return F.slice(F.concat(new, listed), 1, fx.MAX_FORMATS)
+
+
+def answer_style(text: Column) -> Column:
+    """short, detailed or exhaustive by the most marks, the later of equal ones; else standard."""
+    low = F.lower(text)
+    counts = {k: marks_in(low, v) for k, v in fx.ANSWER_STYLES.items()}
+    most = F.greatest(*counts.values())
+    out = F.lit("standard")
+    for style, n in counts.items():
+        out = F.when((n == most) & (n > 0), F.lit(style)).otherwise(out)
+    return out
+
+
+def primary_topic(text: Column, most: int = 6) -> Column:
+    """What a question is about: what it quotes, else its words without leaders, trailing noise and stopwords, the first few."""
+    clean = tx.clean(text)
+    quoted = F.coalesce(F.nullif(F.regexp_extract(clean, '"([^"]{2,80})"', 1), F.lit("")))
+    body = clean
+    for leader in sorted(fx.QUESTION_LEADERS, key=len):  # the longest is tried first
+        body = F.when(F.lower(clean).startswith(leader), F.trim(F.substring(clean, F.lit(len(leader) + 1), F.length(clean)))).otherwise(body)
+    for noise in fx.TRAILING_NOISE:
+        body = tx.let(body, lambda b, noise=noise: F.when(F.lower(b).endswith(noise), F.rtrim(F.left(b, F.length(b) - len(noise)))).otherwise(b))
+    words = F.filter(F.split(body, " "), lambda w: w != "")
+    kept = lambda ws: F.filter(ws, lambda w: ~F.lower(w).isin(*fx.STOPWORDS))
+    named = tx.let(words, lambda ws: F.array_join(F.slice(F.when(F.size(kept(ws)) > 0, kept(ws)).otherwise(ws), 1, most), " "))
+    return F.coalesce(quoted, named)
+
+
+def search_queries(question: Column, topic: Column, kind: Column, more: Column, most: int = 6) -> Column:
+    """The question, long forms of its abbreviations (more), its topic, and what its kind is searched by, each once whatever its case."""
+    empty = F.array().cast("array<string>")
+    by_kind = empty
+    for name, templates in fx.SEARCH_TEMPLATES.items():
+        by_kind = F.when(kind == name, F.array(*[F.concat(F.lit(t.split("{}")[0]), topic, F.lit(t.split("{}")[1])) for t in templates])).otherwise(by_kind)
+    every = F.concat(F.array(question), more, F.when(F.length(topic) > 0, F.concat(F.array(topic), by_kind)).otherwise(empty))
+    return F.slice(tx.distinct_ignoring_case(F.filter(every, lambda q: q != "")), 1, most)
+
+
+def substance(text: Column) -> Column:
+    """How much an answer says, by its length and whether it has a number."""
+    n, number = F.length(F.trim(F.coalesce(text, F.lit("")))), text.rlike("[0-9]")
+    return F.when((n >= 200) & number, 1.0).when((n >= 120) & number, 0.85).when(n >= 80, 0.7).when(n >= 40, 0.5).when(n > 0, 0.3).otherwise(0.0)
+
+
+def cited_dimensions(text: Column) -> Column:
+    low = F.lower(F.coalesce(text, F.lit("")))
+    return F.array_compact(F.array(*[F.when(marks_in(low, words) > 0, F.lit(name)) for name, words in fx.CATALOG_WORDS.items()]))
+
+
+def catalog_confidence(text: Column, richness: Column, classifier: Column, by_model: Column) -> Column:
+    """How far an answer about the catalog can be trusted."""
+    share = F.size(cited_dimensions(text)) / len(fx.CATALOG_WORDS)
+    parts = {"llm_used": F.when(by_model, 1.0).otherwise(0.55), "classifier_confidence": classifier, "snapshot_richness": richness, "answer_substance": substance(text), "dimension_coverage": share}
+    blend = sum((fx.CATALOG_WEIGHTS[k] * v for k, v in parts.items()), F.lit(0.0))
+    return F.when(F.trim(F.coalesce(text, F.lit(""))) == "", F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(by_model, blend).otherwise(blend * 0.85))))
+
+
+def answer_trust(cited: Column, passages: Column, mean_score: Column, chars: Column) -> Column:
+    """0.35 of the passages cited, 0.45 of their mean score, 0.20 of the answer's length up to 600."""
+    return F.when((passages <= 0) | (chars <= 0), F.lit(0.0)).otherwise(F.least(F.lit(1.0), 0.35 * cited / passages + 0.45 * F.coalesce(mean_score, F.lit(0.0)) + 0.20 * F.least(F.lit(1.0), chars / 600.0)))
+
+
+def escalation_confidence(richness: Column, classifier: Column) -> Column:
+    return F.least(F.lit(0.5), 0.35 * richness + 0.25 * classifier)
+
+
+def domain_score(text: Column, tokens: Column, concept: Column, aliases: list[str]) -> Column:
+    """What a domain's aliases in a question add up to: 0.48 for several words, 0.30 for up to three letters, else 0.38, and 0.22 if the
+    concept has it; at most 0.98, and 0 without any."""
+    total = F.lit(0.0)
+    for alias in aliases:
+        words = alias.split(" ")
+        there = F.concat(F.lit(" "), text, F.lit(" ")).contains(f" {alias} ") if len(words) > 1 else F.array_contains(tokens, alias)
+        worth = 0.48 if len(words) > 1 else 0.30 if len(alias) <= 3 else 0.38
+        total = total + F.when(there, worth + F.when(concept.contains(alias), 0.22).otherwise(0.0)).otherwise(0.0)
+    return F.least(F.lit(0.98), total)
+
+
+# Minutes by kind.
+MINUTES = {"research_paper": 90, "repository": 120, "course": 180, "video": 45, "documentation": 30, "dataset": 60, "model": 60, "blog": 20}
+
+
+def summary_of(title: Column, abstract: Column, kind: Column) -> Column:
+    """A record's summary without a model: its abstract's beginning, else its title and kind."""
+    text = tx.clean(abstract)
+    return F.when(text != "", tx.truncated(text, 300)).otherwise(F.concat(title, F.lit(" ("), kind, F.lit(" resource).")))
+
+
+def why_useful(kind: Column, platform: Column) -> Column:
+    return F.concat(F.lit("A "), kind, F.lit(" from "), platform, F.lit(" relevant to your learning goal."))
+
+
+def study_minutes(kind: Column, abstract: Column) -> Column:
+    base = F.lit(30)
+    for name, value in MINUTES.items():
+        base = F.when(kind == name, F.lit(value)).otherwise(base)
+    return base + F.when(tx.word_count(tx.clean(abstract)) > 300, 15).otherwise(0)

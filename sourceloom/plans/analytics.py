@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Window as W, functions as F
 
-from ..functions import text as tx
-from ..operators import analytics as an, records as rc, relevance as rel, selection as sel
+from ..functions import fixed as fx, text as tx
+from ..operators import analytics as an, records as rc, relevance as rel, selection as sel, understanding as un
 from ..streaming import windows as sw
 from .registry import query
 from .views import SOURCES, sources, table
@@ -152,9 +152,24 @@ def votes_then_heuristics(spark, sf):
     return v.withColumn("origin", F.lit("vote")).unionByName(h.join(v, "id", "left_anti").withColumn("origin", F.lit("heuristic")))
 
 
-@query("budget_allocation", "SELECT s_suppkey, s_acctbal + 1000 AS weight, greatest(500, floor(850000 * (s_acctbal + 1000) / (SELECT sum(s_acctbal + 1000) FROM supplier))::BIGINT)::BIGINT AS budget FROM supplier")
+BUDGETS = "w AS (SELECT s_suppkey, CASE WHEN s_suppkey % 5 <= 2 THEN 1.5 ELSE 1.0 END::DOUBLE * greatest(0.5, least(2.0, (s_acctbal + 1000) / 3000.0))::DOUBLE AS weight FROM supplier), a AS (SELECT s_suppkey, weight, greatest(500, floor(weight / (SELECT sum(weight) FROM w) * {0})::BIGINT)::BIGINT AS budget FROM w), o AS (SELECT sum(budget) AS s, count(*) AS n FROM a)"
+
+
+@query("budget_allocation", f"WITH {BUDGETS.format(850_000)} SELECT s_suppkey, CASE WHEN s > 850000 THEN greatest(500, budget - (s - 850000)::BIGINT // n) ELSE budget END::BIGINT AS budget FROM a, o")
 def budget_allocation(spark, sf):
-    return an.allocated(table(spark, sf, "supplier").withColumn("weight", F.col("s_acctbal") + 1000), "weight", 1_000_000, "s_suppkey")
+    """Shares by priority and size, with a reserve and a least; what that is too much is taken off all alike."""
+    return an.allocated(_tasks(spark, sf), "weight", 1_000_000, "s_suppkey").select("s_suppkey", "budget")
+
+
+@query("budget_overflow", f"WITH {BUDGETS.format(4250)} SELECT s_suppkey, CASE WHEN s > 4250 THEN greatest(500, budget - (s - 4250)::BIGINT // n) ELSE budget END::BIGINT AS budget FROM a, o")
+def budget_overflow(spark, sf):
+    """A total so small that the least of all is more than it."""
+    return an.allocated(_tasks(spark, sf), "weight", 5_000, "s_suppkey").select("s_suppkey", "budget")
+
+
+def _tasks(spark, sf):
+    weight = F.when(F.col("s_suppkey") % 5 <= 2, 1.5).otherwise(1.0) * F.greatest(F.lit(0.5), F.least(F.lit(2.0), (F.col("s_acctbal") + 1000) / 3000.0))
+    return table(spark, sf, "supplier").select("s_suppkey", weight.alias("weight"))
 
 
 @query("recent_turns", "SELECT conv_id, turn, role FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 3")
@@ -162,10 +177,10 @@ def recent_turns(spark, sf):
     return sel.per_group(table(spark, sf, "conversations"), "conv_id", [F.desc("turn")], 3).select("conv_id", "turn", "role")
 
 
-@query("last_user_topic", "SELECT conv_id, arg_max(left(text, 40), turn) AS topic, max(turn) AS turn FROM conversations WHERE role = 'user' GROUP BY 1")
+@query("last_user_topic", "SELECT conv_id, arg_max(text, turn) AS topic, max(turn) AS turn FROM conversations WHERE role = 'user' GROUP BY 1")
 def last_user_topic(spark, sf):
     users = table(spark, sf, "conversations").where("role = 'user'")
-    return users.groupBy("conv_id").agg(F.max_by(F.left("text", F.lit(40)), "turn").alias("topic"), F.max("turn").alias("turn"))
+    return users.groupBy("conv_id").agg(F.max_by("text", "turn").alias("topic"), F.max("turn").alias("turn"))
 
 
 @query("conversation_listing", "SELECT conv_id, count(*) AS turns, count(*) FILTER (role = 'user') AS user_turns, sum(length(text))::BIGINT AS chars FROM conversations GROUP BY 1")
@@ -195,12 +210,17 @@ def turn_jaccard(spark, sf):
     return rows.withColumn("p", two).where("p.turn = turn - 2").select("conv_id", "turn", F.round(tx.jaccard(F.col("t"), F.col("p.t")), 6).alias("jaccard"))
 
 
-@query("conversation_route", "WITH c AS (SELECT conv_id, turn, (contains(lower(text), 'you'))::INTEGER + contains(lower(text), 'this')::INTEGER AS talk, contains(lower(text), 'the')::INTEGER + contains(lower(text), 'for')::INTEGER + contains(lower(text), 'that')::INTEGER AS corpus FROM conversations WHERE role = 'user') SELECT conv_id, turn, CASE WHEN talk > corpus THEN 'conversation' WHEN corpus > 0 THEN 'corpus' ELSE 'other' END AS route FROM c")
+ASKED = "CASE turn % 5 WHEN 0 THEN 'What have I asked so far? ' WHEN 1 THEN 'Remind me, we discussed and covered my study earlier: ' WHEN 2 THEN 'I asked: ' ELSE '' END"
+_n = lambda marks, text: "(" + " + ".join("contains({}, '{}')::INTEGER".format(text, m.replace("'", "''")) for m in marks) + ")"
+
+
+@query("conversation_route", f"WITH q AS (SELECT conv_id, turn, lower({ASKED} || text) AS t FROM conversations WHERE role = 'user'), c AS (SELECT *, {_n(fx.STRONG_MARKERS, 't')} AS strong, {_n(fx.SELF_REFERENCES, 't')} AS self, {_n(fx.SESSION_VERBS, 't')} AS verbs, {_n(fx.PRONOUNS, chr(39) + ' ' + chr(39) + ' || t || ' + chr(39) + ' ' + chr(39))} AS pronouns, length(t) < 60 AS has_topic FROM q) SELECT conv_id, turn, CASE WHEN strong > 0 OR (NOT has_topic AND self + verbs + pronouns >= 2) OR (NOT has_topic AND verbs >= 1 AND pronouns >= 1) OR (self >= 2 AND verbs >= 1) OR (turn > 0 AND NOT has_topic AND self + verbs + pronouns >= 3) THEN 'conversation' ELSE 'corpus' END AS route FROM c")
 def conversation_route(spark, sf):
-    low = F.lower("text")
-    n = lambda *ws: sum((low.contains(w).cast("int") for w in ws), F.lit(0))
-    c = table(spark, sf, "conversations").where("role = 'user'").select("conv_id", "turn", n("you", "this").alias("talk"), n("the", "for", "that").alias("corpus"))
-    return c.select("conv_id", "turn", F.when(F.col("talk") > F.col("corpus"), "conversation").when(F.col("corpus") > 0, "corpus").otherwise("other").alias("route"))
+    """Whether a question is about the talk itself or about the corpus."""
+    turn = F.col("turn") % 5
+    text = F.concat(F.when(turn == 0, "What have I asked so far? ").when(turn == 1, "Remind me, we discussed and covered my study earlier: ").when(turn == 2, "I asked: ").otherwise(""), "text")
+    rows = table(spark, sf, "conversations").where("role = 'user'").select("conv_id", "turn", F.lower(text).alias("t"))
+    return rows.select("conv_id", "turn", un.route(F.col("t"), F.length("t") < 60, F.col("turn")).alias("route"))
 
 
 @query("retention_trim", "WITH k AS (SELECT event_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 1000) SELECT user_id, count(*) AS kept FROM events WHERE event_id IN (SELECT event_id FROM k) GROUP BY 1")
@@ -223,9 +243,9 @@ def replace_chunks(spark, sf):
     return docs.join(new, "doc_id", "left_anti").select("doc_id", F.lit("old").alias("origin")).unionByName(new.withColumn("origin", F.lit("new")))
 
 
-@query("runs_with_sources", "SELECT o.o_orderkey AS run, o_orderstatus AS status, count(l_orderkey) AS sources, coalesce(string_agg(l_partkey::VARCHAR, ',' ORDER BY l_linenumber, l_partkey), '') AS parts FROM orders o LEFT JOIN lineitem l ON l.l_orderkey = o.o_orderkey AND l_quantity > 45 GROUP BY ALL")
+@query("runs_with_sources", "SELECT o.o_orderkey AS run, o_orderstatus AS status, count(l_orderkey) AS sources, coalesce(string_agg(l_partkey::VARCHAR, ',' ORDER BY l_linenumber, l_partkey), '') AS parts FROM orders o LEFT JOIN lineitem l ON l.l_orderkey = o.o_orderkey GROUP BY ALL")
 def runs_with_sources(spark, sf):
-    lines = table(spark, sf, "lineitem").where("l_quantity > 45").groupBy(F.col("l_orderkey").alias("run")).agg(F.count("*").alias("sources"), F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("p"))
+    lines = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("run")).agg(F.count("*").alias("sources"), F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("p"))
     orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("run"), F.col("o_orderstatus").alias("status"))
     return orders.join(lines, "run", "left").select("run", "status", F.coalesce("sources", F.lit(0).cast("long")).alias("sources"), F.coalesce(F.array_join(F.transform("p", lambda x: x["l_partkey"].cast("string")), ","), F.lit("")).alias("parts"))
 
@@ -253,9 +273,9 @@ def windows_tumbling(spark, sf):
     return sw.tumbling(table(spark, sf, "events"), "1 hour").withColumn("total", F.round("total", 4))
 
 
-@query("windows_sliding", "WITH w AS (SELECT user_id, ts, unnest(range(0, 6)) AS k FROM events) SELECT user_id, time_bucket(INTERVAL 10 MINUTE, ts) - k * INTERVAL 10 MINUTE AS window_start, count(*) AS n FROM w GROUP BY ALL HAVING count(*) > 1")
+@query("windows_sliding", "WITH w AS (SELECT user_id, ts, unnest(range(0, 6)) AS k FROM events) SELECT user_id, time_bucket(INTERVAL 10 MINUTE, ts) - k * INTERVAL 10 MINUTE AS window_start, count(*) AS n FROM w GROUP BY ALL")
 def windows_sliding(spark, sf):
-    return sw.sliding(table(spark, sf, "events"), "60 minutes", "10 minutes").where("n > 1")
+    return sw.sliding(table(spark, sf, "events"), "60 minutes", "10 minutes")
 
 
 @query("event_sessions", "WITH f AS (SELECT *, (ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) >= INTERVAL 30 MINUTE)::INTEGER AS g FROM events), s AS (SELECT *, sum(coalesce(g, 1)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS session FROM f) SELECT user_id, session::BIGINT AS session, min(ts) AS start_ts, max(ts) AS end_ts, count(*) AS events FROM s GROUP BY ALL")
@@ -291,6 +311,37 @@ def query_routing(spark, sf):
     return sel.per_group(q.crossJoin(F.broadcast(p)).withColumn("prio", prio), "query_id", [F.asc("prio"), F.asc("platform")], 6).select("query_id", "platform", "prio")
 
 
-@query("mean_relevance_gate", "SELECT vec_id, label FROM embeddings WHERE list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0 AND label <> 0")
+@query("mean_relevance_gate", "WITH d AS (SELECT vec_id, label, list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) AS d FROM embeddings), m AS (SELECT label, avg(d) AS mean FROM d GROUP BY 1) SELECT vec_id, d.label AS label FROM d JOIN m ON m.label = d.label WHERE d >= mean")
 def mean_relevance_gate(spark, sf):
-    return table(spark, sf, "embeddings").where((rel.dot(F.col("embedding"), F.col("embedding")) > 0) & (F.col("label") != 0)).select("vec_id", "label")
+    """Of each group the rows that reach its mean; the means are one row a group."""
+    rows = table(spark, sf, "embeddings").select("vec_id", "label", rel.dot(F.col("embedding"), F.col("embedding")).alias("d"))
+    means = rows.groupBy("label").agg(F.avg("d").alias("mean"))
+    return rows.join(F.broadcast(means), "label").where("d >= mean").select("vec_id", "label")
+
+
+@query("budget_rebalance", "WITH b AS (SELECT s_suppkey, 1000 + s_suppkey % 7 * 100 AS budget, s_suppkey % 4 = 0 AS done, CASE WHEN s_suppkey % 4 = 0 THEN s_suppkey % 9 * 50 ELSE 0 END AS unused FROM supplier) SELECT s_suppkey, (budget + CASE WHEN done THEN 0 ELSE (SELECT sum(unused) FROM b)::BIGINT // (SELECT count(*) FROM b WHERE NOT done) END)::BIGINT AS budget FROM b")
+def budget_rebalance(spark, sf):
+    k = F.col("s_suppkey")
+    rows = table(spark, sf, "supplier").select("s_suppkey", (1000 + k % 7 * 100).alias("budget"), (k % 4 == 0).alias("done"), F.when(k % 4 == 0, k % 9 * 50).otherwise(0).alias("unused"))
+    return an.rebalanced(rows).select("s_suppkey", "budget")
+
+
+@query("table_counts", "SELECT 'events' AS name, count(*) AS n FROM events UNION ALL SELECT 'orders', count(*) FROM orders UNION ALL SELECT 'conversations', count(*) FROM conversations")
+def table_counts(spark, sf):
+    counts = [table(spark, sf, t).agg(F.count("*").alias("n")).select(F.lit(t).alias("name"), "n") for t in ("events", "orders", "conversations")]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+
+
+@query("catalog_span", f"WITH {SOURCES}, n AS (SELECT * FROM src ORDER BY published DESC NULLS LAST, ordinal LIMIT 25) SELECT min(published)::BIGINT AS earliest, max(published)::BIGINT AS latest, count(*) AS total, (SELECT string_agg(source_id, ',' ORDER BY published DESC NULLS LAST, ordinal) FROM n) AS newest FROM src")
+def catalog_span(spark, sf):
+    """The catalog's range of dates and its newest titles."""
+    src = sources(spark, sf)
+    new = rel.top_ranked(src, [F.desc_nulls_last("published"), F.asc("ordinal")], 25).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "source_id"))), lambda x: x["source_id"]), ",").alias("newest"))
+    return src.agg(F.min("published").alias("earliest"), F.max("published").alias("latest"), F.count("*").alias("total")).crossJoin(new)
+
+
+@query("best_vote", "WITH v AS (SELECT o_custkey AS task, o_orderkey AS voter, (o_orderkey % 100) / 100.0::DOUBLE AS fit FROM orders), b AS (SELECT task, max(fit) AS best, arg_max(voter, {'f': fit, 'v': -voter}) AS voter FROM v GROUP BY 1) SELECT task, CASE WHEN best > 0.5 + 0.10 THEN voter END AS voter FROM b")
+def best_vote(spark, sf):
+    """The vote that fits the level best takes the place of the final one if it fits better by more than 0.10."""
+    v = table(spark, sf, "orders").select(F.col("o_custkey").alias("task"), F.col("o_orderkey").alias("voter"), ((F.col("o_orderkey") % 100) / 100.0).alias("fit"), F.lit(0.5).alias("final"))
+    return sel.better_vote(v).select("task", "voter")

@@ -40,7 +40,7 @@ def validator_notes(spark, sf):
     return va.annotated(va.judged(sources(spark, sf), PROFILE), PROFILE)
 
 
-STRUCTURE = """length(tc) BETWEEN 3 AND 500 AND NOT contains(lower(tc), 'this paper has been withdrawn') AND lower(tc) NOT IN ('withdrawn', 'retracted') AND regexp_matches(url, '^[Hh][Tt][Tt][Pp][Ss]?://[^/?#]') AND length(coalesce(abstract, '')) <= 5000 AND coalesce(year BETWEEN 0 AND 2100, true) AND coalesce(citation_count >= 0, true)"""
+STRUCTURE = "length(tc) BETWEEN 3 AND 500 AND NOT contains(lower(tc), 'this paper has been withdrawn') AND lower(tc) NOT IN ('withdrawn', 'retracted') AND regexp_matches(url, '^[Hh][Tt][Tt][Pp][Ss]?://[^/?#]') AND platform IN (" + ", ".join(f"'{p}'" for p in va.PLATFORMS) + ") AND length(coalesce(abstract, '')) <= 5000 AND coalesce(year BETWEEN 0 AND 2100, true) AND coalesce(citation_count >= 0, true)"
 CLEAN_TITLE = "trim(regexp_replace(regexp_replace(regexp_replace(coalesce(title, ''), '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]', '', 'g'), '<[^>]+>', ' ', 'g'), '[ \\t\\r\\n]+', ' ', 'g'))"
 
 

@@ -228,11 +228,11 @@ def distribution_guard_strict(spark, sf):
 _map = lambda c, d, e: f"CASE {c} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in d.items()) + f" ELSE {e} END::DOUBLE"
 _code = "CASE WHEN coalesce(has_code, false) THEN {} ELSE 0 END::DOUBLE"
 FEATURES = {
-    "authority": _map("platform", sc.AUTHORITY, 0.5), "type_quality": _map("source_type", sc.TYPE_QUALITY, 0.45),
-    "impact": "CASE WHEN citation_count IS NOT NULL THEN CASE WHEN citation_count <= 0 THEN 0.20 ELSE least(1, ln(1 + citation_count) / ln(1001)) END WHEN coalesce(stars, 0) > 0 THEN least(1, ln(1 + stars) / ln(5001)) ELSE 0.35 END::DOUBLE",
+    "authority": _map("platform", sc.AUTHORITY, _map("source_type", sc.TYPE_AUTHORITY, 0.45)), "type_quality": _map("source_type", sc.TYPE_QUALITY, 0.45),
+    "impact": "CASE WHEN citation_count IS NOT NULL THEN CASE WHEN citation_count <= 0 THEN 0.20 ELSE least(1, ln(1 + citation_count) / ln(1001)) END WHEN stars IS NOT NULL THEN least(1, ln(1 + stars) / ln(5001)) WHEN downloads IS NOT NULL THEN least(1, ln(1 + downloads) / ln(100001)) ELSE 0.35 END::DOUBLE",
     "recency": "CASE WHEN coalesce(year, 0) = 0 THEN 0.5 ELSE greatest(0.2, exp(-greatest(0, 2025 - year) / 8.0)) END::DOUBLE",
-    "content": f"greatest(0, least(1, least(1, length({CLEAN.format('abstract')}) / 600.0::DOUBLE) + least(0.2, meta_keys / 8.0)::DOUBLE + {_code.format(0.05)}))",
-    "support": f"least(1, {_code.format(0.45)} + CASE WHEN url <> '' THEN 0.15 ELSE 0 END::DOUBLE + CASE WHEN doi IS NOT NULL THEN 0.25 ELSE 0 END::DOUBLE)",
+    "content": f"greatest(0, least(1, least(1, length({CLEAN.format('abstract')}) / 600.0::DOUBLE) + CASE WHEN {CLEAN.format('summary')} <> '' THEN 0.25 ELSE 0 END::DOUBLE + least(0.2, meta_keys / 8.0)::DOUBLE + {_code.format(0.05)}))",
+    "support": f"least(1, {_code.format(0.45)} + CASE WHEN url <> '' THEN 0.15 ELSE 0 END::DOUBLE + CASE WHEN doi IS NOT NULL OR coalesce(has_pdf, false) THEN 0.25 ELSE 0 END::DOUBLE + CASE WHEN coalesce(open_access, false) THEN 0.15 ELSE 0 END::DOUBLE + CASE WHEN code_url IS NOT NULL THEN 0.15 ELSE 0 END::DOUBLE)",
     "authors": "CASE WHEN n_authors > 0 THEN least(1, n_authors / 4.0) WHEN source_type IN ('repository', 'model', 'dataset') THEN 0.4 ELSE 0.2 END::DOUBLE",
 }
 FEAT = f"ft AS (SELECT s.*, {', '.join(f'{v} AS {k}' for k, v in FEATURES.items())}, {FOG.format(chr(39).join(['title || ', '. ', ' || abstract']))} AS grade FROM s)"

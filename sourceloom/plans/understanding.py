@@ -121,9 +121,54 @@ def quality_guards(spark, sf):
     return un.guards(_scored(spark, sf))
 
 
-@query("path_steps", f"WITH {SCORED}, p AS (SELECT run_id, difficulty, source_id, row_number() OVER (PARTITION BY run_id, difficulty ORDER BY relevance DESC, ordinal) AS place, CASE difficulty WHEN 'beginner' THEN 1 WHEN 'intermediate' THEN 2 WHEN 'advanced' THEN 3 ELSE 4 END AS band FROM s) SELECT run_id, dense_rank() OVER (PARTITION BY run_id ORDER BY band) AS step, place, source_id FROM p WHERE place <= 4")
+HARD = "CASE difficulty WHEN 'beginner' THEN 0 WHEN 'intermediate' THEN 1 WHEN 'advanced' THEN 2 ELSE CASE WHEN source_type = 'research_paper' THEN 2 ELSE 1 END END"
+PATH = f"""{SCORED}, r AS (SELECT run_id, source_id, source_type, {HARD} AS h, difficulty = 'beginner' AS e, difficulty = 'intermediate' AS m, source_type IN ('repository', 'model', 'dataset') OR coalesce(has_code, false) AS p, difficulty = 'advanced' AS a, row_number() OVER (PARTITION BY run_id ORDER BY relevance DESC, ordinal) AS k FROM s),
+f AS (SELECT run_id, bool_or(e) AS he, bool_or(m) AS hm, bool_or(p) AS hp, bool_or(a) AS ha FROM r GROUP BY 1), rf AS (SELECT * FROM r JOIN f USING (run_id)),
+s1 AS (SELECT run_id, 1 AS category, row_number() OVER (PARTITION BY run_id ORDER BY CASE WHEN he THEN 0 ELSE h END, k) AS place, source_id, h FROM rf WHERE e OR NOT he QUALIFY place <= 4),
+s2 AS (SELECT * FROM s1 UNION ALL SELECT run_id, 2, row_number() OVER (PARTITION BY run_id ORDER BY k) AS place, source_id, h FROM rf WHERE (m OR (NOT hm AND h <= 1)) AND source_id NOT IN (SELECT source_id FROM s1) QUALIFY place <= 4),
+s3 AS (SELECT * FROM s2 UNION ALL SELECT run_id, 3, row_number() OVER (PARTITION BY run_id ORDER BY k) AS place, source_id, h FROM rf WHERE (p OR (NOT hp AND source_type = 'documentation')) AND source_id NOT IN (SELECT source_id FROM s2) QUALIFY place <= 4),
+s4 AS (SELECT * FROM s3 UNION ALL SELECT run_id, 4, row_number() OVER (PARTITION BY run_id ORDER BY k) AS place, source_id, h FROM rf WHERE (a OR (NOT ha AND h >= 1)) AND source_id NOT IN (SELECT source_id FROM s3) QUALIFY place <= 4),
+n4 AS (SELECT run_id, count(DISTINCT category) AS n FROM s4 GROUP BY 1),
+s5 AS (SELECT * FROM s4 UNION ALL SELECT run_id, 4 + ceil(g / 4.0)::INTEGER, (g - 1) % 4 + 1, source_id, h FROM (SELECT rf.run_id, source_id, h, coalesce(n, 0) AS n, row_number() OVER (PARTITION BY rf.run_id ORDER BY k) AS g FROM rf LEFT JOIN n4 ON n4.run_id = rf.run_id WHERE source_id NOT IN (SELECT source_id FROM s4)) WHERE g <= 4 * greatest(0, 3 - n)),
+path AS (SELECT run_id, dense_rank() OVER (PARTITION BY run_id ORDER BY category) AS step, ['Foundations and Basics', 'Core Concepts', 'Applied Practice', 'Advanced Research', 'Deepen Understanding'][least(category, 5)] AS title, place, source_id, h AS hardness FROM s5 QUALIFY step <= 6)"""
+_band = "CASE path.title WHEN 'Foundations and Basics' THEN 0 WHEN 'Advanced Research' THEN 2 ELSE 1 END"
+_objective = "CASE path.title " + " ".join(f"WHEN '{t}' THEN '{o}'" for t, o in pt.STEPS) + " END || CASE WHEN step = 1 THEN ' Level: beginner.' ELSE '' END"
+
+
+def _path(spark, sf):
+    return pt.greedy(_scored(spark, sf).withColumn("score", F.col("relevance")))
+
+
+@query("path_steps", f"WITH {PATH} SELECT run_id, step, title, place, source_id, hardness FROM path")
 def path_steps(spark, sf):
-    return pt.steps(_scored(spark, sf).withColumn("score", F.col("relevance")))
+    return _path(spark, sf)
+
+
+@query("path_aligned", f"WITH {PATH}, m AS (SELECT run_id, step, avg(hardness) AS mean, {_band} AS band FROM path GROUP BY run_id, step, title), o AS (SELECT run_id, step, row_number() OVER (PARTITION BY run_id ORDER BY band, mean, step) AS new FROM m) SELECT path.run_id AS run_id, new AS step, title, row_number() OVER (PARTITION BY path.run_id, path.step ORDER BY hardness, place) AS place, source_id, hardness FROM path JOIN o ON o.run_id = path.run_id AND o.step = path.step")
+def path_aligned(spark, sf):
+    return pt.aligned(_path(spark, sf))
+
+
+@query("path_resources", f"WITH {PATH} SELECT path.source_id AS source_id, path.run_id AS run_id, step, md5(src.title) AS title_md5, src.platform AS platform, abs(hardness - {_band}) <= 1 AS fits, {_objective} AS objective FROM path JOIN src ON src.source_id = path.source_id")
+def path_resources(spark, sf):
+    path = pt.out_of_band(_path(spark, sf)).withColumn("objective", pt.annotated(F.col("title"), F.col("step"), "beginner")).drop("title")
+    return pt.with_sources(path, sources(spark, sf).select("source_id", "title", "platform")).select("source_id", "run_id", "step", F.md5("title").alias("title_md5"), "platform", "fits", "objective")
+
+
+@query("path_reorder", "WITH p AS (SELECT DISTINCT o_custkey % 50 AS run_id, o_orderkey % 5 AS step, CASE (o_orderkey % 5 + o_custkey % 3) % 4 WHEN 0 THEN 'Advanced topics' WHEN 1 THEN 'Getting started' WHEN 2 THEN 'An overview' ELSE CASE WHEN o_custkey % 2 = 0 THEN 'Deep dive' ELSE 'Middle part' END END AS title FROM orders), o AS (SELECT run_id, step, min(title) AS title FROM p GROUP BY ALL), b AS (SELECT *, CASE WHEN title IN ('Getting started', 'An overview') THEN 0 WHEN title IN ('Advanced topics', 'Deep dive') THEN 2 ELSE 1 END AS band, title <> 'Middle part' AS sign FROM o), l AS (SELECT *, coalesce(lag(band) OVER (PARTITION BY run_id ORDER BY step) > band, false) AS fell FROM b), g AS (SELECT run_id, bool_and(sign) AND bool_or(fell) AS mv FROM l GROUP BY 1) SELECT l.run_id AS run_id, step, row_number() OVER (PARTITION BY l.run_id ORDER BY CASE WHEN mv THEN band ELSE 0 END, step) AS place FROM l JOIN g ON g.run_id = l.run_id")
+def path_reorder(spark, sf):
+    o = table(spark, sf, "orders").select((F.col("o_custkey") % 50).alias("run_id"), (F.col("o_orderkey") % 5).alias("step"), "o_custkey", "o_orderkey")
+    k = (F.col("o_orderkey") % 5 + F.col("o_custkey") % 3) % 4
+    title = F.when(k == 0, "Advanced topics").when(k == 1, "Getting started").when(k == 2, "An overview").otherwise(F.when(F.col("o_custkey") % 2 == 0, "Deep dive").otherwise("Middle part"))
+    return pt.reordered(o.withColumn("title", title).groupBy("run_id", "step").agg(F.min("title").alias("title")))
+
+
+@query("path_state", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'cut' WHEN o_orderkey % 3 = 1 THEN 'padded' ELSE 'whole' END AS state FROM orders")
+def path_state(spark, sf):
+    k = F.col("o_orderkey") % 3
+    text = F.when(k == 0, '{"steps": [{"a": 1}').otherwise('{"steps": [{"a": 1}]}')
+    reason = F.when(k == 1, "Selected to ensure the path has enough useful sources.").otherwise("Selected because it fits.")
+    return table(spark, sf, "orders").select("o_orderkey", pt.padded_or_cut(reason, text).alias("state"))
 
 
 @query("path_order_check", "WITH m AS (SELECT o_custkey % 50 AS run_id, (o_orderkey % 5) AS step, avg(o_totalprice / 100000) AS mean FROM orders GROUP BY ALL), d AS (SELECT *, coalesce(lag(mean) OVER (PARTITION BY run_id ORDER BY step) > mean + 0.25, false) AS fell FROM m) SELECT run_id, bool_or(fell) AS misordered, count(*) AS steps FROM d GROUP BY 1")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-PLATFORMS = ("arxiv", "openalex", "github", "wikipedia", "web", "pubmed", "openstax", "crossref", "huggingface", "core", "doaj", "mit_ocw")
+PLATFORMS = ("arxiv", "openalex", "github", "wikipedia", "web", "pubmed", "openstax", "crossref", "huggingface", "core", "doaj", "somewhere_else")
 TYPES = ("research_paper", "course", "book", "documentation", "repository", "model", "dataset", "video", "blog", "other")
 LEVELS = ("beginner", "intermediate", "advanced", "unknown")
 
@@ -53,6 +53,8 @@ SHARED = {
     "publisher": "CASE doc_id % 10 WHEN 1 THEN 'Springer Nature' WHEN 2 THEN 'medium.com' WHEN 3 THEN 'University Press on Substack' END",
     "downloads": "CASE WHEN doc_id % 7 = 3 THEN doc_id * 13 % 30000 END",
     "has_pdf": "doc_id % 5 = 2",
+    "open_access": "doc_id % 7 = 1",
+    "code_url": "CASE WHEN doc_id % 8 = 5 THEN 'https://code.example.org/x' END",
     "published": "CASE WHEN doc_id % 11 < 6 THEN 1500000000 + doc_id * 3600 END",
     "run_id": "concat('r', cast(doc_id % 7 AS varchar(20)))",
     "abstract": "text",
