@@ -11,6 +11,7 @@ from urllib.parse import parse_qsl, urlencode, urlsplit, urlunsplit
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import SparkSession, functions as F, types as T
 
 from . import fixed as fx
@@ -54,6 +55,11 @@ kept_ratio = functools.lru_cache(maxsize=1 << 18)(ratio)
 kept_match = functools.lru_cache(maxsize=1 << 18)(tokens_match)
 
 
+def which_match(query: list[str], words: list[str]) -> np.ndarray:
+    """For each query token, the words that match it."""
+    return np.array([[kept_match(q, w) for w in words] for q in query], dtype=bool).reshape(len(query), -1)
+
+
 def fuzzy_share(query: list[str], tokens: list[str]) -> float:
     """Mean worth of the query's distinct tokens: 1 if there, 0.85 or 0.45 by the best ratio among tokens of near length."""
     asked, there = set(query), set(tokens)
@@ -75,6 +81,30 @@ def overlap(query: list[str], title: list[str], abstract: list[str], meta: list[
     return min(1.0, 0.55 * in_title + 0.30 * fuzzy_share(query, abstract) + 0.15 * fuzzy_share(query, list(meta)) + (0.10 if in_title >= 0.99 else 0.0))
 
 
+def smallest_window(places: np.ndarray, kinds: np.ndarray, wanted: int) -> int | None:
+    """The length of the smallest run that has all kinds, from their places in ascending order; None if there is none."""
+    best, left, inside = None, 0, {}
+    for i, q in zip(places.tolist(), kinds.tolist(), strict=True):
+        inside[q] = inside.get(q, 0) + 1
+        while len(inside) == wanted:
+            size = i - int(places[left]) + 1
+            best = size if best is None or size < best else best
+            gone = int(kinds[left])
+            inside[gone] -= 1
+            if not inside[gone]:
+                del inside[gone]
+            left += 1
+    return best
+
+
+def closeness(query: list[str], places: np.ndarray, kinds: np.ndarray, words: int) -> float:
+    wanted = len(set(kinds.tolist()))
+    if wanted < 2:
+        return 0.0
+    best = smallest_window(places, kinds, wanted)
+    return 0.0 if best is None or best >= words else min(1.0, max(1.0, words / len(query)) / best / 2.5)
+
+
 def proximity(query: list[str], words: list[str]) -> float:
     """How close a text's first-to-last places of all matched query tokens come: (words / query tokens) / smallest window that has
     them all / 2.5, at most 1.  One query token: whether it is in the text.  Under two matched, or no window smaller than the
@@ -83,21 +113,35 @@ def proximity(query: list[str], words: list[str]) -> float:
         return 0.0
     if len(query) < 2:
         return float(query[0] in " ".join(words))
-    found = [(i, q) for i, w in enumerate(words) for q in dict.fromkeys(query) if kept_match(q, w)]
-    wanted = len({q for _, q in found})
-    if wanted < 2:
-        return 0.0
-    best, left, inside = len(words), 0, {}
-    for i, q in found:
-        inside[q] = inside.get(q, 0) + 1
-        while len(inside) == wanted:
-            best = min(best, i - found[left][0] + 1)
-            gone = found[left][1]
-            inside[gone] -= 1
-            if not inside[gone]:
-                del inside[gone]
-            left += 1
-    return 0.0 if best >= len(words) else min(1.0, max(1.0, len(words) / len(query)) / best / 2.5)
+    found = [(i, k) for i, w in enumerate(words) for k, q in enumerate(dict.fromkeys(query)) if kept_match(q, w)]
+    return closeness(query, np.array([i for i, _ in found]), np.array([k for _, k in found]), len(words))
+
+
+def proximity_of(query: list[str]):
+    """proximity() of word lists with a fixed query: each distinct word of a batch is matched once, and only matches are looked at again."""
+    asked = list(dict.fromkeys(query))
+
+    @F.arrow_udf(T.DoubleType())
+    def of(words: pa.Array) -> pa.Array:
+        flat = words.flatten().dictionary_encode()
+        sizes = np.diff(words.offsets.to_numpy())
+        names = flat.dictionary.to_pylist()
+        match = which_match(asked, names)
+        codes = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        at, bounds = np.flatnonzero(match.any(0)[codes]) if len(codes) else codes, np.concatenate(([0], np.cumsum(sizes)))
+        out = np.zeros(len(sizes))
+        cuts = np.searchsorted(at, bounds)
+        for d in np.flatnonzero(np.diff(cuts)):
+            mine = at[cuts[d] : cuts[d + 1]]
+            if len(query) < 2:
+                continue
+            place, kind = np.nonzero(match[:, codes[mine]].T)
+            out[d] = closeness(query, mine[place] - bounds[d], kind, int(sizes[d]))
+        if len(query) < 2:
+            out = np.array([float(query[0] in " ".join(w)) for w in words.to_pylist()]) if query else out
+        return pa.array(out)
+
+    return of
 
 
 def clean_nfkc(text: str | None) -> str:

@@ -167,6 +167,12 @@ def redacted(text: Column) -> Column:
     return text
 
 
+def short_topic(title: Column) -> Column:
+    """The first three words of a title that mean something, before a colon, a bracket or a dash."""
+    head = F.regexp_replace(F.trim(F.regexp_extract(title, "^([^:(]*)", 1)), " +--? +.*$", "")
+    return F.array_join(F.slice(F.filter(tokens(head), lambda t: (F.length(t) >= 2) & ~t.isin(*STOPWORDS)), 1, 3), " ")
+
+
 def has_secret(text: Column) -> Column:
     out = F.lit(False)
     for pattern, _ in SECRETS:

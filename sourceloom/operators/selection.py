@@ -105,3 +105,15 @@ def better_vote(votes: DataFrame, by: float = 0.10) -> DataFrame:
     one's by more than ``by``; else null."""
     best = votes.groupBy("task").agg(F.max(F.struct("fit", (-F.col("voter")).alias("v"))).alias("b"), F.max("final").alias("final"))
     return best.select("task", F.when(F.col("b.fit") > F.col("final") + by, -F.col("b.v")).alias("voter"))
+
+
+def split_by_level(df: DataFrame, first: Column, limit: int, share: float, group: str = "platform", ordinal: str = "ordinal") -> DataFrame:
+    """A share of the limit from the rows that are ``first``, the rest from the others, each by quota_fill; if a pool has too few, rows that
+    were not taken fill up in input order.  Adds ``pool``."""
+    n = round(limit * share)
+    a = quota_fill(df.where(first), group, n, ordinal).drop("position").withColumn("pool", F.lit("beginner"))
+    b = quota_fill(df.where(~F.coalesce(first, F.lit(False))), group, limit - n, ordinal).drop("position").withColumn("pool", F.lit("other"))
+    taken = a.unionByName(b)
+    spare = df.orderBy(ordinal).limit(2 * limit).join(F.broadcast(taken.select(ordinal)), ordinal, "left_anti").withColumn("pool", F.lit("filled"))
+    spare = spare.withColumn("_k", F.row_number().over(W.orderBy(ordinal))).crossJoin(F.broadcast(taken.agg(F.count("*").alias("_n"))))
+    return taken.unionByName(spare.where(F.col("_k") <= limit - F.col("_n")).drop("_k", "_n"))

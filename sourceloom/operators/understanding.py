@@ -148,10 +148,14 @@ def run_status(sources: Column, ranked: Column, errors: Column) -> Column:
     return F.when(sources == 0, "failed").when((ranked == 0) | (errors > 0), "partial").otherwise("success")
 
 
-def guards(sources: DataFrame) -> DataFrame:
-    """One row of run-level warnings."""
-    low = F.col("difficulty") == "beginner"
-    return sources.agg(F.count("*").alias("n"), (F.count("*") == 0).alias("no_sources"), (F.count_if(low) == 0).alias("no_beginner"), (F.count_if(F.col("relevance") >= 0.5) / F.greatest(F.count("*"), F.lit(1)) < 0.25).alias("few_relevant"))
+def guards(ranked: DataFrame, friendly: Column, relevant: Column, domain_confidence: float, has_path: bool) -> DataFrame:
+    """One row of what is wrong with a run: no records, none for beginners, none or under a quarter on the topic, an uncertain domain, no path."""
+    hits = F.count_if(relevant)
+    return ranked.agg(
+        F.count("*").alias("n"), (F.count("*") == 0).alias("no_sources"), (F.count_if(friendly) == 0).alias("no_beginner"), (hits == 0).alias("off_topic"),
+        ((hits > 0) & (hits < F.greatest(F.lit(1), F.floor(F.count("*") * 0.25)))).alias("low_relevance"), F.lit(domain_confidence < 0.20).alias("low_domain"), F.lit(not has_path).alias("no_path"),
+    )
+
 
 
 def marks_in(text: Column, marks: tuple[str, ...]) -> Column:
@@ -217,8 +221,12 @@ def primary_topic(text: Column, most: int = 6) -> Column:
     body = clean
     for leader in sorted(fx.QUESTION_LEADERS, key=len):  # the longest is tried first
         body = F.when(F.lower(clean).startswith(leader), F.trim(F.substring(clean, F.lit(len(leader) + 1), F.length(clean)))).otherwise(body)
+
+    def without(noise: str):
+        return lambda b: F.when(F.lower(b).endswith(noise), F.rtrim(F.left(b, F.length(b) - len(noise)))).otherwise(b)
+
     for noise in fx.TRAILING_NOISE:
-        body = tx.let(body, lambda b, noise=noise: F.when(F.lower(b).endswith(noise), F.rtrim(F.left(b, F.length(b) - len(noise)))).otherwise(b))
+        body = tx.let(body, without(noise))
     words = F.filter(F.split(body, " "), lambda w: w != "")
     kept = lambda ws: F.filter(ws, lambda w: ~F.lower(w).isin(*fx.STOPWORDS))
     named = tx.let(words, lambda ws: F.array_join(F.slice(F.when(F.size(kept(ws)) > 0, kept(ws)).otherwise(ws), 1, most), " "))

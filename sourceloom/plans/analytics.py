@@ -104,23 +104,6 @@ def acronyms(spark, sf):
     return table(spark, sf, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("[^A-Z]([A-Z]{2,6})[^A-Za-z]"), 1)).alias("acronym")).groupBy("acronym").agg(F.count("*").alias("n"))
 
 
-ALIASES = (("english", "the thing"), ("english", "and the"), ("english", "that"), ("german", "und die"), ("german", "der"), ("french", "les"), ("spanish", "para"), ("spanish", "que la"))
-
-
-@query("domain_tagging", f"""WITH al(domain, alias) AS (VALUES {', '.join(map(str, ALIASES))}), d AS (SELECT doc_id, ' ' || trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) || ' ' AS s FROM documents),
-h AS (SELECT doc_id, domain, alias FROM d JOIN al ON contains(s, ' ' || alias || ' ') QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length(alias) DESC, alias) = 1)
-SELECT d.doc_id AS doc_id, coalesce(domain, 'general') AS domain, coalesce(alias, '') AS topic FROM d LEFT JOIN h ON h.doc_id = d.doc_id""")
-def domain_tagging(spark, sf):
-    """The longest alias that a text has as whole words; aliases are a dimension of fixed size, tried as one expression."""
-    s = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " ")), F.lit(" "))
-    rows = table(spark, sf, "documents").select("doc_id", s.alias("s"))
-    domain, topic = F.lit("general"), F.lit("")
-    for d, a in sorted(ALIASES, key=lambda x: (len(x[1]), [-ord(c) for c in x[1]])):
-        hit = F.col("s").contains(f" {a} ")
-        domain, topic = F.when(hit, d).otherwise(domain), F.when(hit, a).otherwise(topic)
-    return rows.select("doc_id", domain.alias("domain"), topic.alias("topic"))
-
-
 VOTES = "vo AS (SELECT o_custkey % 200 AS task, o_orderkey AS voter, [{'id': 'a' || (o_orderkey % 2), 'score': 0.5 + (o_orderkey % 3) / 10}, {'id': 'b' || (o_custkey % 3), 'score': 0.25}] AS items FROM orders)"
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import analytics, details, matching, records, retrieval, understanding
+from . import analytics, asking, details, matching, records, retrieval, understanding
 from .registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "analytics", "details", "matching", "records", "retrieval", "understanding"]
+__all__ = ["ORACLE_SQL", "QUERIES", "analytics", "asking", "details", "matching", "records", "retrieval", "understanding"]

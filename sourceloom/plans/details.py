@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window as W, functions as F
 
 from ..functions import fixed as fx, fuzzy as fz, text as tx
-from ..operators import relevance as rel, selection as sel
+from ..operators import index as ix, relevance as rel, selection as sel
+from ..sources import store
 from .analytics import ENTRIES, entries
 from .records import NORMAL, SCORED, _scored
 from .registry import query
@@ -20,21 +21,6 @@ def document_text(spark, sf):
     return sources(spark, sf).select("source_id", F.md5(F.concat_ws(" ", *parts)).alias("text_md5"))
 
 
-@query("metadata_merge", f"WITH {SOURCES}, m AS (SELECT source_id, map_concat(MAP {{'platform': 'raw', 'note': source_id}}, MAP {{'platform': platform, 'type': source_type}}) AS m FROM src) SELECT source_id, m['platform'] AS platform, m['note'] AS note, m['type'] AS type_, cardinality(m)::INTEGER AS n FROM m")
-def metadata_merge(spark, sf):
-    """Raw keys under computed ones; a key that both have takes the computed value."""
-    raw = F.create_map(F.lit("platform"), F.lit("raw"), F.lit("note"), F.col("source_id"))
-    own = F.create_map(F.lit("platform"), F.col("platform"), F.lit("type"), F.col("source_type"))
-    m = F.map_concat(F.map_filter(raw, lambda k, _: ~F.map_contains_key(own, k)), own)
-    return sources(spark, sf).select("source_id", m.alias("m")).select("source_id", F.col("m")["platform"].alias("platform"), F.col("m")["note"].alias("note"), F.col("m")["type"].alias("type_"), F.size("m").alias("n"))
-
-
-@query("short_topics", f"WITH {SOURCES} SELECT source_id, array_to_string({MEAN.format(TOK.format(chr(39).join(['regexp_extract(title, ', '^([^:(]*)', ', 1)'])))}[1:3], ' ') AS topic FROM src")
-def short_topics(spark, sf):
-    head = F.regexp_extract("title", "^([^:(]*)", 1)
-    return sources(spark, sf).select("source_id", F.array_join(F.slice(tx.meaningful(tx.tokens(head)), 1, 3), " ").alias("topic"))
-
-
 @query("passages", f"WITH {SOURCES} SELECT source_id, md5(CASE WHEN ordinal % 2 = 0 THEN left(abstract, 1200) ELSE left(abstract, 400) END) AS passage_md5, least(1200, length(abstract))::INTEGER AS most FROM src")
 def passages(spark, sf):
     """The matched chunk if there is one, else the text's beginning."""
@@ -64,9 +50,12 @@ def result_dedupe(spark, sf):
 
 @query("duplicate_report", f"WITH {SOURCES}, n AS (SELECT source_id, count(*) OVER (PARTITION BY url ORDER BY ordinal ROWS UNBOUNDED PRECEDING) > 1 AS seen_url, count(*) OVER (PARTITION BY {NORMAL.format('title')} ORDER BY ordinal ROWS UNBOUNDED PRECEDING) > 1 AS seen_title FROM src) SELECT source_id, seen_url, seen_title FROM n WHERE seen_url OR seen_title")
 def duplicate_report(spark, sf):
-    src = sources(spark, sf).withColumn("t", tx.normal_title(F.col("title")))
-    seen = lambda c: F.col("ordinal") > F.min("ordinal").over(W.partitionBy(c))
-    return src.select("source_id", seen("url").alias("seen_url"), seen("t").alias("seen_title")).where("seen_url or seen_title")
+    """Records whose url or title came before; the first of each is an aggregate joined back, so that a key that most records share is
+    split by the join."""
+    src = sources(spark, sf).select("source_id", "ordinal", "url", tx.normal_title(F.col("title")).alias("t"))
+    first = lambda c: src.groupBy(c).agg(F.min("ordinal").alias(f"first_{c}")).hint("merge")
+    both = src.join(first("url"), "url").join(first("t"), "t")
+    return both.select("source_id", (F.col("ordinal") > F.col("first_url")).alias("seen_url"), (F.col("ordinal") > F.col("first_t")).alias("seen_title")).where("seen_url or seen_title")
 
 
 @query("relevant_records", f"WITH {SOURCES} SELECT source_id, contains(lower(title), 'of the') OR contains(lower(abstract), 'of the') OR len(list_intersect(['thing', 'lichung', 'ention', 'entre'], {TOK.format('abstract')})) * 3 >= 4 AS relevant FROM src")
@@ -99,19 +88,11 @@ def evaluation_scores(spark, sf):
     return a.select("run_id", F.round(0.25 * F.col("completeness") + 0.3 * F.col("relevance") + 0.15 * F.col("diversity") + 0.15 * F.col("fit") + 0.15 * F.col("evidence"), 6).alias("composite"))
 
 
-@query("answer_confidence", f"WITH {SCORED}, t AS (SELECT * FROM s ORDER BY relevance DESC, ordinal LIMIT 10) SELECT round(max(c) / 10.0::DOUBLE, 6) AS coherence, (SELECT round(avg(relevance), 6) FROM t) AS mean_relevance, (SELECT round(count(DISTINCT url) / count(*)::DOUBLE, 6) FROM t) AS citation_diversity FROM (SELECT platform, count(*) AS c FROM t GROUP BY 1)")
+@query("answer_confidence", f"WITH {SCORED}, t AS (SELECT * FROM s ORDER BY relevance DESC, ordinal LIMIT 10) SELECT round(max(c) / 10.0::DOUBLE, 6) AS coherence, (SELECT round(avg(relevance), 6) FROM t) AS mean_relevance, (SELECT round(count(DISTINCT url) / count(*)::DOUBLE, 6) FROM t) AS citation_diversity, (SELECT round(avg(least(1, length(abstract) / 600.0::DOUBLE)), 6) FROM t) AS length_match, (SELECT round(avg((len(list_intersect(['the', 'of'], regexp_extract_all(lower(title), '[a-z0-9]+'))) / 2.0)::DOUBLE), 6) FROM t) AS title_overlap FROM (SELECT platform, count(*) AS c FROM t GROUP BY 1)")
 def answer_confidence(spark, sf):
     top = rel.top_ranked(_scored(spark, sf), [F.desc("relevance"), F.asc("ordinal")], 10)
     main = top.groupBy("platform").agg(F.count("*").alias("c")).agg(F.round(F.max("c") / 10.0, 6).alias("coherence"))
-    return main.crossJoin(top.agg(F.round(F.avg("relevance"), 6).alias("mean_relevance"), F.round(F.countDistinct("url") / F.count("*"), 6).alias("citation_diversity")))
-
-
-@query("near_spellings", "SELECT a.n_name AS name, b.r_name AS other, levenshtein(a.n_name, b.r_name)::INTEGER AS d FROM nation a, region b WHERE levenshtein(a.n_name, b.r_name) <= CASE WHEN length(a.n_name) <= 3 THEN 0 WHEN length(a.n_name) <= 5 THEN 1 WHEN length(a.n_name) <= 8 THEN 4 ELSE 5 END")
-def near_spellings(spark, sf):
-    """Bounded edit distance between two dimensions of fixed size, its bound growing with the word's length."""
-    bound = F.when(F.length("n_name") <= 3, 0).when(F.length("n_name") <= 5, 1).when(F.length("n_name") <= 8, 4).otherwise(5)
-    pairs = table(spark, sf, "nation").crossJoin(F.broadcast(table(spark, sf, "region"))).withColumn("d", F.levenshtein("n_name", "r_name", 5))
-    return pairs.where((F.col("d") >= 0) & (F.col("d") <= bound)).select(F.col("n_name").alias("name"), F.col("r_name").alias("other"), "d")
+    return main.crossJoin(top.agg(F.round(F.avg("relevance"), 6).alias("mean_relevance"), F.round(F.countDistinct("url") / F.count("*"), 6).alias("citation_diversity"), F.round(F.avg(F.least(F.lit(1.0), F.length("abstract") / 600.0)), 6).alias("length_match"), F.round(F.avg(tx.query_overlap(F.array(F.lit("the"), F.lit("of")), tx.tokens(F.col("title")))), 6).alias("title_overlap")))
 
 
 STOP = ", ".join(f"'{w}'" for w in fx.STOPWORDS)
@@ -162,12 +143,6 @@ def stable_ids(spark, sf):
     return sources(spark, sf).select("source_id", F.sha2(F.to_json(F.struct("platform", title.alias("title"))), 256).alias("hash"), F.left(F.sha2(F.concat_ws("|", "run_id", "source_id", "url"), 256), F.lit(32)).alias("doc_hash"))
 
 
-@query("formats_wanted", f"WITH {SOURCES} SELECT source_id, array_to_string(list_filter([CASE WHEN has_code THEN 'code' END, CASE WHEN difficulty = 'beginner' THEN 'course' END, CASE WHEN difficulty = 'advanced' THEN 'paper' END, 'article'], lambda x: x IS NOT NULL), ',') AS formats FROM src")
-def formats_wanted(spark, sf):
-    marks = F.array_compact(F.array(F.when(F.col("has_code"), "code"), F.when(F.col("difficulty") == "beginner", "course"), F.when(F.col("difficulty") == "advanced", "paper"), F.lit("article")))
-    return sources(spark, sf).select("source_id", F.array_join(marks, ",").alias("formats"))
-
-
 @query("kept_words", f"WITH {QS}, t AS (SELECT item_id, string_split(q, ' ') AS w FROM qs) SELECT item_id, array_to_string(list_filter(w, lambda x: x NOT IN ('beginner', 'advanced', 'scratch', 'learn', 'please')), ' ') AS stripped, array_to_string(list_filter(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i : i + 2], ' ')), lambda x: true)[1:3], '|') AS windows FROM t")
 def kept_words(spark, sf):
     """Level words go unless the user typed others; and focused windows of three words."""
@@ -177,19 +152,12 @@ def kept_words(spark, sf):
     return questions(spark, sf).select("item_id", F.array_join(left, " ").alias("stripped"), F.array_join(F.slice(F.when(F.size(w) >= 3, runs).otherwise(F.array().cast("array<string>")), 1, 3), "|").alias("windows"))
 
 
-@query("tool_choice", f"WITH {QS}, k AS (SELECT item_id, len(regexp_extract_all(q, 'compare|versus')) AS a, len(regexp_extract_all(q, 'build|code')) AS b, len(regexp_extract_all(q, 'learn|introduction')) AS c FROM qs) SELECT item_id, CASE WHEN a = 0 AND b = 0 AND c = 0 THEN 'search_all' WHEN a >= b AND a >= c THEN 'compare_sources' WHEN b >= c THEN 'search_code' ELSE 'search_courses' END AS tool FROM k")
-def tool_choice(spark, sf):
-    n = lambda p: F.regexp_count("q", F.lit(p))
-    k = questions(spark, sf).select("item_id", n("compare|versus").alias("a"), n("build|code").alias("b"), n("learn|introduction").alias("c"))
-    return k.select("item_id", F.when((F.col("a") == 0) & (F.col("b") == 0) & (F.col("c") == 0), "search_all").when((F.col("a") >= F.col("b")) & (F.col("a") >= F.col("c")), "compare_sources").when(F.col("b") >= F.col("c"), "search_code").otherwise("search_courses").alias("tool"))
-
-
-@query("platform_order", "SELECT s_suppkey AS platform, row_number() OVER (ORDER BY CASE s_nationkey % 3 WHEN 1 THEN 0 WHEN 0 THEN 1 ELSE 2 END, s_suppkey) AS place FROM supplier WHERE s_acctbal > 0")
+@query("platform_order", "SELECT s_suppkey AS platform, row_number() OVER (ORDER BY CASE s_nationkey % 3 WHEN 1 THEN 0 WHEN 0 THEN 1 ELSE 2 END, s_suppkey) AS place FROM supplier")
 def platform_order(spark, sf):
-    """Usable platforms of a dimension, those of the wanted level first, else as they are listed."""
+    """Platforms of a dimension, those of the wanted level first, else as they are listed."""
     k = F.col("s_nationkey") % 3
-    rows = table(spark, sf, "supplier").where("s_acctbal > 0").withColumn("class", F.when(k == 1, 0).when(k == 0, 1).otherwise(2))
-    return rows.select(F.col("s_suppkey").alias("platform"), F.row_number().over(W.orderBy("class", "s_suppkey")).cast("long").alias("place"))
+    rows = table(spark, sf, "supplier").select("s_suppkey", F.when(k == 1, 0).when(k == 0, 1).otherwise(2).alias("class"))
+    return ix.numbered(rows, store.new_folder(spark, "places"), "class", "s_suppkey").select(F.col("s_suppkey").alias("platform"), "place")
 
 
 @query("category_fallback", "WITH t AS (SELECT n_nationkey AS platform, n_regionkey AS category, row_number() OVER (ORDER BY (n_regionkey + 3) % 5, n_nationkey) AS place FROM nation) SELECT platform, category, place FROM t WHERE place <= 9")
@@ -198,16 +166,10 @@ def category_fallback(spark, sf):
     return rel.top_ranked(n, [F.asc("o"), F.asc("n_nationkey")], 9, "place").select(F.col("n_nationkey").alias("platform"), F.col("n_regionkey").alias("category"), "place")
 
 
-@query("alias_resolution", "SELECT DISTINCT c_custkey, r_name AS domain FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey WHERE c_mktsegment <> 'BUILDING'")
+@query("alias_resolution", "SELECT DISTINCT c_custkey, r_name AS domain FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey")
 def alias_resolution(spark, sf):
     dims = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.col("r_name").alias("domain"))
-    return table(spark, sf, "customer").where("c_mktsegment <> 'BUILDING'").join(F.broadcast(dims), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "domain").distinct()
-
-
-@query("not_attempted", "SELECT p_partkey FROM part WHERE p_size > 10 AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 30)")
-def not_attempted(spark, sf):
-    tried = table(spark, sf, "lineitem").where("l_quantity > 30").select(F.col("l_partkey").alias("p_partkey"))
-    return table(spark, sf, "part").where("p_size > 10").join(tried, "p_partkey", "left_anti").select("p_partkey")
+    return table(spark, sf, "customer").join(F.broadcast(dims), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "domain").distinct()
 
 
 @query("embedding_coverage", "WITH c AS (SELECT doc_id % 8 AS grp, count(*) AS n, count(vec_id) AS have FROM documents LEFT JOIN embeddings ON vec_id = doc_id GROUP BY 1) SELECT grp, round(have / n::DOUBLE, 6) AS share, have / n::DOUBLE >= 0.8 AS use_stored FROM c")
@@ -227,7 +189,8 @@ def payload_ranking(spark, sf):
     rows = src.select("run_id", F.explode(F.from_json(raw, "array<struct<id string, given int, score double, o long>>")).alias("x")).select("run_id", "x.*")
     first = rows.groupBy("run_id", "id").agg(F.min(F.struct("o", "given", "score")).alias("x")).select("run_id", "id", "x.*")
     known = first.join(src.select(F.col("source_id").alias("id")), "id", "left_semi")
-    return known.select("run_id", "id", F.row_number().over(W.partitionBy("run_id").orderBy("given", F.desc("score"), "o")).cast("long").alias("rank"))
+    ordered = known.select("run_id", "id", "given", (-F.col("score")).alias("less"), "o")
+    return ix.numbered(ordered, store.new_folder(spark, "ranking"), "given", "less", "o", group="run_id").select("run_id", "id", F.col("place").alias("rank"))
 
 
 @query("low_votes_merge", f"WITH {SCORED}, v AS (SELECT source_id, (ordinal % 10) / 10.0::DOUBLE AS score FROM s WHERE difficulty = 'beginner'), ok AS (SELECT * FROM v WHERE score >= 0.15) SELECT source_id, round(score, 6) AS score, 'vote' AS origin FROM ok UNION ALL SELECT source_id, round(relevance, 6), 'heuristic' FROM s WHERE source_id NOT IN (SELECT source_id FROM v)")
@@ -246,12 +209,15 @@ def preferences_map(spark, sf):
     return maps.select("user_id", F.explode("m").alias("key", "value"))
 
 
-@query("memory_context", "WITH t AS (SELECT conv_id, turn, left(text, 30) AS x, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations WHERE role <> 'system' AND length(text) >= 60) SELECT conv_id, left(string_agg(x, ' | ' ORDER BY turn), 100) AS context FROM t WHERE k <= 4 GROUP BY 1")
+@query("memory_context", f"WITH t AS (SELECT conv_id, turn, role, text, len(list_intersect(['the', 'of', 'and', 'thing'], regexp_extract_all(lower(text), '[a-z0-9]+'))) / 4.0::DOUBLE AS sim FROM conversations), b AS (SELECT * FROM t WHERE sim >= 0.3), k AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY sim DESC, turn) AS k FROM b) SELECT conv_id, md5(left(string_agg(role || ': ' || text, ' | ' ORDER BY role, sim DESC, turn), 2000)) AS context_md5, count(*) AS entries FROM k WHERE k <= 4 GROUP BY 1")
 def memory_context(spark, sf):
-    rows = table(spark, sf, "conversations").where("role <> 'system' and length(text) >= 60")
-    few = sel.per_group(rows, "conv_id", [F.asc("turn")], 4).select("conv_id", "turn", F.left("text", F.lit(30)).alias("x"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "x"))), lambda s: s["x"]), " | ")
-    return few.groupBy("conv_id").agg(F.left(joined, F.lit(100)).alias("context"))
+    """Entries of the three stores (here: roles) that are like the question, the best four of each, in one text."""
+    q = F.array(*map(F.lit, ("the", "of", "and", "thing")))
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text", tx.query_overlap(q, tx.tokens(F.col("text"))).alias("sim")).where("sim >= 0.3")
+    few = rows.withColumn("k", F.row_number().over(W.partitionBy("conv_id", "role").orderBy(F.desc("sim"), "turn"))).where("k <= 4")
+    line = F.struct("role", (-F.col("sim")).alias("s"), "turn", F.concat("role", F.lit(": "), "text").alias("l"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["l"]), " | ")
+    return few.groupBy("conv_id").agg(F.md5(F.left(joined, F.lit(2000))).alias("context_md5"), F.count("*").alias("entries"))
 
 
 @query("ledger_totals", f"WITH {ENTRIES}, e AS (SELECT category, CASE WHEN tokens > 20 THEN tokens END AS total, tokens // 2 AS prompt, tokens % 7 AS completion FROM en) SELECT category, sum(coalesce(total, prompt + completion))::BIGINT AS tokens FROM e GROUP BY 1")
@@ -287,11 +253,6 @@ def run_quality(spark, sf):
     return table(spark, sf, "events").groupBy("user_id").agg(F.round(0.25 * any_("view") + 0.25 * any_("click") + 0.2 * any_("purchase") + 0.2 * any_("signup") + 0.1 * (1 - any_("error")), 6).alias("quality"))
 
 
-@query("refusals", "SELECT conv_id, turn, regexp_matches(lower(text), 'cannot|ist nicht|no hay|the the') AS refusal FROM conversations WHERE role = 'assistant'")
-def refusals(spark, sf):
-    return table(spark, sf, "conversations").where("role = 'assistant'").select("conv_id", "turn", F.lower("text").rlike("cannot|ist nicht|no hay|the the").alias("refusal"))
-
-
 @query("html_links_valid", "WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS href FROM pages) SELECT page_id, count(*) AS links, count(*) FILTER (starts_with(href, '/')) AS inside FROM l GROUP BY 1")
 def html_links_valid(spark, sf):
     links = table(spark, sf, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1)).alias("href"))
@@ -315,9 +276,7 @@ def fuzzy_gate(spark, sf):
 
 @query("proximity_scores")
 def proximity_scores(spark, sf):
-    f = F.udf(fz.proximity, "double", useArrow=True)
-    q = F.array(F.lit("thing"), F.lit("ention"))
-    return table(spark, sf, "documents").select("doc_id", F.round(f(q, tx.tokens(F.col("text"))), 6).alias("proximity"))
+    return table(spark, sf, "documents").select("doc_id", F.round(fz.proximity_of(["thing", "ention"])(tx.tokens(F.col("text"))), 6).alias("proximity"))
 
 
 @query("repaired_payloads")

@@ -286,18 +286,6 @@ def platform_quota(spark, sf):
     return sel.quota_fill(sources(spark, sf), "platform", 30).select("source_id", "platform", "position")
 
 
-@query("level_split_select", f"""WITH {SOURCES}, a AS (SELECT * FROM src WHERE difficulty = 'beginner'), o AS (SELECT * FROM src WHERE difficulty <> 'beginner'),
-{QUOTA.format('a', 12).replace('p AS', 'pa AS').replace('q AS', 'qa AS')}, {QUOTA.format('o', 18).replace('p AS', 'po AS').replace('q AS', 'qo AS')}
-SELECT source_id, 'beginner' AS pool FROM (SELECT source_id, row_number() OVER (ORDER BY g > quota, ordinal) AS k FROM pa, qa) WHERE k <= 12
-UNION ALL SELECT source_id, 'other' FROM (SELECT source_id, row_number() OVER (ORDER BY g > quota, ordinal) AS k FROM po, qo) WHERE k <= 18""")
-def level_split_select(spark, sf):
-    """40 % of 30 from beginners' records, the rest from the others, each by quota."""
-    src, n = sources(spark, sf), 30
-    first = F.col("difficulty") == "beginner"
-    a = sel.quota_fill(src.where(first), "platform", round(n * 0.4)).select("source_id", F.lit("beginner").alias("pool"))
-    return a.unionByName(sel.quota_fill(src.where(~first), "platform", n - round(n * 0.4)).select("source_id", F.lit("other").alias("pool")))
-
-
 @query("rank_passthrough", f"WITH {SOURCES} SELECT source_id, 0.5::DOUBLE AS score, 0.3::DOUBLE AS confidence, row_number() OVER (ORDER BY ordinal) AS rank FROM src QUALIFY rank <= 20")
 def rank_passthrough(spark, sf):
     return rel.top_ranked(sources(spark, sf), [F.asc("ordinal")], 20).select("source_id", F.lit(0.5).alias("score"), F.lit(0.3).alias("confidence"), "rank")

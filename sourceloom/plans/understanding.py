@@ -68,7 +68,7 @@ def chunk_gate(spark, sf):
     return questions(spark, sf).select("item_id", un.chunk_gate(F.col("q")).alias("chunks"))
 
 
-@query("token_stems", f"WITH x AS (SELECT DISTINCT unnest({TOK.format('text')}) AS token FROM documents), r AS (SELECT token, CASE WHEN length(token) <= 6 THEN token ELSE CASE WHEN ends_with(token, 'ing') THEN left(token, length(token) - 3) ELSE token END END AS t FROM x) SELECT token, CASE WHEN length(token) <= 6 THEN token WHEN ends_with(t, 'ies') THEN left(t, length(t) - 3) || 'y' WHEN ends_with(t, 'es') THEN left(t, length(t) - 2) WHEN ends_with(t, 's') THEN left(t, length(t) - 1) ELSE t END AS reduced, CASE WHEN length(token) < 4 THEN token {' '.join(f'''WHEN ends_with(token, '{s}') AND length(token) >= {len(s) + 3} THEN left(token, length(token) - {len(s)})''' for s in tx.STEM_SUFFIXES)} ELSE token END AS stem FROM r")
+@query("token_stems", f"WITH x AS (SELECT DISTINCT unnest({TOK.format('text')}) AS token FROM documents), r AS (SELECT token, CASE WHEN length(token) <= 6 THEN token ELSE CASE WHEN ends_with(token, 'ing') THEN left(token, length(token) - 3) ELSE token END END AS t FROM x) SELECT token, CASE WHEN length(token) <= 6 THEN token WHEN ends_with(t, 'ies') AND length(t) > 4 THEN left(t, length(t) - 3) || 'y' WHEN ends_with(t, 'es') THEN left(t, length(t) - 2) WHEN ends_with(t, 's') THEN left(t, length(t) - 1) ELSE t END AS reduced, CASE WHEN length(token) < 4 THEN token {' '.join(f'''WHEN ends_with(token, '{s}') AND length(token) >= {len(s) + 3} THEN left(token, length(token) - {len(s)})''' for s in tx.STEM_SUFFIXES)} ELSE token END AS stem FROM r")
 def token_stems(spark, sf):
     t = table(spark, sf, "documents").select(F.explode(F.array_distinct(tx.tokens(F.col("text")))).alias("token")).distinct()
     return t.select("token", tx.reduced(F.col("token")).alias("reduced"), tx.stem(F.col("token")).alias("stem"))
@@ -116,11 +116,6 @@ def run_outcomes(spark, sf):
     return a.select("user_id", un.run_status(F.col("s"), F.col("r"), F.greatest(F.lit(0), F.col("x") - 12)).alias("status"))
 
 
-@query("quality_guards", f"WITH {SCORED} SELECT count(*) AS n, count(*) = 0 AS no_sources, count(*) FILTER (difficulty = 'beginner') = 0 AS no_beginner, count(*) FILTER (relevance >= 0.5) / greatest(1, count(*)) < 0.25 AS few_relevant FROM s")
-def quality_guards(spark, sf):
-    return un.guards(_scored(spark, sf))
-
-
 HARD = "CASE difficulty WHEN 'beginner' THEN 0 WHEN 'intermediate' THEN 1 WHEN 'advanced' THEN 2 ELSE CASE WHEN source_type = 'research_paper' THEN 2 ELSE 1 END END"
 PATH = f"""{SCORED}, r AS (SELECT run_id, source_id, source_type, {HARD} AS h, difficulty = 'beginner' AS e, difficulty = 'intermediate' AS m, source_type IN ('repository', 'model', 'dataset') OR coalesce(has_code, false) AS p, difficulty = 'advanced' AS a, row_number() OVER (PARTITION BY run_id ORDER BY relevance DESC, ordinal) AS k FROM s),
 f AS (SELECT run_id, bool_or(e) AS he, bool_or(m) AS hm, bool_or(p) AS hp, bool_or(a) AS ha FROM r GROUP BY 1), rf AS (SELECT * FROM r JOIN f USING (run_id)),
@@ -188,14 +183,6 @@ def record_json_normalize(spark, sf):
     return sources(spark, sf).select("source_id", raw.alias("raw")).select("source_id", F.coalesce(got("title"), got("name"), got("display_name")).alias("title"), year.try_cast("int").alias("year"))
 
 
-@query("cited_passages", "SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(text || ' [' || (doc_id % 7) || '] and [3], [12]', '\\[([0-9]{1,2})\\]', 1), lambda x: x::INTEGER), lambda i: i BETWEEN 1 AND 5))), ',') AS cited FROM documents")
-def cited_passages(spark, sf):
-    text = F.concat("text", F.lit(" ["), (F.col("doc_id") % 7).cast("string"), F.lit("] and [3], [12]"))
-    ids = F.transform(F.regexp_extract_all(text, F.lit(r"\[([0-9]{1,2})\]"), 1), lambda x: x.cast("int"))
-    kept = F.array_sort(F.array_distinct(F.filter(ids, lambda i: i.between(1, 5))))
-    return table(spark, sf, "documents").select("doc_id", F.array_join(F.transform(kept, lambda i: i.cast("string")), ",").alias("cited"))
-
-
 # Functions that SQL can't express: tests hold them against plain Python.
 @query("fuzzy_relevance")
 def fuzzy_relevance(spark, sf):
