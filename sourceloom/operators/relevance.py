@@ -136,14 +136,7 @@ def lexical(query: list[str], title: Column, text: Column, meta: Column) -> Colu
 
 
 def postings(docs: DataFrame, text: str = "text") -> DataFrame:
-    """term, doc_id, tf, doc_len: an inverted index.  A text's words are sorted and counted in their row, so nothing is shuffled; rows
-    that share an id are added up by the reader."""
-    def counted_runs(t: Column) -> Column:
-        """(term, tf) of a sorted list: where a word differs from the one before, and how far the next such place is."""
-        starts = F.filter(F.sequence(F.lit(1), F.size(t)), lambda i: (i == 1) | (F.element_at(t, i) != F.element_at(t, F.greatest(i - 1, F.lit(1)))))
-        pair = lambda a, b: F.struct(F.element_at(t, a).alias("term"), (b - a).cast("long").alias("tf"))
-        return tx.let(starts, lambda s: F.zip_with(s, F.concat(F.slice(s, 2, F.size(s)), F.array(F.size(t) + 1)), pair))
-
-    rows = docs.select("doc_id", tx.ascii_words(F.col(text)).alias("w")).where("w <> ''")
-    rows = rows.select("doc_id", tx.blank_count(F.col("w")).alias("doc_len"), F.inline(tx.let(F.array_sort(F.split("w", " ")), counted_runs)))
-    return rows.select("term", "doc_id", "doc_len", "tf")
+    """term, doc_id, tf, doc_len: an inverted index.  Words are counted before the shuffle, so a posting is sent once for each part of
+    the table that has it."""
+    rows = docs.select("doc_id", tx.ascii_words(F.col(text)).alias("w")).where("w <> ''").select("doc_id", F.split("w", " ").alias("t"))
+    return rows.select("doc_id", F.size("t").alias("doc_len"), F.explode("t").alias("term")).groupBy("term", "doc_id", "doc_len").agg(F.count("*").alias("tf"))

@@ -56,7 +56,10 @@ def recency(as_of_year: int = AS_OF_YEAR) -> Column:
 
 
 def content() -> Column:
-    text = F.least(F.lit(1.0), F.length(tx.clean(F.col("abstract"))) / 600.0)
+    """By the cleaned abstract's length up to 600, a summary, metadata and code.  A long abstract shows in its beginning that it has
+    600 characters (a tag that is cut off there left out); only others are cleaned whole."""
+    begins = F.regexp_replace(F.left("abstract", F.lit(4000)), "<[^>]*$", "")
+    text = F.when(F.length(tx.clean(begins)) >= 600, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.length(tx.clean(F.col("abstract"))) / 600.0))
     return unit(text + F.when(tx.clean(F.col("summary")) != "", 0.25).otherwise(0.0) + F.least(F.lit(0.20), F.col("meta_keys") / 8.0) + F.when(F.coalesce("has_code", F.lit(False)), 0.05).otherwise(0.0))
 
 
@@ -79,11 +82,12 @@ def beginner_alignment(grade: Column) -> Column:
     return F.greatest(F.lit(-ALIGN_CAP), F.least(F.lit(ALIGN_CAP), at))
 
 
-def total(relevance: Column, alignment: Column) -> Column:
-    features = {"relevance": relevance, "authority": authority(), "type_quality": type_quality(), "impact": impact(), "recency": recency(), "content": content(), "support": support(), "authors": authors()}
+def total(relevance: Column, alignment: Column, content_: Column) -> Column:
+    """``content_`` is content() as a column that is already computed."""
+    features = {"relevance": relevance, "authority": authority(), "type_quality": type_quality(), "impact": impact(), "recency": recency(), "content": content_, "support": support(), "authors": authors()}
     return unit(sum((WEIGHTS[k] * v for k, v in features.items()), F.lit(0.0)) / sum(WEIGHTS.values()) + alignment)
 
 
-def confidence(score: Column) -> Column:
-    raw = 0.18 + 0.38 * score + 0.18 * authority() + 0.14 * content() + 0.10 * F.least(F.lit(1.0), F.col("meta_keys") / 6.0)
+def confidence(score: Column, content_: Column) -> Column:
+    raw = 0.18 + 0.38 * score + 0.18 * authority() + 0.14 * content_ + 0.10 * F.least(F.lit(1.0), F.col("meta_keys") / 6.0)
     return F.greatest(F.lit(0.05), F.least(F.lit(0.98), raw))

@@ -302,3 +302,11 @@ def study_minutes(kind: Column, abstract: Column) -> Column:
     for name, value in MINUTES.items():
         base = F.when(kind == name, F.lit(value)).otherwise(base)
     return base + F.when(tx.word_count(tx.clean(abstract)) > 300, 15).otherwise(0)
+
+
+def phrase_bonus(phrases: list[str], title: Column, text: Column) -> Column:
+    """0.18 if the title has one of the first ten phrases, else 0.12 if the text has one."""
+    in_title, inside = F.lit(False), F.lit(False)
+    for p in phrases[:10]:
+        in_title, inside = in_title | title.contains(p), inside | text.contains(p)
+    return F.when(in_title, 0.18).when(inside, 0.12).otherwise(0.0)

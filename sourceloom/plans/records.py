@@ -243,9 +243,9 @@ SCORE_CTE = f"{SCORED}, {FEAT}, sco AS (SELECT *, {ALIGN} AS alignment, {TOTAL}
 
 
 def _full_score(spark, sf):
-    rows = _scored(spark, sf).withColumn("grade", sc.reading_grade()).withColumn("alignment", sc.beginner_alignment(F.col("grade")))
-    rows = rows.withColumn("score", sc.total(F.col("relevance"), F.col("alignment")))
-    return rows.withColumn("confidence", sc.confidence(F.col("score")))
+    rows = _scored(spark, sf).withColumns({"grade": sc.reading_grade(), "content": sc.content()}).withColumn("alignment", sc.beginner_alignment(F.col("grade")))
+    rows = rows.withColumn("score", sc.total(F.col("relevance"), F.col("alignment"), F.col("content")))
+    return rows.withColumn("confidence", sc.confidence(F.col("score"), F.col("content")))
 
 
 @query("source_score", f"WITH {SCORE_CTE} SELECT source_id, round(alignment, 6) AS alignment, round(score, 6) AS score, round(confidence, 6) AS confidence FROM fin")

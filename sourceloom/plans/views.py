@@ -10,7 +10,15 @@ LEVELS = ("beginner", "intermediate", "advanced", "unknown")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows, "doc_id") if name == "documents" else rows
+
+
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Rows of a table that is read in fewer parts than there are cores (a single row group, say), dealt out to all of them, as work on
+    texts takes much longer than sending them.  Tables of more parts, all large ones, stay as they are and are not shuffled."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores, key) if rows.rdd.getNumPartitions() < cores else rows
 
 
 def pick(values: tuple, index: str) -> str:
