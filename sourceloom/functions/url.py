@@ -34,3 +34,16 @@ def without_tracking(url: Column) -> Column:
     bare = F.regexp_replace(host(url), ":(80|443)$", "")
     path_ = F.when(path(url) == "", F.lit("/")).otherwise(path(url))
     return F.concat(scheme(url), F.lit("://"), bare, path_, F.when(F.size(pairs) > 0, F.concat(F.lit("?"), F.array_join(pairs, "&"))).otherwise(F.lit("")))
+
+
+def resolved(href: Column, engine: str = "duckduckgo.com") -> Column:
+    """Where a result link leads: a redirect of the search engine to what it carries, its advertisements nowhere, others to themselves."""
+    target = F.regexp_extract(query(href), "(?:^|&)uddg=([^&]*)", 1)
+    ad = path(href).contains("/y.js") | query(href).contains("ad_provider")
+    return F.when(~host(href).contains(engine), href).when(ad | (target == ""), "").otherwise(F.try_url_decode(target))
+
+
+def slug_title(url: Column) -> Column:
+    """The last part of a path as words."""
+    last = F.regexp_extract(path(url), "([^/]*)$", 1)
+    return F.lower(F.replace(F.replace(last, F.lit("-"), F.lit(" ")), F.lit("_"), F.lit(" ")))

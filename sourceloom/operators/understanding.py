@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import fixed as fx, text as tx
 
@@ -310,3 +310,46 @@ def phrase_bonus(phrases: list[str], title: Column, text: Column) -> Column:
     for p in phrases[:10]:
         in_title, inside = in_title | title.contains(p), inside | text.contains(p)
     return F.when(in_title, 0.18).when(inside, 0.12).otherwise(0.0)
+
+
+def retrieval_path(operation: Column, strategy: Column, tokens: Column, gate: Column, chunks: Column) -> Column:
+    """A name for the way in which an answer's passages were found."""
+    skipped = ~chunks & (gate > 0) & (tokens < gate)
+    by_operation = F.when(operation == "search_chunks", "chunk").when(operation == "hybrid_search", F.when(skipped, "parent_gate_skipped").otherwise("parent")).when(operation == "search", "embedding").when(operation == "keyword_search", "keyword")
+    names = {"hybrid_v2": "chunk_or_parent", "hybrid_all_runs": "all_runs", "conversation_memory": "conversation", "no_match_after_rerank": "no_match"}
+    by_strategy = F.coalesce(F.nullif(strategy, F.lit("")), F.lit("unknown"))
+    for old, new in names.items():
+        by_strategy = F.when(strategy == old, F.lit(new)).otherwise(by_strategy)
+    return F.coalesce(by_operation, by_strategy)
+
+
+def level_priority(begins: Column, advances: Column, level: Column) -> Column:
+    """Levels in the order in which they are served, by the weights of a question's signs and then by the level that was given."""
+    of = lambda *names: F.array(*map(F.lit, names))
+    every = of("beginner", "intermediate", "advanced")
+    low = F.lower(F.trim(level))
+    ranged = low.contains("to") & low.contains("beginner") & low.contains("advance")
+    return F.when((begins >= 1) & (advances >= 1), every).when((advances >= 1) & (begins < advances), of("advanced")).when((begins >= 1) & (advances < begins), of("beginner")).when(low.isin("beginner", "intermediate", "advanced", "mixed"), F.array(low)).when(ranged, every).otherwise(of("mixed"))
+
+
+def request_kind(text: Column) -> Column:
+    low, high = marks_in(text, fx.BEGINNER_MARKERS), marks_in(text, fx.ADVANCED_MARKERS)
+    return F.when((low > 0) & (high > 0), "mixed").when(low > high, "beginner").when(high > low, "advanced").otherwise("neutral")
+
+
+def is_off_topic(text: Column, phrases: list[str], negative: list[str], generic=fx.GENERIC) -> Column:
+    """No phrase and fewer than half of the phrases' meaningful words, or two or more marks of other subjects."""
+    words = sorted({w for p in phrases for w in p.split() if len(w) > 2 and w not in generic})
+    found = contains_any(text, tuple(phrases))
+    few = (marks_in(text, tuple(words)) < max(1, len(words) // 2)) if words else F.lit(False)
+    return (~found & few if phrases else F.lit(False)) | (marks_in(text, tuple(negative)) >= 2)
+
+
+def routed(queries: DataFrame, platforms: DataFrame, most: int, least: int) -> DataFrame:
+    """queries (query_id, profile) with platforms (platform, level) of a dimension: matching ones, then neutral ones (level 0), up to ``most``;
+    others only as far as there are fewer than ``least``."""
+    prio = F.when(F.col("level") == F.col("profile"), 0).when(F.col("level") == 0, 1).otherwise(2)
+    rows = queries.crossJoin(F.broadcast(platforms)).withColumn("prio", prio)
+    by = W.partitionBy("query_id")
+    rows = rows.withColumns({"k": F.row_number().over(by.orderBy("prio", "platform")), "fitting": F.count_if(F.col("prio") < 2).over(by)})
+    return rows.where((F.col("k") <= most) & ((F.col("prio") < 2) | (F.col("k") <= F.greatest(F.lit(least), F.col("fitting")))))

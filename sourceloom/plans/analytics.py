@@ -285,15 +285,6 @@ def fallback_platforms(spark, sf):
     return spark.sql("WITH RECURSIVE hop(start, node, depth) AS (SELECT n_nationkey, n_nationkey, 0 FROM _nation UNION ALL SELECT start, (node * 2 + 1) % 25, depth + 1 FROM hop WHERE depth < 4) SELECT start, node, min(depth) AS depth FROM hop GROUP BY start, node")
 
 
-@query("query_routing", "WITH q AS (SELECT item_id AS query_id, item_id % 3 AS lvl FROM benchmark), p AS (SELECT n_nationkey AS platform, n_nationkey % 3 AS lvl FROM nation), c AS (SELECT query_id, platform, CASE WHEN q.lvl = p.lvl THEN 0 WHEN p.lvl = 0 THEN 1 ELSE 2 END AS prio FROM q, p) SELECT query_id, platform, prio FROM c QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY prio, platform) <= 6")
-def query_routing(spark, sf):
-    """Queries meet the platform dimension (fixed size); matching level first, then neutral, then others, six a query."""
-    q = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), (F.col("item_id") % 3).alias("ql"))
-    p = table(spark, sf, "nation").select(F.col("n_nationkey").alias("platform"), (F.col("n_nationkey") % 3).alias("pl"))
-    prio = F.when(F.col("ql") == F.col("pl"), 0).when(F.col("pl") == 0, 1).otherwise(2)
-    return sel.per_group(q.crossJoin(F.broadcast(p)).withColumn("prio", prio), "query_id", [F.asc("prio"), F.asc("platform")], 6).select("query_id", "platform", "prio")
-
-
 @query("mean_relevance_gate", "WITH d AS (SELECT vec_id, label, list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) AS d FROM embeddings), m AS (SELECT label, avg(d) AS mean FROM d GROUP BY 1) SELECT vec_id, d.label AS label FROM d JOIN m ON m.label = d.label WHERE d >= mean")
 def mean_relevance_gate(spark, sf):
     """Of each group the rows that reach its mean; the means are one row a group."""

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..operators.records import latest
+from .store import file_system
 
 
 def save_runs(rows: DataFrame, path: str, run: str = "request_id") -> None:
@@ -56,3 +59,47 @@ def in_batches(stream: DataFrame, path: str, checkpoint: str):
         batch.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def cleared(spark: SparkSession, path: str) -> None:
+    """A table with its columns and without its rows."""
+    old = spark.read.parquet(path)
+    empty = spark.createDataFrame([], old.schema)
+    empty.write.mode("overwrite").parquet(path)
+
+
+def publish(rows: DataFrame, path: str) -> None:
+    """Rows written beside a table and then put in its place, so that readers see the old ones or the new ones."""
+    spark, draft = rows.sparkSession, f"{path.rstrip('/')}-draft-{uuid.uuid4().hex}"
+    rows.write.parquet(draft)
+    old, fs = file_system(spark, path)
+    new, _ = file_system(spark, draft)
+    fs.delete(old, True)
+    fs.rename(new, old)
+
+
+def safe_name(text: Column, most: int = 80) -> Column:
+    """A file name from any text."""
+    out = F.regexp_replace(F.regexp_replace(F.trim(text), r"[^A-Za-z0-9._-]+", "_"), "^[._]+|[._]+$", "")
+    return F.when(out == "", "untitled").otherwise(F.left(out, F.lit(most)))
+
+
+def usage_report(entries: DataFrame, path: str) -> None:
+    """Totals of a ledger by model, by category and in all, as JSON lines."""
+    from ..operators.analytics import usage
+
+    usage(entries).write.mode("overwrite").json(path)
+
+
+def agent_run(rows: DataFrame, steps: DataFrame, path: str, run: str = "agent_id") -> None:
+    """A run's row with its steps in order, in the run's partition."""
+    listed = steps.groupBy(run).agg(F.array_sort(F.collect_list(F.struct(*[c for c in ("step", *[x for x in steps.columns if x not in (run, "step")])]))).alias("steps"))
+    save_runs(rows.join(listed, run, "left"), path, run)
+
+
+def add_records(records: DataFrame, folder: str, chunk_words: int = 160) -> None:
+    """Records (doc_id, text and others) to a store of documents and of their chunks; a document without words has none."""
+    from ..operators.relevance import chunked
+
+    append(records, f"{folder}/documents")
+    append(chunked(records, chunk_words), f"{folder}/chunks")

@@ -4,7 +4,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from sourceloom.functions import fuzzy as fz, text as tx
-from sourceloom.operators import records as rc, relevance as rel, selection as sel
+from sourceloom.operators import index, records as rc, relevance as rel, selection, selection as sel
 from sourceloom.sources import readers, sinks
 from sourceloom.streaming import windows as sw
 
@@ -74,12 +74,16 @@ def test_dedupe_idempotent_and_six_cases(spark):
     rows = [("a", "Deep learning on graphs", "https://x.org/1", 5), ("b", "Deep  Learning on Graphs!", "https://x.org/2", 50), ("c", "Other title here", "https://x.org/3", None), ("d", "", "https://x.org/3?ref=a", 1), ("e", "", "https://x.org/3", 2)]
     cols = "source_id string, title string, url string, citation_count long"
     df = spark.createDataFrame(rows, cols)
-    for name, value in (("platform", F.lit("web")), ("source_type", F.lit("book")), ("abstract", F.lit("text")), ("n_authors", F.lit(1)), ("year", F.lit(2000)), ("has_code", F.lit(None).cast("boolean")), ("stars", F.lit(None).cast("long")), ("doi", F.lit(None).cast("string")), ("arxiv_raw", F.lit(None).cast("string"))):
+    for name, value in (("platform", F.lit("web")), ("source_type", F.lit("book")), ("abstract", F.lit("text")), ("n_authors", F.lit(1)), ("year", F.lit(2000)), ("has_code", F.lit(None).cast("boolean")), ("stars", F.lit(None).cast("long")), ("doi", F.lit(None).cast("string")), ("arxiv_raw", F.lit(None).cast("string")), ("meta_id", F.lit(None).cast("string")), ("external_arxiv", F.lit(None).cast("string")), ("external_doi", F.lit(None).cast("string")), ("downloads", F.lit(None).cast("long")), ("has_pdf", F.lit(False)), ("published", F.lit(None).cast("long")), ("publisher", F.lit(None).cast("string")), ("description", F.lit(None).cast("string")), ("summary", F.lit(None).cast("string")), ("authors_raw", F.concat(F.lit("Ann;"), F.upper("source_id"), F.lit(";ann")))):
         df = df.withColumn(name, value)
     df = df.withColumn("ordinal", F.expr("ascii(source_id)"))
-    got = {r.source_id: r.duplicates for r in rc.merged_by_key(df).collect()}
-    assert got == {"b": 2, "c": 1, "e": 2}
-    assert {r.source_id for r in rc.exact_titles(df).collect()} == {"b", "c", "d", "e"}
+    merged = rc.merged_by_key(df).collect()
+    assert {r.source_id: r.duplicate_count for r in merged} == {"b": 2, "c": 1, "e": 2}
+    assert {r.source_id: (r.authors, r.alternate_urls) for r in merged}["b"] == (["Ann", "B", "A"], ["https://x.org/2", "https://x.org/1"])
+    assert {r.source_id for r in rc.exact_titles(df).collect()} == {"a", "b", "c", "d", "e"}  # only papers are compared by title
+    papers = df.withColumn("source_type", F.lit("research_paper"))
+    assert {r.source_id for r in rc.exact_titles(papers).collect()} == {"b", "c", "d", "e"}
+    assert {r.source_id for r in rc.exact_titles(papers.unionByName(papers)).collect()} == {"b", "c", "d", "e"}
 
 
 def test_readers_and_sinks(spark, tmp_path):
@@ -163,3 +167,64 @@ def test_title_ratio_matches_brute_force(spark, tmp_path):
     assert len(got) == len(set(got)) and set(got) == want
     lengths = {i: len(t) for t, i in keys.items()}
     assert any(abs(lengths[a] - lengths[b]) > 16 for a, b, _ in want)
+
+
+def test_more_readers_and_sinks(spark, tmp_path):
+    (tmp_path / "feed.xml").write_text(
+        '<feed xmlns:arxiv="http://a"><entry><id>http://arxiv.org/abs/1</id><title>A</title><summary>s</summary><published>2020-01-02</published><author><name>Ann</name></author><author><name>Bo</name></author>'
+        '<arxiv:doi>10.1/x</arxiv:doi><link href="http://p" rel="alternate" type="text/html"/><link title="pdf" href="http://p.pdf" rel="related" type="application/pdf"/></entry></feed>'
+    )
+    row = readers.atom_entries(spark, str(tmp_path / "feed.xml")).first()
+    assert (row.authors, row.doi, row.url, row.pdf_url) == (["Ann", "Bo"], "10.1/x", "http://p", "http://p.pdf")
+    (tmp_path / "old.json").write_text('{"documents": [{"doc_id": "d1", "title": "T", "text": "x"}, {"run_id": "r", "title": "U", "url": "u"}]}')
+    got = {r.title: r.doc_id for r in readers.legacy_documents(spark, str(tmp_path / "old.json")).collect()}
+    assert got["T"] == "d1" and len(got["U"]) == 32
+    (tmp_path / "memory.json").write_text('{"a": "1", "b": {"x": 2}}')
+    assert {r.key: r.entry for r in readers.memories(spark, str(tmp_path / "memory.json")).collect()} == {"a": "1", "b": '{"x":2}'}
+    dims = readers.dimension(spark, '{"physics": {"aliases": ["optics", "heat"], "platforms": ["arxiv", "core"]}, "law": {"aliases": []}}').collect()
+    assert {(d.domain, d.alias, d.platform, d.place) for d in dims} == {("physics", "optics", None, None), ("physics", "heat", None, None), ("physics", None, "arxiv", 0), ("physics", None, "core", 1)}
+    one = spark.createDataFrame([(1, "a b c"), (2, ""), (3, "d " * 400)], "doc_id long, text string")
+    sinks.add_records(one, str(tmp_path / "store"))
+    assert spark.read.parquet(str(tmp_path / "store/documents")).count() == 3
+    chunks = spark.read.parquet(str(tmp_path / "store/chunks"))
+    assert {r.doc_id for r in chunks.collect()} == {1, 3} and chunks.count() == 4
+    sinks.publish(one.where("doc_id = 1"), str(tmp_path / "store/documents"))
+    assert spark.read.parquet(str(tmp_path / "store/documents")).count() == 1
+    sinks.cleared(spark, str(tmp_path / "store/chunks"))
+    assert spark.read.parquet(str(tmp_path / "store/chunks")).count() == 0 and set(spark.read.parquet(str(tmp_path / "store/chunks")).columns) == set(chunks.columns)
+    names = spark.createDataFrame([("a/b: c?",), ("..",), (None,), ("x" * 100,)], "t string").select(sinks.safe_name(F.coalesce("t", F.lit(""))).alias("n")).collect()
+    assert [r.n for r in names] == ["a_b_c_", "untitled", "untitled", "x" * 80]
+    entries = spark.createDataFrame([("m1", "c1", 5, 1.0), ("m1", "c2", 7, 2.0)], "model string, category string, tokens long, latency double")
+    sinks.usage_report(entries, str(tmp_path / "usage"))
+    assert {(r.model, r.category, r.tokens) for r in spark.read.json(str(tmp_path / "usage")).select("model", "category", "tokens").collect()} == {("m1", None, 12), (None, "c1", 5), (None, "c2", 7), (None, None, 12)}
+    runs = spark.createDataFrame([("a1", "done")], "agent_id string, status string")
+    steps = spark.createDataFrame([("a1", 2, "second"), ("a1", 1, "first")], "agent_id string, step int, what string")
+    sinks.agent_run(runs, steps, str(tmp_path / "agents"))
+    assert [s.what for s in spark.read.parquet(str(tmp_path / "agents")).first().steps] == ["first", "second"]
+
+
+def test_numbering_in_ranges_equals_one_window(spark, tmp_path):
+    rows = spark.range(500).select((F.col("id") * 7919 % 500).alias("k"), (F.col("id") % 3).alias("g"), F.col("id").alias("v"))
+    got = {(r.g, r.k): r.place for r in index.numbered(rows, str(tmp_path / "n"), "k", group="g").collect()}
+    want = {}
+    for g in range(3):
+        for place, k in enumerate(sorted(i * 7919 % 500 for i in range(500) if i % 3 == g), 1):
+            want[g, k] = place
+    assert got == want
+    assert [r.place for r in index.numbered(rows, str(tmp_path / "m"), "k").orderBy("k").collect()] == list(range(1, 501))
+
+
+def test_first_of_each_and_merge_lists(spark):
+    rows = spark.range(3000).select((F.col("id") % 2).alias("g"), (F.col("id") * 37 % 3001).alias("v"))
+    got = {}
+    for r in selection.first_of_each(rows, "g", [F.asc("v")], 4).collect():
+        got.setdefault(r.g, []).append(r.v)
+    assert {g: sorted(v) for g, v in got.items()} == {g: sorted(i * 37 % 3001 for i in range(g, 3000, 2))[:4] for g in (0, 1)}
+
+
+def test_proximity_of_batches_equals_single_rows(spark):
+    words = [["the", "thing", "x", "mention"], [], ["nothing"], ["mention"] * 3 + ["a"] * 9 + ["things", "ention"], ["thing", "ention"]]
+    df = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "i int, w array<string>")
+    for query in (["thing", "ention"], ["thing"], []):
+        got = {r.i: r.p for r in df.select("i", fz.proximity_of(query)("w").alias("p")).collect()}
+        assert got == {i: fz.proximity(query, w) for i, w in enumerate(words)}
