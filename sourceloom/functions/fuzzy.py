@@ -57,7 +57,7 @@ kept_match = functools.lru_cache(maxsize=1 << 18)(tokens_match)
 
 def which_match(query: list[str], words: list[str]) -> np.ndarray:
     """For each query token, the words that match it."""
-    return np.array([[kept_match(q, w) for w in words] for q in query], dtype=bool).reshape(len(query), -1)
+    return np.array([[kept_match(q, w) for w in words] for q in query], dtype=bool).reshape(len(query), len(words))
 
 
 def fuzzy_share(query: list[str], tokens: list[str]) -> float:

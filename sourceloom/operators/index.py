@@ -6,7 +6,7 @@ deletes in earlier segments.  Writing a segment reads the documents in it and no
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from ..functions import text as tx
 from ..sources import store
@@ -101,7 +101,7 @@ def numbered(rows: DataFrame, folder: str, *order: str, group: str | None = None
     spark = rows.sparkSession
     keys = [*([group] if group else []), *order]
     rows.repartitionByRange(*keys).withColumn("_range", F.spark_partition_id()).write.parquet(folder)
-    kept = spark.read.schema(rows.schema.add("_range", "integer")).parquet(folder)
+    kept = spark.read.schema(T.StructType([*rows.schema.fields, T.StructField("_range", T.IntegerType())])).parquet(folder)
     by = ["_range", *([group] if group else [])]
     sizes = kept.groupBy(*by).agg(F.count("*").alias("_n"))  # a row a range and group
     before = F.coalesce(F.sum("_n").over((W.partitionBy(group) if group else W.partitionBy()).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))

@@ -193,7 +193,7 @@ def test_more_readers_and_sinks(spark, tmp_path):
     sinks.cleared(spark, str(tmp_path / "store/chunks"))
     assert spark.read.parquet(str(tmp_path / "store/chunks")).count() == 0 and set(spark.read.parquet(str(tmp_path / "store/chunks")).columns) == set(chunks.columns)
     names = spark.createDataFrame([("a/b: c?",), ("..",), (None,), ("x" * 100,)], "t string").select(sinks.safe_name(F.coalesce("t", F.lit(""))).alias("n")).collect()
-    assert [r.n for r in names] == ["a_b_c_", "untitled", "untitled", "x" * 80]
+    assert [r.n for r in names] == ["a_b_c", "untitled", "untitled", "x" * 80]
     entries = spark.createDataFrame([("m1", "c1", 5, 1.0), ("m1", "c2", 7, 2.0)], "model string, category string, tokens long, latency double")
     sinks.usage_report(entries, str(tmp_path / "usage"))
     assert {(r.model, r.category, r.tokens) for r in spark.read.json(str(tmp_path / "usage")).select("model", "category", "tokens").collect()} == {("m1", None, 12), (None, "c1", 5), (None, "c2", 7), (None, None, 12)}
