@@ -10,6 +10,7 @@ and a magic word.  Ids of a document may go over blocks; a reader needs only the
 from __future__ import annotations
 
 import json
+from array import array
 import struct
 from collections.abc import Iterator
 
@@ -38,7 +39,7 @@ def _joined(planes: list[bytes], n: int, mode: str) -> np.ndarray:
 
 
 class Writer:
-    """Writes documents' ids to an output stream; memory holds one block."""
+    """Writes documents' ids to an output stream; memory holds one block, and 24 bytes a document for the table at the file's end."""
 
     def __init__(self, out, block_ids: int = BLOCK_IDS, mode: str = "byte", level: int = LEVEL):
         self.out, self.block_ids, self.mode = out, block_ids, mode
@@ -46,10 +47,10 @@ class Writer:
         self.wait: list[np.ndarray] = []
         self.waiting = self.place = self.total = 0
         self.blocks: list[list] = []
-        self.docs: list[tuple[int, bool, int]] = []
+        self.docs = array("q")
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        self.docs.append((doc_id or 0, doc_id is None, len(ids)))
+        self.docs.extend((doc_id or 0, doc_id is None, len(ids)))
         self.total += len(ids)
         self.wait.append(ids)
         self.waiting += len(ids)
@@ -70,7 +71,7 @@ class Writer:
     def close(self) -> None:
         if self.waiting:
             self._block(np.concatenate(self.wait))
-        docs = np.array(self.docs, dtype="<i8").reshape(-1, 3)
+        docs = np.frombuffer(self.docs, dtype="<i8").reshape(-1, 3) if self.docs else np.zeros((0, 3), dtype="<i8")
         index = self.press.compress(json.dumps({"mode": self.mode, "block_ids": self.block_ids, "blocks": self.blocks}).encode())
         table = self.press.compress(docs.T.tobytes())
         self.out.write(index + table + struct.pack("<QQ", len(index), len(table)) + MAGIC)

@@ -5,7 +5,7 @@ written; a manifest has each file's first global position.  A task that runs aga
 renames, so a lost executor leaves no half file.
 
 Cases: null text is empty and holds only the end id; null doc_ids come first and stay null; rows with equal doc_ids are ordered
-by text; an empty table gives no files and no rows; other columns are not read.
+by a hash of their texts, then by text, so that an id with very many rows is dealt over several files; an empty table gives no files and no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -42,7 +42,7 @@ def _write(folder: str, tokenizer: str, end_id: int, mode: str, block_ids: int):
             writer.close()
             out.close()
             fs.move(draft, f"{root}/{name}.planes")
-            yield pa.RecordBatch.from_pydict({"part": pa.array([task.partitionId()], pa.int32()), "file": [f"{name}.planes"], "ids": pa.array([writer.total], pa.int64()), "docs": pa.array([len(writer.docs)], pa.int64())})
+            yield pa.RecordBatch.from_pydict({"part": pa.array([task.partitionId()], pa.int32()), "file": [f"{name}.planes"], "ids": pa.array([writer.total], pa.int64()), "docs": pa.array([len(writer.docs) // 3], pa.int64())})
 
     return run
 
@@ -53,7 +53,8 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, mod
     The manifest has one row per file and is held by the driver.
     """
     spark = docs.sparkSession
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    order = ["doc_id", F.xxhash64("text"), "text"]
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange(*order[:2]).sortWithinPartitions(*order)
     files = sorted(rows.mapInArrow(_write(folder, tokenizer, end_id, mode, block_ids), "part int, file string, ids long, docs long").collect())
     base, out = 0, []
     for f in files:
