@@ -25,6 +25,8 @@ from .scratch import keep, remove
 from .tokens import Encoder
 
 CAPACITY, DIMENSIONS, BITS, BUCKETS = 4096, 4, 12, 256
+OUT_IDS = 1 << 20  # sent on at a time
+PIECE = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"]
 
 
 def hilbert_key(points: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -97,12 +99,19 @@ def _positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _cut(capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[list] = [[] for _ in PIECE]
+        held = 0
+
+        def out() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in rows[:6]), pa.array(rows[6], pa.binary())], names=PIECE)
+            for column in rows:
+                column.clear()
+            return made
+
         for batch in batches:
-            docs, places = batch.column("doc_id").to_pylist(), batch.column("place").to_pylist()
-            sizes, held = batch.column("tokens").to_pylist(), batch.column("ids")
-            rows: list[list] = [[] for _ in range(7)]
-            for doc, place, size, raw in zip(docs, places, sizes, held, strict=True):
-                raw = raw.as_py()
+            docs, places, sizes = (batch.column(c).to_pylist() for c in ("doc_id", "place", "tokens"))
+            for doc, place, size, raw in zip(docs, places, sizes, batch.column("ids"), strict=True):
+                raw = raw.as_buffer()
                 ids = np.frombuffer(raw, dtype="<u2" if len(raw) == 2 * size else "<u4").astype("<u4")
                 start = 0
                 while start < size:
@@ -111,7 +120,11 @@ def _cut(capacity: int):
                     for column, value in zip(rows, (doc, start, n, size, sequence, offset, ids[start : start + n].tobytes()), strict=True):
                         column.append(value)
                     start += n
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in rows[:6]), pa.array(rows[6], pa.binary())], names=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
+                held += size
+                if held > OUT_IDS:
+                    yield out()
+                    held = 0
+        yield out()
 
     return run
 
