@@ -48,7 +48,7 @@ _has = lambda i: "platform IN (" + ", ".join(f"'{p}'" for p, paths in readers.PA
 PAYLOAD_CTE = f"{SOURCES}, p AS (SELECT * REPLACE ({pick(PROVIDERS, f'ordinal % {len(PROVIDERS)}')} AS platform, trim(title) AS title) FROM src)"
 
 
-@query("provider_payloads", f"WITH {PAYLOAD_CTE} SELECT platform, url, md5(title) AS title_md5, CASE WHEN {_has(2)} THEN year END AS year, CASE WHEN {_has(4)} THEN citation_count END::BIGINT AS citation_count, CASE WHEN {_has(5)} THEN trim(doi) END AS doi FROM p WHERE title <> ''")
+@query("provider_payloads", f"WITH {PAYLOAD_CTE} SELECT platform, url, md5(title) AS title_md5, CASE WHEN {_has(2)} THEN year END::INTEGER AS year, CASE WHEN {_has(4)} THEN citation_count END::BIGINT AS citation_count, CASE WHEN {_has(5)} THEN trim(doi) END AS doi FROM p WHERE title <> ''")
 def provider_payloads(spark, sf):
     """Records in the JSON of their providers, read back to one form."""
     src = sources(spark, sf).withColumn("platform", F.expr(pick(PROVIDERS, f"ordinal % {len(PROVIDERS)}")))
@@ -61,7 +61,7 @@ def provider_payloads(spark, sf):
 ARTICLE = "'<PubmedArticle><PMID Version=\"1\">' || ordinal || '</PMID><ArticleTitle>' || regexp_replace(title, '[<>&]', ' ', 'g') || ' <i>x</i></ArticleTitle>' || CASE WHEN ordinal % 3 = 0 THEN '' ELSE '<Abstract><AbstractText>two  words</AbstractText></Abstract>' END || CASE WHEN year IS NULL THEN '' ELSE '<Year>' || year || '</Year>' END || '<Author><LastName>Lee</LastName></Author><Author><LastName> Xu </LastName></Author></PubmedArticle>'"
 
 
-@query("pubmed_articles", f"WITH {SOURCES} SELECT ordinal::VARCHAR AS pmid, md5(trim(regexp_replace(regexp_replace(title, '[<>&]', ' ', 'g') || '  x ', '\\s+', ' ', 'g'))) AS title_md5, CASE WHEN ordinal % 3 = 0 THEN '' ELSE 'two words' END AS abstract, year, 'Lee;Xu' AS authors FROM src")
+@query("pubmed_articles", f"WITH {SOURCES} SELECT ordinal::VARCHAR AS pmid, md5(trim(regexp_replace(regexp_replace(title, '[<>&]', ' ', 'g') || '  x ', '\\s+', ' ', 'g'))) AS title_md5, CASE WHEN ordinal % 3 = 0 THEN '' ELSE 'two words' END AS abstract, year::INTEGER AS year, 'Lee;Xu' AS authors FROM src")
 def pubmed_articles(spark, sf):
     raw = F.expr(ARTICLE.replace(", 'g')", ")"))
     out = readers.pubmed(sources(spark, sf).select(F.concat(F.lit("<Set>"), raw, F.lit("</Set>")).alias("raw")))
