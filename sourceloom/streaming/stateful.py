@@ -1,4 +1,7 @@
-"""Running state per owner over streams: budgets and cooldowns.  The batch forms are in operators/analytics.py."""
+"""Running state per owner over streams: budgets and cooldowns.  The batch forms are in operators/analytics.py.
+
+One number an owner is kept, for as long as the stream runs.  It isn't given a timeout: with one by processing time a run over all that is
+there (trigger availableNow) did not end in 300 seconds here."""
 
 from __future__ import annotations
 
