@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat_format, curve_packing, decontaminate, importance, link_trust, lm_scoring, matroska, pipeline, simhash_dedup, token_store, warc_archive
+from . import centroids, chat_format, curve_packing, day_layout, decontaminate, importance, link_trust, lm_scoring, matroska, pipeline, simhash_dedup, token_store, warc_archive
 from .tokens import tokenizer_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,6 +68,14 @@ def op10_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.features(matroska.encode(documents(spark, sf_dir)))
 
 
+def op12_block_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_day_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return day_layout.overwritten(spark.read.parquet(f"{sf_dir}/sales.parquet"))
+
+
 OPERATORS = (
     op1_chat_format,
     op2_simhash_dedup,
@@ -79,6 +87,8 @@ OPERATORS = (
     op8_warc_revisits,
     op9_suffix_tree,
     op10_matroska,
+    op12_block_norms,
+    op13_day_overwrite,
 )
 
 
@@ -87,4 +97,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": chat_format.sql(), "op6_link_trust": link_trust.judge_sql(), "op8_warc_revisits": warc_archive.SQL}
+    return {"op1_chat_format": chat_format.sql(), "op6_link_trust": link_trust.judge_sql(), "op8_warc_revisits": warc_archive.SQL, "op12_block_norms": centroids.cluster_sql()}
