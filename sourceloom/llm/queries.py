@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import centroids, chat_format, curve_packing, day_layout, decontaminate, importance, link_trust, lm_scoring, matroska, pipeline, simhash_dedup, token_store, warc_archive
+from . import centroids, chat_format, curve_packing, day_layout, decision_lists, decontaminate, importance, link_trust, lm_scoring, matroska, pipeline, simhash_dedup, token_store, warc_archive
 from .tokens import tokenizer_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,6 +68,11 @@ def op10_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.features(matroska.encode(documents(spark, sf_dir)))
 
 
+def op11_decision_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = decision_lists.judge(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+
+
 def op12_block_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -87,6 +92,7 @@ OPERATORS = (
     op8_warc_revisits,
     op9_suffix_tree,
     op10_matroska,
+    op11_decision_lists,
     op12_block_norms,
     op13_day_overwrite,
 )
