@@ -271,18 +271,6 @@ def escalation_confidence(richness: Column, classifier: Column) -> Column:
     return F.least(F.lit(0.5), 0.35 * richness + 0.25 * classifier)
 
 
-def domain_score(text: Column, tokens: Column, concept: Column, aliases: list[str]) -> Column:
-    """What a domain's aliases in a question add up to: 0.48 for several words, 0.30 for up to three letters, else 0.38, and 0.22 if the
-    concept has it; at most 0.98, and 0 without any."""
-    total = F.lit(0.0)
-    for alias in aliases:
-        words = alias.split(" ")
-        there = F.concat(F.lit(" "), text, F.lit(" ")).contains(f" {alias} ") if len(words) > 1 else F.array_contains(tokens, alias)
-        worth = 0.48 if len(words) > 1 else 0.30 if len(alias) <= 3 else 0.38
-        total = total + F.when(there, worth + F.when(concept.contains(alias), 0.22).otherwise(0.0)).otherwise(0.0)
-    return F.least(F.lit(0.98), total)
-
-
 # Minutes by kind.
 MINUTES = {"research_paper": 90, "repository": 120, "course": 180, "video": 45, "documentation": 30, "dataset": 60, "model": 60, "blog": 20}
 

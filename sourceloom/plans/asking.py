@@ -99,43 +99,6 @@ def quoted_and_acronyms(spark, sf):
     return asked(spark, sf).select("item_id", F.array_join(F.regexp_extract_all("q", F.lit('"([^"]{2,80})"'), 1), "|").alias("quoted"), F.array_join(found, "|").alias("acronyms"))
 
 
-ALIASES = {
-    "computing": ("machine learning", "data structures", "neural nets", "ml", "transformers", "graph"), "physics": ("electrodynamics", "thermodynamics", "vector"), "language": ("natural language processing", "nlp", "the thing", "les"),
-    "biology": ("neurophysiology", "hydrodynamic"),
-}
-_plain = "trim(regexp_replace(lower({}), '[^a-z0-9+#]+', ' ', 'g'))"
-
-
-def _score_sql(aliases):
-    parts = []
-    for a in aliases:
-        there = f"contains(' ' || p || ' ', ' {a} ')" if " " in a else f"list_contains(string_split(p, ' '), '{a}')"
-        parts.append(f"CASE WHEN {there} THEN {0.48 if ' ' in a else 0.30 if len(a) <= 3 else 0.38} + CASE WHEN contains(c, '{a}') THEN 0.22 ELSE 0 END ELSE 0 END::DOUBLE")
-    return f"least(0.98, {' + '.join(parts)})"
-
-
-@query("domain_scores", f"WITH {AQ}, p AS (SELECT item_id, {_plain.format('q')} AS p, left({_plain.format('q')}, 30) AS c FROM aq) SELECT item_id, {', '.join(f'round({_score_sql(v)}, 6) AS {k}' for k, v in ALIASES.items())} FROM p")
-def domain_scores(spark, sf):
-    rows = asked(spark, sf).withColumn("p", F.trim(F.regexp_replace(F.lower("q"), "[^a-z0-9+#]+", " "))).withColumn("c", F.left("p", F.lit(30)))
-    return rows.select("item_id", *[F.round(un.domain_score(F.col("p"), F.split("p", " "), F.col("c"), list(v)), 6).alias(k) for k, v in ALIASES.items()])
-
-
-_flat = sorted(((a, d) for d, v in ALIASES.items() for a in v if len(a) >= 3), key=lambda x: (-len(x[0]), x[0]))
-_s = "' ' || trim(regexp_replace(lower(" + CLEAN.format("title") + " || ' ' || coalesce(summary, '') || ' ' || " + CLEAN.format("abstract") + "), '[^a-z0-9]+', ' ', 'g')) || ' '"
-
-
-@query("domain_tagging", f"""WITH {SOURCES}, d AS (SELECT source_id, title, {_s} AS s FROM src) SELECT source_id, CASE {' '.join(f"WHEN contains(s, ' {a} ') THEN '{d}'" for a, d in _flat)} ELSE 'general' END AS domain,
-CASE {' '.join(f"WHEN contains(s, ' {a} ') THEN '{a}'" for a, _ in _flat)} ELSE array_to_string(list_filter(regexp_extract_all(lower(regexp_replace(trim(regexp_extract(title, '^([^:(]*)', 1)), ' +--? +.*$', '')), '[a-z0-9]+'), lambda t: length(t) >= 2 AND t NOT IN ({_stop}))[1:3], ' ') END AS topic FROM d""")
-def domain_tagging(spark, sf):
-    """The longest alias that a record's text has as whole words gives its domain and topic, else its title does; aliases are a dimension of
-    fixed size, tried as one expression."""
-    every = F.concat(tx.clean(F.col("title")), F.lit(" "), F.coalesce("summary", F.lit("")), F.lit(" "), tx.clean(F.col("abstract")))
-    rows = sources(spark, sf).withColumn("s", F.concat(F.lit(" "), tx.ascii_words(every), F.lit(" ")))
-    hit = [F.when(F.col("s").contains(f" {a} "), F.struct(F.lit(d).alias("d"), F.lit(a).alias("a"))) for a, d in _flat]
-    rows = rows.withColumn("hit", F.coalesce(*hit))
-    return rows.select("source_id", F.coalesce("hit.d", F.lit("general")).alias("domain"), F.coalesce("hit.a", tx.short_topic(F.col("title"))).alias("topic"))
-
-
 @query("short_topics", f"WITH {SOURCES} SELECT source_id, array_to_string(list_filter(regexp_extract_all(lower(regexp_replace(trim(regexp_extract(title, '^([^:(]*)', 1)), ' +--? +.*$', '')), '[a-z0-9]+'), lambda t: length(t) >= 2 AND t NOT IN ({_stop}))[1:3], ' ') AS topic FROM src")
 def short_topics(spark, sf):
     return sources(spark, sf).select("source_id", tx.short_topic(F.col("title")).alias("topic"))

@@ -166,12 +166,6 @@ def category_fallback(spark, sf):
     return rel.top_ranked(n, [F.asc("o"), F.asc("n_nationkey")], 9, "place").select(F.col("n_nationkey").alias("platform"), F.col("n_regionkey").alias("category"), "place")
 
 
-@query("alias_resolution", "SELECT DISTINCT c_custkey, r_name AS domain FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey")
-def alias_resolution(spark, sf):
-    dims = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.col("r_name").alias("domain"))
-    return table(spark, sf, "customer").join(F.broadcast(dims), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "domain").distinct()
-
-
 @query("embedding_coverage", "WITH c AS (SELECT doc_id % 8 AS grp, count(*) AS n, count(vec_id) AS have FROM documents LEFT JOIN embeddings ON vec_id = doc_id GROUP BY 1) SELECT grp, round(have / n::DOUBLE, 6) AS share, have / n::DOUBLE >= 0.8 AS use_stored FROM c")
 def embedding_coverage(spark, sf):
     rows = table(spark, sf, "documents").select("doc_id").join(table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), F.lit(1).alias("have")), "doc_id", "left")
