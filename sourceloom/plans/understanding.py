@@ -118,21 +118,28 @@ def run_outcomes(spark, sf):
 
 
 HARD = "CASE difficulty WHEN 'beginner' THEN 0 WHEN 'intermediate' THEN 1 WHEN 'advanced' THEN 2 ELSE CASE WHEN source_type = 'research_paper' THEN 2 ELSE 1 END END"
-PATH = f"""{SCORED}, r AS (SELECT run_id, source_id, source_type, {HARD} AS h, difficulty = 'beginner' AS e, difficulty = 'intermediate' AS m, source_type IN ('repository', 'model', 'dataset') OR coalesce(has_code, false) AS p, difficulty = 'advanced' AS a, row_number() OVER (PARTITION BY run_id ORDER BY relevance DESC, ordinal) AS k FROM s),
+PATH = f"""{SCORED}, sr AS (SELECT * FROM s UNION ALL SELECT * REPLACE (concat('r', cast((ordinal + 3) % 7 AS VARCHAR)) AS run_id) FROM s WHERE ordinal % 3 = 0), r AS (SELECT run_id, source_id, source_type, {HARD} AS h, difficulty = 'beginner' AS e, difficulty = 'intermediate' AS m, source_type IN ('repository', 'model', 'dataset') OR coalesce(has_code, false) AS p, difficulty = 'advanced' AS a, row_number() OVER (PARTITION BY run_id ORDER BY relevance DESC, ordinal) AS k FROM sr),
 f AS (SELECT run_id, bool_or(e) AS he, bool_or(m) AS hm, bool_or(p) AS hp, bool_or(a) AS ha FROM r GROUP BY 1), rf AS (SELECT * FROM r JOIN f USING (run_id)),
 s1 AS (SELECT run_id, 1 AS category, row_number() OVER (PARTITION BY run_id ORDER BY CASE WHEN he THEN 0 ELSE h END, k) AS place, source_id, h FROM rf WHERE e OR NOT he QUALIFY place <= 4),
-s2 AS (SELECT * FROM s1 UNION ALL SELECT run_id, 2, row_number() OVER (PARTITION BY run_id ORDER BY k) AS place, source_id, h FROM rf WHERE (m OR (NOT hm AND h <= 1)) AND source_id NOT IN (SELECT source_id FROM s1) QUALIFY place <= 4),
-s3 AS (SELECT * FROM s2 UNION ALL SELECT run_id, 3, row_number() OVER (PARTITION BY run_id ORDER BY k) AS place, source_id, h FROM rf WHERE (p OR (NOT hp AND source_type = 'documentation')) AND source_id NOT IN (SELECT source_id FROM s2) QUALIFY place <= 4),
-s4 AS (SELECT * FROM s3 UNION ALL SELECT run_id, 4, row_number() OVER (PARTITION BY run_id ORDER BY k) AS place, source_id, h FROM rf WHERE (a OR (NOT ha AND h >= 1)) AND source_id NOT IN (SELECT source_id FROM s3) QUALIFY place <= 4),
+s2 AS (SELECT * FROM s1 UNION ALL SELECT run_id, 2, row_number() OVER (PARTITION BY run_id ORDER BY k) AS place, source_id, h FROM rf WHERE (m OR (NOT hm AND h <= 1)) AND (run_id, source_id) NOT IN (SELECT (run_id, source_id) FROM s1) QUALIFY place <= 4),
+s3 AS (SELECT * FROM s2 UNION ALL SELECT run_id, 3, row_number() OVER (PARTITION BY run_id ORDER BY k) AS place, source_id, h FROM rf WHERE (p OR (NOT hp AND source_type = 'documentation')) AND (run_id, source_id) NOT IN (SELECT (run_id, source_id) FROM s2) QUALIFY place <= 4),
+s4 AS (SELECT * FROM s3 UNION ALL SELECT run_id, 4, row_number() OVER (PARTITION BY run_id ORDER BY k) AS place, source_id, h FROM rf WHERE (a OR (NOT ha AND h >= 1)) AND (run_id, source_id) NOT IN (SELECT (run_id, source_id) FROM s3) QUALIFY place <= 4),
 n4 AS (SELECT run_id, count(DISTINCT category) AS n FROM s4 GROUP BY 1),
-s5 AS (SELECT * FROM s4 UNION ALL SELECT run_id, 4 + ceil(g / 4.0)::INTEGER, (g - 1) % 4 + 1, source_id, h FROM (SELECT rf.run_id, source_id, h, coalesce(n, 0) AS n, row_number() OVER (PARTITION BY rf.run_id ORDER BY k) AS g FROM rf LEFT JOIN n4 ON n4.run_id = rf.run_id WHERE source_id NOT IN (SELECT source_id FROM s4)) WHERE g <= 4 * greatest(0, 3 - n)),
+s5 AS (SELECT * FROM s4 UNION ALL SELECT run_id, 4 + ceil(g / 4.0)::INTEGER, (g - 1) % 4 + 1, source_id, h FROM (SELECT rf.run_id, source_id, h, coalesce(n, 0) AS n, row_number() OVER (PARTITION BY rf.run_id ORDER BY k) AS g FROM rf LEFT JOIN n4 ON n4.run_id = rf.run_id WHERE (rf.run_id, source_id) NOT IN (SELECT (run_id, source_id) FROM s4)) WHERE g <= 4 * greatest(0, 3 - n)),
 path AS (SELECT run_id, dense_rank() OVER (PARTITION BY run_id ORDER BY category) AS step, ['Foundations and Basics', 'Core Concepts', 'Applied Practice', 'Advanced Research', 'Deepen Understanding'][least(category, 5)] AS title, place, source_id, h AS hardness FROM s5 QUALIFY step <= 6)"""
 _band = "CASE path.title WHEN 'Foundations and Basics' THEN 0 WHEN 'Advanced Research' THEN 2 ELSE 1 END"
 _objective = "CASE path.title " + " ".join(f"WHEN '{t}' THEN '{o}'" for t, o in pt.STEPS) + " END || CASE WHEN step = 1 THEN ' Level: beginner.' ELSE '' END"
 
 
+def _ranked(spark, sf):
+    """Records ranked in their run, a third of them in another run too."""
+    rows = _scored(spark, sf).withColumn("score", F.col("relevance"))
+    again = rows.where("ordinal % 3 = 0").withColumn("run_id", F.concat(F.lit("r"), ((F.col("ordinal") + 3) % 7).cast("string")))
+    return rows.unionByName(again)
+
+
 def _path(spark, sf):
-    return pt.greedy(_scored(spark, sf).withColumn("score", F.col("relevance")))
+    return pt.greedy(_ranked(spark, sf))
 
 
 @query("path_steps", f"WITH {PATH} SELECT run_id, step, title, place, source_id, hardness FROM path")
@@ -151,6 +158,36 @@ def path_resources(spark, sf):
     return pt.with_sources(path, sources(spark, sf).select("source_id", "title", "platform")).select("source_id", "run_id", "step", F.md5("title").alias("title_md5"), "platform", "fits", "objective")
 
 
+_titles = ("Foundations and Basics", "Core Concepts", "Applied Practice", "Advanced Research", "Deepen Understanding", "")
+_case_titles = "CASE item_id % 6 " + " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(_titles)) + " END"
+_fits = """CASE b WHEN 'advanced' THEN difficulty IN ('intermediate', 'advanced') OR source_type = 'research_paper' WHEN 'beginner' THEN difficulty IN ('intermediate', 'beginner') OR platform IN ('wikipedia', 'openstax') OR source_type IN ('documentation', 'course', 'book', 'video')
+ ELSE difficulty = 'intermediate' OR source_type IN ('documentation', 'course', 'book') OR platform IN ('wikipedia', 'openstax') END"""
+PLANNED = f"""{SCORED}, sr AS (SELECT * FROM s UNION ALL SELECT * REPLACE (concat('r', cast((ordinal + 3) % 7 AS VARCHAR)) AS run_id) FROM s WHERE ordinal % 3 = 0),
+u AS (SELECT 'r' || item_id % 7 AS run_id, item_id, coalesce(nullif({_case_titles}, ''), 'An overview of item ' || item_id) AS title, unnest(range(4)) AS j FROM benchmark WHERE item_id % 9 <> 5),
+v AS (SELECT run_id, item_id, title, j, 's' || (7 * ((item_id * 3 + j * 5) % 23) + CASE WHEN j = 3 THEN item_id % 5 ELSE item_id % 7 END) AS source_id FROM u),
+f AS (SELECT run_id, source_id, min((item_id, j, title)) AS u FROM v GROUP BY ALL),
+pl AS (SELECT f.run_id, dense_rank() OVER (PARTITION BY f.run_id ORDER BY u[1]) AS step, u[3] AS title, row_number() OVER (PARTITION BY f.run_id, u[1] ORDER BY u[2]) AS place, f.source_id AS source_id, relevance AS score FROM f JOIN sr ON sr.run_id = f.run_id AND sr.source_id = f.source_id),
+wk AS (SELECT run_id, step, min((score, place, source_id, title)) AS w FROM pl GROUP BY ALL),
+wb AS (SELECT run_id, step, w[3] AS source_id, CASE WHEN regexp_matches(lower(w[4]), 'advanced|research|expert|deep dive|in.depth') THEN 'advanced' WHEN regexp_matches(lower(w[4]), 'foundation|basic|intro|fundamentals|getting started|primer|overview') THEN 'beginner' WHEN regexp_matches(lower(w[4]), 'core|intermediate|applied|practice|synthesis|application|techniques|methods') THEN 'intermediate' END AS band FROM wk WHERE w[1] < 0.30),
+ws AS (SELECT run_id, list({{'step': step, 'source_id': source_id, 'band': band}} ORDER BY step) AS steps FROM wb WHERE band IS NOT NULL GROUP BY run_id),
+cd AS (SELECT run_id, list({{'id': source_id, 'fits': list_filter(['advanced', 'beginner', 'intermediate'], lambda b: {_fits})}} ORDER BY relevance DESC, ordinal) AS c FROM sr WHERE relevance >= 0.30 AND (run_id, source_id) NOT IN (SELECT (run_id, source_id) FROM pl) GROUP BY run_id),
+go AS (SELECT ws.run_id, 1 AS i, steps, coalesce(c, []) AS c, CAST(NULL AS VARCHAR) AS taken, CAST(NULL AS BIGINT) AS step, CAST(NULL AS VARCHAR) AS source_id FROM ws LEFT JOIN cd ON cd.run_id = ws.run_id
+  UNION ALL SELECT run_id, i + 1, steps, list_filter(c, lambda x: x.id IS DISTINCT FROM t), t, steps[i].step, steps[i].source_id FROM (SELECT *, list_filter(c, lambda x: list_contains(x.fits, steps[i].band))[1].id AS t FROM go WHERE i <= len(steps))),
+sw AS (SELECT run_id, step, source_id, taken FROM go WHERE taken IS NOT NULL)"""
+
+
+@query("path_swaps", f"WITH RECURSIVE {PLANNED} SELECT pl.run_id AS run_id, pl.step AS step, title, place, coalesce(taken, pl.source_id) AS source_id, taken IS NOT NULL AS swapped FROM pl LEFT JOIN sw ON sw.run_id = pl.run_id AND sw.step = pl.step AND sw.source_id = pl.source_id")
+def path_swaps(spark, sf):
+    """Plans as a model writes them, one a run, read, and their weak resources replaced."""
+    title = F.element_at(F.array(*map(F.lit, _titles)), (F.col("item_id") % len(_titles) + 1).cast("int"))
+    ids = F.transform(F.array(*map(F.lit, range(4))), lambda j: F.concat(F.lit("s"), (7 * ((F.col("item_id") * 3 + j * 5) % 23) + F.when(j == 3, F.col("item_id") % 5).otherwise(F.col("item_id") % 7)).cast("string")))
+    objective = F.when(F.col("item_id") % 9 != 5, F.concat(F.lit("An overview of item "), F.col("item_id").cast("string")))
+    step = F.struct("item_id", F.when(objective.isNotNull(), title).alias("title"), objective.alias("objective"), ids.alias("resource_ids"))
+    plans = table(spark, sf, "benchmark").groupBy(F.concat(F.lit("r"), (F.col("item_id") % 7).cast("string")).alias("run_id")).agg(F.to_json(F.struct(F.array_sort(F.collect_list(step)).alias("steps"))).alias("plan"))
+    ranked = _ranked(spark, sf).withColumn("confidence", F.lit(None).cast("double"))
+    return pt.swapped(pt.planned(plans, ranked), ranked).drop("score")
+
+
 @query("path_reorder", "WITH p AS (SELECT DISTINCT o_custkey % 50 AS run_id, o_orderkey % 5 AS step, CASE (o_orderkey % 5 + o_custkey % 3) % 4 WHEN 0 THEN 'Advanced topics' WHEN 1 THEN 'Getting started' WHEN 2 THEN 'An overview' ELSE CASE WHEN o_custkey % 2 = 0 THEN 'Deep dive' ELSE 'Middle part' END END AS title FROM orders), o AS (SELECT run_id, step, min(title) AS title FROM p GROUP BY ALL), b AS (SELECT *, CASE WHEN title IN ('Getting started', 'An overview') THEN 0 WHEN title IN ('Advanced topics', 'Deep dive') THEN 2 ELSE 1 END AS band, title <> 'Middle part' AS sign FROM o), l AS (SELECT *, coalesce(lag(band) OVER (PARTITION BY run_id ORDER BY step) > band, false) AS fell FROM b), g AS (SELECT run_id, bool_and(sign) AND bool_or(fell) AS mv FROM l GROUP BY 1) SELECT l.run_id AS run_id, step, row_number() OVER (PARTITION BY l.run_id ORDER BY CASE WHEN mv THEN band ELSE 0 END, step) AS place FROM l JOIN g ON g.run_id = l.run_id")
 def path_reorder(spark, sf):
     o = table(spark, sf, "orders").select((F.col("o_custkey") % 50).alias("run_id"), (F.col("o_orderkey") % 5).alias("step"), "o_custkey", "o_orderkey")
