@@ -76,14 +76,29 @@ def curve_keys(vectors: np.ndarray, matrix: np.ndarray) -> np.ndarray:
 def _tokenize(tokenizer: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, matrix, end = Encoder.of(tokenizer), projection(), np.array([end_id], dtype="<u4").tobytes()
+        docs, vectors, sizes, ids = [], [], [], []
+
+        def out() -> pa.RecordBatch:
+            keys = curve_keys(np.stack(vectors), matrix)
+            made = pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "key", "tokens", "ids"])
+            for held in (docs, vectors, sizes, ids):
+                held.clear()
+            return made
+
+        held = 0
         for batch in batches:
-            vectors, sizes, ids = np.empty((batch.num_rows, BUCKETS)), [], []
-            for i, text in enumerate(batch.column("text")):
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
                 raw = np.frombuffer(encoder.encode(text.as_py()) + end, dtype="<u4")
-                vectors[i] = bucket_counts(raw)
+                docs.append(doc)
+                vectors.append(bucket_counts(raw))
                 sizes.append(len(raw))
                 ids.append(raw.astype("<u2" if raw.max() < 1 << 16 else "<u4").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(curve_keys(vectors, matrix), pa.int64()), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "key", "tokens", "ids"])
+                held += len(raw) + BUCKETS  # what a row holds beside its ids counts too
+                if held > OUT_IDS:
+                    yield out()
+                    held = 0
+        if docs:
+            yield out()
 
     return run
 
