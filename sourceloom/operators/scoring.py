@@ -19,7 +19,18 @@ TYPE_AUTHORITY = {"research_paper": 0.75, "course": 0.70, "book": 0.70, "documen
 EDUCATION = ("openstax", "libretexts", "mit_ocw", "wikibooks", "wikipedia", "open_library", "wikiversity", "khan_academy")
 BEGINNER_LEVELS = {"beginner": 0.20, "intermediate": 0.06, "advanced": -0.24}
 BEGINNER_TYPES = {"documentation": 0.10, "course": 0.10, "video": 0.10, "blog": 0.05, "research_paper": -0.06, "book": 0.15, "repository": 0.03, "model": 0.02}
-ALIGN_CAP = 0.30
+ADVANCED_LEVELS = {"advanced": 0.12, "intermediate": 0.03, "beginner": -0.10}
+ADVANCED_TYPES = {"research_paper": 0.05, "book": 0.02, "repository": 0.05, "model": 0.05}
+MIXED_LEVELS = {"beginner": 0.12, "intermediate": 0.10, "advanced": 0.12, "unknown": 0.02}
+MIXED_TYPES = {"documentation": 0.10, "course": 0.10, "book": 0.10, "repository": 0.05, "model": 0.05, "dataset": 0.04, "research_paper": 0.08}
+ALIGN_CAP, MIXED_CAP = 0.30, 0.22
+# What in a level or goal asks for the whole range, for beginners, or for the advanced.
+RANGE_PHRASES = (
+    "to advanced", "to advance", "to expert", "to expert level", "from basics", "from the basics", "from scratch", "zero to hero", "start to finish", "basics to advanced", "beginner to advanced",
+    "beginner to expert", "foundations to advanced", "fundamentals to advanced", "introduction to advanced", "intro to advanced",
+)
+BEGINNER_MARKERS = ("beginner", "beginners", "basic", "basics", "fundamental", "fundamentals", "intro", "introduction", "introductory", "from zero", "no prior")
+ADVANCED_MARKERS = ("advanced", "advance", "advances", "expert", "experts", "in depth", "in-depth", "deep dive", "deep-dive", "state of the art", "state-of-the-art", "cutting edge", "cutting-edge")
 AS_OF_YEAR = 2025
 
 
@@ -75,17 +86,41 @@ def reading_grade() -> Column:
     return tx.fog_grade(F.concat("title", F.lit(". "), "abstract"))
 
 
-def beginner_alignment(grade: Column) -> Column:
-    """``grade`` must be a column that is already computed (see tx.fog_grade)."""
-    by_grade = F.when(grade.between(8.0, 11.0), 0.10).when(grade >= 14.0, -0.15).otherwise(0.0)
-    at = F.when(F.col("platform").isin(*EDUCATION), 0.15).otherwise(0.0) + by_grade + looked_up(F.col("difficulty"), BEGINNER_LEVELS, 0.0) + looked_up(F.col("source_type"), BEGINNER_TYPES, 0.0)
-    return F.greatest(F.lit(-ALIGN_CAP), F.least(F.lit(ALIGN_CAP), at))
+def _holds(text: Column, marks: tuple[str, ...]) -> Column:
+    out = F.lit(False)
+    for m in marks:
+        out = out | text.contains(m)
+    return out
+
+
+def alignment(level: Column, goal: Column, grade: Column) -> Column:
+    """What a record gains or loses by its level, kind, platform and reading grade, for a request by beginners, by the advanced or by both; 0 for others.
+
+    ``grade`` must be a column that is already computed (see tx.fog_grade)."""
+    level, goal = F.lower(level), F.lower(goal)
+    beginner, advanced = level.contains("beginner") | _holds(goal, ("beginner", "basic")), level.contains("advanced") | goal.contains("advanced")
+    by_maps = lambda levels, types: looked_up(F.col("difficulty"), levels, 0.0) + looked_up(F.col("source_type"), types, 0.0)
+    capped = lambda x, cap: F.greatest(F.lit(-cap), F.least(F.lit(cap), x))
+    for_beginners = F.when(F.col("platform").isin(*EDUCATION), 0.15).otherwise(0.0) + F.when(grade.between(8.0, 11.0), 0.10).when(grade >= 14.0, -0.15).otherwise(0.0) + by_maps(BEGINNER_LEVELS, BEGINNER_TYPES)
+    for_advanced = F.when(grade >= 14.0, 0.05).when(grade < 10.0, -0.05).otherwise(0.0) + by_maps(ADVANCED_LEVELS, ADVANCED_TYPES)
+    return F.when(beginner & advanced, capped(by_maps(MIXED_LEVELS, MIXED_TYPES), MIXED_CAP)).when(beginner, capped(for_beginners, ALIGN_CAP)).when(advanced, capped(for_advanced, ALIGN_CAP)).otherwise(0.0)
+
+
+def mismatched(score: Column, level: Column, goal: Column, grade: Column) -> Column:
+    """A fifth of the score for a hard record where beginners ask, half of it for an easy one where the advanced ask; all of it where both or neither do."""
+    level, goal = F.lower(level), F.lower(goal)
+    either = F.concat_ws(" ", level, goal)
+    beginner, advanced = (_holds(level, m) | _holds(goal, m) for m in (BEGINNER_MARKERS, ADVANCED_MARKERS))
+    hard, easy = F.coalesce(F.col("difficulty") == "advanced", F.lit(False)) | (grade >= 14.0), F.coalesce(F.col("difficulty") == "beginner", F.lit(False)) | (grade < 8.0)
+    both = _holds(either, RANGE_PHRASES) | (beginner & advanced)
+    return score * F.when(both, 1.0).when(beginner & hard, 0.2).when(advanced & ~beginner & easy, 0.5).otherwise(1.0)
 
 
-def total(relevance: Column, alignment: Column, content_: Column) -> Column:
-    """``content_`` is content() as a column that is already computed."""
+def total(relevance: Column, alignment_: Column, content_: Column, level: Column, goal: Column, grade: Column) -> Column:
+    """A record's score for a request's level and goal.  ``content_`` and ``grade`` are columns that are already computed."""
     features = {"relevance": relevance, "authority": authority(), "type_quality": type_quality(), "impact": impact(), "recency": recency(), "content": content_, "support": support(), "authors": authors()}
-    return unit(sum((WEIGHTS[k] * v for k, v in features.items()), F.lit(0.0)) / sum(WEIGHTS.values()) + alignment)
+    base = sum((WEIGHTS[k] * v for k, v in features.items()), F.lit(0.0)) / sum(WEIGHTS.values()) + alignment_
+    return unit(mismatched(base, level, goal, grade))
 
 
 def confidence(score: Column, content_: Column) -> Column:

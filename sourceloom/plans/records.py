@@ -237,17 +237,34 @@ FEATURES = {
 }
 FEAT = f"ft AS (SELECT s.*, {', '.join(f'{v} AS {k}' for k, v in FEATURES.items())}, {FOG.format(chr(39).join(['title || ', '. ', ' || abstract']))} AS grade FROM s)"
 EDU = ", ".join(f"'{p}'" for p in sc.EDUCATION)
-ALIGN = f"greatest(-0.3, least(0.3, CASE WHEN platform IN ({EDU}) THEN 0.15 ELSE 0 END::DOUBLE + CASE WHEN grade BETWEEN 8 AND 11 THEN 0.1 WHEN grade >= 14 THEN -0.15 ELSE 0 END::DOUBLE + {_map('difficulty', sc.BEGINNER_LEVELS, 0)} + {_map('source_type', sc.BEGINNER_TYPES, 0)}))::DOUBLE"
-TOTAL = "greatest(0, least(1, (" + " + ".join(f"{w}::DOUBLE * {k}" for k, w in sc.WEIGHTS.items()) + f") / {sum(sc.WEIGHTS.values())}::DOUBLE + {ALIGN}))"
+_caps = lambda x, cap: f"greatest(-{cap}, least({cap}, {x}))::DOUBLE"
+ALIGN = _caps(f"CASE WHEN platform IN ({EDU}) THEN 0.15 ELSE 0 END::DOUBLE + CASE WHEN grade BETWEEN 8 AND 11 THEN 0.1 WHEN grade >= 14 THEN -0.15 ELSE 0 END::DOUBLE + {_map('difficulty', sc.BEGINNER_LEVELS, 0)} + {_map('source_type', sc.BEGINNER_TYPES, 0)}", 0.3)
+_ADVANCED = _caps(f"CASE WHEN grade >= 14 THEN 0.05 WHEN grade < 10 THEN -0.05 ELSE 0 END::DOUBLE + {_map('difficulty', sc.ADVANCED_LEVELS, 0)} + {_map('source_type', sc.ADVANCED_TYPES, 0)}", 0.3)
+_MIXED = _caps(f"{_map('difficulty', sc.MIXED_LEVELS, 0)} + {_map('source_type', sc.MIXED_TYPES, 0)}", 0.22)
+_SUM = "((" + " + ".join(f"{w}::DOUBLE * {k}" for k, w in sc.WEIGHTS.items()) + f") / {sum(sc.WEIGHTS.values())}::DOUBLE"
+_HARD = "(difficulty IS NOT DISTINCT FROM 'advanced' OR grade >= 14)"
+TOTAL = f"greatest(0, least(1, {_SUM} + {ALIGN}) * CASE WHEN {_HARD} THEN 0.2 ELSE 1 END::DOUBLE))"
+#: Requests by level and goal, and what each is: for alignment, and for the mismatch of levels.
+REQUESTS = (("beginner", "", "b", "b"), ("Advanced", "", "a", "a"), ("", "from basics to advanced", "m", ""), ("", "cover the basics", "b", "b"), ("", "the cutting edge", "", "a"), ("", "a primer", "", ""), ("expert", "an introduction", "", ""), ("advanced", "for a beginner", "m", ""))
+_request = lambda i: "CASE ordinal % 8 " + " ".join(f"WHEN {n} THEN '{r[i]}'" for n, r in enumerate(REQUESTS)) + " END"
+_EACH = f"CASE {_request(2)} WHEN 'b' THEN {ALIGN} WHEN 'a' THEN {_ADVANCED} WHEN 'm' THEN {_MIXED} ELSE 0 END"
+_TIMES = f"CASE WHEN {_request(3)} = 'b' AND {_HARD} THEN 0.2 WHEN {_request(3)} = 'a' AND (difficulty IS NOT DISTINCT FROM 'beginner' OR grade < 8) THEN 0.5 ELSE 1 END::DOUBLE"
 SCORE_CTE = f"{SCORED}, {FEAT}, sco AS (SELECT *, {ALIGN} AS alignment, {TOTAL} AS score FROM ft), fin AS (SELECT *, greatest(0.05, least(0.98, 0.18::DOUBLE + 0.38::DOUBLE * score + 0.18::DOUBLE * authority + 0.14::DOUBLE * content + 0.10::DOUBLE * least(1, meta_keys / 6.0)::DOUBLE)) AS confidence FROM sco)"
 
 
-def _full_score(spark, sf):
-    rows = _scored(spark, sf).withColumns({"grade": sc.reading_grade(), "content": sc.content()}).withColumn("alignment", sc.beginner_alignment(F.col("grade")))
-    rows = rows.withColumn("score", sc.total(F.col("relevance"), F.col("alignment"), F.col("content")))
+def _full_score(spark, sf, level="'beginner'", goal="''"):
+    rows = _scored(spark, sf).withColumns({"grade": sc.reading_grade(), "content": sc.content()})
+    rows = rows.withColumn("alignment", sc.alignment(F.expr(level), F.expr(goal), F.col("grade")))
+    rows = rows.withColumn("score", sc.total(F.col("relevance"), F.col("alignment"), F.col("content"), F.expr(level), F.expr(goal), F.col("grade")))
     return rows.withColumn("confidence", sc.confidence(F.col("score"), F.col("content")))
 
 
+@query("request_scores", f"WITH {SCORED}, {FEAT}, al AS (SELECT *, {_EACH} AS alignment FROM ft) SELECT source_id, round(alignment, 6) AS alignment, round(greatest(0, least(1, {_SUM} + alignment) * {_TIMES})), 6) AS score FROM al")
+def request_scores(spark, sf):
+    """Scores for requests of different levels and goals."""
+    return _full_score(spark, sf, _request(0), _request(1)).select("source_id", F.round("alignment", 6).alias("alignment"), F.round("score", 6).alias("score"))
+
+
 @query("source_score", f"WITH {SCORE_CTE} SELECT source_id, round(alignment, 6) AS alignment, round(score, 6) AS score, round(confidence, 6) AS confidence FROM fin")
 def source_score(spark, sf):
     return _full_score(spark, sf).select("source_id", *[F.round(c, 6).alias(c) for c in ("alignment", "score", "confidence")])
