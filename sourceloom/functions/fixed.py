@@ -12,16 +12,32 @@ STOPWORDS = (
     "take", "takes", "taking", "took", "taken", "say", "says", "saying", "said", "let", "lets", "letting", "specifically", "particularly", "actually",
 )
 
-# Words of teaching and searching that name no subject; a parameter wherever they are used.
-GENERIC = (
-    "about", "above", "after", "all", "also", "and", "any", "are", "around", "article", "articles", "basic", "basics", "because", "been", "before", "beginner", "beginners", "best", "better", "between", "book", "books", "but", "can",
-    "case", "cases", "complete", "comprehensive", "concept", "concepts", "could", "course", "courses", "deep", "detail", "detailed", "details", "different", "documentation", "each", "easy", "example", "examples", "explain",
-    "explained", "few", "find", "first", "free", "from", "full", "general", "get", "give", "good", "great", "guide", "guides", "has", "have", "help", "here", "high", "how", "idea", "ideas", "include", "info", "information",
-    "into", "intro", "introduction", "its", "just", "know", "knowledge", "latest", "learn", "learned", "learning", "level", "levels", "like", "list", "look", "main", "make", "many", "more", "most", "much", "must", "need", "new",
-    "next", "not", "one", "only", "other", "others", "overview", "part", "practical", "practice", "provide", "quick", "related", "same", "search", "see", "several", "should", "show", "simple", "some", "step", "steps", "study",
-    "such", "than", "that", "the", "their", "them", "then", "there", "these", "they", "this", "those", "through", "topic", "topics", "tutorial", "tutorials", "use", "used", "using", "very", "was", "way", "what", "when", "where",
-    "which", "while", "who", "why", "will", "with", "within", "without", "work", "would", "you", "your",
+# Words of teaching and searching that name no subject (a parameter wherever they are used).  Those with regular forms are stated once, under their ending.
+GENERIC_WORDS = (
+    "about", "above", "across", "after", "again", "all", "also", "and", "any", "anything", "are", "around", "available", "back", "because", "been", "before", "begin", "being", "best", "better", "between", "blog", "both",
+    "brief", "but", "can", "clear", "complete", "comprehensive", "could", "deep", "different", "documentation", "does", "doing", "done", "download", "each", "easy", "either", "end", "enough", "entire", "even", "ever", "every",
+    "explanation", "few", "find", "first", "free", "from", "general", "good", "great", "had", "has", "have", "help", "here", "high", "how", "however", "including", "info", "information", "inside", "instead", "into", "intro",
+    "introduction", "its", "just", "keep", "know", "knowledge", "large", "last", "latest", "like", "list", "little", "lot", "low", "made", "main", "making", "many", "may", "might", "more", "most", "much", "must", "new", "next",
+    "nor", "not", "now", "number", "off", "one", "online", "only", "onto", "open", "out", "outline", "over", "overview", "own", "people", "per", "place", "please", "possible", "practical", "practice", "put", "really", "recent",
+    "related", "right", "run", "same", "search", "see", "set", "several", "shall", "should", "simple", "simply", "since", "small", "so", "some", "something", "soon", "still", "stuff", "such", "take", "tell", "than", "that", "the",
+    "their", "them", "then", "there", "these", "they", "think", "this", "those", "through", "tips", "together", "too", "top", "toward", "try", "two", "upon", "using", "various", "very", "via", "was", "watch", "well", "were",
+    "what", "when", "where", "which", "while", "who", "why", "will", "with", "within", "without", "world", "would", "write", "yet", "you", "your", "youtube",
 )
+GENERIC_FORMS = {
+    "s": ("article", "basic", "beginner", "book", "case", "come", "concept", "course", "cover", "detail", "example", "explain", "get", "guide", "idea", "include", "learn", "level", "make", "mean", "need", "other", "part", "provide", "show", "source", "step", "thing", "time", "topic", "trick", "tutorial", "type", "use", "video", "want", "way", "word", "work", "year"),
+    "ed": ("cover", "detail", "explain", "learn", "need", "start", "want"),
+    "d": ("base", "name", "use"),
+    "ing": ("follow", "learn", "look", "mean", "start", "understand", "work"),
+    "n": ("give",), "es": ("teach",), "ly": ("full", "quick"), "ful": ("use",),
+}
+
+
+def with_forms(words: tuple[str, ...], forms: dict[str, tuple[str, ...]]) -> tuple[str, ...]:
+    """The words, those under an ending, and these with it, in the order of the alphabet."""
+    return tuple(sorted({*words, *(w for ws in forms.values() for w in ws), *(w + end for end, ws in forms.items() for w in ws)}))
+
+
+GENERIC = with_forms(GENERIC_WORDS, GENERIC_FORMS)
 
 STEM_SUFFIXES = ("ness", "ment", "tion", "sion", "ing", "ity", "ies", "es", "s")
 

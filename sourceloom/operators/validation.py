@@ -8,10 +8,9 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Row, functions as F, types as T
 
 from ..functions import fixed as fx, fuzzy as fz, text as tx, url as ul
-from ..functions.profile import Profile
 
 # Weights of the measures and least scores.
 WEIGHTS = {"phrase_position": 0.30, "fingerprint_overlap": 0.25, "token_density": 0.15, "token_proximity": 0.15, "content_concentration": 0.15}
@@ -112,7 +111,7 @@ def structural() -> Column:
     )
 
 
-def measured(sources: DataFrame, p: Profile) -> DataFrame:
+def measured(sources: DataFrame, p: Row) -> DataFrame:
     """sources with the five measures, relevance_score, and whether the gates let a record pass (has_concept, has_title)."""
     cleaned = {c: tx.clean(F.col(c)) for c in ("title", "abstract", "summary")}
     rows = sources.withColumns({"_t": cleaned["title"], "_a": cleaned["abstract"], "_s": cleaned["summary"], "_head": comparable(F.left(F.coalesce("abstract", F.lit("")), F.lit(400)))})
@@ -153,7 +152,7 @@ def measured(sources: DataFrame, p: Profile) -> DataFrame:
     return rows.drop(*[c for c in rows.columns if c.startswith("_")])
 
 
-def judged(sources: DataFrame, p: Profile, strict: float = STRICT, relaxed: float = RELAXED) -> DataFrame:
+def judged(sources: DataFrame, p: Row, strict: float = STRICT, relaxed: float = RELAXED) -> DataFrame:
     """measured() with strict_drop and relaxed_drop: the first rule that drops a record, or null."""
     rows = measured(sources, p).withColumn("_ok", structural())
     advanced = F.lower(F.coalesce("difficulty", F.lit(""))) == "advanced"
@@ -171,7 +170,7 @@ def ladder(rows: DataFrame) -> DataFrame:
     return rows.crossJoin(F.broadcast(rung)).where((F.col("rung") == 1) & strict | (F.col("rung") == 2) & relaxed | (F.col("rung") == 3) & formed)
 
 
-def annotated(rows: DataFrame, p: Profile) -> DataFrame:
+def annotated(rows: DataFrame, p: Row) -> DataFrame:
     """What a validator notes on a record: rounded score and vector, and signs of its level."""
     level = F.lower(F.coalesce("difficulty", F.lit("")))
     safe, advanced, learner = level.isin("beginner", "intermediate"), level == "advanced", F.lit(p.level == "beginner")

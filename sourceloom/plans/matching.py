@@ -2,42 +2,54 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 
-from ..functions import fixed as fx, profile as pf, text as tx
-from ..operators import selection as sel, validation as va
+from ..functions import fixed as fx, text as tx
+from ..operators import asked as ak, selection as sel, validation as va
 from .records import SCORE_CTE, SCORED, _full_score, _scored
 from .registry import query
 from .understanding import TOK, questions
-from .views import SOURCES, sources
+from .views import SOURCES, sources, table
 
-PROFILE = pf.profile("please show me machine learning thention for beginners", level="beginner", preserve=["thention"])
+@functools.lru_cache(maxsize=4)
+def profile(spark):
+    """The one query that records are measured by."""
+    return ak.one(spark, "please show me machine learning thention for beginners", level="beginner", preserve=["thention"])
 
 
 @query("query_profiles")
 def query_profiles(spark, sf):
-    return pf.profiles(questions(spark, sf), "item_id", "q")
+    """Questions, some with what a model takes them to be about, a level, an intent, and words that must stay."""
+    k = F.col("item_id")
+    words = F.split("text", " ")
+    asked = questions(spark, sf).join(table(spark, sf, "benchmark").select("item_id", "text"), "item_id").select(
+        "item_id", "q", F.when(k % 3 == 1, F.concat_ws(" ", F.slice(words, 1, 4), F.lit("and graph search frontier"))).alias("concept"), F.when(k % 4 == 1, "Beginner").when(k % 4 == 2, "advanced").alias("level"),
+        F.when(k % 5 == 1, "learn").when(k % 5 == 2, "odd").alias("intent"), F.when(k % 6 > 2, F.array(F.upper(F.get(words, 1)), F.lit(" kept "))).alias("preserve"),
+    )
+    return ak.profiled(asked, "item_id", "q")
 
 
 @query("relevance_measures")
 def relevance_measures(spark, sf):
-    rows = va.measured(sources(spark, sf), PROFILE)
+    rows = va.measured(sources(spark, sf), profile(spark))
     return rows.select("source_id", *[F.round(k, 6).alias(k) for k in (*va.WEIGHTS, "relevance_score")], "has_concept", "has_title")
 
 
 @query("validation_ladder")
 def validation_ladder(spark, sf):
-    return va.ladder(va.judged(sources(spark, sf), PROFILE)).select("source_id", F.round("relevance_score", 6).alias("relevance_score"), "rung")
+    return va.ladder(va.judged(sources(spark, sf), profile(spark))).select("source_id", F.round("relevance_score", 6).alias("relevance_score"), "rung")
 
 
 @query("validation_drops")
 def validation_drops(spark, sf):
-    return va.drop_report(va.judged(sources(spark, sf), PROFILE), "strict_drop")
+    return va.drop_report(va.judged(sources(spark, sf), profile(spark)), "strict_drop")
 
 
 @query("validator_notes")
 def validator_notes(spark, sf):
-    return va.annotated(va.judged(sources(spark, sf), PROFILE), PROFILE)
+    return va.annotated(va.judged(sources(spark, sf), profile(spark)), profile(spark))
 
 
 STRUCTURE = "length(tc) BETWEEN 3 AND 500 AND NOT contains(lower(tc), 'this paper has been withdrawn') AND lower(tc) NOT IN ('withdrawn', 'retracted') AND regexp_matches(url, '^[Hh][Tt][Tt][Pp][Ss]?://[^/?#]') AND platform IN (" + ", ".join(f"'{p}'" for p in va.PLATFORMS) + ") AND length(coalesce(abstract, '')) <= 5000 AND coalesce(year BETWEEN 0 AND 2100, true) AND coalesce(citation_count >= 0, true)"

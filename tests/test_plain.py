@@ -9,9 +9,12 @@ import unicodedata
 from urllib.parse import parse_qsl, urlencode, urlsplit
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from sourceloom.functions import fixed as fx, profile as pf
+from sourceloom.functions import fixed as fx
+from sourceloom.functions import text as tx
+from sourceloom.operators import asked as ak
 from sourceloom.plans import matching, understanding, views
 
 SF = "/root/testdata/sf0.001"
@@ -173,18 +176,66 @@ def repaired_payloads(spark, src):
     assert {r["source_id"]: json.loads(r["json"]) for r in rows(spark, "repaired_payloads")} == want
 
 
+LEVELS, KINDS = {"beginner", "advanced"}, {"learn"}
+VOWELS = set("aeiouy")
+
+
+def expected_profile(query, concept, level, intent, preserve):
+    """A profile from lists: the fields that follow from the words, told in the order a reader would check them."""
+    def topic(text):
+        text = clean(text).lower()
+        for f in fx.FILLERS:
+            text = re.sub(f, " ", text)
+        words = text.split()
+        level_of = [w.strip(",.!?;:\"'()[]{}") for w in words]
+        rest = [w for w, v in zip(words, level_of) if v not in fx.LEVEL_WORDS]
+        return re.sub("[-_ ]+", " ", " ".join(rest)).strip(), list(dict.fromkeys(v for v in level_of if v in fx.LEVEL_WORDS))
+
+    generic, cut = set(fx.GENERIC), re.compile("[a-z0-9+#.]+")
+    typed = [t for t in dict.fromkeys(cut.findall(topic(query)[0])) if len(t) > 1 and t not in generic and t not in fx.LEVEL_WORDS]
+    caps = {w.lower() for w in re.findall("[A-Za-z0-9+#.]+", clean(query)) if w.isupper()}
+    looks = lambda t: t.isalpha() and t.isascii() and (not VOWELS & set(t) or (len(t) < 5 and sum(c in VOWELS for c in t) == 1))
+    short = [t for t in typed if 1 < len(t) < 6 and not t.isdigit() and (t in caps or looks(t))]
+    phrase, levels = topic(concept or query)
+    if not any(len(t) > 2 and t not in generic for t in light(phrase)):
+        phrase = ""
+    words = cut.findall(phrase)
+    good = [len(w) > 1 and w not in generic for w in words]
+    beside = lambda i: any(good[j] for j in (i - 1, i + 1) if 0 <= j < len(words))
+    toks = list(dict.fromkeys(w for i, w in enumerate(words) if good[i] or (len(w) > 1 and w in fx.COMPOUND_WORDS and beside(i))))
+    if typed and not short and len(toks) > len(typed) + 1:
+        foreign = [t for t in toks if not any(matches(t, u) for u in typed)]
+        toks = [t for t in toks if t not in foreign[1:]] or toks
+    keep = list(dict.fromkeys(p.strip() for p in preserve or [] if p.strip()))
+    if toks:
+        toks += [p.lower() for p in keep if not any(matches(p.lower(), t) for t in toks)]
+    held = [t for t in toks if any(matches(t, p.lower()) for p in keep)]
+    by = typed if typed and not short else toks
+    mean = sum(map(len, by)) / max(1, len(by))
+    narrow = min(1, min(0.55, 0.15 * len(by)) + min(0.25, max(0, (mean - 4) * 0.08)) + 0.15 * (len(by) > 1)) if by else 0
+    if not toks:
+        origin = "unknown"
+    elif held or short or (typed and len(toks) > len(typed)):
+        origin = "qualified"
+    else:
+        origin = "fixed" if all(t in clean(query).lower() for t in toks) else "qualified"
+    return {"phrase": phrase, "tokens": toks, "level_words": levels, "typed": typed, "abbreviations": short, "qualifiers": held, "origin": origin, "specificity": narrow, "specific": narrow >= 0.3,
+            "fingerprint": sorted(toks, key=lambda t: (-len(t), t)), "added": [t for t in toks if t not in typed]}
+
+
 def query_profiles(spark, src):
     got = {r["item_id"]: r for r in rows(spark, "query_profiles")}
+    texts = {r.item_id: r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
+    kinds = set()
     for r in understanding.questions(spark, SF).collect():
-        p = got[r.item_id]
-        words = [w for w in re.findall(r"[a-z0-9+#.]+", p["phrase"])]
-        means = [len(w) >= 2 and w not in fx.GENERIC for w in words]
-        keep = [w for i, w in enumerate(words) if means[i] or (len(w) >= 2 and w in fx.COMPOUND_WORDS and (means[max(0, i - 1)] * (i > 0) or any(means[i + 1 : i + 2])))]
-        assert set(p["tokens"]) <= set(keep) and p["fingerprint"] == sorted(p["tokens"], key=lambda t: (-len(t), t))
-        measured = p["fingerprint"] if p["abbreviations"] or not p["typed"] else p["typed"]
-        n, mean = len(measured), sum(map(len, measured)) / max(1, len(measured))
-        assert p["specificity"] == pytest.approx(min(1, min(0.55, 0.15 * n) + min(0.25, max(0, (mean - 4) * 0.08)) + (0.15 if n > 1 else 0)) if n else 0)
-        assert not set(p["typed"]) & (set(fx.LEVEL_WORDS) | set(fx.GENERIC))
+        k, w = r.item_id, texts[r.item_id].split(" ")
+        concept = " ".join(w[:4]) + " and graph search frontier" if k % 3 == 1 else ""
+        want = expected_profile(r.q, concept, "", "", [w[1].upper(), " kept "] if k % 6 > 2 else [])
+        mine = {f: got[k][f] for f in want}
+        assert mine | {"specificity": 0} == want | {"specificity": 0} and mine["specificity"] == pytest.approx(want["specificity"])
+        assert (got[k]["level"], got[k]["intent"]) == ({1: "beginner", 2: "advanced"}.get(k % 4, ""), "learn" if k % 5 == 1 else "")
+        kinds.add((want["origin"], bool(want["added"]), bool(want["qualifiers"])))
+    assert len(kinds) > 1
 
 
 def comparable(text):
@@ -245,7 +296,7 @@ def gates(r, p):
 
 
 def relevance_measures(spark, src):
-    p, got = matching.PROFILE, {r["source_id"]: r for r in rows(spark, "relevance_measures")}
+    p, got = matching.profile(spark), {r["source_id"]: r for r in rows(spark, "relevance_measures")}
     assert p.specific and len(p.tokens) >= 2
     for r in src:
         vector, total = measures(r, p)
@@ -266,7 +317,7 @@ def judged(r, p):
 
 
 def validation_ladder(spark, src):
-    found = {r["source_id"]: judged(r, matching.PROFILE) for r in src}
+    found = {r["source_id"]: judged(r, matching.profile(spark)) for r in src}
     strict, relaxed = {s for s, f in found.items() if f[0] is None}, {s for s, f in found.items() if f[1] is None}
     rung, want = (1, strict) if strict else (2, relaxed) if relaxed else (3, {s for s, f in found.items() if f[0] != "structural"})
     got = rows(spark, "validation_ladder")
@@ -277,7 +328,7 @@ def validation_ladder(spark, src):
 def validation_drops(spark, src):
     want = {}
     for r in sorted(src, key=lambda r: r["ordinal"]):
-        reason = judged(r, matching.PROFILE)[0]
+        reason = judged(r, matching.profile(spark))[0]
         want.setdefault(reason, []).append(r["source_id"])
     want.pop(None, None)
     got = {r["reason"]: (r["n"], r["samples"]) for r in rows(spark, "validation_drops")}
@@ -287,7 +338,7 @@ def validation_drops(spark, src):
 def validator_notes(spark, src):
     got = {r["source_id"]: r for r in rows(spark, "validator_notes")}
     for r in src:
-        g, score = got[r["source_id"]], measures(r, matching.PROFILE)[1]
+        g, score = got[r["source_id"]], measures(r, matching.profile(spark))[1]
         safe, hard = r["difficulty"] in ("beginner", "intermediate"), r["difficulty"] == "advanced"
         assert g["validator_relevance"] == pytest.approx(score, abs=1e-4) and (g["beginner_safe"], g["advanced_signal"]) == (safe, hard)
         assert (g["alignment_penalty"], g["alignment_boost"]) == (0.2 if hard else None, 1.25 if safe else None)
@@ -304,12 +355,15 @@ def test_same_as_plain_python(spark, src, name):
     CASES[name](spark, src)
 
 
-def test_profiles():
-    p = pf.profile("I need a beginner tutorial on Machine Learning for NLP", level="beginner", intent="learn", preserve=["NLP"])
+def test_profiles(spark):
+    p = ak.one(spark, "I need a beginner tutorial on Machine Learning for NLP", level="beginner", intent="learn", preserve=["NLP"])
     assert p.tokens == ["machine", "learning", "nlp"] and p.abbreviations == ["nlp"] and p.origin == "qualified" and p.level_words == ["beginner"] and p.source_types[0] == "course"
-    assert pf.profile("").tokens == [] and pf.profile("please explain the").phrase == ""
-    assert pf.without_fillers("Please show me the best deep learning papers") == "learning papers"
-    assert pf.light("studies learning classes gas c++ b.") == ["study", "learn", "class", "gas", "c++", "b"]
-    assert pf.concept_set("the GPT-4 model of vision") >= {"gpt", "vision"} and pf.specificity([]) == 0.0
-    extra = pf.profile("graph search", concept="graph search traversal heuristics frontier")
+    none = ak.one(spark, "")
+    assert none.tokens == [] and none.specificity == 0.0 and none.origin == "unknown" and ak.one(spark, "please explain the").phrase == ""
+    few = [F.lit(t) for t in ("Please show me the best deep learning papers", "studies learning classes gas c++ b.", "the GPT-4 model of vision")]
+    topic, light_, concept = spark.range(1).select(ak.topic_wording(few[0]), tx.light_tokens(few[1]), ak.concept_tokens(few[2])).first()
+    assert topic == "learning papers" and light_ == ["study", "learn", "class", "gas", "c++", "b"] and set(concept) >= {"gpt", "vision"}
+    assert ak.one(spark, "please tell me about graph traversal").origin == "fixed"
+    extra = ak.one(spark, "graph search", concept="graph search traversal heuristics frontier")
     assert len([t for t in extra.tokens if t not in extra.typed]) <= 1
+    assert len(fx.GENERIC) == len(set(fx.GENERIC)) and {"youtube", "taught", "based", "explanation", "useful", "quickly", "study"} & set(fx.GENERIC) == {"youtube", "based", "explanation", "useful", "quickly"}
