@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import text as tx, url as ul
+from ..sources import store
 from .selection import first_of_each
 
 # A platform's part of a record's quality.
@@ -64,21 +65,30 @@ def merged_by_key(sources: DataFrame, alternates: int = 5) -> DataFrame:
     citations the most, code is known if any knows it, other fields are the first that is not null or empty, in order of quality; authors are
     all names, each in its first spelling, urls the first ``alternates`` different ones.
 
-    Fields are aggregates that combine before the shuffle.  Names are reduced to one row each before they meet, and urls to the first few of
+    Keys and qualities are worked out once, and written with the short fields; abstracts, which are most of a record, are neither written nor
+    aggregated: the place of the longest is found by its length, and it is joined back by ``ordinal``, which no two records share.  Fields are
+    aggregates that combine before the shuffle.  Names are reduced to one row each before they meet, and urls to the first few of
     each part of a key and then of the key, so a key with very many records is no task's burden but by its number of names."""
-    rows = sources.withColumn("key", dedupe_key()).withColumn("q", quality())
+    spark = sources.sparkSession
+    folder = store.new_folder(spark, "merge")
     place = F.struct((-F.col("q")).alias("a"), F.col("ordinal").alias("b"))
-    best = lambda c: F.min_by(c, place).alias(c)
+    best = ("source_id", "title", "url", "platform", "source_type", "ordinal", "has_code")
+    thin = sources.select(dedupe_key().alias("key"), quality().alias("q"), F.length(F.coalesce("abstract", F.lit(""))).alias("n"), "authors_raw", "citation_count", *best, *FILLED)
+    thin.write.parquet(folder)
+    rows = spark.read.schema(thin.schema).parquet(folder)
     first = lambda c: F.min(F.when(F.col(c).isNotNull() & (F.col(c).cast("string") != ""), F.struct(place.alias("p"), F.col(c).alias("v"))))["v"].alias(c)
-    longest = F.max(F.struct(F.length(F.coalesce("abstract", F.lit(""))).alias("n"), F.col("q"), (-F.col("ordinal")).alias("o"), "abstract"))["abstract"].alias("abstract")
-    code = F.when(F.bool_or(F.coalesce("has_code", F.lit(False))), True).otherwise(F.min_by("has_code", place)).alias("has_code")
-    main = rows.groupBy("key").agg(*map(best, ("source_id", "title", "url", "platform", "source_type", "ordinal")), longest, F.max("citation_count").alias("citation_count"), code, *map(first, FILLED), F.round(F.max("q"), 6).alias("quality"), F.count("*").alias("duplicate_count"))
+    main = rows.groupBy("key").agg(
+        F.min(F.struct(place.alias("p"), *best)).alias("best"), F.max(F.struct("n", "q", (-F.col("ordinal")).alias("o")))["o"].alias("_longest"), F.max("citation_count").alias("citation_count"),
+        F.bool_or(F.coalesce("has_code", F.lit(False))).alias("_code"), *map(first, FILLED), F.round(F.max("q"), 6).alias("quality"), F.count("*").alias("duplicate_count"),
+    )
+    main = main.select("key", *[F.col(f"best.{c}") for c in best[:-1]], F.when(F.col("_code"), True).otherwise(F.col("best.has_code")).alias("has_code"), (-F.col("_longest")).alias("_longest"), "citation_count", *FILLED, "quality", "duplicate_count")
     names = rows.select("key", place.alias("p"), F.posexplode(F.split("authors_raw", ";")).alias("pos", "name")).where("name <> ''")
     names = names.groupBy("key", F.lower("name").alias("low")).agg(F.min(F.struct("p", "pos", "name")).alias("x"))
     names = names.groupBy("key").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["name"]).alias("authors"))
     urls = rows.groupBy("key", "url").agg(F.min(place).alias("p"))
     urls = first_of_each(urls, "key", [F.asc("p")], alternates).groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "url"))), lambda x: x["url"]).alias("alternate_urls"))
-    return main.join(names, "key", "left").join(urls, "key", "left").withColumn("authors", F.coalesce("authors", F.array().cast("array<string>")))
+    merged = main.join(names, "key", "left").join(urls, "key", "left").withColumn("authors", F.coalesce("authors", F.array().cast("array<string>")))
+    return merged.join(sources.select(F.col("ordinal").alias("_longest"), "abstract"), "_longest").drop("_longest")
 
 
 def exact_titles(sources: DataFrame, shortest: int = 8) -> DataFrame:
