@@ -81,16 +81,46 @@ def segments_of(role: str, text: str, template: Template, pattern: re.Pattern) -
     return [(template.other[0] + escape(role, pattern) + template.other[1], False), (escape(text, pattern), False), (template.other[2], False)]
 
 
+class Reader:
+    """Reads a formatted conversation back from its text alone, which may come in pieces of any size: turns are found by the template's marks, which
+    texts can't hold unescaped.  ``masked`` gives what lies between two places of the text, both counted from its start."""
+
+    def __init__(self, template: Template):
+        self.template, self.held, self.at = template, "", 0
+
+    def feed(self, piece: str) -> Iterator[tuple[str, str, int, int]]:
+        """Role, text, and begin and end (in the whole text) of each turn that is complete now."""
+        self.held += piece
+        while (turn := self._turn()) is not None:
+            role, body, end = turn
+            yield role, body, self.at, self.at + end
+            self.held, self.at = self.held[end:], self.at + end
+
+    def _turn(self) -> tuple[str, str, int] | None:
+        first, middle, last = self.template.other
+        for name, role in self.template.roles.items():
+            if self.held.startswith(role.before):
+                end = self.held.find(role.after, len(role.before))
+                return None if end < 0 else (name, unescape(self.held[len(role.before) : end]), end + len(role.after))
+        if self.held.startswith(first):
+            mid = self.held.find(middle, len(first))
+            end = -1 if mid < 0 else self.held.find(last, mid + len(middle))
+            return None if end < 0 else (unescape(self.held[len(first) : mid]), unescape(self.held[mid + len(middle) : end]), end + len(last))
+        if len(self.held) > max(map(len, (first, *(r.before for r in self.template.roles.values())))):
+            raise ValueError("not a turn of this template")
+        return None
+
+    def masked(self, begin: int, end: int) -> str:
+        """The plain text between two places of a turn that has not been left yet."""
+        return unescape(self.held[begin - self.at : end - self.at])
+
+
 def read_turn(formatted: str, template: Template) -> tuple[str, str]:
     """Role and text of one formatted turn."""
-    for name, role in template.roles.items():
-        if formatted.startswith(role.before) and formatted.endswith(role.after) and len(formatted) >= len(role.before) + len(role.after):
-            return name, unescape(formatted[len(role.before) : len(formatted) - len(role.after)])
-    first, middle, last = template.other
-    if not formatted.startswith(first) or not formatted.endswith(last) or middle not in formatted:
+    turns = list(Reader(template).feed(formatted))
+    if len(turns) != 1 or turns[0][3] != len(formatted):
         raise ValueError("not a turn of this template")
-    name, _, text = formatted[len(first) : len(formatted) - len(last)].partition(middle)
-    return unescape(name), unescape(text)
+    return turns[0][0], turns[0][1]
 
 
 def _segments(template: Template):
@@ -116,48 +146,61 @@ def format_chats(turns: DataFrame, template: Template = TEMPLATE) -> DataFrame:
     return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text").mapInArrow(_segments(template), SEGMENT)
 
 
+class _Digest:
+    """What one conversation's text says, with the loss mask as spans of places in that text."""
+
+    def __init__(self, template: Template):
+        self.reader, self.turns, self.loss = Reader(template), hashlib.sha256(), hashlib.sha256()
+        self.n = self.loss_chars = self.chars = 0
+        self.valid, self.spans = True, []
+
+    def add(self, text: str, trained: bool, valid: bool) -> None:
+        if trained:
+            self.spans.append((self.chars, self.chars + len(text)))
+        self.chars, self.valid = self.chars + len(text), self.valid and valid
+        for role, plain, begin, end in self.reader.feed(text):
+            self.turns.update(f"{role}\n{plain}\n".encode("utf-8", "surrogatepass"))
+            self.n += 1
+            while self.spans and self.spans[0][1] <= end:
+                low, high = self.spans.pop(0)
+                under = self.reader.masked(max(low, begin), high)
+                self.loss_chars += len(under)
+                self.loss.update(under.encode("utf-8", "surrogatepass"))
+
+    def row(self, conv) -> tuple:
+        if self.reader.held:
+            raise ValueError("a conversation ends inside a turn")
+        return conv, self.n, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars, self.valid
+
+
 def _digests(template: Template):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        conv, out, turn = ..., [], []
-        turns = loss = None
-        n = loss_chars = chars = 0
-        valid = True
+        conv, digest, out = ..., None, []
         types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.bool_()]
 
-        def close() -> None:
-            if conv is not ...:
-                out.append((conv, n, turns.hexdigest(), loss_chars, loss.hexdigest(), chars, valid))
-
         def batch_of() -> pa.RecordBatch:
             made = pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else [[]] * 7, types, strict=True)], names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "valid"])
             out.clear()
             return made
 
         for batch in batches:
-            for c, part, text, trained, ok in zip(*(batch.column(k).to_pylist() for k in ("conv_id", "part", "text", "loss", "valid")), strict=True):
+            for c, text, trained, ok in zip(*(batch.column(k).to_pylist() for k in ("conv_id", "text", "loss", "valid")), strict=True):
                 if c != conv:
-                    close()
-                    conv, turns, loss, n, loss_chars, chars, valid = c, hashlib.sha256(), hashlib.sha256(), 0, 0, 0, True
-                turn = [text] if part == 0 else [*turn, text]
-                chars, valid = chars + len(text), valid and ok
-                if trained:
-                    plain = unescape(text)
-                    loss_chars += len(plain)
-                    loss.update(plain.encode("utf-8", "surrogatepass"))
-                if part == 2:
-                    role, plain = read_turn("".join(turn), template)
-                    turns.update(f"{role}\n{plain}\n".encode("utf-8", "surrogatepass"))
-                    n += 1
+                    if digest:
+                        out.append(digest.row(conv))
+                    conv, digest = c, _Digest(template)
+                digest.add(text, trained, ok)
             yield batch_of()
-        close()
+        if digest:
+            out.append(digest.row(conv))
         yield batch_of()
 
     return run
 
 
 def digests(segments: DataFrame, template: Template = TEMPLATE) -> DataFrame:
-    """What the segments say when they are read back: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars and
-    whether all turns were in order."""
+    """What a conversation's segments, joined, say when that text is read back: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars and
+    whether all turns were in order.  Turns come from the text, and what is trained on from its places; where segments begin and end tells nothing else."""
     return segments.mapInArrow(_digests(template), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean")
 
 

@@ -208,5 +208,7 @@ def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, max_label
 
 
 def keep_selected(docs: DataFrame, labels: DataFrame, k: int | None = None, max_labelled: int = MAX_LABELLED) -> DataFrame:
-    """The documents drawn, with all their columns and nothing else; no row is joined back, so each row has its own decision."""
-    return _drawn(docs, docs.columns, labels, k, max_labelled).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The documents drawn, with all their columns, of whatever names, and nothing else; no row is joined back, so each row has its own decision."""
+    inner = [c if c in ("doc_id", "text") else f"column_{i}" for i, c in enumerate(docs.columns)]
+    drawn = _drawn(docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, inner, strict=True)]), inner, labels, k, max_labelled)
+    return drawn.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, inner, strict=True)])

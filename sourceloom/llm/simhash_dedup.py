@@ -288,7 +288,7 @@ def hex_fingerprint(fp) -> F.Column:
 
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, tile_rows: int = NEAR_TILE_ROWS) -> DataFrame:
     """One row of docs for each group of near duplicates: that of the smallest doc_id, null last, and of such rows the first."""
-    spark, id_column = docs.sparkSession, "near_row_id"
+    spark, id_column = docs.sparkSession, next(n for n in ("near_row_id" + "_" * i for i in range(len(docs.columns) + 1)) if n not in map(str.lower, docs.columns))
     rows, _ = keep(docs.withColumn(id_column, F.monotonically_increasing_id()), "rows")
     texts = rows.select(F.col(id_column).alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     prints, prints_path = keep(texts.mapInArrow(_set_prints, "row_id long, doc_id long, words binary, size int, lanes binary"), "prints")

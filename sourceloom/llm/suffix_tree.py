@@ -19,12 +19,15 @@ import numpy as np
 
 END, BLANK = 10, 32
 DEPTH, LEAST_SHARE, STRENGTH, PENALTY = 6, 0.0, 20.0, 0.3
+DEEPEST = 7  # a context and its symbol are one integer of eight bytes
 BUCKETS = 1024
 
 
 def gram_codes(stream: np.ndarray, depth: int) -> np.ndarray:
     """For each symbol but the first: its context of up to ``depth`` bytes, not past an end symbol, and itself, as one integer
     of up to 8 bytes, the symbol lowest; bytes above a shorter context are 0, which no symbol is."""
+    if not 1 <= depth <= DEEPEST:
+        raise ValueError(f"contexts have 1 to {DEEPEST} bytes, not {depth}")
     n = len(stream) - 1
     code = stream[1:].astype(np.uint64)
     alive = np.ones(n, dtype=bool)

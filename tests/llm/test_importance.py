@@ -154,3 +154,16 @@ def test_hashes_of_words():
         h = Words(texts).hashes()
         assert len(h) == len(words) == len(set(h.tolist()))
     assert (Words(words).hashes() == Words([b" \n ".join(words).upper()]).hashes()).all()
+
+
+def test_columns_of_any_name_stay(spark):
+    names = ["doc_id", "text", "_id", "importance_mark", "importance_key", "importance_log", "fit", "column_2", "near_row_id", "bad"]
+    rows = [(i, f"some plain words number {i} and more of them here", *[100 * i + n for n in range(8)]) for i in range(40)]
+    df = spark.createDataFrame(rows, names)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(20)], "doc_id long, quality int, toxic int")
+    kept = im.keep_selected(df, labels, k=40)
+    assert kept.columns == names and sorted(map(tuple, kept.collect())) == rows
+    from sourceloom.llm import simhash_dedup as sd
+
+    one = sd.one_of_each(df.withColumn("text", df.doc_id.cast("string")))
+    assert one.columns == names and sorted(r.near_row_id for r in one.collect()) == [r[8] for r in rows]

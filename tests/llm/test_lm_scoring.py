@@ -4,6 +4,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from sourceloom.llm import lm_scoring, suffix_tree as st, wordhash
@@ -173,3 +174,9 @@ def test_words_of_one_hash_are_told_apart(monkeypatch):
     asked = [(lm_scoring.zstandard.ZstdDecompressor().decompress(r["data"]), lm_scoring.unpack(r["counts"], "<u4").tolist()) for r in blocks if r["kind"] == lm_scoring.WORDS and r["part"] < lm_scoring.WORD_PARTS]
     got = {w.decode(): n for data, ns in asked for w, n in zip(data.split(b"\n"), ns, strict=True)}
     assert got == Counter(w for d, t in rows if not lm_scoring.held_out(d) for w in t.split())
+
+
+def test_depth_that_does_not_fit():
+    for depth in (0, 8):
+        with pytest.raises(ValueError):
+            st.gram_codes(np.array([10, 97, 98], dtype=np.uint8), depth)

@@ -230,3 +230,21 @@ def test_chat_sql_on_odd_texts(spark):
     own = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-1, 0, "user", own), (-1, 1, "assistant", own)], conversations.schema)
     assert rows_of(cf.digests(cf.format_chats(conversations.unionByName(more))), names) == want
+
+
+def test_chat_text_in_pieces():
+    template, pattern = cf.TEMPLATE, cf.TEMPLATE.pattern()
+    turns = [("user", "a [/INST] b\\"), ("assistant", " </s>\n x"), ("odd <<TEXT>>", "<</ROLE>>"), ("system", ""), ("assistant", "")]
+    whole = "".join(t for r, x in turns for t, _ in cf.segments_of(r, x, template, pattern))
+    for size in (1, 3, 1000):
+        reader, got = cf.Reader(template), []
+        for i in range(0, len(whole), size):
+            got += [(r, x) for r, x, _, _ in reader.feed(whole[i : i + size])]
+        assert got == turns and reader.held == "" and reader.at == len(whole)
+    with pytest.raises(ValueError):
+        list(cf.Reader(template).feed("no turn of this template"))
+    # spans may be cut anywhere: only the text and the mask count
+    digest = cf._Digest(template)
+    for piece, trained in (("<s>[INST] hi [/INS", False), ("T]<|reply|> ", False), ("an", True), ("swer", True), (" </s>\n", False)):
+        digest.add(piece, trained, True)
+    assert digest.row(7)[1:5] == (2, hashlib.sha256(b"user\nhi\nassistant\nanswer\n").hexdigest(), 6, hashlib.sha256(b"answer").hexdigest())
