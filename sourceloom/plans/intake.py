@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from ..functions import fixed as fx, text as tx, url as ul
-from ..operators import understanding as un
-from ..sources import readers
+from ..operators import understanding as un, validation as va
+from ..sources import readers, variants
 from .analytics import ENTRIES, entries
 from .asking import AQ, asked
+from .records import CLEAN
 from .registry import query
 from .understanding import PROFILE, QS, questions
 from .views import SOURCES, pick, sources, table
@@ -85,14 +86,32 @@ def slug_titles(spark, sf):
     return rows.where(F.size(F.array_intersect(tx.tokens(F.col("title")), wanted)) > 0)
 
 
-NESTED = "'{\"results\": [{\"title\": \"a' || ordinal || '\"}, {\"data\": {\"papers\": [{\"title\": \"b' || ordinal || '\"}]}}], \"books\": [{\"title\": \"c' || ordinal || '\"}], \"other\": [{\"title\": \"no\"}]}'"
+def _nested() -> Column:
+    """A record in four forms and places of one JSON document, beside things that are no records; every ninth document is a list, every eleventh is broken."""
+    url, k = F.col("url"), F.col("ordinal")
+    text = lambda c: c.cast("string")
+    a = F.struct(F.col("source_id").alias("id"), F.col("title"), url.alias("link"), F.lit(" ArXiv ").alias("platform"), text(F.col("year")).alias("published_year"), F.lit("Book").alias("type"), F.lit("ADVANCED").alias("level"),
+                 F.array(F.lit("Ann"), F.lit(" ann "), F.lit("Bo <b>X</b>")).alias("authors"), F.when(k % 2 == 0, "Yes").otherwise("maybe").alias("has_code"), F.lit("2024-01-02T03:04:05Z").alias("published_at"), F.struct(text(k).alias("n")).alias("metadata"))
+    b = F.struct(F.lit("").alias("title"), F.col("title").alias("name"), F.concat(url, F.lit("/b")).alias("href"), F.lit("two  words").alias("snippet"), F.col("citation_count").alias("citations"), F.col("platform").alias("provider"))
+    c = F.struct(F.concat(url, F.lit("/c")).alias("uri"), F.lit("odd").alias("platform"), F.lit("talk").alias("kind"), F.lit("hard").alias("difficulty"), (k / 4).alias("score"))
+    d = F.struct(F.lit("no url").alias("title"))
+    held = F.to_json(F.struct(F.array(a).alias("results"), F.struct(F.struct(F.array(b).alias("papers")).alias("documents")).alias("data"), c.alias("books"), F.array(d).alias("items"), F.array(F.lit("text"), F.lit("7")).alias("courses"), F.array(c).alias("other")))
+    return F.when(k % 11 == 0, F.left(held, F.length(held) - 1)).when(k % 9 == 0, F.concat(F.lit("["), held, F.lit(", 5]"))).otherwise(held)
 
 
-@query("harvested_records", f"WITH {SOURCES} SELECT ordinal, unnest(['a' || ordinal, 'b' || ordinal, 'c' || ordinal]) AS title FROM src")
+_titled = f"coalesce(nullif({CLEAN.format('title')}, ''), {{}})"
+_known = ", ".join(f"'{p}'" for p in va.PLATFORMS)
+_made_by = "CASE platform " + " ".join(f"WHEN '{p}' THEN '{t}'" for p, t in variants.PLATFORM_TYPES.items()) + " ELSE 'other' END"
+
+
+@query("harvested_records", f"""WITH {SOURCES}, f AS (SELECT * FROM src WHERE ordinal % 11 <> 0) SELECT ordinal, source_id, md5({_titled.format('url')}) AS title_md5, url, 'arxiv' AS platform, 'book' AS source_type, '' AS abstract, year::INTEGER AS year, NULL::BIGINT AS citation_count, 'advanced' AS difficulty, 'Ann;Bo X' AS authors, CASE WHEN ordinal % 2 = 0 THEN true END AS has_code, TIMESTAMP '2024-01-02 03:04:05' AS published_at, NULL::DOUBLE AS score, ordinal::VARCHAR AS n FROM f
+UNION ALL SELECT ordinal, url || '/b', md5({_titled.format("url || '/b'")}), url || '/b', CASE WHEN platform IN ({_known}) THEN platform ELSE 'web' END, {_made_by}, 'two words', NULL, citation_count, NULL, '', NULL, NULL, NULL, NULL FROM f
+UNION ALL SELECT ordinal, url || '/c', md5(url || '/c'), url || '/c', 'web', 'other', '', NULL, NULL, 'unknown', '', NULL, NULL, ordinal / 4.0::DOUBLE, NULL FROM f""")
 def harvested_records(spark, sf):
-    """Records found in lists and objects under any of nine container names, up to four levels deep."""
-    rows = sources(spark, sf).select("ordinal", F.expr(NESTED).alias("raw"))
-    return readers.harvested(rows, "ordinal", depth=4).select("ordinal", F.get_json_object("raw", "$.title").alias("title"))
+    """Whole records found in lists and objects under any of nine container names, four levels deep, each document parsed once."""
+    rows = sources(spark, sf).select("ordinal", _nested().alias("raw"))
+    out = variants.typed(variants.normalized(variants.harvested(rows, "ordinal"), "ordinal"), va.PLATFORMS)
+    return out.select("ordinal", "source_id", F.md5("title").alias("title_md5"), "url", "platform", "source_type", "abstract", "year", "citation_count", "difficulty", F.array_join("authors", ";").alias("authors"), "has_code", F.col("published_at").cast("timestamp_ntz").alias("published_at"), "score", F.col("metadata")["n"].alias("n"))
 
 
 @query("year_and_doi_pickers", "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 2001 WHEN 1 THEN 2002 WHEN 2 THEN 2003 END AS year, CASE doc_id % 3 WHEN 0 THEN '10.1/' || doc_id WHEN 1 THEN 'issn' || doc_id ELSE '' END AS doi FROM documents")

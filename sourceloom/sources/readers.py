@@ -97,19 +97,6 @@ def first_identifier(raw: Column) -> Column:
     return F.coalesce(F.get(F.filter(ids, lambda x: x != ""), F.lit(0)), F.lit(""))
 
 
-def harvested(rows: DataFrame, key: str, depth: int = 4) -> DataFrame:
-    """(key, raw): the JSON objects with a title that are in rows' JSON (key, raw), under any of the container names, up to a depth."""
-    here = rows.select(key, "raw")
-    out = None
-    for _ in range(depth + 1):
-        own = here.where(F.get_json_object("raw", "$.title").isNotNull())
-        out = own if out is None else out.unionByName(own)
-        inner = [F.get_json_object("raw", f"$.{c}") for c in CONTAINERS]
-        lists = [F.when(F.left(c, F.lit(1)) == "[", F.from_json(c, "array<string>")).when(F.left(c, F.lit(1)) == "{", F.array(c)) for c in inner]
-        here = here.select(key, F.explode(F.flatten(F.array_compact(F.array(*lists)))).alias("raw")).where("raw is not null")
-    return out
-
-
 def pubmed(sets: DataFrame) -> DataFrame:
     """Articles of XML sets (raw): pmid, title, abstract (1,500 characters at most), year, journal and authors' last names."""
     part = lambda tag: F.regexp_extract("a", f"(?s)<{tag}>(.*?)</{tag}>", 1)
