@@ -1,14 +1,17 @@
-"""Stored postings: built once, kept up to date by segments, read by term.
+"""Stored postings: built once, kept up to date by segments, merged now and then, read by term or by stem.
 
 An index is a folder of segments.  A segment has postings (term, doc_id, tf, doc_len), dealt into folders by the term's hash and sorted by
-term, so a search reads the parts and row groups of its terms alone; lengths (doc_id, doc_len); and the ids that it replaces or
-deletes in earlier segments.  Writing a segment reads the documents in it and nothing else."""
+term, so a search reads the parts and row groups of its terms alone; its distinct terms with their stems, dealt by the stem; lengths (doc_id, doc_len); and the ids that it
+replaces or deletes in earlier segments.  Writing a segment reads the documents in it and nothing else.
+
+Which segments there are is said by the newest commit (generation and segments), so a segment is seen whole or not at all.  ``compact`` writes the live rows of all segments as the one segment
+of a new generation and commits that; searches that began before go on with the old one, whose files stay until ``vacuum``."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 
-from ..functions import text as tx
+from ..functions import porter, text as tx
 from ..sources import store
 from . import relevance as rel
 
@@ -20,51 +23,118 @@ def part_of(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(PARTS)).cast("int")
 
 
-def _write_segment(docs: DataFrame, folder: str, number: int, gone: DataFrame | None) -> None:
-    rows = rel.postings(docs).withColumn("part", part_of(F.col("term")))
-    rows.repartition("part", F.pmod(F.xxhash64("doc_id"), F.lit(8))).sortWithinPartitions("part", "term").write.partitionBy("part").parquet(f"{folder}/postings/segment={number}")
-    docs.select("doc_id", tx.blank_count(tx.ascii_words(F.col("text"))).alias("doc_len")).write.parquet(f"{folder}/lengths/segment={number}")
-    if gone is not None:
-        gone.select("doc_id").distinct().write.parquet(f"{folder}/gone/segment={number}")
+def _state(spark: SparkSession, folder: str) -> tuple[int, int, list[int]]:
+    """Number of the newest commit, its generation and segments."""
+    number, said = store.current(spark, folder)
+    generation, _, segments = said.partition(";")
+    return number, int(generation), [int(s) for s in segments.split(",")]
+
+
+def _said(generation: int, segments: list[int]) -> str:
+    return f"{generation};{','.join(map(str, segments))}"
+
+
+def _write_postings(rows: DataFrame, home: str, number: int) -> None:
+    """Postings and the stems of their terms."""
+    spark, at = rows.sparkSession, f"{home}/postings/segment={number}"
+    dealt = rows.withColumn("part", part_of(F.col("term")))
+    dealt.repartition("part", F.pmod(F.xxhash64("doc_id"), F.lit(8))).sortWithinPartitions("part", "term").write.mode("overwrite").partitionBy("part").parquet(at)
+    terms = spark.read.schema("term string").parquet(at).select("term").distinct().withColumn("stem", porter.stem(F.col("term"))).withColumn("part", part_of(F.col("stem")))
+    terms.repartition("part").sortWithinPartitions("part", "stem").write.mode("overwrite").partitionBy("part").parquet(f"{home}/terms/segment={number}")
+
+
+def _write_segment(docs: DataFrame, home: str, number: int, gone: DataFrame | None) -> None:
+    _write_postings(rel.postings(docs), home, number)
+    docs.select("doc_id", tx.blank_count(tx.ascii_words(F.col("text"))).alias("doc_len")).write.mode("overwrite").parquet(f"{home}/lengths/segment={number}")
+    none = docs.select("doc_id").where(F.lit(False))
+    (none if gone is None else gone.select("doc_id").distinct()).write.mode("overwrite").parquet(f"{home}/gone/segment={number}")
 
 
 def build(docs: DataFrame, folder: str) -> str:
     """An index of docs (doc_id, text; an id once)."""
-    _write_segment(docs, folder, 0, None)
+    _write_segment(docs, f"{folder}/generation=0", 0, None)
+    store.commit(docs.sparkSession, folder, _said(0, [0]), None)
     return folder
 
 
 def upsert(spark: SparkSession, folder: str, docs: DataFrame, deleted: DataFrame | None = None) -> None:
     """Puts docs in the index in place of those with their ids, and takes deleted ids (doc_id) out."""
-    p, fs = store.file_system(spark, f"{folder}/lengths")
-    number = 1 + max(int(f.getPath().getName().removeprefix("segment=")) for f in fs.listStatus(p))
+    commit, generation, segments = _state(spark, folder)
+    number = segments[-1] + 1
     ids = docs.select("doc_id")
-    _write_segment(docs, folder, number, ids if deleted is None else ids.unionByName(deleted.select("doc_id")))
+    _write_segment(docs, f"{folder}/generation={generation}", number, ids if deleted is None else ids.unionByName(deleted.select("doc_id")))
+    store.commit(spark, folder, _said(generation, [*segments, number]), commit)
+
 
+def compact(spark: SparkSession, folder: str) -> None:
+    """Merges all segments into one, without the rows that later ones replaced or deleted.  The documents are not read."""
+    commit, generation, _ = state = _state(spark, folder)
+    home = f"{folder}/generation={generation + 1}"
+    _write_postings(_live(spark, folder, "postings", state).select("term", "doc_id", "doc_len", "tf"), home, 0)
+    lengths = _live(spark, folder, "lengths", state).select("doc_id", "doc_len")
+    lengths.write.mode("overwrite").parquet(f"{home}/lengths/segment=0")
+    lengths.select("doc_id").where(F.lit(False)).write.mode("overwrite").parquet(f"{home}/gone/segment=0")
+    store.commit(spark, folder, _said(generation + 1, [0]), commit)
 
-def _live(spark: SparkSession, folder: str, kind: str) -> DataFrame:
+
+def vacuum(spark: SparkSession, folder: str) -> None:
+    """Removes the files of generations before the newest, when no search reads them any more."""
+    _, generation, _ = _state(spark, folder)
+    p, fs = store.file_system(spark, folder)
+    for f in fs.listStatus(p):
+        name = f.getPath().getName()
+        if name.startswith("generation=") and int(name.removeprefix("generation=")) < generation:
+            fs.delete(f.getPath(), True)
+
+
+def _rows(spark: SparkSession, folder: str, kind: str, state: tuple[int, int, list[int]]) -> DataFrame:
+    _, generation, segments = state
+    home = f"{folder}/generation={generation}/{kind}"
+    return spark.read.option("basePath", home).parquet(*[f"{home}/segment={s}" for s in segments])
+
+
+def _live(spark: SparkSession, folder: str, kind: str, state: tuple[int, int, list[int]]) -> DataFrame:
     """A kind's rows without those that a later segment replaces or deletes; an equi-join on the id, and none for one segment."""
-    rows = spark.read.parquet(f"{folder}/{kind}")
-    p, fs = store.file_system(spark, f"{folder}/gone")
-    if not fs.exists(p):
+    rows = _rows(spark, folder, kind, state)
+    if len(state[2]) == 1:
         return rows
-    gone = spark.read.parquet(f"{folder}/gone").groupBy("doc_id").agg(F.max("segment").alias("until"))
+    gone = _rows(spark, folder, "gone", state).groupBy("doc_id").agg(F.max("segment").alias("until"))
     return rows.join(gone, "doc_id", "left").where(F.col("until").isNull() | (F.col("segment") >= F.col("until"))).drop("until")
 
 
-def corpus(spark: SparkSession, folder: str) -> DataFrame:
+def corpus(spark: SparkSession, folder: str, state: tuple | None = None) -> DataFrame:
     """One row: n_docs and avg_len."""
-    return _live(spark, folder, "lengths").agg(F.count("*").alias("n_docs"), F.avg("doc_len").alias("avg_len"))
-
-
-def search(spark: SparkSession, folder: str, terms: list[str]) -> DataFrame:
-    """doc_id, bm25 and relevance of every document with one of the terms."""
-    parts = [r.p for r in spark.createDataFrame([(t,) for t in terms], "t string").select(part_of(F.col("t")).alias("p")).distinct().collect()]
-    rows = _live(spark, folder, "postings").where(F.col("part").isin(*parts) & F.col("term").isin(*terms))
-    df = rows.groupBy("term").agg(F.count("*").alias("df")).withColumn("i", F.array_position(F.array(*map(F.lit, terms)), F.col("term")))  # a row a term
-    scored = rows.join(F.broadcast(df), "term").crossJoin(F.broadcast(corpus(spark, folder)))
+    return _live(spark, folder, "lengths", state or _state(spark, folder)).agg(F.count("*").alias("n_docs"), F.avg("doc_len").alias("avg_len"))
+
+
+def _parts(spark: SparkSession, words: list[str]) -> list[int]:
+    return [r.p for r in spark.createDataFrame([(t,) for t in words], "t string").select(part_of(F.col("t")).alias("p")).distinct().collect()]
+
+
+def _forms(spark: SparkSession, folder: str, words: list[str], state: tuple, most: int) -> dict[str, str]:
+    """The index's terms that share a stem with one of some words, and their stems.  The stem of a word has few forms; more than ``most`` are an error."""
+    stems = sorted({r.s for r in spark.createDataFrame([(t,) for t in words], "t string").select(porter.stem(F.lower("t")).alias("s")).collect()})
+    found = _rows(spark, folder, "terms", state).where(F.col("part").isin(*_parts(spark, stems)) & F.col("stem").isin(*stems)).select("term", "stem").distinct().limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} terms share the stems of {words}")
+    return {r.term: r.stem for r in found}
+
+
+def search(spark: SparkSession, folder: str, terms: list[str], stemmed: bool = False, most_forms: int = 100_000) -> DataFrame:
+    """doc_id, bm25 and relevance of every document with one of the terms; ``stemmed``: with a form of one."""
+    state = _state(spark, folder)
+    forms = _forms(spark, folder, terms, state, most_forms) if stemmed else {t: t for t in terms}
+    wanted = sorted(set(forms.values())) if stemmed else list(dict.fromkeys(terms))
+    names = spark.createDataFrame(list(forms.items()), "term string, word string")
+    rows = _live(spark, folder, "postings", state).where(F.col("part").isin(*(_parts(spark, list(forms)) if forms else [-1]))).join(F.broadcast(names), "term")
+    if stemmed:
+        rows = rows.groupBy("word", "doc_id", "doc_len").agg(F.sum("tf").alias("tf"))
+    else:
+        rows = rows.where(F.col("term").isin(*terms))
+    df = rows.groupBy("word").agg(F.count("*").alias("df")).withColumn("i", F.array_position(F.array(*map(F.lit, wanted)).cast("array<string>"), F.col("word")))  # a row a word
+    scored = rows.join(F.broadcast(df), "word").crossJoin(F.broadcast(corpus(spark, folder, state)))
     weight = rel.idf(F.col("n_docs"), F.col("df")) * rel.saturated(F.col("tf"), F.col("doc_len"), F.col("avg_len"))
-    # added up in the order of the terms, at most as many as there are, so that equal documents have equal scores
+    # added up in the order of the words, at most as many as there are, so that equal documents have equal scores
     added = F.aggregate(F.array_sort(F.collect_list(F.struct("i", weight.alias("w")))), F.lit(0.0), lambda s, x: s + x["w"])
     total = scored.groupBy("doc_id").agg(added.alias("bm25"), F.first("n_docs").alias("n"))
     return total.select("doc_id", "bm25", (F.col("bm25") / (F.col("bm25") + rel.squash(F.col("n")))).alias("relevance"))

@@ -170,6 +170,24 @@ def index_upsert(spark, sf):
     return ix.search(spark, folder, TERMS).select("doc_id", F.round("bm25", 6).alias("bm25"), F.round("relevance", 6).alias("relevance"))
 
 
+@query("index_compacted", f"WITH {MOVED}, {BM25.replace('FROM documents', 'FROM d')} SELECT doc_id, round(bm25, 6) AS bm25, round(relevance, 6) AS relevance FROM rel WHERE bm25 > 0")
+def index_compacted(spark, sf):
+    """The same index after its segments have been merged."""
+    docs, folder = table(spark, sf, "documents").select("doc_id", "text"), store.new_folder(spark, "index")
+    ix.build(docs.where("doc_id % 10 <> 0"), folder)
+    more = docs.where("doc_id % 7 = 0 and doc_id % 11 <> 5").withColumn("text", F.concat("text", F.lit(" the der the para")))
+    ix.upsert(spark, folder, more, docs.where("doc_id % 11 = 5"))
+    ix.compact(spark, folder)
+    return ix.search(spark, folder, TERMS).select("doc_id", F.round("bm25", 6).alias("bm25"), F.round("relevance", 6).alias("relevance"))
+
+
+@query("bm25_stems")
+def bm25_stems(spark, sf):
+    """Documents with any form of the terms, by Porter's stems."""
+    found = ix.search(spark, ix.held(spark, f"{sf}/documents.parquet"), ["relations", "thes", "nation", "andes", "enting"], stemmed=True)
+    return found.select("doc_id", F.round("bm25", 6).alias("bm25"), F.round("relevance", 6).alias("relevance"))
+
+
 @query("rank_squash", "SELECT event_id, round(abs(value - 50) / (abs(value - 50) + 5), 6) AS score FROM events")
 def rank_squash(spark, sf):
     return table(spark, sf, "events").select("event_id", F.round(ix.rank_squash(F.col("value") - 50), 6).alias("score"))

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..operators.records import latest
-from .store import file_system
+from . import store
 
 
 def save_runs(rows: DataFrame, path: str, run: str = "request_id") -> None:
@@ -68,14 +68,24 @@ def cleared(spark: SparkSession, path: str) -> None:
     empty.write.mode("overwrite").parquet(path)
 
 
-def publish(rows: DataFrame, path: str) -> None:
-    """Rows written beside a table and then put in its place, so that readers see the old ones or the new ones."""
-    spark, draft = rows.sparkSession, f"{path.rstrip('/')}-draft-{uuid.uuid4().hex}"
-    rows.write.parquet(draft)
-    old, fs = file_system(spark, path)
-    new, _ = file_system(spark, draft)
-    fs.delete(old, True)
-    fs.rename(new, old)
+def publish(rows: DataFrame, folder: str, keep: int = 2) -> None:
+    """Rows as the newest version of a table: written to a folder of their own, and then, in one step, what readers see (``published``).  A crash at any point
+    leaves the version before.  The last ``keep`` versions stay, for readers that are at work."""
+    spark, version = rows.sparkSession, f"version-{uuid.uuid4().hex}"
+    before = store.current(spark, folder)
+    rows.write.parquet(f"{folder}/{version}")
+    store.commit(spark, folder, version, before and before[0])
+    for _, old in store.commits(spark, folder)[keep:]:
+        p, fs = store.file_system(spark, f"{folder}/{old}")
+        fs.delete(p, True)
+
+
+def published(spark: SparkSession, folder: str) -> DataFrame:
+    """The newest version of a table."""
+    version = store.current(spark, folder)
+    if version is None:
+        raise FileNotFoundError(f"nothing has been published in {folder}")
+    return spark.read.parquet(f"{folder}/{version[1]}")
 
 
 def safe_name(text: Column, most: int = 80) -> Column:

@@ -43,3 +43,40 @@ def state_of(spark: SparkSession, path: str) -> tuple:
     status = fs.getFileStatus(p)
     files = [status] if status.isFile() else fs.listStatus(p)
     return tuple(sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in files))
+
+
+_COMMITS = "_commits"
+
+
+def commits(spark: SparkSession, folder: str) -> list[tuple[int, str]]:
+    """Numbers and contents of a folder's commits, the newest first; one that is being written is not there yet."""
+    p, fs = file_system(spark, f"{folder}/{_COMMITS}")
+    names = sorted((f.getPath().getName() for f in fs.listStatus(p)), reverse=True) if fs.exists(p) else []
+    out = []
+    for name in names:
+        stream = fs.open(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p, name))
+        try:
+            text = bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+        if text.endswith("\n"):
+            out.append((int(name), text[:-1]))
+    return out
+
+
+def current(spark: SparkSession, folder: str) -> tuple[int, str] | None:
+    """The newest commit: what readers of the folder see."""
+    return next(iter(commits(spark, folder)), None)
+
+
+def commit(spark: SparkSession, folder: str, content: str, after: int | None) -> int:
+    """Makes a content (one line) the folder's newest, in one step: a file of the next number, which nobody else can have made.  ``after`` is the commit that it
+    follows; if another came meanwhile this is an error, and what was prepared may be prepared again."""
+    number = 1 if after is None else after + 1
+    p, fs = file_system(spark, f"{folder}/{_COMMITS}/{number:09d}")
+    out = fs.create(p, False)
+    try:
+        out.write(bytearray(f"{content}\n".encode()))
+    finally:
+        out.close()
+    return number

@@ -1,11 +1,12 @@
 import json
 
+import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from sourceloom.functions import fuzzy as fz, text as tx
+from sourceloom.functions import fuzzy as fz, porter, text as tx
 from sourceloom.operators import index, records as rc, relevance as rel, selection, selection as sel
-from sourceloom.sources import readers, sinks
+from sourceloom.sources import readers, sinks, store
 from sourceloom.streaming import windows as sw
 
 
@@ -188,8 +189,15 @@ def test_more_readers_and_sinks(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "store/documents")).count() == 3
     chunks = spark.read.parquet(str(tmp_path / "store/chunks"))
     assert {r.doc_id for r in chunks.collect()} == {1, 3} and chunks.count() == 4
-    sinks.publish(one.where("doc_id = 1"), str(tmp_path / "store/documents"))
-    assert spark.read.parquet(str(tmp_path / "store/documents")).count() == 1
+    table = str(tmp_path / "published")
+    sinks.publish(one, table)
+    before = sinks.published(spark, table)
+    sinks.publish(one.where("doc_id = 1"), table)
+    assert before.count() == 3 and sinks.published(spark, table).count() == 1  # a reader that is at work keeps its version
+    (tmp_path / "published/_commits/000000003").write_text("half a commi")  # a writer that died
+    assert sinks.published(spark, table).count() == 1
+    with pytest.raises(FileNotFoundError):
+        sinks.published(spark, str(tmp_path / "nothing"))
     sinks.cleared(spark, str(tmp_path / "store/chunks"))
     assert spark.read.parquet(str(tmp_path / "store/chunks")).count() == 0 and set(spark.read.parquet(str(tmp_path / "store/chunks")).columns) == set(chunks.columns)
     names = spark.createDataFrame([("a/b: c?",), ("..",), (None,), ("x" * 100,)], "t string").select(sinks.safe_name(F.coalesce("t", F.lit(""))).alias("n")).collect()
@@ -228,3 +236,41 @@ def test_proximity_of_batches_equals_single_rows(spark):
     for query in (["thing", "ention"], ["thing"], []):
         got = {r.i: r.p for r in df.select("i", fz.proximity_of(query)("w").alias("p")).collect()}
         assert got == {i: fz.proximity(query, w) for i, w in enumerate(words)}
+
+
+def test_stems_of_published_pairs(spark):
+    pairs = {
+        "caresses": "caress", "ponies": "poni", "ties": "ti", "cats": "cat", "feed": "feed", "agreed": "agre", "plastered": "plaster", "bled": "bled", "motoring": "motor", "sing": "sing", "conflated": "conflat", "troubled": "troubl", "sized": "size", "hopping": "hop",
+        "falling": "fall", "hissing": "hiss", "fizzed": "fizz", "failing": "fail", "filing": "file", "happy": "happi", "sky": "sky", "relational": "relat", "conditional": "condit", "rational": "ration", "valenci": "valenc", "digitizer": "digit", "conformabli": "conform",
+        "radicalli": "radic", "differentli": "differ", "vileli": "vile", "analogousli": "analog", "vietnamization": "vietnam", "predication": "predic", "operator": "oper", "feudalism": "feudal", "decisiveness": "decis", "hopefulness": "hope", "formaliti": "formal",
+        "sensibiliti": "sensibl", "triplicate": "triplic", "formative": "form", "electriciti": "electr", "goodness": "good", "revival": "reviv", "allowance": "allow", "airliner": "airlin", "gyroscopic": "gyroscop", "adjustable": "adjust", "defensible": "defens",
+        "replacement": "replac", "adoption": "adopt", "homologou": "homolog", "communism": "commun", "activate": "activ", "bowdlerize": "bowdler", "probate": "probat", "rate": "rate", "cease": "ceas", "controll": "control", "roll": "roll", "boyish": "boyish",
+        "generalizations": "gener", "oscillators": "oscil", "is": "is", "c3po": "c3po", "": "",
+    }
+    got = spark.createDataFrame([(k,) for k in pairs], "w string").select("w", porter.stem(F.col("w")).alias("s")).collect()
+    assert {r.w: r.s for r in got} == pairs
+
+
+def test_index_is_seen_whole(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"relate word{i} alpha" + " relations" * (i % 3)) for i in range(60)], "doc_id long, text string")
+    folder = str(tmp_path / "ix")
+    index.build(docs, folder)
+    score = lambda **kw: {r.doc_id: round(r.bm25, 9) for r in index.search(spark, folder, ["relations", "alpha"], **kw).collect()}
+    for k in range(4):
+        index.upsert(spark, folder, spark.createDataFrame([(k, f"relational beta {k}"), (100 + k, "alpha")], docs.schema), docs.where(f"doc_id = {50 + k}").select("doc_id"))
+    plain, stemmed = score(), score(stemmed=True)
+    assert set(stemmed) == {*range(50), *range(54, 60), *range(100, 104)} and set(plain) == set(stemmed) - set(range(4))
+    during = index.search(spark, folder, ["relations", "alpha"])
+    # a segment that no commit names is no part of the index
+    index._write_segment(docs.limit(1), f"{folder}/generation=0", 9, None)
+    assert score() == plain
+    index.compact(spark, folder)
+    assert score() == plain and score(stemmed=True) == stemmed
+    assert {r.doc_id: round(r.bm25, 9) for r in during.collect()} == plain
+    index.vacuum(spark, folder)
+    assert sorted(f.name for f in (tmp_path / "ix").iterdir() if not f.name.startswith(".")) == ["_commits", "generation=1"]
+    assert score() == plain
+    state = index._state(spark, folder)
+    store.commit(spark, folder, "1;0", state[0])
+    with pytest.raises(Exception, match="(?i)exist"):
+        store.commit(spark, folder, "1;0", state[0])  # another writer was first

@@ -12,8 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from sourceloom.functions import fixed as fx
-from sourceloom.functions import text as tx
+from sourceloom.functions import fixed as fx, porter, text as tx
 from sourceloom.operators import asked as ak
 from sourceloom.plans import matching, understanding, views
 
@@ -344,9 +343,66 @@ def validator_notes(spark, src):
         assert (g["alignment_penalty"], g["alignment_boost"]) == (0.2 if hard else None, 1.25 if safe else None)
 
 
+def simple_stem(w):
+    """Porter's rules for what the query's terms and their forms need, step by step over the letters."""
+    if not re.fullmatch("[a-z]{3,64}", w):
+        return w
+    is_vowel = lambda i, t: t[i] in "aeiou" or (t[i] == "y" and i > 0 and not is_vowel(i - 1, t))
+
+    def m(t):
+        kinds = re.sub("(.)\\1*", r"\1", "".join("v" if is_vowel(i, t) else "c" for i in range(len(t))))
+        return kinds.removeprefix("c").count("vc")
+
+    vowel = lambda t: any(is_vowel(i, t) for i in range(len(t)))
+    cvc = lambda t: len(t) > 2 and not is_vowel(len(t) - 3, t) and is_vowel(len(t) - 2, t) and not is_vowel(len(t) - 1, t) and t[-1] not in "wxy"
+    for end, new in (("sses", "ss"), ("ies", "i"), ("ss", "ss"), ("s", "")):
+        if w.endswith(end):
+            w = w[: len(w) - len(end)] + new
+            break
+    if w.endswith("eed"):
+        w = w[:-1] if m(w[:-3]) > 0 else w
+    else:
+        for end in ("ed", "ing"):
+            if w.endswith(end) and vowel(w[: -len(end)]):
+                w = w[: -len(end)]
+                if w.endswith(("at", "bl", "iz")):
+                    w += "e"
+                elif len(w) > 1 and w[-1] == w[-2] and not is_vowel(len(w) - 1, w) and w[-1] not in "lsz":
+                    w = w[:-1]
+                elif m(w) == 1 and cvc(w):
+                    w += "e"
+                break
+    if w.endswith("y") and vowel(w[:-1]):
+        w = w[:-1] + "i"
+    for table_ in (porter.STEP_2, porter.STEP_3):
+        end = max((e for e in table_ if w.endswith(e)), key=len, default=None)
+        if end and m(w[: len(w) - len(end)]) > 0:
+            w = w[: len(w) - len(end)] + table_[end]
+    end = max((e for e in (*porter.STEP_4, "ion") if w.endswith(e) and (e != "ion" or w[:-3].endswith(("s", "t")))), key=len, default=None)
+    if end and m(w[: len(w) - len(end)]) > 1:
+        w = w[: len(w) - len(end)]
+    if w.endswith("e") and (m(w[:-1]) > 1 or (m(w[:-1]) == 1 and not cvc(w[:-1]))):
+        w = w[:-1]
+    return w[:-1] if w.endswith("ll") and m(w[:-1]) > 1 else w
+
+
+def bm25_stems(spark, src):
+    docs = {r.doc_id: [simple_stem(t) for t in tokens(r.text)] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    wanted = {simple_stem(t) for t in ("relations", "thes", "nation", "andes", "enting")}
+    mean = sum(map(len, docs.values())) / len(docs)
+    df = {w: sum(w in d for d in docs.values()) for w in wanted}
+    want = {}
+    for i, d in docs.items():
+        hits = [(w, d.count(w)) for w in wanted if w in d]
+        if hits:
+            want[i] = sum(math.log((len(docs) - df[w] + 0.5) / (df[w] + 0.5) + 1) * n * 2.5 / (n + 1.5 * (0.25 + 0.75 * len(d) / mean)) for w, n in hits)
+    got = {r["doc_id"]: r["bm25"] for r in rows(spark, "bm25_stems")}
+    assert got == pytest.approx(want, abs=2e-6) and want
+
+
 CASES = {
     f.__name__: f
-    for f in (fuzzy_relevance, fuzzy_titles_ratio, fuzzy_gate, proximity_scores, normal_urls, vector_blobs, topic_clusters, repaired_payloads, query_profiles, relevance_measures, validation_ladder, validation_drops, validator_notes)
+    for f in (bm25_stems, fuzzy_relevance, fuzzy_titles_ratio, fuzzy_gate, proximity_scores, normal_urls, vector_blobs, topic_clusters, repaired_payloads, query_profiles, relevance_measures, validation_ladder, validation_drops, validator_notes)
 }
 
 
