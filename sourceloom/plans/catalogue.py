@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import analytics, asking, details, domains, intake, matching, records, retrieval, understanding
+from . import analytics, answers, asking, details, domains, intake, matching, records, retrieval, understanding
 from .registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "analytics", "asking", "details", "domains", "intake", "matching", "records", "retrieval", "understanding"]
+__all__ = ["ORACLE_SQL", "QUERIES", "analytics", "answers", "asking", "details", "domains", "intake", "matching", "records", "retrieval", "understanding"]
