@@ -103,16 +103,45 @@ def exact_titles(sources: DataFrame, shortest: int = 8) -> DataFrame:
 LONGEST_TITLE = 500  # longer ones are no valid titles
 
 
-def fuzzy_titles(titles: DataFrame, prefix: int = 2, least_ratio: float = 0.85, length_ratio: float = 0.55) -> DataFrame:
+GRAM = 3
+
+
+def _signatures(titles: DataFrame, least_ratio: float) -> DataFrame:
+    """id, block, n, gram, at: of each title (id, title, block, n) its rarest grams with their places, so many that two titles within the ratio share one.
+
+    ``most`` edits, the largest number that any partner allows, change GRAM grams each, so of the GRAM * most + 1 first grams in one order of all grams the other
+    title has one in its own first, at a place that is at most ``most`` away.  Titles that allow no edit have none.  How often grams are is counted over all titles; there are at most
+    54,872 of 38 characters."""
+    most = F.floor((1 - least_ratio) * F.floor(F.col("n") / least_ratio + 1e-9) + 1e-9).cast("int")
+    rows = titles.withColumn("most", most).where("most > 0")
+    places = F.transform(F.sequence(F.lit(1), F.col("n") - (GRAM - 1)), lambda i: F.struct(F.substring("title", i, F.lit(GRAM)).alias("gram"), i.alias("at")))
+    each = rows.where(F.col("n") >= GRAM).select("id", "block", "n", "most", F.explode(places).alias("g")).select("id", "block", "n", "most", "g.*")
+    often = each.groupBy("gram").agg(F.count("*").alias("c"))
+    ranked = each.join(F.broadcast(often), "gram").groupBy("id", "block", "n", "most").agg(F.array_sort(F.collect_list(F.struct("c", "gram", "at"))).alias("l"))
+    return ranked.select("id", "block", "n", F.explode(F.slice("l", 1, GRAM * F.col("most") + 1)).alias("g")).select("id", "block", "n", "g.gram", "g.at")
+
+
+def fuzzy_titles(titles: DataFrame, prefix: int = 2, least_ratio: float = 0.85) -> DataFrame:
     """Pairs of distinct titles (id, title) in one block of equal first letters, with 1 - levenshtein / longer length at or above
-    the least ratio.  Blocks are joined on prefix and length, so only titles of near length meet."""
+    the least ratio.
+
+    Titles meet where they share a rare gram at a near place and have near lengths, so a block whose titles begin alike is not compared with itself; whoever meets is
+    compared once, exactly."""
     rows = titles.groupBy("title").agg(F.min("id").alias("id")).where((F.length("title") > prefix) & (F.length("title") <= LONGEST_TITLE)).select("id", "title", F.substring("title", 1, prefix).alias("block"), F.length("title").alias("n"))
-    reach = rows.withColumn("n2", F.explode(F.sequence(F.ceil(F.col("n") * least_ratio).cast("int"), F.col("n"))))
-    a, b = reach.select(F.col("id").alias("id_a"), F.col("title").alias("ta"), "block", F.col("n").alias("na"), F.col("n2").alias("n")), rows.select(F.col("id").alias("id_b"), F.col("title").alias("tb"), "block", "n")
-    pairs = a.join(b, ["block", "n"]).where((F.col("na") > F.col("n")) | (F.col("id_a") < F.col("id_b"))).where("id_a <> id_b").where(F.col("n") / F.col("na") >= length_ratio)
+    folder = store.new_folder(titles.sparkSession, "grams")
+    marks = _signatures(rows, least_ratio)
+    marks.write.parquet(folder)
+    marks = titles.sparkSession.read.schema(marks.schema).parquet(folder)
+    other = marks.select("block", "gram", F.col("id").alias("id_b"), F.col("n").alias("nb"), F.col("at").alias("bt"))
+    meet = marks.select("block", "gram", F.col("id").alias("id_a"), F.col("n").alias("na"), "at").join(other, ["block", "gram"])
     most = F.floor((1 - least_ratio) * F.col("na") + 1e-9).cast("int")
+    # a is the longer one, of equals the one with the smaller id
+    near = meet.where((F.col("na") > F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("id_a") < F.col("id_b")))).where((F.col("na") - F.col("nb") <= most) & (F.abs(F.col("at") - F.col("bt")) <= most))
+    pairs = near.select("id_a", "id_b", "na").distinct()
+    pairs = pairs.join(rows.select(F.col("id").alias("id_a"), F.col("title").alias("ta")), "id_a").join(rows.select(F.col("id").alias("id_b"), F.col("title").alias("tb")), "id_b")
     # with its bound a distance is given up, as -1, as soon as it is over it
-    return pairs.withColumn("most", most).withColumn("d", F.expr("levenshtein(ta, tb, most)")).where(F.col("d") >= 0).select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"), F.round(1 - F.col("d") / F.col("na"), 6).alias("ratio"))
+    found = pairs.withColumn("most", most).withColumn("d", F.expr("levenshtein(ta, tb, most)")).where(F.col("d") >= 0)
+    return found.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"), F.round(1 - F.col("d") / F.col("na"), 6).alias("ratio"))
 
 
 def without_losers(records: DataFrame, pairs: DataFrame) -> DataFrame:
