@@ -89,10 +89,48 @@ def test_warc_merge(spark, tmp_path):
 
 
 def one_record(page, payload, **more):
-    row = dict(page_id=page, url="http://x/", date="2024-01-01T00:00:00Z", payload=payload, n=len(payload), digest="0" * 64, place=None, revisit=False)
+    row = dict(page_id=page, url="http://x/", date="2024-01-01T00:00:00Z", payload=payload, n=len(payload), digest="0" * 64, place=None, revisit=False, before=None, http=None, label=None)
     return wa.record({**row, **more})
 
 
+def foreign(kind, rid, payload=b"", uri=None, date="2020-01-01T00:00:00Z", http=b"HTTP/1.1 404 Not Found\r\nX-Kept: yes\r\nTransfer-Encoding: identity", **more):
+    lines = [f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:uuid:{rid}>\r\nWARC-Date: {date}"] + [f"WARC-Target-URI: {uri}"] * bool(uri) + [f"{k.replace('_', '-')}: {v}" for k, v in more.items()]
+    block = http + b"\r\n\r\n" + payload
+    return "\r\n".join([*lines, f"Content-Length: {len(block)}"]).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def test_archives_of_others(spark, tmp_path):
+    import base64
+    import gzip
+
+    sha1 = lambda data: "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
+    big, other = b"<p>same</p>" * 30, b"other page " * 40
+    first = [
+        foreign("revisit", "r1", uri="http://x/1", WARC_Refers_To="<urn:uuid:a1>"), foreign("revisit", "r2", uri="http://x/2", WARC_Refers_To_Target_URI="http://a/1", WARC_Refers_To_Date="2019-05-05T00:00:00Z"),
+        foreign("revisit", "r3", uri="http://x/3", WARC_Payload_Digest=sha1(other)), foreign("revisit", "r4", uri="http://x/4", WARC_Payload_Digest="sha1:NOWHERE"), foreign("warcinfo", "w"),
+    ]
+    second = [
+        foreign("response", "a1", big, "http://a/1", "2019-05-05T00:00:00Z", WARC_Payload_Digest=sha1(big)), foreign("response", "a2", other, "http://a/2", WARC_Payload_Digest=sha1(other)), foreign("response", "a3", big, "http://a/3", WARC_Payload_Digest=sha1(big)),
+        foreign("response", "a4", b"short", "http://a/4"), foreign("response", "a5", b"short", "http://a/5"),
+    ]
+    (tmp_path / "in").mkdir()
+    for name, records in (("1.warc.gz", first), ("2.warc.gz", second)):
+        (tmp_path / "in" / name).write_bytes(b"".join(map(gzip.compress, records)))
+    files = spark.createDataFrame([("1.warc.gz", 5), ("2.warc.gz", 5)], "file string, records long")
+    urls = {f"http://x/{i}": p for i, p in ((1, big), (2, big), (3, other), (4, None))} | {f"http://a/{i}": p for i, p in ((1, big), (2, other), (3, big), (4, b"short"), (5, b"short"))}
+    assert {r.url: r.payload for r in wa.resolve(files, str(tmp_path / "in")).collect()} == urls
+    out = str(tmp_path / "out")
+    merged = wa.merge(files, str(tmp_path / "in"), out)
+    read = {r.url: r for r in wa.read_archives(merged, out).collect()}
+    assert {u: r.record_type for u, r in read.items()} == {"http://a/1": "response", "http://a/2": "response", "http://a/3": "revisit", "http://a/4": "response", "http://a/5": "response"} | {f"http://x/{i}": "revisit" for i in (1, 2, 3, 4)}
+    assert len({r.record_id for r in read.values()}) == 9 and all(r.http.startswith(b"HTTP/1.1 404 Not Found\r\nX-Kept: yes") and r.page_id is None for r in read.values())
+    assert {read[f"http://{u}"].refers_id for u in ("a/3", "x/1", "x/2")} == {read["http://a/1"].record_id} and read["http://x/3"].refers_id == read["http://a/2"].record_id
+    assert read["http://x/4"].label == "sha1:NOWHERE" and read["http://x/4"].refers_id is None
+    assert {r.url: r.payload for r in wa.resolve(merged, out).collect()} == urls
+    again = wa.merge(merged, out, str(tmp_path / "again"))  # merging once more changes no type and loses nothing
+    assert {r.url: (r.record_type, r.payload) for r in wa.resolve(again, str(tmp_path / "again")).collect()} == {u: (read[u].record_type, p) for u, p in urls.items()}
+
+
 def test_warc_members_and_faults():
     import gzip
 
