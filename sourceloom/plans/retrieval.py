@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W, functions as F
 
 from ..functions import text as tx
-from ..operators import index as ix, relevance as rel
+from ..operators import embedding as em, index as ix, relevance as rel
 from ..sources import store
 from .registry import query
 from .views import SOURCES, sources, table
@@ -216,3 +216,18 @@ def chunk_coverage(spark, sf):
     docs = table(spark, sf, "documents")
     ch = rel.chunked(docs, 160).select("doc_id", (F.col("chunk_index") % 3 != 1).cast("int").alias("has"))
     return docs.select("doc_id").join(ch.groupBy("doc_id").agg(F.avg("has").alias("c")), "doc_id", "left").select("doc_id", F.round(F.coalesce("c", F.lit(0.0)), 6).alias("coverage"))
+
+
+_h = "CAST('0x' || left(md5(t), 4) AS INTEGER)"
+_vector = lambda rows: f"SELECT doc_id, place, {_h} % 64 AS b, sum(CASE WHEN {_h} // 4096 % 2 = 1 THEN 1 ELSE -1 END)::DOUBLE AS c FROM ({rows}) GROUP BY ALL"
+
+
+@query("chunk_vectors", f"""WITH {CHUNK_SQL}, pv AS ({_vector(f"SELECT doc_id, -1 AS place, unnest({TOKENS.format('text')}) AS t FROM documents")}), cv AS ({_vector(f"SELECT doc_id, chunk_index AS place, unnest({TOKENS.format('chunk_text')}) AS t FROM ch WHERE chunk_index < 30")}),
+pn AS (SELECT doc_id, sqrt(sum(c * c)) AS n FROM pv GROUP BY ALL HAVING sum(c * c) > 0), cn AS (SELECT doc_id, place, sqrt(sum(c * c)) AS n FROM cv GROUP BY ALL HAVING sum(c * c) > 0),
+d AS (SELECT cv.doc_id, cv.place, sum(cv.c * coalesce(pv.c, 0)) AS dot FROM cv LEFT JOIN pv ON pv.doc_id = cv.doc_id AND pv.b = cv.b GROUP BY ALL)
+SELECT d.doc_id AS doc_id, d.place::INTEGER AS chunk_index, round(dot / (pn.n * cn.n), 6) AS cosine FROM d JOIN pn ON pn.doc_id = d.doc_id JOIN cn ON cn.doc_id = d.doc_id AND cn.place = d.place""")
+def chunk_vectors(spark, sf):
+    """Documents and their chunks embedded and stored as one version; each chunk against its document."""
+    folder = store.new_folder(spark, "vectors")
+    em.add(table(spark, sf, "documents").select("doc_id", "text"), folder)
+    return em.chunk_likeness(spark, folder).select("doc_id", "chunk_index", F.round("cosine", 6).alias("cosine"))

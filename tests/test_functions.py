@@ -5,7 +5,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from sourceloom.functions import fuzzy as fz, porter, text as tx
-from sourceloom.operators import index, records as rc, relevance as rel, selection, selection as sel
+from sourceloom.operators import embedding as em, index, records as rc, relevance as rel, selection, selection as sel
 from sourceloom.sources import readers, sinks, store
 from sourceloom.streaming import windows as sw
 
@@ -274,3 +274,26 @@ def test_index_is_seen_whole(spark, tmp_path):
     store.commit(spark, folder, "1;0", state[0])
     with pytest.raises(Exception, match="(?i)exist"):
         store.commit(spark, folder, "1;0", state[0])  # another writer was first
+
+
+def test_vectors_of_records_and_chunks(spark, tmp_path):
+    rows = [(1, " ".join(f"word{i}" for i in range(400))), (2, "one two"), (3, None), (4, "!!! ???"), (5, "bad apple")]
+    records = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def picky(texts):
+        if any("bad" in t for t in texts):
+            raise RuntimeError("a model that fails")
+        return em.hashed(texts)
+
+    folder = str(tmp_path / "v")
+    assert em.add(records.limit(0), folder) == "empty" and store.current(spark, folder) is None
+    assert em.add(records, folder, picky) == "chunked"
+    docs, chunks = em.documents(spark, folder)
+    assert {r.doc_id: r.vector is not None for r in docs.collect()} == {1: True, 2: True, 3: False, 4: False, 5: False}
+    assert sorted((r.doc_id, r.chunk_index, r.vector is not None) for r in chunks.collect()) == [(1, 0, True), (1, 1, True), (1, 2, True), (2, 0, True), (4, 0, False), (5, 0, False)]
+    by = {r.doc_id: r for r in em.regrouped(em.with_chunks(records, embedder=picky)).collect()}
+    assert [len(v) for v in by[1].chunk_vectors] == [64, 64, 64] and by[3].chunk_vectors == [] and by[5].chunk_vectors == [[]] and by[2].vector == pytest.approx(by[2].chunk_vectors[0])
+    before = docs
+    assert em.add(records.where("doc_id = 3"), folder) == "parent"  # nothing to embed: records alone
+    docs, chunks = em.documents(spark, folder)
+    assert [r.doc_id for r in docs.collect()] == [3] and chunks.count() == 0 and before.count() == 5
