@@ -42,21 +42,45 @@ def payload(provider: str) -> Column:
         value = F.concat(F.lit("published "), F.col("year").cast("string"), F.lit("-01-01")) if name == "year" else F.left("abstract", F.lit(50)) if name == "abstract" else F.col(name)
         if paths[-1] != "$.none":
             _put(tree, paths[-1], value)
+    mains = dict(zip((paths[-1] for paths in readers.PAYLOADS[provider]), FIELDS, strict=True))
+    for name, path in variants.METADATA.get(provider, {}).items():
+        if path not in mains:
+            _put(tree, path, F.expr(_told(provider, name)))
+    names = F.split("authors_raw", ";")
+    if provider in variants.AUTHORS:
+        path, parts, separator, _ = variants.AUTHORS[provider]
+        whole = F.transform(names, lambda n: F.struct(F.struct(n.alias("display_name")).alias("author"))) if provider == "openalex" else F.transform(names, lambda n: F.struct(F.regexp_extract(n, "^([^ ]*)", 1).alias("given"), F.regexp_extract(n, " (.*)$", 1).alias("family"))) if provider == "crossref" else F.transform(names, lambda n: F.struct(n.alias("name")))
+        _put(tree, path, F.col("run_id") if provider == "github" else F.replace("authors_raw", F.lit(";"), F.lit(" ,  ")) if separator == "," else F.array("authors_raw") if separator else names if not parts else whole)
     return F.to_json(_made(tree))
 
 
+def _told(provider: str, name: str) -> str:
+    """What a record's metadata say in both engines."""
+    if name == "resource_type":
+        return pick(("Publication / Article", "Software", "a Lesson", "Image"), "ordinal % 4")
+    return pick(("texts", "movies", "audio"), "ordinal % 3") if name == "mediatype" else f"concat(source_id, ' {name}')"
+
+
+_mains = {p: dict(zip((paths[-1] for paths in held), FIELDS, strict=True)) for p, held in readers.PAYLOADS.items()}
+_shown = {"title": "trim(title)", "url": "url", "citation_count": "CAST(citation_count AS VARCHAR)", "doi": "doi"}
+_said = lambda p: " || ".join(f"coalesce(',{n}=' || {_shown[_mains[p][path]] if path in _mains[p] else _told(p, n)}, '')" for n, path in sorted(variants.METADATA.get(p, {}).items())) or "''"
+_meta = "CASE platform " + " ".join(f"WHEN '{p}' THEN {_said(p)}" for p in PROVIDERS) + " END"
+_names = "CASE WHEN platform = 'github' THEN run_id WHEN platform IN (" + ", ".join(f"'{p}'" for p in variants.AUTHORS) + ") THEN authors_raw ELSE '' END"
+_kinds = "CASE platform WHEN 'zenodo' THEN ['research_paper', 'other', 'course', 'dataset'][ordinal % 4 + 1] WHEN 'internet_archive' THEN ['documentation', 'video', 'other'][ordinal % 3 + 1] " + " ".join(f"WHEN '{p}' THEN '{k}'" for p, k in variants.KINDS.items()) + " END"
 _has = lambda i: "platform IN (" + ", ".join(f"'{p}'" for p, paths in readers.PAYLOADS.items() if paths[i][-1] != "$.none") + ")"
 PAYLOAD_CTE = f"{SOURCES}, p AS (SELECT * REPLACE ({pick(PROVIDERS, f'ordinal % {len(PROVIDERS)}')} AS platform, trim(title) AS title) FROM src)"
 
 
-@query("provider_payloads", f"WITH {PAYLOAD_CTE} SELECT platform, url, md5(title) AS title_md5, CASE WHEN {_has(2)} THEN year END::INTEGER AS year, CASE WHEN {_has(4)} THEN citation_count END::BIGINT AS citation_count, CASE WHEN {_has(5)} THEN trim(doi) END AS doi FROM p WHERE title <> ''")
+@query("provider_payloads", f"WITH {PAYLOAD_CTE} SELECT platform, url, md5(title) AS title_md5, CASE WHEN {_has(2)} THEN year END::INTEGER AS year, CASE WHEN {_has(4)} THEN citation_count END::BIGINT AS citation_count, CASE WHEN {_has(5)} THEN trim(doi) END AS doi, CASE WHEN {_has(3)} THEN nullif(trim(left(text, 50)), '') END AS abstract, {_names} AS authors, {_kinds} AS source_type, {_meta} AS metadata FROM p JOIN documents ON doc_id = ordinal WHERE title <> ''")
 def provider_payloads(spark, sf):
-    """Records in the JSON of their providers, read back to one form."""
+    """Records in the JSON of their providers, read back to one form, each payload parsed once."""
     src = sources(spark, sf).withColumn("platform", F.expr(pick(PROVIDERS, f"ordinal % {len(PROVIDERS)}")))
     raw = F.lit(None).cast("string")
     for p in PROVIDERS:
         raw = F.when(F.col("platform") == p, payload(p)).otherwise(raw)
-    return readers.records(src.select("platform", raw.alias("raw"))).select("platform", "url", F.md5("title").alias("title_md5"), "year", "citation_count", "doi")
+    said = F.array_join(F.transform(F.array_sort(F.map_entries("metadata")), lambda e: F.concat(F.lit(","), e["key"], F.lit("="), e["value"])), "")
+    out = variants.provider_records(src.select("platform", variants.once(raw).alias("raw")))
+    return out.select("platform", "url", F.md5("title").alias("title_md5"), "year", "citation_count", "doi", "abstract", F.array_join("authors", ";").alias("authors"), "source_type", said.alias("metadata"))
 
 
 ARTICLE = "'<PubmedArticle><PMID Version=\"1\">' || ordinal || '</PMID><ArticleTitle>' || regexp_replace(title, '[<>&]', ' ', 'g') || ' <i>x</i></ArticleTitle>' || CASE WHEN ordinal % 3 = 0 THEN '' ELSE '<Abstract><AbstractText>two  words</AbstractText></Abstract>' END || CASE WHEN year IS NULL THEN '' ELSE '<Year>' || year || '</Year>' END || '<Author><LastName>Lee</LastName></Author><Author><LastName> Xu </LastName></Author></PubmedArticle>'"
