@@ -1,16 +1,16 @@
 """Relevance of records to a query as a vector of five measures, the gates before it, and the ladder from strict to no query.
 
 Phrases, densities and concentration are built-in expressions.  Whether tokens match by their stems, beginnings or likeness has no
-built-in form; two functions for that run in Arrow batches over titles and word lists and keep what they have found."""
+built-in form; two functions for that run in Arrow batches over titles and word lists, each distinct word of a batch once."""
 
 from __future__ import annotations
 
 import math
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Row, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Row, functions as F
 
 from ..functions import fixed as fx, fuzzy as fz, text as tx, url as ul
+from ..sources import store
 
 # Weights of the measures and least scores.
 WEIGHTS = {"phrase_position": 0.30, "fingerprint_overlap": 0.25, "token_density": 0.15, "token_proximity": 0.15, "content_concentration": 0.15}
@@ -22,17 +22,6 @@ PLATFORMS = (
 TYPES = ("research_paper", "course", "book", "documentation", "repository", "model", "dataset", "video", "blog", "other")
 
 
-@F.pandas_udf(T.IntegerType())
-def matched(tokens: pd.Series, words: pd.Series) -> pd.Series:
-    """How many tokens match one of the words at least."""
-    return pd.Series([sum(any(fz.kept_match(t, w) for w in ws) for t in ts) for ts, ws in zip(tokens, words, strict=True)], dtype="int32")
-
-
-@F.pandas_udf(T.DoubleType())
-def closeness(tokens: pd.Series, words: pd.Series) -> pd.Series:
-    return pd.Series([fz.proximity(list(ts), list(ws)) for ts, ws in zip(tokens, words, strict=True)], dtype="float64")
-
-
 def comparable(text: Column) -> Column:
     """Lower-cased, with blanks for hyphens and underscores, and single blanks."""
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[-_]+", " "), r"\s+", " "))
@@ -79,12 +68,14 @@ def concentration(abstract: Column, tokens: list[str]) -> Column:
     count = lambda t: sum((times(t, x) for x in tokens), F.lit(0))
     sentences = F.filter(F.transform(F.split(abstract, r"[.!?]+\s+"), F.trim), lambda s: s != "")
 
-    def of(s: Column) -> Column:
-        head, low = F.lower(F.array_join(F.slice(s, 1, 2), " ")), F.lower(abstract)
-        share = (count(head) / count(low)) / (F.length(head) / F.greatest(F.lit(1), F.length(low)))
-        return F.when(F.size(s) < 2, F.lit(0.5)).when(count(low) == 0, F.lit(0.0)).otherwise(F.least(F.lit(1.0), share / 2.0))
+    def of(x: Column) -> Column:
+        share = (x["n_head"] / x["n_low"]) / (F.length(x["head"]) / F.greatest(F.lit(1), F.length(x["low"])))
+        return F.when(x["few"], F.lit(0.5)).when(x["n_low"] == 0, F.lit(0.0)).otherwise(F.least(F.lit(1.0), share / 2.0))
 
-    return F.when(abstract == "", F.lit(0.0)).otherwise(tx.let(sentences, of))
+    # each text is made once, however many tokens are counted in it
+    texts = tx.let(sentences, lambda s: F.struct((F.size(s) < 2).alias("few"), F.lower(F.array_join(F.slice(s, 1, 2), " ")).alias("head"), F.lower(abstract).alias("low")))
+    counts = tx.let(texts, lambda x: F.struct(x["few"].alias("few"), x["head"].alias("head"), x["low"].alias("low"), count(x["head"]).alias("n_head"), count(x["low"]).alias("n_low")))
+    return F.when(abstract == "", F.lit(0.0)).otherwise(tx.let(counts, of))
 
 
 def signature(text: Column, generic=fx.GENERIC) -> Column:
@@ -92,10 +83,6 @@ def signature(text: Column, generic=fx.GENERIC) -> Column:
     return F.array_distinct(F.filter(tx.light_tokens(text), lambda t: (F.length(t) >= 3) & ~t.isin(*generic)))
 
 
-def _list(tokens: list[str]) -> Column:
-    return F.array(*map(F.lit, tokens)) if tokens else F.array().cast("array<string>")
-
-
 def _needed(n: int) -> int:
     return 0 if n <= 0 else 1 if n <= 4 else max(1, math.ceil(n * 0.4))
 
@@ -128,8 +115,8 @@ def measured(sources: DataFrame, p: Row) -> DataFrame:
     rows = rows.withColumns({"_gate": signature(gate_text), "_words": words, "_near": near})
     wanted = [as_match(t) for t in p.tokens if as_match(t)]
     rows = rows.withColumns({
-        "_concept": matched(_list(wanted), F.col("_words")), "_overlap": matched(_list(p.fingerprint), F.col("_sign")), "_close": closeness(_list(wanted), F.col("_near")),
-        "_typed": matched(_list(p.typed), F.col("_gate")), "_prints": matched(_list(p.fingerprint), F.col("_gate")), "_short": matched(_list(p.abbreviations), F.col("_gate")),
+        "_concept": fz.matched_of(wanted)("_words"), "_overlap": fz.matched_of(p.fingerprint)("_sign"), "_close": fz.proximity_of(wanted)("_near"),
+        "_typed": fz.matched_of(p.typed)("_gate"), "_prints": fz.matched_of(p.fingerprint)("_gate"), "_short": fz.matched_of(p.abbreviations)("_gate"),
     })
     position = phrase_position(p.phrase, p.tokens)
     if p.fingerprint:
@@ -163,7 +150,9 @@ def judged(sources: DataFrame, p: Row, strict: float = STRICT, relaxed: float =
 
 
 def ladder(rows: DataFrame) -> DataFrame:
-    """Of judged rows those of the first rung that has any: strict, relaxed, or all well-formed records; with rung."""
+    """Of judged rows those of the first rung that has any: strict, relaxed, or all well-formed records; with rung.  Which rung it is shows
+    only when all are judged, so they are written down and their texts are measured once."""
+    rows = store.written(rows, "judged")
     strict, relaxed = F.col("strict_drop").isNull(), F.col("relaxed_drop").isNull()
     rung = rows.agg(F.when(F.bool_or(strict), 1).when(F.bool_or(relaxed), 2).otherwise(3).alias("rung"))
     formed = ~F.coalesce(F.col("strict_drop") == "structural", F.lit(False))
@@ -181,10 +170,12 @@ def annotated(rows: DataFrame, p: Row) -> DataFrame:
 
 
 def drop_report(rows: DataFrame, column: str, samples: int = 50) -> DataFrame:
-    """reason, how many records it dropped, and the ids of the first of them; the samples are taken per part and then per reason."""
-    counts = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("reason")).agg(F.count("*").alias("n"))
+    """reason, how many records it dropped, and the ids of the first of them; the samples are taken per part and then per reason.
+    Reasons are written down before they are filtered, counted and sampled: a filter on them would work out all measures once more."""
     from .selection import first_of_each
 
-    few = first_of_each(rows.where(F.col(column).isNotNull()).select(F.col(column).alias("reason"), "source_id", "ordinal"), "reason", [F.asc("ordinal")], samples)
+    dropped = store.written(rows.select(F.col(column).alias("reason"), "source_id", "ordinal"), "reasons").where(F.col("reason").isNotNull())
+    counts = dropped.groupBy("reason").agg(F.count("*").alias("n"))
+    few = first_of_each(dropped, "reason", [F.asc("ordinal")], samples)
     ids = few.groupBy("reason").agg(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "source_id"))), lambda x: x["source_id"]).alias("samples"))
     return counts.join(ids, "reason")

@@ -39,7 +39,8 @@ def relevance_measures(spark, sf):
 
 @query("validation_ladder")
 def validation_ladder(spark, sf):
-    return va.ladder(va.judged(sources(spark, sf), profile(spark))).select("source_id", F.round("relevance_score", 6).alias("relevance_score"), "rung")
+    rows = va.judged(sources(spark, sf), profile(spark)).select("source_id", "relevance_score", "strict_drop", "relaxed_drop")
+    return va.ladder(rows).select("source_id", F.round("relevance_score", 6).alias("relevance_score"), "rung")
 
 
 @query("validation_drops")
