@@ -22,10 +22,11 @@ def occurrences(tokens: Column, token: str) -> Column:
 
 
 def asked(words: Column, query: list[str]) -> Column:
-    """The tokens of a text of blank-separated words (tx.ascii_words) that the query has, found in one pass of one pattern."""
+    """The tokens of a text of blank-separated words (tx.ascii_words) that the query has, found in one pass of one pattern: a token first,
+    then whether a word begins with it, which would else be looked up at every character."""
     if not query:
         return F.array().cast("array<string>")
-    return F.regexp_extract_all(words, F.lit(f"(?<![^ ])(?:{'|'.join(map(re.escape, query))})(?![^ ])"), 0)
+    return F.regexp_extract_all(words, F.lit(f"(?:{'|'.join(f'{q}(?<![^ ]{q})' for q in map(re.escape, query))})(?![^ ])"), 0)
 
 
 def counted(docs: DataFrame, query: list[str], text: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed as fx, text as tx
 from ..operators import asked as ak, selection as sel, validation as va
+from ..sources import store
 from .records import SCORE_CTE, SCORED, _full_score, _scored
 from .registry import query
 from .understanding import TOK, questions
@@ -70,9 +71,14 @@ g2 AS (SELECT *, hit >= 1 AND len(w) > 0 AND {HEAD} / 4.0::DOUBLE >= 0.25 AS ok2
 g3 AS (SELECT *, score >= greatest(0.10, 0.35::DOUBLE * (SELECT max(score) FROM g2 WHERE ok2)) AS ok3 FROM g2 WHERE ok2)"""
 
 
+def _written_scores(spark, sf):
+    """What the gates go by, written down: each gate reads it for its best score and again for what passes, and the texts are scored once."""
+    return store.written(_full_score(spark, sf).select("source_id", "ordinal", "title", "difficulty", "relevance", "score", "confidence"), "scores")
+
+
 def _gates(spark, sf):
     """Relevance, topic and quality gates in a row: what passes, and what each drops."""
-    rows = _full_score(spark, sf)
+    rows = _written_scores(spark, sf)
     one = sel.gated(rows, "relevance", sel.relevance_floor(len(TOPIC)), 3).drop("rescued")
     hit = F.size(F.array_intersect(F.array(*map(F.lit, TOPIC)), tx.tokens(F.col("title"))))
     two = sel.passing(one, sel.on_topic(hit, F.col("title"), TOPIC), 3, F.desc("score"), F.asc("ordinal")).drop("rescued")
@@ -94,7 +100,7 @@ def gate_topic_head(spark, sf):
 @query("beginner_rescue", f"WITH {SCORE_CTE}, kept AS (SELECT * FROM fin WHERE difficulty = 'advanced'), b AS (SELECT max(score) AS best FROM kept), d AS (SELECT source_id, greatest(score, best * 0.55::DOUBLE) AS s FROM fin, b WHERE difficulty = 'beginner' AND relevance >= 0.15 AND best > 0 ORDER BY greatest(score, best * 0.55::DOUBLE) DESC, confidence DESC, ordinal LIMIT 3) SELECT source_id, round(s, 6) AS score FROM d")
 def beginner_rescue(spark, sf):
     """Where only advanced records were kept, the best of the dropped beginners' come back."""
-    rows = _full_score(spark, sf)
+    rows = _written_scores(spark, sf)
     out = sel.beginner_rescue(rows.where("difficulty = 'advanced'"), rows.where("difficulty <> 'advanced'"), F.col("difficulty") == "beginner")
     return out.where("difficulty = 'beginner'").select("source_id", F.round("score", 6).alias("score"))
 
@@ -131,6 +137,6 @@ def gate_relevance(spark, sf):
 
 @query("gate_quality_floor", f"WITH {SCORE_CTE}, b AS (SELECT max(score) AS best FROM fin), p AS (SELECT fin.*, score >= greatest(0.10, 0.35::DOUBLE * best) AS ok FROM fin, b), n AS (SELECT count(*) FILTER (ok) AS n FROM p), k AS (SELECT *, row_number() OVER (PARTITION BY ok ORDER BY score DESC, ordinal) AS k FROM p) SELECT source_id, round(score, 6) AS score, NOT ok AS rescued FROM k, n WHERE ok OR n + k <= 3")
 def gate_quality_floor(spark, sf):
-    out = sel.gated(_full_score(spark, sf), "score", F.greatest(F.lit(0.10), 0.35 * F.col("best")), 3)
+    out = sel.gated(_written_scores(spark, sf), "score", F.greatest(F.lit(0.10), 0.35 * F.col("best")), 3)
     return out.select("source_id", F.round("score", 6).alias("score"), "rescued")
 
