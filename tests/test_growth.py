@@ -5,7 +5,9 @@ import re
 from pyspark.sql import functions as F
 
 from sourceloom.operators import difficulty as df
-from sourceloom.plans import records
+from sourceloom.functions import fuzzy as fz, text as tx
+from sourceloom.operators import relevance as rel
+from sourceloom.plans import matching, records, understanding
 
 SF = "/root/testdata/sf0.001"
 ODD = ["", "we prove", "awe prove we  show", "Fig. 3 xFig. 3 Fig.3 _Table 2 (Table 22)", "doi: 10.1/x adoi:10.2/y DOI:10.3/z", "x_1 ax_1 x^{ab} 3x_1 a b_c_d _x_1", "¬∈ é ü α ωϊ∏", "moreover,moreovers furthermore", "let's lets outlet's Ada Lovelace aAda Lovelace"]
@@ -26,3 +28,37 @@ def test_patterns_look_for_their_words_first(spark):
 def test_guard_searches_texts_once(spark):
     for query in (records.distribution_guard, records.distribution_guard_strict):
         assert "regexp" not in plan(query(spark, SF)).lower()
+
+
+def test_gates_and_ladder_measure_texts_once(spark):
+    for query in (matching.gates_in_a_row, matching.gate_quality_floor, matching.beginner_rescue, matching.validation_ladder, matching.validation_drops):
+        read = plan(query(spark, SF))
+        assert "doc_id" not in read and "regexp_extract_all" not in read.replace("regexp_extract_all(lower(coalesce(title", ""), query.__name__
+
+
+def test_each_distinct_word_is_matched_once(spark, monkeypatch):
+    import pyarrow as pa
+
+    asked = []
+    monkeypatch.setattr(fz, "kept_match", lambda q, w: asked.append((q, w)) or fz.tokens_match(q, w))
+    words = pa.array([["learning", "x", "x"], [], ["lernings", "machines", "learning"]])
+    assert fz.matched_of(["learning", "machine"]).func(words).to_pylist() == [1, 0, 2]
+    assert len(asked) == len(set(asked)) == 8
+
+
+def test_bounds_keep_what_matches():
+    pairs = [("abcdefgh", "abcdefgx"), ("learning", "lerning"), ("tensor", "sensor"), ("algebra", "zzz"), ("", "a")]
+    assert [fz.alike(a, b, 0.8) for a, b in pairs] == [fz.ratio(a, b) >= 0.8 for a, b in pairs]
+
+
+def test_titles_far_apart_are_not_sent_to_python(spark):
+    read = plan(understanding.fuzzy_titles_ratio(spark, SF))
+    assert read.index("ratio") < read.index("levenshtein(")
+
+
+def test_words_are_found_before_their_edges(spark):
+    assert not tx.HARD_WORD.startswith("(?<") and "a-z" not in tx.listed("a-z0-9_")
+    text = "idea ideal education a1e2i3o _a_e_i banana bcd aeiou"
+    got = spark.createDataFrame([(text,)], "t string").select(F.regexp_extract_all("t", F.lit(tx.HARD_WORD), 0).alias("h"), rel.asked(F.lit("the theand and breathe le der the"), ["the", "and", "der"]).alias("a")).first()
+    assert got.h == [w for w in text.split() if len(re.findall("[aeiouy]+", w)) >= 3] and got.a == ["the", "and", "der", "the"]
+    assert "(?<![^ ])(?:" not in plan(spark.range(1).select(rel.asked(F.col("id").cast("string"), ["the"])))
