@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import text as tx
@@ -93,19 +95,93 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) != F.size(b)) | (norm == 0), F.lit(0.0)).otherwise(dot(a, b) / norm)
 
 
-def vector_search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def _exact(vectors: np.ndarray, queries: np.ndarray) -> np.ndarray:
+    """cosine() of rows of two arrays, in the same order of additions."""
+    dots = lambda a, b: np.add.accumulate(a * b, axis=1)[:, -1]
+    norm = np.sqrt(dots(vectors, vectors)) * np.sqrt(dots(queries, queries))
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return np.where(norm == 0, 0.0, dots(vectors, queries) / norm)
+
+
+def _nearest(k: int, rows: int = 8_192, columns: int = 256):
+    """A part's k best vectors of each query: those whose product of unit vectors comes within SLACK of the k-th best are scored exactly.  Of equal vectors, the k with the smallest ids are enough."""
+    SLACK = 1e-9
+
+    def array(table: pa.Table, name: str) -> np.ndarray:
+        return table[name].combine_chunks().flatten().to_numpy().astype(np.float64).reshape(len(table), -1)
+
+    def unit(v: np.ndarray) -> np.ndarray:
+        size = np.sqrt((v * v).sum(1, keepdims=True))
+        return v / np.where(size == 0, 1.0, size)
+
+    def run(queries: pa.Table, vectors: pa.Table) -> pa.Table:
+        out = []
+        if len(queries) and len(vectors):
+            vectors = vectors.sort_by("vec_id")
+            q, v, q_ids, v_ids = array(queries, "query"), array(vectors, "embedding"), queries["query_id"].to_numpy(), vectors["vec_id"].to_numpy()
+            _, same = np.unique(v, axis=0, return_inverse=True)
+            order = np.argsort(same.ravel(), kind="stable")
+            ordered = same.ravel()[order]
+            keep = np.sort(order[np.arange(len(order)) - np.searchsorted(ordered, ordered) < k])
+            v, v_ids, v_unit = v[keep], v_ids[keep], unit(v[keep])
+            for i in range(0, len(q), columns):
+                mine = q[i : i + columns]
+                of_q, of_v, scores = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+                mine_unit, floor = unit(mine), np.full(len(mine), -np.inf)
+                for j in range(0, len(v), rows):
+                    near = mine_unit @ v_unit[j : j + rows].T
+                    best = np.partition(near, near.shape[1] - k, axis=1)[:, near.shape[1] - k] if near.shape[1] >= k else floor
+                    floor = np.maximum(floor, best)  # k vectors at least are at or above it
+                    a, b = np.nonzero(near >= floor[:, None] - SLACK)
+                    of_q, of_v, scores = np.concatenate([of_q, a]), np.concatenate([of_v, b + j]), np.concatenate([scores, near[a, b]])
+                    left = scores >= floor[of_q] - SLACK
+                    of_q, of_v, scores = of_q[left], of_v[left], scores[left]
+                exact = _exact(v[of_v], mine[of_q])
+                order = np.lexsort((v_ids[of_v], -exact, of_q))
+                of_q, of_v, exact = of_q[order], of_v[order], exact[order]
+                first = np.arange(len(of_q)) - np.searchsorted(of_q, of_q) < k
+                out.append((q_ids[i + of_q[first]], v_ids[of_v[first]], exact[first]))
+        ids, vecs, found = (np.concatenate([o[c] for o in out]) if out else [] for c in range(3))
+        return pa.table({"query_id": pa.array(ids, queries.schema.field("query_id").type), "vec_id": pa.array(vecs, vectors.schema.field("vec_id").type), "score": pa.array(found, pa.float64())})
+
+    return run
+
+
+def _regular(vector: Column) -> Column:
+    """Whether a vector has components, all numbers whose squares neither vanish nor overflow, or all zero; others are left to cosine()."""
+    fit = lambda x: x.isNotNull() & ((x == 0) | F.abs(x).between(1e-100, 1e100))
+    return F.coalesce((F.size(vector) > 0) & F.forall(vector, fit), F.lit(False))
+
+
+def vector_search(vectors: DataFrame, queries: DataFrame, k: int, part_rows: int = 50_000) -> DataFrame:
     """query_id, vec_id, score, rank: the k nearest by cosine for each row of a query table (query_id, query).
 
-    All vectors are compared with all queries, by the plan of a query set against a corpus: the queries are sent to every task
-    if they are few (a counted number), and else go in blocks of that many."""
+    All vectors are compared with all queries, by the plan of a query set against a corpus: vectors are dealt into parts of about ``part_rows``, each by number of components, and meet the
+    queries there as products of matrices; each part gives its k best of each query.  Queries of more than BROADCAST_QUERIES go in blocks of that many.  Vectors of other sizes than the query's
+    score 0, and those with nulls or no numbers what cosine() makes of them: these pairs are compared one by one."""
     n = queries.count()
     if n > BROADCAST_QUERIES:
         blocks, out = -(-n // BROADCAST_QUERIES), None
         for i in range(blocks):
-            found = vector_search(vectors, queries.where(F.pmod(F.xxhash64("query_id"), F.lit(2 * blocks)).isin(2 * i, 2 * i + 1)), k)
+            found = vector_search(vectors, queries.where(F.pmod(F.xxhash64("query_id"), F.lit(2 * blocks)).isin(2 * i, 2 * i + 1)), k, part_rows)
             out = found if out is None else out.unionByName(found)
         return out
-    scored = vectors.crossJoin(F.broadcast(queries)).select("query_id", "vec_id", cosine(F.col("embedding"), F.col("query")).alias("score"))
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    parts = max(1, min(cores, n), -(-vectors.count() // part_rows))
+    even = vectors.select("vec_id", "embedding", F.size("embedding").alias("size"), _regular(F.col("embedding")).alias("regular"))
+    asked = queries.select("query_id", "query", F.size("query").alias("size"), _regular(F.col("query")).alias("regular"))
+    dealt = even.where("regular").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(parts)))
+    sent = asked.where("regular").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    ids = f"query_id {queries.schema['query_id'].dataType.simpleString()}, vec_id {vectors.schema['vec_id'].dataType.simpleString()}"
+    scored = sent.groupBy("size", "part").cogroup(dealt.groupBy("size", "part")).applyInArrow(_nearest(k), f"{ids}, score double")
+    # what isn't regular is few or small; of other sizes, which score 0, the first ids of each size are enough
+    plain, odd = even.where("regular"), even.where("not regular")
+    first = plain.withColumn("_n", F.row_number().over(W.partitionBy("size").orderBy("vec_id"))).where(F.col("_n") <= k)
+    pairs = lambda v, q: v.crossJoin(F.broadcast(q.withColumnRenamed("size", "asked_size").drop("regular")))
+    score = cosine(F.col("embedding"), F.col("query")).alias("score")
+    rest = [pairs(odd, asked), pairs(plain, asked.where("not regular")), pairs(first.drop("_n"), asked.where("regular")).where("size <> asked_size")]
+    for r in rest:
+        scored = scored.unionByName(r.select("query_id", "vec_id", score))
     w = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return scored.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
