@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import text as tx, url as ul
@@ -103,50 +108,112 @@ def exact_titles(sources: DataFrame, shortest: int = 8) -> DataFrame:
 LONGEST_TITLE = 500  # longer ones are no valid titles
 
 
-GRAM = 3
-
-
-def _signatures(titles: DataFrame, least_ratio: float) -> DataFrame:
-    """id, block, n, gram, at: of each title (id, title, block, n) its rarest grams with their places, so many that two titles within the ratio share one.
-
-    ``most`` edits, the largest number that any partner allows, change GRAM grams each, so of the GRAM * most + 1 first grams in one order of all grams the other
-    title has one in its own first, at a place that is at most ``most`` away.  Titles that allow no edit have none.  How often grams are is counted over all titles; there are at most
-    54,872 of 38 characters."""
-    most = F.floor((1 - least_ratio) * F.floor(F.col("n") / least_ratio + 1e-9) + 1e-9).cast("int")
-    rows = titles.withColumn("most", most).where("most > 0")
-    places = F.transform(F.sequence(F.lit(1), F.col("n") - (GRAM - 1)), lambda i: F.struct(F.substring("title", i, F.lit(GRAM)).alias("gram"), i.alias("at")))
-    each = rows.where(F.col("n") >= GRAM).select("id", "block", "n", "most", F.explode(places).alias("g")).select("id", "block", "n", "most", "g.*")
-    often = each.groupBy("gram").agg(F.count("*").alias("c"))
-    ranked = each.join(F.broadcast(often), "gram").groupBy("id", "block", "n", "most").agg(F.array_sort(F.collect_list(F.struct("c", "gram", "at"))).alias("l"))
-    return ranked.select("id", "block", "n", F.explode(F.slice("l", 1, GRAM * F.col("most") + 1)).alias("g")).select("id", "block", "n", "g.gram", "g.at")
+TILE = 8_192  # titles of one length class that are compared at a time
+LETTERS = " +0123456789abcdefghijklmnopqrstuvwxyz"
+
+
+def _most(n: Column, least_ratio: float) -> Column:
+    """The most edits that a longer title of n characters allows."""
+    return F.floor((1 - least_ratio) * n + 1e-9).cast("int")
+
+
+def _length_class(n: Column, least_ratio: float) -> Column:
+    """Classes of lengths so wide that two lengths within the ratio are in one class or in neighbours: each ends where its first length's longest partner does."""
+    first = [1]
+    while first[-1] <= LONGEST_TITLE:
+        first.append(int(first[-1] / least_ratio + 1e-9) + 1)
+    return sum(((n >= f).cast("int") for f in first[1:]), F.lit(0))
+
+
+def _tiled(rows: DataFrame, least_ratio: float) -> DataFrame:
+    """rows (id, title, block, n), each once for every unit that it is compared in, with the unit (block, low, p, high, q) and whether it stands on the unit's low side.
+
+    A class of a block is dealt into parts of about TILE titles; a unit is two parts, of one class or of neighbouring ones, or one part with itself.  So a title is sent as
+    often as its class and the next ones have parts: once or twice each, until a block has very many titles of like lengths."""
+    classed = rows.withColumn("class", _length_class(F.col("n"), least_ratio))
+    sizes = classed.groupBy("block", "class").agg(F.ceil(F.count("*") / TILE).cast("int").alias("parts"))  # a row a block and class
+    beside = lambda step, name: sizes.select("block", (F.col("class") - step).alias("class"), F.col("parts").alias(name))
+    known = sizes.join(beside(1, "above"), ["block", "class"], "left").join(beside(-1, "below"), ["block", "class"], "left")
+    dealt = classed.join(F.broadcast(known), ["block", "class"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+
+    def units(count: Column, of) -> Column:
+        numbers = F.filter(F.sequence(F.lit(0), F.greatest(count, F.lit(1)) - 1), lambda i: i < count)
+        return F.transform(numbers, of)
+
+    unit = lambda low, p, high, q, side: F.struct(low.alias("low"), p.alias("p"), high.alias("high"), q.alias("q"), F.lit(side).alias("is_low"))
+    c, r, none = F.col("class"), F.col("part"), F.lit(0)
+    own = F.concat(units(F.col("parts") - r, lambda i: unit(c, r, c, r + i, True)), units(r, lambda i: unit(c, i, c, r, False)))
+    other = F.concat(units(F.coalesce("above", none), lambda i: unit(c, r, c + 1, i, True)), units(F.coalesce("below", none), lambda i: unit(c - 1, i, c, r, False)))
+    return dealt.select("id", "title", "block", "n", F.explode(F.concat(own, other)).alias("u")).select("id", "title", "block", "n", "u.*")
+
+
+def _counts(titles: pa.ChunkedArray) -> np.ndarray:
+    """How often each letter is in each title: a row a letter, and one for all others."""
+    got = np.zeros((len(titles), len(LETTERS) + 1), dtype=np.uint16)
+    places = np.full(0x110000, len(LETTERS), dtype=np.uint8)
+    places[[ord(x) for x in LETTERS]] = range(len(LETTERS))
+    for i, t in enumerate(titles.to_pylist()):
+        got[i] = np.bincount(places[np.frombuffer(t.encode("utf-32-le"), dtype=np.uint32)], minlength=len(LETTERS) + 1)
+    return np.ascontiguousarray(got.T)
+
+
+def _near(least_ratio: float, step: int = 256, piece: int = 10_000):
+    """The pairs of a unit that the ratio can allow by lengths and letters: of the longer title's letters at most as many as there may be edits are missing in the other."""
+
+    def meet(long_: pa.Table, short: pa.Table, la: np.ndarray, lb: np.ndarray) -> Iterator[pa.RecordBatch]:
+        na, nb = (t.column("n").to_numpy().astype(np.int32) for t in (long_, short))
+        ia, ib = (t.column("id").to_numpy() for t in (long_, short))
+        least = na - np.floor((1 - least_ratio) * na + 1e-9).astype(np.int32)
+        for i in range(0, len(na), step):
+            rows = slice(i, i + step)
+            shared = np.zeros((len(na[rows]), len(nb)), dtype=np.uint16)
+            for x, y in zip(la, lb, strict=True):
+                if x[rows].any() and y.any():
+                    shared += np.minimum(x[rows, None], y[None, :])
+            fits = (shared >= least[rows, None]) & (nb[None, :] >= least[rows, None])
+            # a is the longer one, of equals the one with the smaller id
+            fits &= (na[rows, None] > nb[None, :]) | ((na[rows, None] == nb[None, :]) & (ia[rows, None] < ib[None, :]))
+            at, bt = np.nonzero(fits)
+            for j in range(0, len(at), piece):
+                a, b = long_.take(pa.array(at[j : j + piece] + i)), short.take(pa.array(bt[j : j + piece]))
+                yield from pa.table({"id_a": a["id"], "id_b": b["id"], "na": a["n"], "ta": a["title"], "tb": b["title"]}).combine_chunks().to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit = pa.Table.from_batches(list(batches))
+        if len(unit) < 2:
+            return
+        sides = [unit.filter(pc.equal(unit["is_low"], low)).combine_chunks() for low in (True, False)]
+        counts = [_counts(s["title"]) for s in sides]
+        low, p, high, q = (unit[k][0].as_py() for k in ("low", "p", "high", "q"))
+        if (low, p) == (high, q):
+            yield from meet(sides[0], sides[0], counts[0], counts[0])
+            return
+        yield from meet(sides[1], sides[0], counts[1], counts[0])
+        if low == high:
+            yield from meet(sides[0], sides[1], counts[0], counts[1])
+
+    return run
 
 
 def fuzzy_titles(titles: DataFrame, prefix: int = 2, least_ratio: float = 0.85) -> DataFrame:
     """Pairs of distinct titles (id, title) in one block of equal first letters, with 1 - levenshtein / longer length at or above
     the least ratio.
 
-    Titles meet where they share a rare gram at a near place and have near lengths, so a block whose titles begin alike is not compared with itself; whoever meets is
-    compared once, exactly."""
+    Titles of a block meet in units of bounded size, by classes of their lengths; pairs whose letters are too unlike go there, the others are compared exactly in the same task.
+    Only titles are shuffled, no pairs and no grams."""
     rows = titles.groupBy("title").agg(F.min("id").alias("id")).where((F.length("title") > prefix) & (F.length("title") <= LONGEST_TITLE)).select("id", "title", F.substring("title", 1, prefix).alias("block"), F.length("title").alias("n"))
-    folder = store.new_folder(titles.sparkSession, "grams")
-    marks = _signatures(rows, least_ratio)
-    marks.write.parquet(folder)
-    marks = titles.sparkSession.read.schema(marks.schema).parquet(folder)
-    other = marks.select("block", "gram", F.col("id").alias("id_b"), F.col("n").alias("nb"), F.col("at").alias("bt"))
-    meet = marks.select("block", "gram", F.col("id").alias("id_a"), F.col("n").alias("na"), "at").join(other, ["block", "gram"])
-    most = F.floor((1 - least_ratio) * F.col("na") + 1e-9).cast("int")
-    # a is the longer one, of equals the one with the smaller id
-    near = meet.where((F.col("na") > F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("id_a") < F.col("id_b")))).where((F.col("na") - F.col("nb") <= most) & (F.abs(F.col("at") - F.col("bt")) <= most))
-    pairs = near.select("id_a", "id_b", "na").distinct()
-    pairs = pairs.join(rows.select(F.col("id").alias("id_a"), F.col("title").alias("ta")), "id_a").join(rows.select(F.col("id").alias("id_b"), F.col("title").alias("tb")), "id_b")
+    rows = store.written(rows, "titles")
+    kind = rows.schema["id"].dataType.simpleString()
+    near = _tiled(rows, least_ratio).groupBy("block", "low", "p", "high", "q").applyInArrow(_near(least_ratio), f"id_a {kind}, id_b {kind}, na int, ta string, tb string")
     # with its bound a distance is given up, as -1, as soon as it is over it
-    found = pairs.withColumn("most", most).withColumn("d", F.expr("levenshtein(ta, tb, most)")).where(F.col("d") >= 0)
+    found = near.withColumn("most", _most(F.col("na"), least_ratio)).withColumn("d", F.expr("levenshtein(ta, tb, most)")).where(F.col("d") >= 0)
     return found.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"), F.round(1 - F.col("d") / F.col("na"), 6).alias("ratio"))
 
 
 def without_losers(records: DataFrame, pairs: DataFrame) -> DataFrame:
     """records (id, q) but for those that some pair (id_a, id_b) shows to be a worse copy: of lower quality, or later where both have the
-    same.  A record that lost to one that lost itself goes too, as groups keep their best."""
+    same.  A record that lost to one that lost itself goes too, as groups keep their best.  Pairs are found once and written."""
+    pairs = store.written(pairs.select("id_a", "id_b"), "pairs")
     both = pairs.select(F.col("id_a").alias("id"), F.col("id_b").alias("other")).unionByName(pairs.select(F.col("id_b").alias("id"), F.col("id_a").alias("other")))
     rated = both.join(records.select("id", "q"), "id").join(records.select(F.col("id").alias("other"), F.col("q").alias("oq")), "other")
     losers = rated.where((F.col("oq") > F.col("q")) | ((F.col("oq") == F.col("q")) & (F.col("other") < F.col("id")))).select("id").distinct()

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from sourceloom.operators import difficulty as df
 from sourceloom.functions import fuzzy as fz, text as tx
 from sourceloom.operators import relevance as rel
-from sourceloom.plans import matching, records, understanding
+from sourceloom.operators import records as rc
+from sourceloom.plans import matching, records, retrieval, understanding
 
 SF = "/root/testdata/sf0.001"
 ODD = ["", "we prove", "awe prove we  show", "Fig. 3 xFig. 3 Fig.3 _Table 2 (Table 22)", "doi: 10.1/x adoi:10.2/y DOI:10.3/z", "x_1 ax_1 x^{ab} 3x_1 a b_c_d _x_1", "¬∈ é ü α ωϊ∏", "moreover,moreovers furthermore", "let's lets outlet's Ada Lovelace aAda Lovelace"]
@@ -62,3 +63,41 @@ def test_words_are_found_before_their_edges(spark):
     got = spark.createDataFrame([(text,)], "t string").select(F.regexp_extract_all("t", F.lit(tx.HARD_WORD), 0).alias("h"), rel.asked(F.lit("the theand and breathe le der the"), ["the", "and", "der"]).alias("a")).first()
     assert got.h == [w for w in text.split() if len(re.findall("[aeiouy]+", w)) >= 3] and got.a == ["the", "and", "der", "the"]
     assert "(?<![^ ])(?:" not in plan(spark.range(1).select(rel.asked(F.col("id").cast("string"), ["the"])))
+
+
+def test_like_titles_meet_in_small_units(spark, monkeypatch):
+    """Titles are sent a few times each, whatever grams they share, and every pair within the ratio is found."""
+    import random
+
+    import duckdb
+
+    assert "gram" not in plan(rc.fuzzy_titles(spark.createDataFrame([(1, "aa aaaa")], "id long, title string")))
+    r, titles = random.Random(1), ["ab" + "é" * 20, "ab" + "é" * 19, "ab" + "x" * 498, "ab" + "x" * 480, "ab", "abc", "abcdefg", "abcdef"]
+    for _ in range(60):
+        t = "".join(r.choice("abc +1") for _ in range(r.randrange(5, 40)))
+        titles += [r.choice(["ab", "cd"]) + "".join(c for c in t if r.random() > 0.08) + r.choice(["", "x"]) for _ in range(4)]
+    rows = spark.createDataFrame(list(enumerate([*titles, *titles[:5]])), "id long, title string")
+    db = duckdb.connect()
+    db.execute("CREATE TABLE t AS SELECT title, min(id) AS id FROM (SELECT unnest(?) AS title, unnest(range(?)) AS id) GROUP BY 1 HAVING length(title) BETWEEN 3 AND 500", [[*titles, *titles[:5]], len(titles) + 5])
+    sql = "SELECT least(a.id, b.id), greatest(a.id, b.id) FROM t a JOIN t b ON left(a.title, 2) = left(b.title, 2) AND (length(a.title) > length(b.title) OR length(a.title) = length(b.title) AND a.id < b.id)"
+    far = db.execute(f"{sql} WHERE len(list_filter(range(length(a.title)), lambda i: ord(a.title[i + 1]) > 127)) = 0 AND len(list_filter(range(length(b.title)), lambda i: ord(b.title[i + 1]) > 127)) = 0 AND levenshtein(a.title, b.title) <= floor(0.15 * length(a.title) + 1e-9)").fetchall()
+    want = {*far, (0, 1)}  # DuckDB's distance is one of bytes
+    for tile in (rc.TILE, 7):
+        monkeypatch.setattr(rc, "TILE", tile)
+        got = [(x.id_a, x.id_b) for x in rc.fuzzy_titles(rows).collect()]
+        assert len(got) == len(set(got)) and set(got) == want and len(want) > 30
+    monkeypatch.undo()
+    many = spark.range(20_000).select("id", F.concat(F.lit("ab"), F.repeat(F.lit("the "), 5), F.col("id").cast("string")).alias("title"), F.lit("ab").alias("block"), F.lit(30).alias("n"))
+    assert rc._tiled(many, 0.85).count() == 3 * 20_000
+
+
+def test_vectors_meet_as_matrices(spark):
+    nan, big = float("nan"), 3e38
+    vectors = [[1.0, 2.0], [1.0, 2.0], [2.0, 4.0], [0.0, 0.0], [nan, 1.0], [None, 1.0], [big, big], [1.0], [], None, [-1.0, 0.5], [3.0, 1.0], [float("inf"), 1.0], [1.0, 2.0000002]]
+    v = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<float>")
+    q = v.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    assert "CoGroupsInArrow" in plan(rel.vector_search(v, q, 3))
+    every = v.crossJoin(q).select("query_id", "vec_id", rel.cosine(F.col("embedding"), F.col("query")).alias("score"))
+    want = every.withColumn("rank", F.expr("row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)").cast("long"))
+    for k, rows in ((1, 100_000), (3, 100_000), (4, 2), (30, 3)):
+        assert sorted(map(str, rel.vector_search(v, q, k, rows).collect())) == sorted(map(str, want.where(F.col("rank") <= k).collect()))
