@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as tx
+from ..sources import store
 
 BROADCAST_ALIASES = 200_000
 WORTH_SEVERAL, WORTH_SHORT, WORTH_WORD, WORTH_CONCEPT, WORTH_KEYWORD = 0.48, 0.30, 0.38, 0.22, 0.10
@@ -28,23 +29,40 @@ def dictionary(aliases: DataFrame) -> DataFrame:
     return rows.groupBy("alias").agg(F.min("domain").alias("domain")).withColumn("n_words", F.size(F.split("alias", " ")))
 
 
+def runs(words: Column, n: int) -> Column:
+    """A list's runs of n words, each as one string: those of one word less, each with the word after it."""
+    out = words
+    for i in range(1, n):
+        out = F.zip_with(F.slice(out, 1, F.greatest(F.size(words) - i, F.lit(0))), F.slice(words, i + 1, F.greatest(F.size(words) - i, F.lit(0))), lambda x, y: F.concat_ws(" ", x, y))
+    return out
+
+
 def grams(words: Column, sizes: list[int]) -> Column:
     """Structs (place, gram) of a list's runs of the given lengths."""
-    def of(n: int) -> Column:
-        runs = F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.struct((i - 1).alias("place"), F.array_join(F.slice(words, i, n), " ").alias("gram")))
-        return F.when(F.size(words) >= n, runs).otherwise(F.array().cast("array<struct<place:int,gram:string>>"))
+    return F.concat(*[F.transform(runs(words, n), lambda x, i: F.struct(i.alias("place"), x.alias("gram"))) for n in sizes])
+
 
-    return F.concat(*map(of, sizes))
+def _known(aliases: DataFrame) -> tuple[DataFrame, list[int]]:
+    """The dictionary, to be broadcast if it is small, and the lengths of its aliases (as many rows as lengths)."""
+    known = dictionary(aliases)
+    few = known.limit(BROADCAST_ALIASES + 1).count() <= BROADCAST_ALIASES
+    return F.broadcast(known) if few else known, sorted(r.n_words for r in known.select("n_words").distinct().collect()) or [1]
 
 
 def hits(texts: DataFrame, key: str, text: str, aliases: DataFrame) -> DataFrame:
     """key, alias, domain, n_words and place (words before it) of every occurrence of an alias in a text."""
-    known = dictionary(aliases)
-    few = known.limit(BROADCAST_ALIASES + 1).count() <= BROADCAST_ALIASES
-    sizes = sorted(r.n_words for r in known.select("n_words").distinct().collect())  # as many rows as lengths
+    known, sizes = _known(aliases)
     words = F.split(plain(F.col(text)), " ")
-    found = texts.select(F.col(key).alias("_key"), F.explode(tx.let(words, lambda w: grams(w, sizes or [1]))).alias("_at"))
-    return found.select("_key", "_at.place", F.col("_at.gram").alias("alias")).join(F.broadcast(known) if few else known, "alias").select(F.col("_key").alias(key), "alias", "domain", "n_words", "place")
+    found = texts.select(F.col(key).alias("_key"), F.explode(tx.let(words, lambda w: grams(w, sizes))).alias("_at"))
+    return found.select("_key", "_at.place", F.col("_at.gram").alias("alias")).join(known, "alias").select(F.col("_key").alias(key), "alias", "domain", "n_words", "place")
+
+
+def aliases_in(texts: DataFrame, key: str, text: str, aliases: DataFrame) -> DataFrame:
+    """key, alias, domain and n_words of every alias in a text, each once: repeats go before there are rows."""
+    known, sizes = _known(aliases)
+    words = F.split(plain(F.col(text)), " ")
+    found = texts.select(F.col(key).alias("_key"), F.explode(tx.let(words, lambda w: F.array_distinct(F.concat(*[runs(w, n) for n in sizes])))).alias("alias"))
+    return found.join(known, "alias").select(F.col("_key").alias(key), "alias", "domain", "n_words")
 
 
 def scores(found: DataFrame, texts: DataFrame, key: str, concept: Column, keywords: Column) -> DataFrame:
@@ -68,10 +86,12 @@ def detected(scored: DataFrame, key: str, priorities: DataFrame, least: float =
 
 
 def tagged(texts: DataFrame, key: str, text: str, title: Column, aliases: DataFrame, priorities: DataFrame) -> DataFrame:
-    """key, domain, topic of every text: by its longest alias of three letters or more (of equals the first by name), else what is detected, else general; the topic is the alias or from the title."""
-    found = hits(texts, key, text, aliases)
-    best = found.groupBy(key).agg(F.max(F.when(F.length("alias") >= 3, F.length("alias"))).alias("n"))
-    first = found.join(best, key).where(F.length("alias") == F.col("n")).groupBy(key).agg(F.min(F.struct("alias", "domain")).alias("hit"))
+    """key, domain, topic of every text: by its longest alias of three letters or more (of equals the first by name), else what is detected, else general; the topic is the alias or from the title.
+
+    Texts are searched once, and what is found is written."""
+    found = store.written(aliases_in(texts, key, text, aliases), "hits")
+    longest = F.min(F.when(F.length("alias") >= 3, F.struct((-F.length("alias")).alias("n"), "alias", "domain")))
+    first = found.groupBy(key).agg(longest.alias("hit")).where("hit IS NOT NULL")
     others = found.join(first, key, "left_anti")
     seen = detected(scores(others, texts, key, title, F.array().cast("array<string>")), key, priorities)
     rows = texts.select(key, tx.short_topic(title).alias("_topic")).join(first, key, "left").join(seen, key, "left")
