@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed as fx, fuzzy as fz, text as tx
 from ..operators import path as pt, relevance as rel, understanding as un
+from ..sources import store
 from .records import SCORED, _scored
 from .registry import query
 from .views import SOURCES, sources, table
@@ -132,8 +133,8 @@ _objective = "CASE path.title " + " ".join(f"WHEN '{t}' THEN '{o}'" for t, o in
 
 
 def _ranked(spark, sf):
-    """Records ranked in their run, a third of them in another run too."""
-    rows = _scored(spark, sf).withColumn("score", F.col("relevance"))
+    """Records ranked in their run, a third of them in another run too; scored once and written, without their texts."""
+    rows = store.written(_scored(spark, sf).drop("abstract"), "ranked").withColumn("score", F.col("relevance"))
     again = rows.where("ordinal % 3 = 0").withColumn("run_id", F.concat(F.lit("r"), ((F.col("ordinal") + 3) % 7).cast("string")))
     return rows.unionByName(again)
 
