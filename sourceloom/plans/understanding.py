@@ -226,9 +226,8 @@ def record_json_normalize(spark, sf):
 @query("fuzzy_relevance")
 def fuzzy_relevance(spark, sf):
     """Likeness of tokens in title and abstract, and a bonus for a phrase: 0.18 in the title, 0.12 elsewhere."""
-    q = F.array(*map(F.lit, ["thing", "ention", "lichung"]))
     title, abstract = tx.clean(F.col("title")), tx.clean(F.col("abstract"))
-    like = fz.udf_of("sl_overlap")(q, tx.tokens(title), tx.tokens(abstract))
+    like = fz.overlap_of(["thing", "ention", "lichung"])(tx.tokens(title), tx.tokens(abstract))
     return sources(spark, sf).select("source_id", F.round(F.least(F.lit(1.0), like + un.phrase_bonus(["of the", "the thing"], F.lower(title), F.lower(abstract))), 6).alias("overlap"))
 
 
