@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window as W, functions as F
 
-from ..functions import text as tx
+from ..functions import fuzzy as fz, text as tx
 from ..operators import embedding as em, index as ix, relevance as rel
 from ..sources import store
 from .registry import query
@@ -120,16 +120,15 @@ def lexical_fallback(spark, sf):
 
 @query("inverted_index", f"SELECT term, doc_id, doc_len::INTEGER AS doc_len, count(*) AS tf FROM (SELECT doc_id, len(t) AS doc_len, unnest(t) AS term FROM (SELECT doc_id, {TOKENS.format('text')} AS t FROM documents)) GROUP BY ALL")
 def inverted_index(spark, sf):
-    return rel.postings(table(spark, sf, "documents"))
+    return rel.postings(table(spark, sf, "documents")).groupBy("term", "doc_id", "doc_len").agg(F.sum("tf").alias("tf"))
 
 
 @query("inverted_index_roundtrip", "SELECT doc_id, array_to_string(regexp_extract_all(text, '[^ \\t\\r\\n]+'), ' ') AS abstract FROM documents WHERE len(regexp_extract_all(text, '[^ \\t\\r\\n]+')) > 0")
 def inverted_index_roundtrip(spark, sf):
     """A word -> positions map of each text, turned back to text, as one source's records need."""
-    words = table(spark, sf, "documents").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit("[^ \t\r\n]+"), 0)).alias("pos", "word"))
-    index = words.groupBy("doc_id", "word").agg(F.collect_list("pos").alias("positions")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "positions"))).alias("index"))
-    back = index.select("doc_id", F.flatten(F.transform(F.map_entries("index"), lambda e: F.transform(e["value"], lambda p: F.struct(p.alias("p"), e["key"].alias("w"))))).alias("pairs"))
-    return back.select("doc_id", F.array_join(F.transform(F.array_sort("pairs"), lambda x: x["w"]), " ").alias("abstract"))
+    texts = table(spark, sf, "documents").where(F.col("text").rlike("[^ \t\r\n]"))
+    index = texts.select("doc_id", fz.word_places(F.regexp_extract_all("text", F.lit("[^ \t\r\n]+"), 0)).alias("index"))
+    return index.select("doc_id", fz.words_in_order("index").alias("abstract"))
 
 
 FLAG = f"""WITH {SOURCES}, {BM25},

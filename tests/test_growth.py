@@ -8,7 +8,7 @@ from sourceloom.operators import difficulty as df
 from sourceloom.functions import fuzzy as fz, text as tx
 from sourceloom.operators import relevance as rel
 from sourceloom.operators import records as rc
-from sourceloom.plans import matching, records, retrieval, understanding
+from sourceloom.plans import domains, matching, records, retrieval, understanding
 
 SF = "/root/testdata/sf0.001"
 ODD = ["", "we prove", "awe prove we  show", "Fig. 3 xFig. 3 Fig.3 _Table 2 (Table 22)", "doi: 10.1/x adoi:10.2/y DOI:10.3/z", "x_1 ax_1 x^{ab} 3x_1 a b_c_d _x_1", "¬∈ é ü α ωϊ∏", "moreover,moreovers furthermore", "let's lets outlet's Ada Lovelace aAda Lovelace"]
@@ -101,3 +101,46 @@ def test_vectors_meet_as_matrices(spark):
     want = every.withColumn("rank", F.expr("row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)").cast("long"))
     for k, rows in ((1, 100_000), (3, 100_000), (4, 2), (30, 3)):
         assert sorted(map(str, rel.vector_search(v, q, k, rows).collect())) == sorted(map(str, want.where(F.col("rank") <= k).collect()))
+
+
+def test_texts_are_inverted_where_they_are_read(spark):
+    import pyarrow as pa
+
+    assert "Aggregate" not in plan(retrieval.inverted_index_roundtrip(spark, SF))
+    words = pa.array([["x"], ["b", "a", "b", "é"], [], ["a", "a"], ["z"]]).slice(1, 3)
+    index = fz.word_places.func(words)
+    assert [sorted(m) for m in index.to_pylist()] == [[("a", [1]), ("b", [0, 2]), ("é", [3])], [], [("a", [0, 1])]]
+    assert fz.words_in_order.func(index).to_pylist() == ["b a b é", "", "a a"]
+    gaps = pa.array([[("q", [1])], [("y", [9]), ("x", [4, 12])]], index.type).slice(1)
+    assert fz.words_in_order.func(gaps).to_pylist() == ["x y x"]
+
+
+def test_aliases_are_looked_for_once(spark):
+    read = plan(domains.domain_tagging(spark, SF))
+    assert "Generate" not in read and "concat_ws" not in read
+
+
+def test_ranking_is_scored_once_for_swaps(spark):
+    assert "doc_id" not in plan(understanding.path_swaps(spark, SF))
+
+
+def test_likeness_of_words_stays_in_arrow(spark, monkeypatch):
+    import pyarrow as pa
+
+    query = ["thing", "ention", "thing", "lichung"]
+    titles = [["x"], ["thing", "ention", "lichung"], [], ["things", "mention"], ["thinq", "lichtung", "a"]]
+    texts = [[], ["things", "things"], ["zz"], [], ["thing", "thong", "invention"]]
+    want = [fz.overlap(query, t, a) for t, a in zip(titles, texts, strict=True)]
+    asked = []
+    monkeypatch.setattr(fz, "token_worth", lambda q, w, f=fz.token_worth: asked.append((q, w)) or f(q, w))
+    of = fz.overlap_of(query)
+    got = of.func(pa.array(titles), pa.array(texts)).to_pylist()
+    assert [round(x, 9) for x in got] == [round(x, 9) for x in want] and len(set(want)) > 3
+    assert len(asked) == 3 * (len({w for t in titles for w in t}) + len({w for t in texts for w in t}))
+    assert of.func(pa.array(titles).slice(2, 3), pa.array(texts).slice(2, 3)).to_pylist() == got[2:]
+
+
+def test_words_are_counted_where_texts_are_read(spark):
+    docs = spark.createDataFrame([(1, "B a b, A-b"), (2, None), (3, " ")], "doc_id long, text string")
+    assert "Aggregate" not in plan(rel.postings(docs))
+    assert sorted(map(tuple, rel.postings(docs).collect())) == [("a", 1, 5, 2), ("b", 1, 5, 3)]
