@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from ..functions import text as tx
 
@@ -212,8 +213,23 @@ def lexical(query: list[str], title: Column, text: Column, meta: Column) -> Colu
     return F.least(F.lit(1.0), (hits(text) + 3 * hits(title) + hits(meta)) / (4 * len(query)))
 
 
+@F.arrow_udf(T.ArrayType(T.StructType([T.StructField("term", T.StringType()), T.StructField("doc_len", T.IntegerType()), T.StructField("tf", T.LongType())])))
+def word_counts(words: pa.Array) -> pa.Array:
+    """The distinct words of each text of blank-separated words, the number of all its words, and how often it has each."""
+    bounds, terms, sizes, counts = [0], [], [], []
+    for text in words:
+        found = Counter(text.as_py().split())
+        terms.extend(found.keys())
+        counts.extend(found.values())
+        sizes.append(found.total())
+        bounds.append(len(terms))
+    sizes = np.repeat(np.array(sizes, dtype=np.int32), np.diff(bounds))
+    each = pa.StructArray.from_arrays([pa.array(terms, pa.string()), pa.array(sizes, pa.int32()), pa.array(counts, pa.int64())], names=["term", "doc_len", "tf"])
+    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), each)
+
+
 def postings(docs: DataFrame, text: str = "text") -> DataFrame:
-    """term, doc_id, tf, doc_len: an inverted index.  Words are counted before the shuffle, so a posting is sent once for each part of
-    the table that has it."""
-    rows = docs.select("doc_id", tx.ascii_words(F.col(text)).alias("w")).where("w <> ''").select("doc_id", F.split("w", " ").alias("t"))
-    return rows.select("doc_id", F.size("t").alias("doc_len"), F.explode("t").alias("term")).groupBy("term", "doc_id", "doc_len").agg(F.count("*").alias("tf"))
+    """term, doc_id, doc_len, tf: an inverted index of docs (an id once).  A text's words are counted where it is read, so nothing is shuffled,
+    no row is made for a word that is repeated, and the text goes before the rows are made."""
+    each = docs.select("doc_id", word_counts(tx.ascii_words(F.col(text))).alias("c")).select("doc_id", F.explode("c").alias("c"))
+    return each.select("c.term", "doc_id", "c.doc_len", "c.tf")
