@@ -144,7 +144,7 @@ def held(spark: SparkSession, path: str) -> str:
     """The session's index of the documents table at a path, built when it is first asked for or when the table's files have changed."""
     key = (spark.sparkContext.applicationId, path, store.state_of(spark, path))
     if key not in _held:
-        _held[key] = build(spark.read.parquet(path).select("doc_id", "text"), store.new_folder(spark, "index"))
+        _held[key] = build(store.spread(spark.read.parquet(path).select("doc_id", "text"), "doc_id"), store.new_folder(spark, "index"))
     return _held[key]
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sourceloom.operators import difficulty as df
 from sourceloom.functions import fuzzy as fz, text as tx
 from sourceloom.operators import relevance as rel
-from sourceloom.operators import records as rc
+from sourceloom.operators import index as ix, records as rc
 from sourceloom.plans import domains, matching, records, retrieval, understanding
 
 SF = "/root/testdata/sf0.001"
@@ -144,3 +144,11 @@ def test_words_are_counted_where_texts_are_read(spark):
     docs = spark.createDataFrame([(1, "B a b, A-b"), (2, None), (3, " ")], "doc_id long, text string")
     assert "Aggregate" not in plan(rel.postings(docs))
     assert sorted(map(tuple, rel.postings(docs).collect())) == [("a", 1, 5, 2), ("b", 1, 5, 3)]
+
+
+def test_index_is_built_by_all_cores(spark, monkeypatch):
+    parts = []
+    monkeypatch.setattr(ix, "_held", {})
+    monkeypatch.setattr(ix, "build", lambda docs, folder: parts.append(docs.rdd.getNumPartitions()) or folder)
+    ix.held(spark, f"{SF}/documents.parquet")
+    assert parts == [spark.sparkContext.defaultParallelism]
