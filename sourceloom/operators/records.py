@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -105,33 +105,28 @@ def exact_titles(sources: DataFrame, shortest: int = 8) -> DataFrame:
     return best.unionByName(rows.where(~long_).select("source_id", "ordinal")).groupBy("source_id").agg(F.min("ordinal").alias("ordinal")).select("source_id")
 
 
-LONGEST_TITLE = 500  # longer ones are no valid titles
+LONGEST_TITLE = 500  # of valid titles
 
 
 TILE = 8_192  # titles of one length class that are compared at a time
+TILE_CHARS = 1 << 23  # and the most of their characters
 LETTERS = " +0123456789abcdefghijklmnopqrstuvwxyz"
-
-
-def _most(n: Column, least_ratio: float) -> Column:
-    """The most edits that a longer title of n characters allows."""
-    return F.floor((1 - least_ratio) * n + 1e-9).cast("int")
+CODES = np.array([LETTERS.find(chr(c)) % (len(LETTERS) + 1) for c in range(129)], dtype=np.uint8)  # of characters; all others are one
+BITS = 512  # titles up to so many characters are compared as words of bits
 
 
 def _length_class(n: Column, least_ratio: float) -> Column:
-    """Classes of lengths so wide that two lengths within the ratio are in one class or in neighbours: each ends where its first length's longest partner does."""
-    first = [1]
-    while first[-1] <= LONGEST_TITLE:
-        first.append(int(first[-1] / least_ratio + 1e-9) + 1)
-    return sum(((n >= f).cast("int") for f in first[1:]), F.lit(0))
+    """Classes of lengths a little wider than the ratio, so that two lengths within it are in one class or in neighbours."""
+    return F.floor(F.log(n) / -np.log(least_ratio - 1e-6)).cast("int")
 
 
 def _tiled(rows: DataFrame, least_ratio: float) -> DataFrame:
     """rows (id, title, block, n), each once for every unit that it is compared in, with the unit (block, low, p, high, q) and whether it stands on the unit's low side.
 
-    A class of a block is dealt into parts of about TILE titles; a unit is two parts, of one class or of neighbouring ones, or one part with itself.  So a title is sent as
-    often as its class and the next ones have parts: once or twice each, until a block has very many titles of like lengths."""
+    A class of a block is dealt into parts of about TILE titles or TILE_CHARS characters; a unit is two parts, of one class or of neighbouring ones, or one part with itself.
+    So a title is sent as often as its class and the next ones have parts: once or twice each, until a block has very many titles of like lengths."""
     classed = rows.withColumn("class", _length_class(F.col("n"), least_ratio))
-    sizes = classed.groupBy("block", "class").agg(F.ceil(F.count("*") / TILE).cast("int").alias("parts"))  # a row a block and class
+    sizes = classed.groupBy("block", "class").agg(F.ceil(F.greatest(F.count("*") / TILE, F.sum("n") / TILE_CHARS)).cast("int").alias("parts"))  # a row a block and class
     beside = lambda step, name: sizes.select("block", (F.col("class") - step).alias("class"), F.col("parts").alias(name))
     known = sizes.join(beside(1, "above"), ["block", "class"], "left").join(beside(-1, "below"), ["block", "class"], "left")
     dealt = classed.join(F.broadcast(known), ["block", "class"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
@@ -147,66 +142,162 @@ def _tiled(rows: DataFrame, least_ratio: float) -> DataFrame:
     return dealt.select("id", "title", "block", "n", F.explode(F.concat(own, other)).alias("u")).select("id", "title", "block", "n", "u.*")
 
 
-def _counts(titles: pa.ChunkedArray) -> np.ndarray:
-    """How often each letter is in each title: a row a letter, and one for all others."""
-    got = np.zeros((len(titles), len(LETTERS) + 1), dtype=np.uint16)
-    places = np.full(0x110000, len(LETTERS), dtype=np.uint8)
-    places[[ord(x) for x in LETTERS]] = range(len(LETTERS))
-    for i, t in enumerate(titles.to_pylist()):
-        got[i] = np.bincount(places[np.frombuffer(t.encode("utf-32-le"), dtype=np.uint32)], minlength=len(LETTERS) + 1)
-    return np.ascontiguousarray(got.T)
+def _characters(title: str) -> np.ndarray:
+    return np.frombuffer(title.encode("utf-32-le"), dtype=np.uint32)
 
 
-def _near(least_ratio: float, step: int = 256, piece: int = 10_000):
-    """The pairs of a unit that the ratio can allow by lengths and letters: of the longer title's letters at most as many as there may be edits are missing in the other."""
-
-    def meet(long_: pa.Table, short: pa.Table, la: np.ndarray, lb: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _letters(titles: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """How often each letter is in each title, a row a letter, and one for all others; and the letters of titles up to BITS by place, a row a place."""
+    longest = min(BITS, pc.max(pc.utf8_length(titles)).as_py() or 0)
+    counts = np.zeros((len(titles), len(LETTERS) + 1), dtype=np.uint32)
+    codes = np.full((len(titles), longest), len(LETTERS) + 1, dtype=np.uint8)
+    for i, t in enumerate(titles.to_pylist()):
+        got = CODES[np.minimum(_characters(t), 128)]
+        counts[i] = np.bincount(got, minlength=len(LETTERS) + 1)
+        if len(got) <= longest:
+            codes[i, : len(got)] = got
+    return np.ascontiguousarray(counts.T), np.ascontiguousarray(codes.T)
+
+
+def _common(codes_a: np.ndarray, a: np.ndarray, codes_b: np.ndarray, b: np.ndarray, nb: np.ndarray, least: np.ndarray, each: int = 16) -> np.ndarray:
+    """Which of the pairs (columns a and b of the letters by place, nb letters in b) have a common subsequence of the least length: 64 places of a are a word of bits that
+    all letters of b are put through in turn (Hyyro's recurrence), for all pairs at once.  A pair goes as soon as what is left of b can't make up for what is missing."""
+    used, a = np.unique(a, return_inverse=True)
+    longest = int((codes_a[:, used] <= len(LETTERS)).sum(axis=0).max(initial=0))
+    words, kinds = -(-longest // 64), len(LETTERS) + 2
+    masks = np.zeros((words, len(used) * kinds), dtype=np.uint64)  # where a title has a letter; nowhere, for the places after its end
+    for i in range(longest):
+        at = codes_a[i, used]
+        there = at <= len(LETTERS)
+        masks[i // 64, (np.arange(len(used)) * kinds + at)[there]] |= np.uint64(1 << i % 64)
+    left, base = np.arange(len(a)), a * kinds
+    bits = [np.full(len(a), ~np.uint64(0)) for _ in range(words)]
+    found = lambda: sum((np.bitwise_count(~v).astype(np.int32) for v in bits), np.zeros(len(left), dtype=np.int32))
+    for i in range(int(nb.max(initial=0))):
+        if i % each == 0 and i:
+            fits = found() + np.maximum(nb - i, 0) >= least
+            if 4 * np.count_nonzero(fits) < 3 * len(fits):
+                left, base, b, nb, least, bits = left[fits], base[fits], b[fits], nb[fits], least[fits], [v[fits] for v in bits]
+        at, carry = base + codes_b[i, b], None
+        for w, v in enumerate(bits):
+            u = v & masks[w][at]
+            total = v + u
+            over = total < u
+            if carry is not None:
+                total += carry
+                over |= total < carry
+            carry = over.astype(np.uint64)
+            bits[w] = total | (v - u)
+    return left[found() >= least]
+
+
+def _without_ends(a: str, b: str) -> tuple[str, str]:
+    """Two texts without the characters that they have in common at the beginning, then at the end."""
+    x, y = _characters(a), _characters(b)
+    for _ in range(2):
+        unlike = np.flatnonzero(x[: len(y)] != y[: len(x)])
+        same = unlike[0] if len(unlike) else min(len(x), len(y))
+        x, y = x[same:][::-1], y[same:][::-1]
+    return x.tobytes().decode("utf-32-le"), y.tobytes().decode("utf-32-le")
+
+
+def _common_of_long(a: str, b: str, least: int, each: int = 512) -> int:
+    """The length of the longest common subsequence, or -1 where it is below the least: the same recurrence for one pair, in one number of as many bits as a has characters."""
+    x, y = _characters(a), _characters(b).tolist()
+    whole = (1 << len(x)) - 1
+    masks, bits, found = {int(c): int.from_bytes(np.packbits(x == c, bitorder="little").tobytes(), "little") for c in np.unique(x)}, whole, 0
+    for i, c in enumerate(y, 1):
+        u = bits & masks.get(c, 0)
+        bits = (bits + u) | (bits - u)
+        if i % each == 0 or i == len(y):
+            bits &= whole
+            found = len(x) - bits.bit_count()
+            if found + len(y) - i < least:
+                return -1
+    return found if found >= least else -1
+
+
+def _near(common: Callable[[np.ndarray, np.ndarray], np.ndarray], cut: bool, step: int = 256, piece: int = 8_192):
+    """The pairs of a unit that can have the least common subsequence, given by the lengths of the longer and of the shorter title: they share as many letters, and then
+    have it.  Where the longer one has over BITS characters it is known, and so the number of edits that put letters in or leave them out, which is given with the pair; there, with cut, titles are given without their common ends."""
+    names = ["id_a", "id_b", "na", "ta", "tb", "edits"]
+
+    def meet(long_: pa.Table, short: pa.Table, la: tuple[np.ndarray, np.ndarray], lb: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
         na, nb = (t.column("n").to_numpy().astype(np.int32) for t in (long_, short))
         ia, ib = (t.column("id").to_numpy() for t in (long_, short))
-        least = na - np.floor((1 - least_ratio) * na + 1e-9).astype(np.int32)
+        if not len(na) or not len(nb):
+            return
+        kind = np.min_scalar_type(max(na[-1], nb[-1]))  # the smallest that holds a length
+        counts = [(p.astype(kind), q.astype(kind)) for p, q in zip(la[0], lb[0], strict=True) if p.any() and q.any()]
         for i in range(0, len(na), step):
             rows = slice(i, i + step)
-            shared = np.zeros((len(na[rows]), len(nb)), dtype=np.uint16)
-            for x, y in zip(la, lb, strict=True):
-                if x[rows].any() and y.any():
-                    shared += np.minimum(x[rows, None], y[None, :])
-            fits = (shared >= least[rows, None]) & (nb[None, :] >= least[rows, None])
+            # both are in order of length
+            columns = slice(int(np.argmax(nb >= common(na[i], nb))), int(np.searchsorted(nb, na[rows][-1], "right")))
+            if columns.start >= columns.stop:
+                continue
+            x, y = na[rows, None], nb[None, columns]
+            shared = np.zeros((x.shape[0], y.shape[1]), dtype=kind)
+            for p, q in counts:
+                shared += np.minimum(p[rows, None], q[None, columns])
             # a is the longer one, of equals the one with the smaller id
-            fits &= (na[rows, None] > nb[None, :]) | ((na[rows, None] == nb[None, :]) & (ia[rows, None] < ib[None, :]))
+            fits = (shared >= common(x, y).astype(kind)) & ((x > y) | ((x == y) & (ia[rows, None] < ib[None, columns])))
             at, bt = np.nonzero(fits)
-            for j in range(0, len(at), piece):
-                a, b = long_.take(pa.array(at[j : j + piece] + i)), short.take(pa.array(bt[j : j + piece]))
-                yield from pa.table({"id_a": a["id"], "id_b": b["id"], "na": a["n"], "ta": a["title"], "tb": b["title"]}).combine_chunks().to_batches()
+            at, bt = at + i, bt + columns.start
+            few = max(1, min(piece, TILE_CHARS // (2 * int(na[rows][-1]))))
+            for j in range(0, len(at), few):
+                a, b = at[j : j + few], bt[j : j + few]
+                least, is_long = common(na[a], nb[b]), na[a] > BITS
+                known = np.flatnonzero(~is_long)
+                known = known[_common(la[1], a[known], lb[1], b[known], nb[b[known]], least[known])]
+                if len(known):
+                    x, y = long_.take(pa.array(a[known])), short.take(pa.array(b[known]))
+                    yield from pa.table([x["id"], y["id"], x["n"], x["title"], y["title"], pa.nulls(len(known), pa.int32())], names).combine_chunks().to_batches()
+                for k in np.flatnonzero(is_long):
+                    ta, tb = long_["title"][a[k]].as_py(), short["title"][b[k]].as_py()
+                    x, y = _without_ends(ta, tb)
+                    ends = len(ta) - len(x)
+                    got = _common_of_long(x, y, least[k] - ends)
+                    if got >= 0:
+                        edits = len(x) + len(y) - 2 * got
+                        yield pa.record_batch([[ia[a[k]]], [ib[b[k]]], pa.array([na[a[k]]]), [x if cut else ta], [y if cut else tb], pa.array([edits], pa.int32())], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unit = pa.Table.from_batches(list(batches))
         if len(unit) < 2:
             return
-        sides = [unit.filter(pc.equal(unit["is_low"], low)).combine_chunks() for low in (True, False)]
-        counts = [_counts(s["title"]) for s in sides]
+        sides = [unit.filter(pc.equal(unit["is_low"], low)).sort_by("n").combine_chunks() for low in (True, False)]
+        letters = [_letters(s["title"]) for s in sides]
         low, p, high, q = (unit[k][0].as_py() for k in ("low", "p", "high", "q"))
         if (low, p) == (high, q):
-            yield from meet(sides[0], sides[0], counts[0], counts[0])
+            yield from meet(sides[0], sides[0], letters[0], letters[0])
             return
-        yield from meet(sides[1], sides[0], counts[1], counts[0])
+        yield from meet(sides[1], sides[0], letters[1], letters[0])
         if low == high:
-            yield from meet(sides[0], sides[1], counts[0], counts[1])
+            yield from meet(sides[0], sides[1], letters[0], letters[1])
 
     return run
 
 
-def fuzzy_titles(titles: DataFrame, prefix: int = 2, least_ratio: float = 0.85) -> DataFrame:
-    """Pairs of distinct titles (id, title) in one block of equal first letters, with 1 - levenshtein / longer length at or above
-    the least ratio.
+def _like(rows: DataFrame, least_ratio: float, common: Callable[[np.ndarray, np.ndarray], np.ndarray], cut: bool = False) -> DataFrame:
+    """Pairs (id_a, id_b, na, ta, tb, edits) of titles (id, title, block, n) of one block that may be alike, a the longer one with na characters: of lengths within the
+    ratio, and with the least common subsequence (see _near; without edits, all letters outside of LETTERS count as one there).
 
-    Titles of a block meet in units of bounded size, by classes of their lengths; pairs whose letters are too unlike go there, the others are compared exactly in the same task.
-    Only titles are shuffled, no pairs and no grams."""
-    rows = titles.groupBy("title").agg(F.min("id").alias("id")).where((F.length("title") > prefix) & (F.length("title") <= LONGEST_TITLE)).select("id", "title", F.substring("title", 1, prefix).alias("block"), F.length("title").alias("n"))
+    Titles of a block meet in units of bounded size, by classes of their lengths; only titles are shuffled, no pairs and no grams.  Units are small and take long, so they
+    are dealt to several tasks a core, whatever their bytes."""
     rows = store.written(rows, "titles")
-    kind = rows.schema["id"].dataType.simpleString()
-    near = _tiled(rows, least_ratio).groupBy("block", "low", "p", "high", "q").applyInArrow(_near(least_ratio), f"id_a {kind}, id_b {kind}, na int, ta string, tb string")
+    unit, kind = ["block", "low", "p", "high", "q"], rows.schema["id"].dataType.simpleString()
+    tasks = max(8 * rows.sparkSession.sparkContext.defaultParallelism, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return _tiled(rows, least_ratio).repartition(tasks, *unit).groupBy(*unit).applyInArrow(_near(common, cut), f"id_a {kind}, id_b {kind}, na int, ta string, tb string, edits int")
+
+
+def fuzzy_titles(titles: DataFrame, prefix: int = 2, least_ratio: float = 0.85) -> DataFrame:
+    """Pairs of distinct titles (id, title) of any length in one block of equal first letters, with 1 - levenshtein / longer length at or above
+    the least ratio.  So few edits leave a common subsequence of all other letters of the longer title."""
+    rows = titles.groupBy("title").agg(F.min("id").alias("id")).where(F.length("title") > prefix).select("id", "title", F.substring("title", 1, prefix).alias("block"), F.length("title").alias("n"))
+    near = _like(rows, least_ratio, lambda na, nb: na - np.floor((1 - least_ratio) * na + 1e-9).astype(np.int32), cut=True)
     # with its bound a distance is given up, as -1, as soon as it is over it
-    found = near.withColumn("most", _most(F.col("na"), least_ratio)).withColumn("d", F.expr("levenshtein(ta, tb, most)")).where(F.col("d") >= 0)
+    most = F.floor((1 - least_ratio) * F.col("na") + 1e-9).cast("int")
+    found = near.withColumn("most", F.least(most, "edits")).withColumn("d", F.expr("levenshtein(ta, tb, most)")).where(F.col("d") >= 0)
     return found.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"), F.round(1 - F.col("d") / F.col("na"), 6).alias("ratio"))
 
 

@@ -91,6 +91,52 @@ def test_like_titles_meet_in_small_units(spark, monkeypatch):
     assert rc._tiled(many, 0.85).count() == 3 * 20_000
 
 
+def test_long_titles_are_compared(spark, tmp_path):
+    """Titles of any length, also about as long as those that are compared as bits."""
+    import random
+
+    r, texts, want = random.Random(3), [], {}
+    for n in (40, 490, 511, 512, 513, 700, 3000, 40_000):
+        t, i = "ab" + "".join(r.choice("abcdefgh") for _ in range(n - 2)), len(texts)
+        texts += [t, t[:-5], t[: int(n * 0.7)]]
+        want[i, i + 1] = round(1 - 5 / n, 6)
+    rows = spark.createDataFrame([(40 * i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string")  # these ids get no head before the title
+    rows.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(x.id_a // 40, x.id_b // 40): x.ratio for x in records.dedupe_fuzzy_lev(spark, str(tmp_path)).collect()}
+    assert got == want
+
+
+def test_common_letters_in_bits():
+    """The longest common subsequence by words of bits, and without common ends by one number, against the plain table."""
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    def common(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            before = 0
+            for j, y in enumerate(b):
+                before, row[j + 1] = row[j + 1], before + 1 if x == y else max(row[j], row[j + 1])
+        return row[-1]
+
+    r, titles = random.Random(2), []
+    for n in (1, 20, 63, 64, 65, 128, 129, 200):
+        t = "".join(r.choice("abc d+1") for _ in range(n))
+        titles += [t, "".join(c for c in t if r.random() > 0.1) or "a", "".join(r.sample(t, n))]
+    titles.sort(key=len)
+    n, codes = np.array([len(t) for t in titles]), rc._letters(pa.chunked_array([titles]))[1]
+    a, b = (np.array(x) for x in zip(*[(i, j) for i in range(len(n)) for j in range(len(n)) if n[j] <= n[i]]))
+    true = np.array([common(titles[i], titles[j]) for i, j in zip(a, b)])
+    for least in (true, true + 1, (0.85 * n[a]).astype(int)):
+        assert sorted(rc._common(codes, a, codes, b, n[b], least)) == list(np.flatnonzero(true >= least))
+    for i, j, t in list(zip(a, b, true))[::7]:
+        x, y = rc._without_ends(titles[i], titles[j])
+        ends = len(titles[i]) - len(x)
+        assert [rc._common_of_long(x, y, least, 16) for least in (0, t - ends, t - ends + 1)] == [t - ends, t - ends, -1]
+
+
 def test_vectors_meet_as_matrices(spark):
     nan, big = float("nan"), 3e38
     vectors = [[1.0, 2.0], [1.0, 2.0], [2.0, 4.0], [0.0, 0.0], [nan, 1.0], [None, 1.0], [big, big], [1.0], [], None, [-1.0, 0.5], [3.0, 1.0], [float("inf"), 1.0], [1.0, 2.0000002]]
