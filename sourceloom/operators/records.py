@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions import text as tx, url as ul
+from ..functions import fuzzy as fz, text as tx, url as ul
 from ..sources import store
 from .selection import first_of_each
 
@@ -239,8 +239,9 @@ def _near(common: Callable[[np.ndarray, np.ndarray], np.ndarray], cut: bool, ste
             shared = np.zeros((x.shape[0], y.shape[1]), dtype=kind)
             for p, q in counts:
                 shared += np.minimum(p[rows, None], q[None, columns])
+            lengths, of = np.unique(na[rows], return_inverse=True)
             # a is the longer one, of equals the one with the smaller id
-            fits = (shared >= common(x, y).astype(kind)) & ((x > y) | ((x == y) & (ia[rows, None] < ib[None, columns])))
+            fits = (shared >= common(lengths[:, None], y).astype(kind)[of]) & ((x > y) | ((x == y) & (ia[rows, None] < ib[None, columns])))
             at, bt = np.nonzero(fits)
             at, bt = at + i, bt + columns.start
             few = max(1, min(piece, TILE_CHARS // (2 * int(na[rows][-1]))))
@@ -301,6 +302,22 @@ def fuzzy_titles(titles: DataFrame, prefix: int = 2, least_ratio: float = 0.85)
     return found.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"), F.round(1 - F.col("d") / F.col("na"), 6).alias("ratio"))
 
 
+def fuzzy_titles_by_blocks(titles: DataFrame, prefix: int = 2, least_ratio: float = 0.85, shortest: int = 8) -> DataFrame:
+    """Pairs of distinct titles (id, title) of at least so many characters in one block of equal first letters (blanks left out), with a matching-block ratio, rounded, at
+    or above the least one.
+
+    Matching blocks are a common subsequence, so a ratio of r takes one of r / 2 of both lengths, and lengths down to r / (2 - r) of the longer one.  Nearly all pairs that
+    have no such subsequence go before the blocks are looked for.  Where letters outside of LETTERS count as one, the edit distance tells them apart: it is no more than the
+    letters put in or left out."""
+    rows = titles.groupBy("title").agg(F.min("id").alias("id")).where(F.length("title") >= shortest)
+    rows = rows.select("id", "title", F.substring(F.replace("title", F.lit(" ")), 1, prefix).alias("block"), F.length("title").alias("n"))
+    least = least_ratio - 1e-6  # the ratio is rounded
+    near = _like(rows, least / (2 - least), lambda na, nb: np.ceil(least / 2 * (na + nb) - 1e-9).astype(np.int32))
+    pairs = near.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"), F.least("ta", "tb").alias("ta"), F.greatest("ta", "tb").alias("tb"), "edits")
+    pairs = pairs.withColumn("most", F.floor((1 - least) * (F.length("ta") + F.length("tb"))).cast("int")).where("edits IS NOT NULL OR levenshtein(ta, tb, most) >= 0")
+    return pairs.withColumn("ratio", F.round(fz.udf_of("sl_ratio")("ta", "tb"), 6)).where(F.col("ratio") >= least_ratio).select("id_a", "id_b", "ratio")
+
+
 def without_losers(records: DataFrame, pairs: DataFrame) -> DataFrame:
     """records (id, q) but for those that some pair (id_a, id_b) shows to be a worse copy: of lower quality, or later where both have the
     same.  A record that lost to one that lost itself goes too, as groups keep their best.  Pairs are found once and written."""

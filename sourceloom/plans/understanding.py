@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import fixed as fx, fuzzy as fz, text as tx
-from ..operators import path as pt, relevance as rel, understanding as un
+from ..operators import path as pt, records as rc, relevance as rel, understanding as un
 from ..sources import store
 from .records import SCORED, _scored
 from .registry import query
@@ -233,21 +233,8 @@ def fuzzy_relevance(spark, sf):
 
 @query("fuzzy_titles_ratio")
 def fuzzy_titles_ratio(spark, sf):
-    """Pairs of titles by the matching-block ratio, in blocks of two equal first letters (blanks left out).  A ratio of r allows
-    lengths down to r / (2 - r) of the longer one, so each title meets all of those lengths.
-
-    Matching blocks are a common subsequence, so a ratio of r takes at most (1 - r) * (lengths) letters put in or left out, and no fewer
-    than the edit distance: pairs beyond that distance, nearly all, go before the blocks are looked for."""
-    least = 0.85
-    t = sources(spark, sf).groupBy(tx.normal_title(F.col("title")).alias("title")).agg(F.min("ordinal").alias("id")).where(F.length("title") >= 8)
-    rows = t.select("id", "title", F.substring(F.replace("title", F.lit(" ")), 1, 2).alias("block"), F.length("title").alias("n"))
-    shortest = F.ceil(F.col("n") * least / (2 - least) - 1e-3).cast("int")  # the ratio is rounded
-    near = rows.select("id", "title", "block", F.col("n").alias("na"), F.explode(F.sequence(shortest, F.col("n"))).alias("n"))
-    pairs = near.toDF("id_a", "ta", "block", "na", "n").join(rows.toDF("id_b", "tb", "block", "n"), ["block", "n"]).where("na > n or id_a < id_b").where("id_a <> id_b")
-    pairs = pairs.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"), F.least("ta", "tb").alias("ta"), F.greatest("ta", "tb").alias("tb"))
-    most = F.floor((1 - least + 1e-6) * (F.length("ta") + F.length("tb"))).cast("int")
-    pairs = pairs.withColumn("most", most).where(F.expr("levenshtein(ta, tb, most) >= 0"))
-    return pairs.withColumn("ratio", F.round(fz.udf_of("sl_ratio")("ta", "tb"), 6)).where(F.col("ratio") >= least).select("id_a", "id_b", "ratio")
+    """Pairs of titles by the matching-block ratio, in blocks of two equal first letters (blanks left out)."""
+    return rc.fuzzy_titles_by_blocks(sources(spark, sf).select(F.col("ordinal").alias("id"), tx.normal_title(F.col("title")).alias("title")))
 
 
 @query("normal_urls")

@@ -137,6 +137,45 @@ def test_common_letters_in_bits():
         assert [rc._common_of_long(x, y, least, 16) for least in (0, t - ends, t - ends + 1)] == [t - ends, t - ends, -1]
 
 
+def test_titles_meet_by_blocks_in_small_units(spark, monkeypatch):
+    """No pairs are joined or sent; those without a long enough common subsequence go where they meet, and every pair within the ratio is found, whatever its letters and length."""
+    import difflib
+    import random
+
+    read = plan(understanding.fuzzy_titles_ratio(spark, SF))
+    assert "FlatMapGroupsInArrow" in read and "explode(sequence(cast(ceil" not in read.lower()
+    r, titles = random.Random(5), ["ab" + "é" * 20, "ab" + "ö" * 20, "ab" + "é" * 18 + "x", "a bcdefg", "abcdefg", "abcdefgh"]
+    for n in (*range(8, 100, 6), 190, 230, 511, 513, 600, 1500):
+        t = "ab" + "".join(r.choice("cdefghij +1é") for _ in range(n - 2))
+        titles += [t, "a b" + t[2:], t[: int(n * 0.76)], *("ab" + "".join(c for c in t[2:] if r.random() > p) for p in (0.05, 0.2)), "ab" + "".join(r.sample(t[2:], n - 2))]
+    rows = spark.createDataFrame(list(enumerate([*titles, *titles[:5]])), "id long, title string")
+    first = {}
+    for i, t in enumerate(titles):
+        if len(t) >= 8:
+            first.setdefault(t, i)
+    want = set()
+    for a, i in first.items():
+        for b, j in first.items():
+            if a < b and 3 * len(a) < 4.5 * len(b) and 3 * len(b) < 4.5 * len(a) and a.replace(" ", "")[:2] == b.replace(" ", "")[:2]:
+                ratio = round(difflib.SequenceMatcher(None, a, b).ratio(), 6)
+                want |= {(min(i, j), max(i, j), ratio)} if ratio >= 0.85 else set()
+    for tile, bits in ((rc.TILE, rc.BITS), (7, 64)):
+        monkeypatch.setattr(rc, "TILE", tile)
+        monkeypatch.setattr(rc, "BITS", bits)
+        got = [tuple(x) for x in rc.fuzzy_titles_by_blocks(rows).collect()]
+        assert len(got) == len(set(got)) and set(got) == want and len(want) > 30
+
+
+def test_unlike_titles_do_not_leave_their_unit(spark):
+    import random
+
+    r = random.Random(6)
+    words = ["".join(r.choice("aeinorst") for _ in range(r.randrange(2, 8))) for _ in range(60)]
+    rows = spark.createDataFrame([(i, " ".join(r.choice(words) for _ in range(14)), "ab") for i in range(600)], "id long, title string, block string").withColumn("n", F.length("title"))
+    near = rc._like(rows, 0.739, lambda na, nb: -(-85 * (na + nb) // 200))
+    assert near.count() < 50
+
+
 def test_vectors_meet_as_matrices(spark):
     nan, big = float("nan"), 3e38
     vectors = [[1.0, 2.0], [1.0, 2.0], [2.0, 4.0], [0.0, 0.0], [nan, 1.0], [None, 1.0], [big, big], [1.0], [], None, [-1.0, 0.5], [3.0, 1.0], [float("inf"), 1.0], [1.0, 2.0000002]]
