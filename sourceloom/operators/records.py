@@ -254,13 +254,13 @@ def _near(common: Callable[[np.ndarray, np.ndarray], np.ndarray], cut: bool, ste
                     x, y = long_.take(pa.array(a[known])), short.take(pa.array(b[known]))
                     yield from pa.table([x["id"], y["id"], x["n"], x["title"], y["title"], pa.nulls(len(known), pa.int32())], names).combine_chunks().to_batches()
                 for k in np.flatnonzero(is_long):
-                    ta, tb = long_["title"][a[k]].as_py(), short["title"][b[k]].as_py()
-                    x, y = _without_ends(ta, tb)
-                    ends = len(ta) - len(x)
-                    got = _common_of_long(x, y, least[k] - ends)
+                    x, y = long_.slice(a[k], 1), short.slice(b[k], 1)
+                    ta, tb = x["title"][0].as_py(), y["title"][0].as_py()
+                    u, v = _without_ends(ta, tb)
+                    got = _common_of_long(u, v, least[k] - (len(ta) - len(u)))
                     if got >= 0:
-                        edits = len(x) + len(y) - 2 * got
-                        yield pa.record_batch([[ia[a[k]]], [ib[b[k]]], pa.array([na[a[k]]]), [x if cut else ta], [y if cut else tb], pa.array([edits], pa.int32())], names)
+                        texts = [pa.array([t], x["title"].type) for t in ((u, v) if cut else (ta, tb))]
+                        yield from pa.table([x["id"], y["id"], x["n"], *texts, pa.array([len(u) + len(v) - 2 * got], pa.int32())], names).combine_chunks().to_batches()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unit = pa.Table.from_batches(list(batches))
